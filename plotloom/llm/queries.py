@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotloom.llm import line_quality, mixing, sharding, token_counts, url_filter
+from plotloom.llm import forest, line_quality, mixing, packing, sharding, simhash, token_counts, url_filter
 from plotloom.llm.common import table
 
 
@@ -19,10 +19,22 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -32,7 +44,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_url_filter, op7_mix_sources, op9_jump_shards, op10_line_quality)}
+    return {f.__name__: f for f in (op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
