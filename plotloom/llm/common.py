@@ -141,3 +141,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def unique_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """(code of each span, distinct spans) of spans in ascending order that don't overlap."""
+    sizes = ends - starts
+    packed = data[ragged(starts, sizes)]
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotloom.llm import forest, line_quality, mixing, packing, sharding, simhash, token_counts, url_filter
+from plotloom.llm import forest, language_crf, line_quality, mixing, packing, sharding, simhash, token_counts, url_filter
 from plotloom.llm.common import table
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -44,7 +48,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality)}
+    return {f.__name__: f for f in (op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
