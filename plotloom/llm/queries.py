@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotloom.llm import forest, language_crf, line_quality, mixing, packing, sharding, simhash, token_counts, url_filter
+from plotloom.llm import forest, language_crf, line_quality, mixing, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
 from plotloom.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,14 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
