@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -35,6 +36,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_by(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """Like ``durable``, with the rows dealt to ``parts`` partitions by ``key`` and sorted by it, which later plans know.
+
+    Grouping by the key, or joining something to it, doesn't move these rows again. Adaptive plans don't tell how their rows are
+    dealt, so this one plan is made without; the shuffle files behind it are let go at once.
+    """
+    spark = df.sparkSession
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = durable(df.repartition(parts, key).sortWithinPartitions(key))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def prefix_sums(df: DataFrame, group: str, order: Sequence[str], size: str, start: str, bucket: Column, rank: str | None = None) -> DataFrame:
     """Adds ``start``: the sum of ``size`` over the rows of the same ``group`` that come before.
 

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, durable, mix64, ragged, text_slices
+from plotloom.llm.common import WORD, durable, durable_by, mix64, ragged, text_slices
 from plotloom.llm.lyndon import suffix_arrays
 
 _STRING, _SEED_BYTES, _GROUP_BYTES, _PIECE = 50, 24, 2 << 20, 1 << 20
@@ -62,7 +63,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = _SEED_BYTES, s
     parts = []
     for low in range(0, max(len(data) - _STRING + 1, 0), _PIECE):
         piece = data[low : low + _PIECE + _STRING - 1]
-        least = _sliding_least(_rolling(piece, width, seed), _STRING - width + 1)
+        least = _sliding_least(_rolling(piece, width, seed), _STRING - width + 1) >> np.uint64(16)  # 48 bits travel
         at = low + np.arange(len(least))
         row = np.searchsorted(offsets, at, "right") - 1
         ok = at + _STRING <= offsets[row + 1]
@@ -167,10 +168,20 @@ def _sort_classes(data: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray,
         out[own[fragment] + order - begin[fragment]] = np.repeat(runs, np.diff(np.append(heads, len(order))))
 
 
+def _pack(classes: np.ndarray) -> bytes:
+    return classes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _candidates(key: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """(group, classes) that more than one document has, of one bucket of (gid, classes, shared)."""
     gids = key["gid"].to_numpy()
-    classes = [np.frombuffer(x, "<u8") for x in key["classes"].to_pylist()]
+    classes = [_unpack(x) for x in key["classes"].to_pylist()]
     shared = [np.frombuffer(x, bool) for x in key["shared"].to_pylist()]
     sizes = np.array([len(x) for x in classes])
     flat, both = np.concatenate(classes), np.concatenate(shared)
@@ -190,8 +201,6 @@ class _Group:
     """The documents of one group, distinct by text, and their fragments."""
 
     def __init__(self, table: pa.Table) -> None:
-        import zstandard
-
         seen: dict[bytes, int] = {}
         bodies: dict[bytes, bytes] = {}
         for sha, doc, packed in zip(table["sha"].to_pylist(), table["doc_id"].to_pylist(), table["packed"].to_pylist(), strict=True):
@@ -241,8 +250,6 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     groups = max(1, -(-total // _GROUP_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -256,7 +263,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 packed = [pack.compress(data[offsets[i] : offsets[i + 1]].tobytes()) for _, i in least.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(list(least), pa.binary()), pa.array([d for d, _ in least.values()], pa.int64()), pa.array(packed, pa.binary())], ["gid", "sha", "doc_id", "packed"])
 
-    dealt = durable(rows.select("doc_id", "text").mapInArrow(deal, "gid long, sha binary, doc_id long, packed binary").repartition(parts, "gid").sortWithinPartitions("gid"))
+    dealt = durable_by(rows.select("doc_id", "text").mapInArrow(deal, "gid long, sha binary, doc_id long, packed binary"), parts, "gid")
 
     def classes(key: tuple, table: pa.Table) -> pa.Table:
         g = _Group(table)
@@ -264,33 +271,35 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
         np.minimum.at(low, where, g.docs[g.row])
         np.maximum.at(high, where, g.docs[g.row])
-        out = [(b, distinct[x].tobytes(), (high > low)[x].tobytes()) for b, x in enumerate(_by_bucket(distinct, parts)) if len(x)]
+        out = [(b, _pack(distinct[x]), (high > low)[x].tobytes()) for b, x in enumerate(_by_bucket(distinct, parts)) if len(x)]
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array(np.full(len(out), key[0].as_py()), pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "gid", "classes", "shared"])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        out = [(g, x.tobytes()) for g, x in _candidates(table) if len(x)]
+        out = [(g, _pack(x)) for g, x in _candidates(table) if len(x)]
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["gid", "classes"])
 
     def cut(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
         out = []
         if table.num_rows and wanted.num_rows:
+            pack = zstandard.ZstdCompressor(level=3)
             g = _Group(table)
-            g.keep(np.concatenate([np.frombuffer(x, "<u8") for x in wanted["classes"].to_pylist()]))
+            g.keep(np.concatenate([_unpack(x) for x in wanted["classes"].to_pylist()]))
             pick, _, low, several = g.distinct()
             for b, x in enumerate(_by_bucket(g.classes[pick], parts)):
                 if len(x):
                     p = pick[x]
                     sizes = g.ends[p] - g.starts[p]
-                    out.append((b, key[0].as_py(), g.classes[p].tobytes(), sizes.astype("<u4").tobytes(), low[x].tobytes(), several[x].tobytes(), g.data[ragged(g.starts[p], sizes)].tobytes()))
+                    out.append((b, key[0].as_py(), _pack(g.classes[p]), sizes.astype("<u4").tobytes(), low[x].tobytes(), several[x].tobytes(), pack.compress(g.data[ragged(g.starts[p], sizes)].tobytes())))
         columns = list(zip(*out, strict=True)) or [()] * 7
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 5, strict=True)], ["bucket", "gid", "classes", "sizes", "low", "several", "body"])
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         take = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        each = take("classes", "<u8")
+        each = [_unpack(x) for x in table["classes"].to_pylist()]
         sizes = np.concatenate(take("sizes", "<u4")).astype(np.int64)
         low, several = np.concatenate(take("low", "<i8")), np.concatenate(take("several", bool))
-        data = np.concatenate(take("body", np.uint8))
+        unpack = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(unpack.decompress(x) for x in table["body"].to_pylist()), np.uint8)
         ends = np.cumsum(sizes)
         begin, found = earliest(data, ends - sizes, ends, np.concatenate(each), low)
         new = np.ones(len(found), bool)
@@ -315,7 +324,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             return pa.table({"sha": pa.array([], pa.string()), "doc_id": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.string())})
         g = _Group(table)
         cover = np.zeros(len(g.data) + 1, np.int64)
-        classes_ = [np.frombuffer(x, "<u8") for x in wanted["classes"].to_pylist() if x is not None]
+        classes_ = [_unpack(x) for x in wanted["classes"].to_pylist() if x is not None]
         if classes_:
             g.keep(np.concatenate(classes_))
             pick, number, _, _ = g.distinct()
