@@ -194,10 +194,14 @@ def learn(docs: DataFrame, documents: int = 300, words: int = 128) -> Crf:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 2))
     hashed = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
     first = Window.partitionBy("lang").orderBy("h")
-    picked = hashed.select("lang", "h").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= documents).select("lang", "h")
+    last = hashed.select("lang", "h").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= documents).groupBy("lang").agg(F.max("h").alias("h")).collect()
+    if not last:
+        return Crf.fit([])
+    cut = F.create_map(*(F.lit(x) for r in last for x in (r.lang, r.h)))  # a number for each language, so no text moves to be picked
     listed = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     begin = F.pmod(F.col("h"), F.greatest(F.size("all") - words, F.lit(0)) + 1).cast("int") + 1
-    found = hashed.join(picked, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", listed.alias("all")).select("lang", "h", F.slice("all", begin, words).alias("words")).collect()
+    picked = hashed.where(F.col("h") <= cut[F.col("lang")])
+    found = picked.select("lang", "h", listed.alias("all")).select("lang", "h", F.slice("all", begin, words).alias("words")).dropDuplicates(["lang", "h"]).collect()
     found.sort(key=lambda r: (r.lang, r.h))
     return Crf.fit([(r.lang, [plain(w) for w in r.words if any(map(str.isalpha, w))]) for r in found])
 
