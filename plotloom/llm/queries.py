@@ -61,5 +61,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality, pipeline)}
 
 
+_OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n FROM documents),
+o AS (SELECT doc_id, n, j, substr(h, 1000 * j + 1, 1098) o FROM (SELECT doc_id, h, n, unnest(range(0, (n + 499) // 500)) j FROM d)),
+s AS (SELECT doc_id, 500 * j + q AS p, substr(o, 2 * q + 1, 100) w FROM (SELECT doc_id, j, o, unnest(range(0, least(500, n - 49 - 500 * j))) q FROM o WHERE n - 49 - 500 * j > 0)),
+m AS (SELECT w, min(doc_id) f FROM s GROUP BY w),
+g AS (SELECT DISTINCT doc_id, p + k AS q FROM (SELECT s.doc_id, s.p FROM s JOIN m USING (w) WHERE f < s.doc_id), range(50) t(k)),
+r AS (SELECT doc_id, count(*) n_removed, count(*) FILTER (NOT coalesce(q - 1 = before, FALSE)) n_spans FROM (SELECT doc_id, q, lag(q) OVER (PARTITION BY doc_id ORDER BY q) before FROM g) GROUP BY 1),
+b AS (SELECT doc_id, 500 * j + i AS q, substr(o, 2 * i + 1, 2) c FROM (SELECT doc_id, j, o, unnest(range(0, least(500, n - 500 * j))) i FROM o JOIN r USING (doc_id))),
+k AS (SELECT doc_id, string_agg(c, '' ORDER BY q) kept FROM b ANTI JOIN g USING (doc_id, q) GROUP BY 1)
+SELECT d.doc_id, n::BIGINT n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(CASE WHEN r.doc_id IS NULL THEN unhex(h) ELSE unhex(coalesce(kept, '')) END) kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+_OP10 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(words) - 1)) i, unnest(list_transform(list_zip(words[1:len(words) - 2], words[2:len(words) - 1], words[3:len(words)]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3])) w FROM d WHERE len(words) > 2),
+x AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) n FROM t) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) n_repeat_words FROM x, range(3) r(k) GROUP BY 1),
+l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) line FROM d),
+n AS (SELECT doc_id, source, text, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM l),
+h AS (SELECT source, array_to_string(w, ' ') line, count(DISTINCT text) n FROM n WHERE len(w) > 0 GROUP BY ALL),
+z AS (SELECT source, count(DISTINCT text) documents FROM d GROUP BY 1),
+bad AS (SELECT h.source, line FROM h JOIN z ON h.source IS NOT DISTINCT FROM z.source WHERE h.n >= 10 AND h.n > 0.03 * documents),
+gone AS (SELECT n.doc_id, sum(len(n.w))::BIGINT gone FROM n JOIN bad ON n.source IS NOT DISTINCT FROM bad.source AND array_to_string(n.w, ' ') = bad.line GROUP BY 1),
+c AS (SELECT doc_id, len(words)::BIGINT n_words, coalesce(list_sum(list_transform(words, lambda v: length(v))), 0)::BIGINT word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols,
+(len(list_filter(string_split(text, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')))))::BIGINT n_dup_lines,
+coalesce(n_repeat_words, 0)::BIGINT n_repeat_words, gone FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - coalesce(gone, 0) AS words_left FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (gone IS NOT NULL AND (words_left < 0.5 * n_words OR words_left < 50)) AS kept, words_left FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on trained models, hashes or tokenizers, which SQL can't express; tests/llm holds them against brute force."""
+    return {"op1_suffix_dedup": _OP1, "op10_line_quality": _OP10}
