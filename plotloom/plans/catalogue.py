@@ -457,8 +457,8 @@ def fold_conversation(t):
 
 @query("SELECT doc_id, source AS model, 'run_' || doc_id % 3 AS run, CASE WHEN lang = 'en' THEN 'with_context' ELSE 'without_context' END AS context, CASE WHEN lang = 'en' THEN 'vanilla' ELSE 'nn_3' END AS nn FROM documents")
 def result_paths(t):
-    plain = F.concat(F.lit("/x/results_vanilla/"), "source", F.lit("/with_context/run_"), F.col("doc_id") % 3, F.lit("/a.json"))
-    ranked = F.concat(F.lit("/x/results_goldfish/"), "source", F.lit("/run_"), F.col("doc_id") % 3, F.lit("/generic_caption/nn_3/a.json"))
+    plain = F.concat(F.lit("/x/results_plain/"), "source", F.lit("/with_context/run_"), F.col("doc_id") % 3, F.lit("/a.json"))
+    ranked = F.concat(F.lit("/x/results_ranked/"), "source", F.lit("/run_"), F.col("doc_id") % 3, F.lit("/generic_caption/nn_3/a.json"))
     return t("documents").select("doc_id", F.when(F.col("lang") == "en", plain).otherwise(ranked).alias("path")).select("doc_id", *result_key(F.col("path")))
 
 

@@ -42,8 +42,8 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 def result_key(path):
     """(model, run, context, nn) columns from a result file's path; rows of other folders have a null context."""
-    plain = lambda k: F.regexp_extract(path, r"results_vanilla/([^/]+)/(with_context|without_context)/(run_[^/]+)/[^/]+\.json$", k)
-    ranked = lambda k: F.regexp_extract(path, r"results_goldfish/([^/]+)/(run_[^/]+)/([^/]+)/([^/]+)/[^/]+\.json$", k)
+    plain = lambda k: F.regexp_extract(path, r"results_[^/]+/([^/]+)/(with_context|without_context)/(run_[^/]+)/[^/]+\.json$", k)
+    ranked = lambda k: F.regexp_extract(path, r"results_[^/]+/([^/]+)/(run_[^/]+)/([^/]+)/([^/]+)/[^/]+\.json$", k)
     is_plain = plain(1) != ""
     kind = ranked(3)
     context = F.when(is_plain, plain(2)).when(kind.contains("generic"), "without_context").when(kind.contains("specific"), "with_context")
