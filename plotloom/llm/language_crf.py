@@ -186,15 +186,17 @@ def _fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4, F.lit(-1))
 
 
-def learn(docs: DataFrame, documents: int = 300, words: int = 128) -> Crf:
+def learn(docs: DataFrame, documents: int = 300, words: int = 128, salts: int = 64) -> Crf:
     """A model from at most ``documents`` documents of each language, the smallest by hash, and a window of at most ``words`` words of each.
 
-    Only rows with a language whose crc32(doc_id) mod 4 is 0, 1 or 3 are learned from.
+    Only rows with a language whose crc32(doc_id) mod 4 is 0, 1 or 3 are learned from. Each language is dealt over ``salts``
+    parts, so that the task that picks its documents reads at most ``salts`` times ``documents`` hashes.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 2))
     hashed = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    first = Window.partitionBy("lang").orderBy("h")
-    last = hashed.select("lang", "h").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= documents).groupBy("lang").agg(F.max("h").alias("h")).collect()
+    first, salted = Window.partitionBy("lang").orderBy("h"), Window.partitionBy("lang", "salt").orderBy("h")
+    few = hashed.select("lang", "h", F.pmod("h", F.lit(salts)).alias("salt")).withColumn("rn", F.row_number().over(salted)).where(F.col("rn") <= documents)
+    last = few.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= documents).groupBy("lang").agg(F.max("h").alias("h")).collect()
     if not last:
         return Crf.fit([])
     cut = F.create_map(*(F.lit(x) for r in last for x in (r.lang, r.h)))  # a number for each language, so no text moves to be picked
