@@ -8,13 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from plotloom.llm.common import durable
+from pyspark.sql import types as T
 
 #: Search budgets tried in turn, as shares of all rows.
 _SHARES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Queries whose queues are held side by side.
+_SIDE = 64
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,7 @@ class Forest:
         """The leaves (tree, leaf) to search, nearest first by the squared distances to the cuts crossed on the way.
 
         Leaves are taken from the one queue until those of the fullest tree hold the wanted share of the rows; rows found
-        in several trees count once that way.
+        in several trees count once that way. ``bounds`` says the same for many queries at once.
         """
         share = self.share if share is None else share
         at = np.einsum("tds,s->td", self.directions, query)
@@ -84,24 +86,40 @@ class Forest:
             held[t] += self.weights[t, k]
         return out
 
+    def keys(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, trees, leaves): each leaf's key in a query's queue."""
+        at = np.einsum("tds,qs->qtd", self.directions, queries)
+        out = np.zeros((len(queries), len(self.directions), 1))
+        for d in range(self.depth):
+            margin = at[:, :, d, None] - self.cuts[None, :, (1 << d) - 1 : (2 << d) - 1]
+            crossed, right = out + margin * margin, margin > 0
+            out = np.stack([np.where(right, crossed, out), np.where(right, out, crossed)], 3).reshape(len(queries), len(self.directions), -1)
+        return out
+
+    def bounds(self, keys: np.ndarray, share: float | None = None) -> np.ndarray:
+        """The key at which each query's queue stops: leaves come in the order of their keys, so those up to it are searched."""
+        share = self.share if share is None else share
+        order = keys.argsort(2, kind="stable")
+        held = np.cumsum(np.take_along_axis(np.broadcast_to(self.weights, keys.shape), order, 2), 2)
+        last = np.minimum((held < share - 1e-9).sum(2, keepdims=True), keys.shape[2] - 1)
+        return np.take_along_axis(keys, np.take_along_axis(order, last, 2), 2)[:, :, 0].min(1)
+
     def calibrated(self, sample: np.ndarray, wanted: float, k: int, queries: int, seed: int) -> Forest:
         """With the smallest search share that reaches the wanted recall on queries drawn from the sample."""
         rng = np.random.default_rng(seed)
         picked = rng.choice(len(sample), min(queries, len(sample)), replace=False)
-        leaves = self.leaves(sample)
-        truth = []
-        for i in picked:
+        leaves, trees = self.leaves(sample), np.arange(len(self.directions))[:, None]
+        keys = self.keys(sample[picked])
+        nearest = []  # of each true neighbour, the key of the nearest of its leaves
+        for i, own in zip(picked, keys, strict=True):
             d = ((sample - sample[i]) ** 2).sum(1)
             d[i] = np.inf
-            truth.append(np.argsort(d, kind="stable")[: min(k, len(sample) - 1)])
+            truth = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+            nearest.append(own[trees, leaves[:, truth]].min(0))
+        total = sum(map(len, nearest))
         share = 1.0
         for share in _SHARES:
-            found = total = 0
-            for i, near in zip(picked, truth, strict=True):
-                want = {(t, leaf) for t, leaf in self.search(sample[i], share)}
-                found += sum(any((t, leaves[t, j]) in want for t in range(len(leaves))) for j in near)
-                total += len(near)
-            if found >= wanted * total:
+            if sum((n <= b).sum() for n, b in zip(nearest, self.bounds(keys, share), strict=True)) >= wanted * total:
                 break
         return Forest(self.directions, self.cuts, share, self.weights)
 
@@ -111,8 +129,36 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _flat(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _best(query: np.ndarray, base: np.ndarray, ids: np.ndarray, hit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the ``k`` nearest of the rows ``hit``, in the order of ascending ids; of a vec_id with several vectors, the nearest counts."""
+    d = np.concatenate([np.zeros(0), *(np.sqrt(((base[hit[i : i + 8192]].astype(np.float64) - query) ** 2).sum(1)) for i in range(0, len(hit), 8192))])
+    own = ids[hit]
+    if len(own) and (own[1:] == own[:-1]).any():
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        d, own = np.minimum.reduceat(d, begin), own[begin]
+    if len(d) > k:
+        close = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+        d, own = d[close], own[close]
+    order = np.argsort(d, kind="stable")[:k]
+    return d[order], own[order]
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that repeat an earlier row of their batch go, so that one row's many copies don't travel."""
+    for b in batches:
+        if b.num_rows and pc.count_distinct(b.column("vec_id")).as_py() < b.num_rows:
+            rows = pa.table({"id": b.column("vec_id"), "hash": b.column("hash"), "at": pa.array(np.arange(b.num_rows))})
+            b = b.take(rows.group_by(["id", "hash"]).aggregate([("at", "min")])["at_min"].combine_chunks())
+        yield b
+
+
 def nearest_neighbours(
-    rows: DataFrame, every: int = 100, k: int = 10, trees: int = 12, leaf: int = 48, most_sample: int = 32768, recall: float = 0.96, block: int = 4096, seed: int = 11
+    rows: DataFrame, every: int = 100, k: int = 10, trees: int = 12, leaf: int = 48, most_sample: int = 32768, recall: float = 0.96,
+    block_bytes: int = 128 << 20, most_queries: int = 524288, seed: int = 11,
 ) -> DataFrame:
     """The ``k`` nearest found for each query of (vec_id, embedding): query_id, rank (from 1), vec_id, score.
 
@@ -124,70 +170,73 @@ def nearest_neighbours(
     vec_id or with another length than the most common one (the smaller, if tied). Rows with equal vec_id and vector count once.
     Other columns are not read. An empty table gives an empty result.
 
-    The forest is fitted on at most ``most_sample`` distinct vectors, the smallest by hash, and the search share is
-    calibrated on them for ``recall`` (on data without structure it may be large). Every row is indexed: equal vectors
-    collapse to one with their ``k`` + 1 smallest ids, which is all that any answer can need; its copy in each tree goes to
-    its leaf, cut into blocks of about ``block`` rows; queries go to the leaves that the queue names, and each block gives
-    back its ``k`` best for each query.
+    The forest is fitted on at most ``most_sample`` distinct vectors, picked by hash, and the search share is
+    calibrated on them for ``recall`` (on data without structure it may be large). Every row is indexed and travels once: to
+    one of the blocks of about ``block_bytes`` of vectors, dealt by hash, where its leaf in every tree is found. A query goes to each
+    block with the key at which its queue stops; the block reranks exactly the rows whose leaf in some tree has
+    a key up to that, and gives back its ``k`` best. Over ``most_queries`` queries, the queries come in blocks too.
     """
     spark = rows.sparkSession
-    numbers = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    source = rows.schema["embedding"].dataType
+    kind = "array<float>" if isinstance(source, T.ArrayType) and isinstance(source.elementType, T.FloatType) else "array<double>"
+    numbers = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = numbers.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where((F.size("v") > 0) & ~bad).where(F.exists("v", lambda x: x != 0))
-    sizes = valid.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
+    asking = F.col("vec_id") % every == 0
+    sizes = valid.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.count_if(asking).alias("asked")).orderBy(F.desc("rows"), "n").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    dims = sizes[0].n
-    valid = valid.where(F.size("v") == dims)
-    least = Window.partitionBy("v").orderBy("vec_id")
-    distinct = durable(
-        valid.distinct().withColumn("rn", F.row_number().over(least)).where(F.col("rn") <= k + 1)
-        .groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("h", F.xxhash64("v"))
-    )
-    n = distinct.count()
-    step = max(1, n // most_sample)
-    drawn = distinct.where(F.pmod("h", F.lit(step)) == 0).orderBy("h").limit(most_sample).select("v").toArrow()
-    sample = np.ascontiguousarray(_vectors(drawn["v"].combine_chunks())) if drawn.num_rows else np.zeros((0, dims))
-    if not len(sample):
-        sample = np.ascontiguousarray(_vectors(distinct.limit(most_sample).select("v").toArrow()["v"].combine_chunks()))
-    forest = Forest.fit(sample, trees, leaf, seed).calibrated(sample, recall, k, 64, seed)
+    dims, n = sizes[0].n, sizes[0].rows
+    valid = valid.where(F.size("v") == dims).withColumn("hash", F.xxhash64("v"))
+    drawn = valid.where(F.pmod("hash", F.lit(-(-n // most_sample))) == 0).groupBy("hash").agg(F.first("v").alias("v")).toArrow().sort_by("hash").slice(0, most_sample)
+    if not drawn.num_rows:
+        drawn = valid.limit(most_sample).select("v").toArrow()
+    forest = Forest.fit(np.ascontiguousarray(_vectors(drawn["v"].combine_chunks())), trees, leaf, seed)
+    forest = forest.calibrated(_vectors(drawn["v"].combine_chunks()), recall, k, 64, seed)
     shared = spark.sparkContext.broadcast(forest)  # at most 2 * most_sample / leaf nodes a tree
-    blocks = max(1, -(-n // (block << forest.depth)))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                some = b.slice(at, 2000)
-                for t, own in enumerate(shared.value.leaves(_vectors(some.column("v")))):
-                    part = some.column("h").to_numpy() % blocks
-                    key = ((t << shared.value.depth | own) * blocks + part).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), some.column("v"), some.column("ids")], ["key", "v", "ids"])
+    width = 4 if kind == "array<float>" else 8
+    blocks = max(2 * spark.sparkContext.defaultParallelism, -(-n * dims * width // block_bytes))
+    rounds = max(1, -(-sizes[0].asked // most_queries))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for b in batches:
-            for i, query in enumerate(_vectors(b.column("v"))):
-                keys = [(t << shared.value.depth | own) * blocks + p for t, own in shared.value.search(query) for p in range(blocks)]
-                one = b.slice(i, 1).take(pa.array(np.zeros(len(keys), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), one.column("vec_id"), one.column("v")], ["key", "query_id", "v"])
+            for at in range(0, b.num_rows, _SIDE):
+                some = b.slice(at, _SIDE)
+                stop = own.bounds(own.keys(_vectors(some.column("v"))))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("vec_id", "v", "hash")), pa.array(stop)], ["query_id", "v", "hash", "stop"])
 
     def rerank(found: pa.Table, asked: pa.Table) -> pa.Table:
-        near, ids = [], []
+        own, out = shared.value, []
         if found.num_rows and asked.num_rows:
-            ids = found["ids"].combine_chunks().to_pylist()
-            base = _vectors(found["v"].combine_chunks())
-            first = np.array([x[0] for x in ids])
-            for q, query in zip(asked["query_id"].to_pylist(), _vectors(asked["v"].combine_chunks()), strict=True):
-                d = np.sqrt(((base - query) ** 2).sum(1))
-                edge = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
-                close = np.flatnonzero(d <= edge)
-                close = close[np.lexsort((first[close], d[close]))][: k + 1]
-                near.extend(sorted((q, float(d[j]), x) for j in close for x in ids[j] if x != q)[:k])
-        columns = list(zip(*near, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.int64()), strict=True)], ["query_id", "score", "vec_id"])
-
-    indexed = distinct.select("v", "ids", "h").mapInArrow(index, "key long, v array<double>, ids array<long>")
-    asked = valid.where(F.col("vec_id") % every == 0).distinct().repartition("vec_id").mapInArrow(probe, "key long, query_id long, v array<double>")
+            order = np.argsort(found["vec_id"].to_numpy(), kind="stable")
+            ids = found["vec_id"].to_numpy()[order]
+            base = _flat(found["v"].combine_chunks(), dims)[order]
+            leaves = np.concatenate([own.leaves(base[i : i + 8192].astype(np.float64)).astype(np.int32) for i in range(0, len(base), 8192)], 1)
+            names, stops = asked["query_id"].to_numpy(), asked["stop"].to_numpy()
+            vectors = asked["v"].combine_chunks()
+            for at in range(0, len(names), _SIDE):
+                some = _vectors(vectors.slice(at, _SIDE))
+                near = own.keys(some) <= stops[at : at + _SIDE, None, None]
+                for q, query, opened in zip(names[at : at + _SIDE], some, near, strict=True):
+                    hit = opened[0][leaves[0]]
+                    for t in range(1, len(leaves)):
+                        hit |= opened[t][leaves[t]]
+                    hit &= ids != q
+                    out.append((q, *_best(query, base, ids, np.flatnonzero(hit), k)))
+        return pa.table(
+            [pa.array(np.repeat([q for q, _, _ in out], [len(d) for _, d, _ in out]).astype(np.int64)), pa.array(np.concatenate([[], *(d for _, d, _ in out)])), pa.array(np.concatenate([np.zeros(0, np.int64), *(i for _, _, i in out)]))],
+            ["query_id", "score", "vec_id"],
+        )
+
+    part = F.pmod(F.xxhash64("vec_id", "hash"), F.lit(blocks))
+    turn = F.pmod(F.xxhash64("hash", "vec_id"), F.lit(rounds))
+    key = lambda block, turn: (turn * F.lit(blocks) + block).cast("long").alias("key")
+    single = valid.mapInArrow(_once, f"vec_id long, v {kind}, hash long")
+    indexed = single.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select(key(part, F.col("turn")), "vec_id", "v")
+    queries = valid.where(asking).mapInArrow(_once, f"vec_id long, v {kind}, hash long").mapInArrow(probe, f"query_id long, v {kind}, hash long, stop double")
+    asked = queries.withColumnRenamed("query_id", "vec_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(key(F.col("block"), turn), F.col("vec_id").alias("query_id"), "v", "stop")
     pairs = indexed.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(rerank, "query_id long, score double, vec_id long")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -162,6 +162,17 @@ def test_forest(spark):
         assert all(abs(s - d[i]) < 1e-12 for s, i in found[q]) and found[q] == sorted(found[q])
     recall = np.mean([len({i for _, i in found[q]} & {i for _, i in w}) / len(w) for q, w in want.items()])
     assert recall >= 0.9
+    vectors = np.array([v for _, v in rows[:3000]], np.float64)
+    trees = forest.Forest.fit(vectors, 5, 20, 3)
+    keys = trees.keys(vectors[:20])
+    for share in (0.01, 0.2, 1.0):
+        for own, bound, query in zip(keys, trees.bounds(keys, share), vectors, strict=False):
+            taken, (sure, most) = set(trees.search(query, share)), (set(map(tuple, np.argwhere(own < bound * (1 + e)).tolist())) for e in (-1e-9, 1e-9))
+            assert sure <= taken <= most | set(map(tuple, np.argwhere(own == bound).tolist()))
+    copies = [(i, [1.0, 0.0]) for i in range(300)] + [(7, [0.0, 3.0]), (7, [0.0, 2.0])] + [(5, [1.0, 0.0])] * 500
+    table = spark.createDataFrame(copies, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in forest.nearest_neighbours(table, every=150, k=3, block_bytes=1000, most_queries=1).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, 0.0), (150, 1, 0, 0.0), (150, 2, 1, 0.0), (150, 3, 2, 0.0)]
     tiny = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (100, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (200, [float("nan"), 1.0]), (9, [0.0, 2.0]), (None, [1.0, 1.0]), (11, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(*r, 1, 2) for r in tiny], "vec_id long, embedding array<float>, key int, ids int")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in forest.nearest_neighbours(df).orderBy("query_id", "rank").collect()]
