@@ -81,6 +81,12 @@ def bad_speaker(name: Column) -> Column:
     return out
 
 
+def subjects_kept(involved: Column, scene: Column, description: Column) -> Column:
+    """The involved subjects that the scene has; if none, the scene's subjects whose name the description holds, in any case."""
+    listed = F.filter(involved, lambda x: F.array_contains(scene, F.trim(x)))
+    return F.when(F.size(listed) > 0, listed).otherwise(F.filter(scene, lambda x: F.lower(description).contains(F.lower(x))))
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
 

@@ -147,6 +147,13 @@ def distinct_speakers(t):
     return first.select("conv_id", F.array_join(names, ",").alias("seen"), F.array_join(F.array_sort(names), ",").alias("sorted"))
 
 
+@query("WITH s AS (SELECT p_partkey, list_filter([p_brand, 'Brand#11 '], lambda x: list_contains(['Brand#12', 'Brand#13', 'SMALL', 'steel'], trim(x))) listed, list_filter(['Brand#12', 'Brand#13', 'SMALL', 'steel'], lambda x: contains(lower(p_name || ' ' || p_type), lower(x))) held FROM part) SELECT p_partkey, array_to_string(CASE WHEN len(listed) > 0 THEN listed ELSE held END, '|') subjects FROM s")
+def subject_fallback(t):
+    scene = F.array(*map(F.lit, ("Brand#12", "Brand#13", "SMALL", "steel")))
+    kept = T.subjects_kept(F.array("p_brand", F.lit("Brand#11 ")), scene, F.concat("p_name", F.lit(" "), "p_type"))
+    return t("part").select("p_partkey", F.array_join(kept, "|").alias("subjects"))
+
+
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) k FROM events")
 def json_events(t):
     return t("events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
@@ -228,6 +235,15 @@ def interval_join(t):
     return hit.select("span_id", "event_id", F.round(F.greatest("s_start", "c_start") - F.col("s_start"), 3).alias("start"), F.round(F.least("s_end", "c_end") - F.col("s_start"), 3).alias("stop"))
 
 
+@query("WITH p AS (SELECT event_id, user_id, epoch(ts)::DOUBLE a FROM events WHERE event_type <> 'purchase'), c AS (SELECT event_id AS cue_id, user_id, epoch(ts)::DOUBLE a, epoch(ts)::DOUBLE + 86400 b FROM events WHERE event_type = 'purchase') SELECT p.event_id, arg_min(cue_id, (c.a, cue_id)) cue_id FROM p JOIN c USING (user_id) WHERE c.a < p.a + 0.0005 AND c.b > p.a GROUP BY 1")
+def first_cue(t):
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("double")
+    e = t("events").withColumn("a", at)
+    cues = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("cue_id"), F.col("a").alias("c_start"), (F.col("a") + 86400).alias("c_end"))
+    points = e.where("event_type <> 'purchase'").select("user_id", "event_id", F.col("a").alias("s_start"), (F.col("a") + 0.0005).alias("s_end"))
+    return R.interval_join(points, cues, 86400.0, ["user_id"]).groupBy("event_id").agg(F.min_by("cue_id", F.struct("c_start", "cue_id")).alias("cue_id"))
+
+
 @query("SELECT time_bucket(INTERVAL '80 seconds', ts, TIMESTAMP '1970-01-01') AS start, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1")
 def tumbling_segments(t):
     return segments(t("events"))
@@ -432,6 +448,16 @@ def intersect_and_except(t):
     return c.intersect(s).withColumn("side", F.lit("both")).unionByName(c.exceptAll(s).withColumn("side", F.lit("left")))
 
 
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_suppkey FROM supplier")
+def union_distinct(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).unionByName(t("supplier").select(F.col("s_suppkey").alias("k"))).distinct()
+
+
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+def difference(t):
+    return t("nation").select(F.col("n_nationkey").alias("k")).subtract(t("supplier").select(F.col("s_nationkey").alias("k")))
+
+
 @query("SELECT p_partkey, array_to_string(CASE WHEN lower(trim(p_brand)) = lower(trim(p_type)) THEN [p_brand] ELSE [p_brand, p_type] END, '|') AS options FROM part")
 def option_dedupe(t):
     return t("part").select("p_partkey", F.array_join(T.ordered_distinct(F.array("p_brand", "p_type", F.upper("p_brand"), F.lit("all"), F.lit("Unknown x"))), "|").alias("options"))
