@@ -59,7 +59,8 @@ def prefix_sums(df: DataFrame, group: str, order: Sequence[str], size: str, star
 
     The order in a group is (bucket, *order). A group may hold any share of the rows: each (group, bucket) is
     summed on its own and only its total meets the other totals of the group. ``rank`` adds the number of rows
-    before. ``group`` mustn't be null.
+    before. ``group`` mustn't be null. The totals are merged in, never broadcast: their number grows with the buckets,
+    and the size that Spark expects of generated rows says nothing about it.
     """
     laid = df.withColumn("_bucket", bucket).repartition(group, "_bucket")
     inner = Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -71,7 +72,7 @@ def prefix_sums(df: DataFrame, group: str, order: Sequence[str], size: str, star
     out = laid.withColumn("_in", F.sum(size).over(inner) - F.col(size))
     if rank:
         out = out.withColumn("_row", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1)
-    out = out.join(totals, [group, "_bucket"]).withColumn(start, F.col("_sum_before") + F.col("_in"))
+    out = out.join(totals.hint("merge"), [group, "_bucket"]).withColumn(start, F.col("_sum_before") + F.col("_in"))
     if rank:
         out = out.withColumn(rank, F.col("_rows_before") + F.col("_row"))
     return out.drop("_bucket", "_in", "_row", "_sum_before", "_rows_before")

@@ -136,12 +136,15 @@ def _laid_out(docs: DataFrame, share, weights, cap, block, seed, shard_slots) ->
 
 
 def _segments(rows: DataFrame, uses: DataFrame, block: int, *keep: str) -> DataFrame:
-    """Each row's blocks with how often the mix takes them."""
+    """Each row's blocks with how often the mix takes them.
+
+    ``uses`` has a row for each taken block, but Spark expects a few kilobytes, as it stems from a range: without the hint it is broadcast.
+    """
     ends = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))).otherwise(F.array(F.lit(-1).cast("long")))
     cut = rows.select(*keep, "src", "place", "first", "size", F.explode(ends).alias("block"))
     low = F.greatest(F.col("first"), F.col("block") * block)
     high = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block)
-    return cut.join(uses, ["src", "block"], "left").withColumn("low", low - F.col("first")).withColumn("high", high - F.col("first")).withColumn("uses", F.coalesce("uses", F.lit(0).cast("long")))
+    return cut.join(uses.hint("merge"), ["src", "block"], "left").withColumn("low", low - F.col("first")).withColumn("high", high - F.col("first")).withColumn("uses", F.coalesce("uses", F.lit(0).cast("long")))
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: float = 2, block: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
