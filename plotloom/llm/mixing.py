@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, hex_bucket, mix64, prefix_sums, word_bounds
+from plotloom.llm.common import WORD, durable, hex_bucket, mix64, prefix_sums, word_bounds
 
 #: The catalogue of sources, a row for each, is held by the driver and by each task: more than this many are refused.
 MOST_SOURCES = 200_000
@@ -122,11 +122,14 @@ def slots(docs_spark, sources: Sequence[Source], shard_slots: int, cap: float, s
     return first.select("shard", "src", "n", "first").mapInArrow(place, "src int, block long, shard long")
 
 
-def _laid_out(docs: DataFrame, share, weights, cap, block, seed, shard_slots) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with src, place and first word; words taken from each block; catalogue)."""
-    spark = docs.sparkSession
+def _sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("source", F.col("source").cast("string"))
+    return docs.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("source", F.col("source").cast("string"))
+
+
+def _laid_out(rows: DataFrame, share, weights, cap, block, seed, shard_slots) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sized rows with src, place and first word; words taken from each block; catalogue)."""
+    spark = rows.sparkSession
     sources = catalogue(rows.select("source", "size"), share, weights, cap, block)
     listed = spark.createDataFrame([(s.name, i, s.size, float(s.target)) for i, s in enumerate(sources)], "_name string, src int, source_size long, target double")
     rows = rows.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")  # at most MOST_SOURCES rows
@@ -156,11 +159,11 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: Sequence[float] =
 
     A null or empty text has size 0 and takes nothing; null is a source of its own, the last; repeated rows and doc_ids
     are separate rows; other columns are not read; an empty table gives an empty result. The same input and
-    seed give the same result. Only sizes are shuffled, and a source that holds most rows is dealt over 256
+    seed give the same result. Texts are read once, into a durable table of sizes; only sizes are shuffled, and a source that holds most rows is dealt over 256
     buckets. The catalogue of sources is broadcast; over MOST_SOURCES sources raise ValueError.
     """
-    rows, uses, listed = _laid_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), share, weights, cap, block, seed, shard_slots)
-    rows = rows.drop("text")
+    sized = durable(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")).drop("text"))
+    rows, uses, listed = _laid_out(sized, share, weights, cap, block, seed, shard_slots)
     overlap = F.when(F.col("block") >= 0, (F.col("high") - F.col("low")) * F.col("uses")).otherwise(0)
     taken = _segments(rows, uses, block, "doc_id").groupBy("src", "place", "doc_id", "size").agg(F.sum(overlap).alias("taken"))
     return taken.join(F.broadcast(listed), "src").select("doc_id", "size", "source_size", "target", "taken")
@@ -175,7 +178,7 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float
     """
     columns = docs.columns
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    rows, uses, _ = _laid_out(kept, share, weights, cap, block, seed, shard_slots)
+    rows, uses, _ = _laid_out(_sized(kept), share, weights, cap, block, seed, shard_slots)
     parts = _segments(rows.select("src", "place", "first", "size"), uses, block).where("block >= 0").groupBy("src", "place").agg(F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("parts"))
     whole = rows.select("src", "place", "_doc").join(parts, ["src", "place"], "left").select("_doc.*", F.col("parts.low").alias("_low"), F.col("parts.high").alias("_high"), F.col("parts.uses").alias("_uses"))
     at = columns.index("text")
