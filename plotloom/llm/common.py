@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator, Sequence
@@ -84,6 +85,15 @@ def hex_bucket(*columns: str, digits: int = 2) -> Column:
     return F.substring(F.md5(text), 1, digits)
 
 
+def give_back() -> None:
+    """Frees what a Python worker's allocators keep, so that an idle worker doesn't hold the memory of its last task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 # --- batches of texts as bytes -------------------------------------------------------------------
 
 

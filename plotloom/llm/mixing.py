@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, durable, hex_bucket, mix64, prefix_sums, word_bounds
+from plotloom.llm.common import WORD, durable, give_back, hex_bucket, mix64, prefix_sums, text_slices, word_bounds
 
 #: The catalogue of sources, a row for each, is held by the driver and by each task: more than this many are refused.
 MOST_SOURCES = 200_000
@@ -174,39 +174,43 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float
 
     A document whose blocks are all taken comes back whole; one taken twice comes back twice; at the border of a
     block that isn't taken the text is cut between words. A text without words is kept as it is. n_chars, where
-    there is such a column, counts the code points of the new text.
+    there is such a column, counts the code points of the new text. Texts are cut in slices of about 2 MB.
     """
     columns = docs.columns
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     rows, uses, _ = _laid_out(_sized(kept), share, weights, cap, block, seed, shard_slots)
     parts = _segments(rows.select("src", "place", "first", "size"), uses, block).where("block >= 0").groupBy("src", "place").agg(F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("parts"))
     whole = rows.select("src", "place", "_doc").join(parts, ["src", "place"], "left").select("_doc.*", F.col("parts.low").alias("_low"), F.col("parts.high").alias("_high"), F.col("parts.uses").alias("_uses"))
-    at = columns.index("text")
+    others = [c for c in columns if c != "text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows, highs, turns = (batch.column(c).to_pylist() for c in ("_low", "_high", "_uses"))
-            row, text = [], []
-            for i, body in enumerate(batch.column("text").to_pylist()):
-                if not lows[i]:
-                    row.append(i), text.append(body)
-                    continue
-                data = np.frombuffer(body.encode(), np.uint8)
-                starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
-                for turn in range(max(turns[i])):
-                    runs: list[list[int]] = []
-                    for low, high, n in zip(lows[i], highs[i], turns[i], strict=True):
-                        if n > turn:
-                            if runs and runs[-1][1] == low:
-                                runs[-1][1] = high
-                            else:
-                                runs.append([low, high])
-                    for low, high in runs:
-                        row.append(i)
-                        all_ = low == 0 and high == len(starts)
-                        text.append(body if all_ else data[starts[low] : ends[high - 1]].tobytes().decode())
-            out = batch.select(columns).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(text, out.column(at).type) if k == at else out.column(k) for k in range(len(columns))], columns)
+            for at, data, offsets in text_slices(batch.column("text")):
+                part = batch.slice(at, len(offsets) - 1)
+                lows, highs, turns = (part.column(c).to_pylist() for c in ("_low", "_high", "_uses"))
+                bodies, kind = part.column("text"), part.column("text").type
+                starts, ends, of = word_bounds(data, offsets)
+                words = np.searchsorted(of, np.arange(len(lows) + 1))
+                row, text = [], []
+                for i, (low_, high_, turns_) in enumerate(zip(lows, highs, turns, strict=True)):
+                    if not low_:
+                        row.append(i), text.append(bodies[i].as_py())
+                        continue
+                    first, n = words[i], words[i + 1] - words[i]
+                    for turn in range(max(turns_)):
+                        runs: list[list[int]] = []
+                        for low, high, uses_ in zip(low_, high_, turns_, strict=True):
+                            if uses_ > turn:
+                                if runs and runs[-1][1] == low:
+                                    runs[-1][1] = high
+                                else:
+                                    runs.append([low, high])
+                        for low, high in runs:
+                            begin, end = (offsets[i], offsets[i + 1]) if low == 0 and high == n else (starts[first + low], ends[first + high - 1])
+                            row.append(i), text.append(data[begin:end].tobytes().decode())
+                rest = part.select(others).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(text, kind) if c == "text" else rest.column(c) for c in columns], columns)
+        give_back()
 
     out = whole.mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
