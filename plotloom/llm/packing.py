@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import text_slices
-from plotloom.llm.word_bpe import word_bpe
+from plotloom.llm.common import give_back, text_slices
+from plotloom.llm.word_bpe import WordBpe, word_bpe
 
 TIERS = (256, 512, 1024, 2048)
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step long"
@@ -64,6 +64,12 @@ def pack(lengths: Sequence[int], tiers: Sequence[int] = TIERS) -> list[tuple[int
     return out
 
 
+def _encoded(bpe: WordBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each text, ids one after another), encoded in slices, as the work arrays are many times as large as the text."""
+    parts = [bpe.encode(data, offsets) for _, data, offsets in text_slices(texts)]
+    return np.concatenate([tokens for tokens, _ in parts]), np.concatenate([ids.astype("<u4") for _, ids in parts])
+
+
 def step_groups(sizes: np.ndarray, step_tokens: int) -> np.ndarray:
     """A training step for each sequence: longest first, dealt there and back, so that steps get equal numbers of each length."""
     steps = max(1, -(-int(sizes.sum()) // step_tokens))
@@ -91,8 +97,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, tiers: Sequence[int] = TIERS
         sequence = step = 0
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for at, data, offsets in text_slices(batch.column("text"), slice_bytes):
-                tokens, ids = bpe.encode(data, offsets)
+            for at, _, offsets in text_slices(batch.column("text"), slice_bytes):
+                tokens, ids = _encoded(bpe, batch.column("text").slice(at, len(offsets) - 1))
                 sizes = tokens + 1
                 begin = np.cumsum(sizes) - sizes
                 whole = np.full(int(sizes.sum()), _END, "<u4")
@@ -115,5 +121,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, tiers: Sequence[int] = TIERS
                     columns = list(zip(*rows[low : low + 50_000], strict=True))
                     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, durable, durable_by, mix64, ragged, text_slices
+from plotloom.llm.common import WORD, durable, durable_by, give_back, mix64, ragged, text_slices
 from plotloom.llm.lyndon import suffix_arrays
 
 _STRING, _SEED_BYTES, _GROUP_BYTES, _PIECE = 50, 24, 2 << 20, 1 << 20
@@ -322,6 +322,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     def remove(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"sha": pa.array([], pa.string()), "doc_id": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.string())})
+        give_back()
         g = _Group(table)
         cover = np.zeros(len(g.data) + 1, np.int64)
         classes_ = [_unpack(x) for x in wanted["classes"].to_pylist() if x is not None]
