@@ -37,6 +37,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete shuffle files and checkpoints that no plan refers to any more; by itself it waits for the driver's memory to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable_by(df: DataFrame, parts: int, key: str) -> DataFrame:
     """Like ``durable``, with the rows dealt to ``parts`` partitions by ``key`` and sorted by it, which later plans know.
 
@@ -50,8 +56,7 @@ def durable_by(df: DataFrame, parts: int, key: str) -> DataFrame:
         out = durable(df.repartition(parts, key).sortWithinPartitions(key))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", was)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    let_go(spark)
     return out
 
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, durable, durable_by, give_back, mix64, ragged, text_slices
+from plotloom.llm.common import WORD, durable, durable_by, give_back, let_go, mix64, ragged, text_slices
 from plotloom.llm.lyndon import suffix_arrays
 
 _STRING, _SEED_BYTES, _GROUP_BYTES, _PIECE = 50, 24, 2 << 20, 1 << 20
@@ -365,6 +365,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     own = dealt.groupBy("gid").applyInArrow(classes, "bucket long, gid long, classes binary, shared binary")
     wanted = durable(own.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "gid long, classes binary"))
+    del own
+    let_go(docs.sparkSession)
     pieces = dealt.groupBy("gid").cogroup(wanted.groupBy("gid")).applyInArrow(cut, "bucket long, gid long, classes binary, sizes binary, low binary, several binary, body binary")
     runs = pieces.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort, "gid long, bucket long, fragment binary, first binary, earliest binary")
     empty = F.lit(None).cast("binary")
