@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, mix64, ragged, text_slices, unique_words, word_bounds
+from plotloom.llm.common import WORD, give_back, mix64, ragged, text_slices, unique_words, word_bounds
 
 _BEGIN, _END = 2, 3
 _CHUNK = 64
@@ -241,6 +241,7 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
                     change = (row[1:] == row[:-1]) & (word[1:] != word[:-1])
                     switches = np.bincount(row[1:][change], minlength=n)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("held_out").slice(at, n), pa.array(predicted, pa.string()), pa.array(score), pa.array(count.astype(np.int64)), pa.array(switches.astype(np.int64))], ["doc_id", "held_out", "lang_pred", "score", "n_labelled", "n_switches"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (_fold(F.col("doc_id")) == 2).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_labelled long, n_switches long")
@@ -261,5 +262,6 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 top = np.stack([np.bincount(row, marginal[:, k], n) for k in range(len(own.labels))], 1).max(1) if own.labels else np.zeros(n)
                 keep = (count > 0) & (top >= least * count) if own.labels else count > 0
                 yield b.slice(at, n).filter(pa.array(keep))
+        give_back()
 
     return docs.select(*columns).mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import durable, lower_ascii, mix64, text_slices, word_bounds
+from plotloom.llm.common import durable, give_back, lower_ascii, mix64, text_slices, word_bounds
 from plotloom.llm.components import components
 
 _BITS = 64
@@ -265,6 +265,7 @@ def fingerprint_table(docs: DataFrame, words: int = 3) -> DataFrame:
         for b in batches:
             for at, data, offsets in text_slices(b.column("text")):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(offsets) - 1), pa.array(fingerprints(data, offsets, words).view(np.int64))], ["doc_id", "print"])
+        give_back()
 
     return durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long"))
 
