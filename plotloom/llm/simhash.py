@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import durable, give_back, lower_ascii, mix64, text_slices, word_bounds
+from plotloom.llm.common import SpanHash, durable, give_back, lower_ascii, mix64, ragged, text_slices, word_bounds
 from plotloom.llm.components import components
 
 _BITS = 64
@@ -286,12 +287,117 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     return table.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of the rows' sets of word shingles, each sorted: row i has hashes[bounds[i] : bounds[i + 1]].
 
-    Rows that repeat a doc_id of which one stays are dropped too. Rows without a doc_id all stay, but for exact copies of one
-    another's text.
+    The words are lower-cased in A-Z and stand one space apart; a text of fewer words is one shingle, one without words has none.
     """
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL"), words, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    whole = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return whole.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    starts, ends, row = word_bounds(data, offsets)
+    bounds = np.zeros(len(offsets), np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    sizes = ends - starts
+    at = np.cumsum(sizes + 1) - sizes - 1
+    joined = np.full(int((sizes + 1).sum()), 0x20, np.uint8)
+    joined[ragged(at, sizes)] = lower_ascii(data)[ragged(starts, sizes)]
+    first = np.searchsorted(row, np.arange(len(offsets)))
+    last = np.minimum(np.arange(len(starts)) + words, first[row + 1]) - 1  # each shingle's last word
+    whole = (np.arange(len(starts)) + words <= first[row + 1]) | (np.arange(len(starts)) == first[row])
+    hashes, row = SpanHash(joined)(at[whole], (at + sizes)[last[whole]]), row[whole]
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))
+    bounds[1:] = np.cumsum(np.bincount(row[new], minlength=len(offsets) - 1))
+    return hashes[new], bounds
+
+
+def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each set and band, of ``rows`` MinHash values each; sets of Jaccard similarity s share one of them with probability 1 - (1 - s ** rows) ** bands."""
+    out = np.zeros((len(bounds) - 1, bands), np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    if not len(some):
+        return out
+    seeds = mix64(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, 2)
+    for band in range(bands):
+        key = np.full(len(some), band + 1, np.uint64)
+        for flip, factor in seeds[band * rows : (band + 1) * rows]:
+            key = mix64(key + np.minimum.reduceat((hashes ^ flip) * (factor | np.uint64(1)), bounds[some]))
+        out[some, band] = key
+    return out
+
+
+def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, copy, set) of all rows and (set, root) of the sets that have a link: root names the connected component.
+
+    ``copy`` is the text's MD5, ``set`` a hash of its shingles; sets are linked whose Jaccard similarity, counted on the whole sets,
+    is ``similarity`` or more. Candidates share a band. Each first meets its band's least set; what these links don't
+    already connect then meets every other candidate of the band, so that neither a large group nor a large band is cut.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, data, offsets in text_slices(b.column("text")):
+                n = len(offsets) - 1
+                hashes, bounds = shingle_sets(data, offsets, words)
+                sums = np.append(np.uint64(0), np.cumsum(mix64(hashes), dtype=np.uint64))
+                size = np.diff(bounds)
+                name = mix64(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(np.uint64)).view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(band_keys(hashes, bounds, bands, rows).ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("copy").slice(at, n), pa.array(name), pa.array(size), keys], ["doc_id", "copy", "set", "size", "keys"])
+        give_back()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, data, offsets in text_slices(b.column("text")):
+                hashes, bounds = shingle_sets(data, offsets, words)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("set").slice(at, len(offsets) - 1), lists], ["set", "shingles"])
+        give_back()
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_md5().alias("copy"), "text")
+    table = durable(texts.mapInArrow(sign, "doc_id long, copy string, set long, size long, keys array<long>"))
+    rows_ = table.where("size > 0").select("set", "size", F.explode("keys").alias("key")).distinct()
+    least = rows_.groupBy("key").agg(F.min_by(F.struct("set", "size"), "set").alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = durable(rows_.join(least.select("key", F.col("low.set").alias("low"), F.col("low.size").alias("low_size")), "key"))
+    wanted = table.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("copy").alias("copy"))
+    sets = durable(texts.select("copy", "text").join(wanted, "copy").dropDuplicates(["copy"]).select("set", "text").mapInArrow(shingles, "set long, shingles array<long>"))
+
+    up, down = similarity.numerator, similarity.denominator
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, a_size, b_size) that are similar; |a & b| / |a | b| >= up / down in whole numbers."""
+        near = pairs.where((F.col("a_size") * down >= F.col("b_size") * up) & (F.col("b_size") * down >= F.col("a_size") * up)).distinct()
+        both = near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("a_shingles")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("b_shingles")), "b")
+        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+        return both.where(common * (up + down) >= (F.col("a_size") + F.col("b_size")) * up).select("a", "b")
+
+    edges = durable(verified(shared.where("set <> low").select(F.col("low").alias("a"), F.col("set").alias("b"), F.col("low_size").alias("a_size"), F.col("size").alias("b_size"))))
+    roots = components(edges).select(F.col("node").alias("set"), "root")
+    own = shared.join(roots, "set", "left").select("key", "set", "size", "low", F.coalesce("root", "set").alias("root"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+    own = durable(own.where("set <> low").join(mixed, "key", "left_semi").select("key", "set", "size", "root"))
+    other = own.select("key", F.col("set").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    more = own.join(other, "key").where("set < b AND root <> b_root").select(F.col("set").alias("a"), "b", F.col("size").alias("a_size"), "b_size")
+    every = edges.unionByName(durable(verified(more)))
+    return table.select("doc_id", "copy", "set"), components(every).select(F.col("node").alias("set"), "root")
+
+
+def text_md5() -> Column:
+    return F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Fraction(4, 5), bands: int = 20, rows: int = 4) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id, then the smallest MD5 of its text; null doc_ids come last.
+
+    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and a group is a connected component.
+    Every pair of candidates is checked exactly; a pair of similarity 0.8 is a candidate with probability 0.99997, a closer
+    one more surely. Rows are told apart by doc_id and text, so a doc_id that repeats with
+    different texts loses none of them for its number. Texts without words are copies of one another.
+    """
+    table, roots = similar_sets(docs, words, similarity, bands, rows)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")
+    kept = table.join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("group")).agg(F.min(order).alias("least"))
+    kept = kept.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.copy").alias("_kept_copy"))
+    rows_ = docs.withColumn("_kept_copy", text_md5()).withColumn("_kept_id", F.col("doc_id").cast("long"))
+    joined = rows_.alias("d").join(kept.alias("k"), (F.col("d._kept_copy") == F.col("k._kept_copy")) & F.col("d._kept_id").eqNullSafe(F.col("k._kept_id")), "left_semi")
+    return joined.dropDuplicates(["_kept_copy", "_kept_id"]).drop("_kept_copy", "_kept_id")

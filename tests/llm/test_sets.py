@@ -106,6 +106,48 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_survivors(rows):
+    """(doc_id, text) of the rows that stay: one of each component of texts with a 5-word Jaccard similarity of 0.8 or more."""
+    sets, holders = {}, defaultdict(list)
+    for t in sorted({t or "" for _, t in rows}):
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t)]
+        sets[t] = frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+        for s in sets[t]:
+            holders[s].append(t)
+    root = {t: t for t in sets}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    empty = [t for t in sets if not sets[t]]
+    pairs = {(empty[0], t) for t in empty}
+    for t, own in sets.items():
+        common = Counter(u for s in own for u in holders[s])
+        pairs |= {(t, u) for u, n in common.items() if n >= 0.8 * (len(own) + len(sets[u]) - n) - 1e-9}
+    for t, u in pairs:
+        a, b = find(t), find(u)
+        root[max(a, b)] = min(a, b)
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[find(t or "")].append((d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest(), t))
+    return Counter((None if last else d, t or "") for last, d, _, t in (min(g, key=lambda r: r[:3]) for g in groups.values()))
+
+
+def test_near_copies_dropped(spark):
+    rng = random.Random(4)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + [(d, t) for d, t, *_ in ODD]
+    base = [f"v{rng.randint(0, 10**6)}" for _ in range(400)]
+    for i in range(60):  # a chain of edits, so that a group reaches past its least set
+        base[rng.randint(0, 399)] = f"x{i}"
+        rows.append((50_000 + rng.randint(0, 40), " ".join(base)))
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, set int, root int")
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert Counter((r.doc_id, r.text or "") for r in out.collect()) == brute_survivors(rows)
+
+
 def test_pigeonholes_find_all(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40)
