@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import mix64
+from plotloom.llm.common import durable
 
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-_EDGE, _BINS, _SPAN = 2, 4000, 8.0
+_ORDER, _EDGE, _BINS, _SPAN = 5, 2, 4000, 8.0
+#: Rows that are scored together.
+_PART = 20_000
+#: (bytes to skip, bytes to take) of a gram: pair 2, context 3, pair 3, context 4, pair 4, context 5, pair 5.
+_SLOTS = ((0, 3), (1, 3), (0, 4), (1, 4), (0, 5), (1, 5), (0, 6))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,123 +39,154 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return out.otherwise(None) if out is not None else F.lit(None).cast("string")
 
 
-@dataclass(frozen=True)
-class CharModel:
-    """Two variable-order Markov models over UTF-8 bytes as counts in tables of fixed size, and a threshold.
+# --- two variable-order Markov models over UTF-8 bytes ---------------------------------------------
+#
+# A byte's probability after its last k bytes is (n(context, byte) + prior * p_shorter) / (n(context) + prior): the longest
+# context that was seen speaks loudest, unseen ones pass the shorter one's answer on; before order 0 all bytes are alike.
+# A byte and the five before it (its gram, 48 bits, the byte itself lowest) fix all its counts.
 
-    A byte's probability after its last k bytes is (n(context, byte) + prior * p_shorter) / (n(context) + prior): the longest
-    context that was seen speaks loudest, unseen ones pass the shorter one's answer on; before order 0 all bytes are alike.
-    """
 
-    order: int = 5
-    bits: int = 18
-    prior: float = 2.0
-    counts: np.ndarray | None = None
-    threshold: float = 0.0
-
-    def cells(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each order: the cells of (context) and of (context, byte) of each byte of one padded text."""
-        padded = np.concatenate([np.full(self.order, _EDGE, np.uint8), data]).astype(np.uint64)
-        mask = np.uint64((1 << self.bits) - 1)
-        context = np.zeros(len(data), np.uint64)
-        own = padded[self.order :]
-        for k in range(self.order + 1):
-            if k:
-                context = mix64(context * np.uint64(257) + padded[self.order - k : len(padded) - k] + np.uint64(1))
-            seed = mix64(context + np.uint64(k + 1))
-            yield seed & mask, mix64(seed + own + np.uint64(1)) & mask
-
-    def count(self, texts: Sequence[bytes], labels: np.ndarray) -> np.ndarray:
-        out = np.zeros((2, 2 << self.bits), np.int64)  # contexts, then pairs
-        for label in (0, 1):
-            for text in (t for t, y in zip(texts, labels, strict=True) if y == label):
-                for context, pair in self.cells(np.frombuffer(text, np.uint8)):
-                    np.add.at(out[label], context, 1)
-                    np.add.at(out[label], pair.astype(np.int64) + (1 << self.bits), 1)
-        return out
+def grams(text: bytes) -> np.ndarray:
+    """The gram of each byte; before the text stand edge bytes."""
+    data = np.concatenate([np.full(_ORDER, _EDGE, np.uint8), np.frombuffer(text, np.uint8)]).astype(np.int64)
+    out = np.zeros(len(text), np.int64)
+    for k in range(_ORDER + 1):
+        out |= data[_ORDER - k : len(data) - k] << (8 * k)
+    return out
+
 
-    def score(self, text: bytes) -> float:
-        """Mean over the bytes of log p(accepted) - log p(rejected); 0 for an empty text."""
-        if not text or self.counts is None:
-            return 0.0
-        p = np.full((2, len(text)), 1 / 256)
-        for context, pair in self.cells(np.frombuffer(text, np.uint8)):
-            p = (self.counts[:, pair.astype(np.int64) + (1 << self.bits)] + self.prior * p) / (self.counts[:, context] + self.prior)
-        return float((np.log(p[1]) - np.log(p[0])).mean())
+def _keys(gram: Column) -> list[Column]:
+    """A key for each count that has more than two bytes to it: contexts and pairs of the higher orders, in ``_SLOTS`` order."""
+    return [F.lit(slot << 48) + F.shiftright(gram, 8 * skip).bitwiseAND(F.lit((1 << 8 * size) - 1)) for slot, (skip, size) in enumerate(_SLOTS)]
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
-def train(labelled: DataFrame, model: CharModel) -> CharModel:
-    """Counts over all distinct labelled URLs (url, accepted); every fifth by CRC-32 is left out of the counts and sets the threshold.
+def count_grams(labelled: DataFrame) -> DataFrame:
+    """(gram, n0, n1): how often each gram is in the rejected and in the accepted URLs (url, accepted). Written to the checkpoint folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            accepted = b.column("accepted").to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = [grams(t) for t in _bytes(b.column("url"))]
+            if not texts:
+                continue
+            found, at = np.unique(np.concatenate(texts), return_inverse=True)
+            label = np.repeat(accepted, [len(t) for t in texts])
+            sides = [pa.array(np.bincount(at[label == y], minlength=len(found))) for y in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *sides], ["gram", "n0", "n1"])
+
+    return durable(labelled.mapInArrow(run, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+
+
+def gram_terms(wanted: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
+    """(gram, term) of the distinct ``wanted`` grams: log p(accepted) - log p(rejected) of the byte, from exact counts.
 
-    The threshold is the score with the best mean of the two classes' rates of right answers. What reaches the driver has a
-    fixed size: 4 * 2**bits counts and 2 * 4000 histogram cells.
+    Counts over up to two bytes come as whole tables of 2**16 cells at most, which is all the values two bytes have; the others stay
+    distributed and meet the grams by their key.
     """
-    distinct = labelled.where("url IS NOT NULL").select("url", "accepted").distinct()
-    left_out = F.crc32(F.encode("url", "UTF-8")) % 5 == 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 << model.bits), np.int64)
-        for b in batches:
-            total += model.count(_bytes(b.column("url")), b.column("accepted").to_numpy(zero_copy_only=False).astype(int))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
-
-    counts = np.zeros((2, 2 << model.bits), np.float64)
-    found = distinct.where(~left_out).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts.ravel()[found["cell"].to_numpy()] = found["n"].to_numpy()
-    if not all(counts[k].any() for k in (0, 1)):
-        return CharModel(model.order, model.bits, model.prior, counts, 0.0)
-    shared = labelled.sparkSession.sparkContext.broadcast(counts)
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = CharModel(model.order, model.bits, model.prior, shared.value)
-        total = np.zeros((2, _BINS), np.int64)
+    def dense(skip: int) -> np.ndarray:
+        out = np.zeros((2, 1 << 16))
+        found = counts.groupBy(F.shiftright("gram", skip).bitwiseAND(F.lit(0xFFFF)).alias("cell")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+        for y in (0, 1):
+            out[y, found["cell"].to_numpy()] = found[f"n{y}"].to_numpy()
+        return out
+
+    pair, context = dense(0), dense(8)
+    low = wanted.sparkSession.sparkContext.broadcast((pair, context, pair.reshape(2, 256, 256).sum(1), pair.reshape(2, 256, 256).sum(2)))
+    known = counts.select(F.explode(F.array(*_keys(F.col("gram")))).alias("key"), "n0", "n1").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    slots = wanted.select("gram", F.posexplode(F.array(*_keys(F.col("gram")))).alias("slot", "key")).join(known, "key", "left")
+    names = [f"s{k}_{y}" for k in range(len(_SLOTS)) for y in (0, 1)]
+    wide = slots.groupBy("gram").agg(*(F.coalesce(F.sum(F.when(F.col("slot") == k, F.col(f"n{y}"))), F.lit(0)).alias(f"s{k}_{y}") for k in range(len(_SLOTS)) for y in (0, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, context, single, before = low.value
         for b in batches:
-            score = np.array([own.score(t) for t in _bytes(b.column("url"))])
-            cell = np.clip(((score + _SPAN) * _BINS / (2 * _SPAN)).astype(int), 0, _BINS - 1)
-            np.add.at(total, (b.column("accepted").to_numpy(zero_copy_only=False).astype(int), cell), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
+            gram = b.column("gram").to_numpy()
+            n = {name: b.column(name).to_numpy().astype(np.float64) for name in names}
+            log = []
+            for y in (0, 1):
+                higher = [n[f"s{k}_{y}"] for k in range(len(_SLOTS))]
+                # (pair, context) of orders 0 to 5
+                levels = [(single[y, gram & 0xFF], single[y].sum()), (pair[y, gram & 0xFFFF], before[y, gram >> 8 & 0xFF]), (higher[0], context[y, gram >> 8 & 0xFFFF])]
+                levels += [(higher[2 * k], higher[2 * k - 1]) for k in (1, 2, 3)]
+                p = np.full(len(gram), 1 / 256)
+                for hits, seen in levels:
+                    p = (hits + prior * p) / (seen + prior)
+                log.append(np.log(p))
+            yield pa.RecordBatch.from_arrays([b.column("gram"), pa.array(log[1] - log[0])], ["gram", "term"])
+
+    return durable(wide.mapInArrow(run, "gram long, term double"))
+
+
+def scored(rows: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
+    """``rows`` (with ``url`` and ``part``) with ``score``: the mean of the URL's terms, 0 for null and empty.
+
+    A part's distinct grams go to their terms and come back to its rows, of which ``_PART`` are together at most.
+    """
 
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = b.column("part").to_numpy()
+            texts = [grams(t) for t in _bytes(b.column("url"))]
+            for p in np.unique(part):
+                own = np.unique(np.concatenate([texts[i] for i in np.flatnonzero(part == p)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p)), pa.array(own)], ["part", "gram"])
+
+    needed = durable(rows.select("part", "url").mapInArrow(distinct, "part long, gram long").distinct())
+    terms = gram_terms(needed.select("gram").distinct(), counts, prior)
+
+    def judge(own: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("gram")
+        gram, term = known["gram"].to_numpy(), known["term"].to_numpy()
+        texts = [grams(t) for t in _bytes(own["url"].combine_chunks())]
+        scores = [float(term[np.searchsorted(gram, t)].mean()) if len(t) else 0.0 for t in texts]
+        return own.append_column("score", pa.array(scores, pa.float64()))
+
+    back = needed.join(terms, "gram").groupBy("part")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return durable(rows.groupBy("part").cogroup(back).applyInArrow(judge, f"{kinds}, score double"))
+
+
+def calibrated(judged: DataFrame) -> float:
+    """The score with the best mean of the two classes' rates of right answers, over the distinct (url, accepted, score) left out of the counts."""
+    cell = F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), F.floor((F.col("score") + _SPAN) * (_BINS / (2 * _SPAN))))).cast("int")
     seen = np.zeros((2, _BINS))
-    for r in distinct.where(left_out).mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        seen.ravel()[r.cell] = r.n
-    threshold = 0.0
-    if seen[0].any() and seen[1].any():
-        right = np.cumsum(seen[0]) / seen[0].sum() + (1 - np.cumsum(seen[1]) / seen[1].sum())
-        best = np.flatnonzero(right >= right.max() - 1e-12)
-        threshold = float((best.min() + best.max() + 2) / 2 * (2 * _SPAN) / _BINS - _SPAN)
-    return CharModel(model.order, model.bits, model.prior, counts, threshold)
+    for r in judged.distinct().groupBy(F.col("accepted").cast("int").alias("accepted"), cell.alias("cell")).agg(F.count("*").alias("n")).collect():
+        seen[r.accepted, r.cell] = r.n
+    if not (seen[0].any() and seen[1].any()):
+        return 0.0
+    right = np.cumsum(seen[0]) / seen[0].sum() + (1 - np.cumsum(seen[1]) / seen[1].sum())
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    return float((best.min() + best.max() + 2) / 2 * (2 * _SPAN) / _BINS - _SPAN)
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, model: CharModel = CharModel()) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, prior: float = 2.0) -> DataFrame:
     """One row per page of (page_id, url): page_id, host, path, rule, verdict and score.
 
     The verdict is the longest fitting rule's; without one, ``allow`` if the length-normalised log-likelihood ratio of the
     accepted and the rejected model reaches the calibrated threshold, else ``block``. The models learn from the URLs that
-    rules accept or reject, each distinct URL once, however many rows repeat it. Without rows of both
-    kinds there is nothing to compare: the threshold is 0 and unruled URLs score whatever the counts give.
+    rules accept or reject, each distinct URL once, however many rows repeat it; every fifth by CRC-32 is left out of the counts and
+    sets the threshold. Without rows of both kinds there is nothing to compare: the threshold is 0 and unruled URLs score whatever the counts give.
 
     A null URL, or one without '://', has an empty host and path and no rule; null and empty score 0. Repeated rows each get a
-    row; null page_ids stay null; other columns are not read; an empty table gives an empty result. Memory is the fixed
-    tables (2 * 2**(bits + 1) numbers) in each worker.
+    row; null page_ids stay null; other columns are not read; an empty table gives an empty result. Counts are exact, in a
+    distributed table that grows with the distinct ruled URLs.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
-    rows = rows.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33) * (1 << 20) + F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / _PART)
+    rows = durable(rows.withColumn("part", part.cast("long")).drop("_at"))
     ruled = F.create_map(*(F.lit(x) for rule in rules for x in rule))[F.col("rule")] if rules else F.lit(None).cast("string")
-    trained = train(rows.where("rule IS NOT NULL").select("url", (ruled == "allow").alias("accepted")), model)
-    shared = pages.sparkSession.sparkContext.broadcast(trained)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = pa.array([shared.value.score(t) for t in _bytes(b.column("url"))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule", "ruled")), scores], ["page_id", "host", "path", "rule", "ruled", "score"])
-
-    judged = rows.withColumn("ruled", ruled).mapInArrow(judge, "page_id long, host string, path string, rule string, ruled string, score double")
-    learned = F.when(F.col("score") >= trained.threshold, "allow").otherwise("block")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "score")
+    left_out = F.crc32(F.encode("url", "UTF-8")) % 5 == 0
+    labelled = rows.where("rule IS NOT NULL AND url IS NOT NULL").select("url", (ruled == "allow").alias("accepted")).distinct()
+    counts = count_grams(labelled.where(~left_out))
+    judged = scored(rows, counts, prior)
+    both = counts.agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).first()
+    threshold = calibrated(judged.where("rule IS NOT NULL").where(left_out).select("url", (ruled == "allow").alias("accepted"), "score")) if both.a and both.b else 0.0
+    learned = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce(ruled, learned).alias("verdict"), "score")

@@ -182,3 +182,38 @@ def test_urls(spark):
     allowed = [r.score for r in ruled if r.verdict == "allow"]
     blocked = [r.score for r in ruled if r.verdict == "block"]
     assert np.mean(np.array(allowed)[:, None] > np.array(blocked)[None]) > 0.9  # the models tell ruled URLs apart
+
+
+def brute_scores(urls, labels, prior=2.0):
+    """Scores of ``urls`` by exact counts over the labelled URLs."""
+    pairs, contexts = ([Counter(), Counter()] for _ in range(2))
+    padded = lambda u: b"\x02" * 5 + u.encode()
+    for u, y in labels.items():
+        t = padded(u)
+        for i in range(5, len(t)):
+            for k in range(6):
+                pairs[y][k, t[i - k : i + 1]] += 1
+                contexts[y][k, t[i - k : i]] += 1
+    out = []
+    for u in urls:
+        t, total = padded(u or ""), 0.0
+        for i in range(5, len(t)):
+            p = [1 / 256] * 2
+            for k in range(6):
+                p = [(pairs[y][k, t[i - k : i + 1]] + prior * p[y]) / (contexts[y][k, t[i - k : i]] + prior) for y in (0, 1)]
+            total += np.log(p[1]) - np.log(p[0])
+        out.append(total / max(1, len(t) - 5))
+    return out
+
+
+def test_url_scores_exact(spark):
+    rng = np.random.default_rng(6)
+    name = lambda: "".join(chr(x) for x in rng.integers(33, 127, 40))
+    ends = ("http://x.example.net/en/", "http://m.example.com/de/", "http://a.org/en/")
+    urls = [e + name() for e in ends for _ in range(3000)] + [None, "", "é://漢字"] + [ends[2] + "same"] * 50
+    rows = url_filter.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)).collect()
+    labels = {u: int(dict(url_filter.RULES)[r] == "allow") for u in urls if u and (r := brute_url(u)[2]) and zlib.crc32(u.encode()) % 5}
+    assert len(rows) == len(urls)
+    some = [r for r in rows if r.page_id % 5 == 0 or r.page_id >= 9000]
+    assert np.allclose([r.score for r in some], brute_scores([urls[r.page_id] for r in some], labels), atol=1e-9)
+    assert len({r.score for r in rows if r.page_id >= 9003}) == 1
