@@ -316,6 +316,11 @@ def text_clean(t):
     return t("documents").where("lang = 'en'").select("doc_id", T.caption_clean(F.col("text")).alias("caption"), T.alnum_clean(F.col("text")).alias("alnum"))
 
 
+@query("SELECT doc_id, array_to_string(string_split(trim(rtrim(regexp_replace(regexp_replace(lower(text), '[.!\"()*#:;~]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]{2,}', ' ', 'g'), chr(10))), ' ')[1:50], ' ') caption, trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9 \\t\\n\\x0B\\f\\r'']', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) alnum FROM documents")
+def text_clean_all(t):
+    return t("documents").select("doc_id", T.caption_clean(F.col("text")).alias("caption"), T.alnum_clean(F.col("text")).alias("alnum"))
+
+
 def _marks_sql(column: str) -> str:
     out = column
     for m in T.MARKS:

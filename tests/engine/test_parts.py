@@ -1,6 +1,7 @@
 """Column functions, readers, writers and streams on small inputs with known answers."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from plotloom.functions import numbers as N
 from plotloom.functions import text as T
 from plotloom.operators import metrics as M
+from plotloom.plans import catalogue
 from plotloom.sources import readers, writers
 from plotloom.streaming import windows
 
@@ -98,3 +100,14 @@ def test_stream_equals_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT * FROM back").count() >= events.select("user_id").distinct().count()
+
+
+def test_text_clean_all_languages(spark, tmp_path):
+    space = r"[ \t\n\x0B\f\r]"
+    caption = lambda t: " ".join(re.sub(space + "{2,}", " ", re.sub(r'[.!"()*#:;~]', " ", t.lower())).rstrip("\n").strip(" ").split(" ")[:50])
+    alnum = lambda t: re.sub(space + "+", " ", re.sub(r"[^a-zA-Z0-9 \t\n\x0B\f\r']", "", t)).strip(" ")
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    docs += [(10**6, "Él ÇA, größer: l'été!\u00a0x\n", None), (10**6 + 1, "", "fr"), (10**6 + 2, None, "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.caption, r.alnum) for r in catalogue.QUERIES["text_clean_all"](spark, str(tmp_path)).collect()}
+    assert got == {d: (None, None) if t is None else (caption(t), alnum(t)) for d, t, _ in docs}
