@@ -148,6 +148,16 @@ def test_near_copies_dropped(spark):
     assert Counter((r.doc_id, r.text or "") for r in out.collect()) == brute_survivors(rows)
 
 
+def test_survivors_are_rows(spark):
+    words = lambda k: [f"{k}w{i}" for i in range(100)]
+    a, b, c = (" ".join(words(k)) for k in "abc")
+    near = " ".join([*words("c")[:-1], "other"])
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, near), (None, near + " x"), (None, "d " + a), (None, "alone without a number"), (None, "alone without a number")]
+    got = Counter(tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    third = min((c, near), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == Counter([(1, a), (1, b), (3, third), (None, "alone without a number")])
+
+
 def test_pigeonholes_find_all(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40)
