@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -28,15 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that lineage ends here.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests on one
-    machine) is a temporary one made.
+    The folder is the session's ``spark.checkpoint.dir``; see shared_folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset and all of Spark runs in this process, as in tests, is a temporary one made; on a cluster its absence is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def let_go(spark: SparkSession) -> None:
     """Has Spark delete shuffle files and checkpoints that no plan refers to any more; by itself it waits for the driver's memory to fill."""
     gc.collect()
@@ -102,7 +114,7 @@ def give_back() -> None:
 # --- batches of texts as bytes -------------------------------------------------------------------
 
 
-def text_slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about ``most`` bytes of UTF-8; a longer text stands alone. Null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     n = len(column)

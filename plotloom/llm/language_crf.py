@@ -105,7 +105,7 @@ class Crf:
         """(words, labels) posterior marginals of sequences laid end to end, and the expected transitions if asked for.
 
         Sequences are cut into chunks of 64 words, and all chunks run side by side: first each chunk's transfer matrix, then the
-        messages from chunk to chunk along each sequence, then the words inside. Messages enter a sequence uniform.
+        messages from chunk to chunk along each sequence, then the words inside. A sequence's first word has no transition.
         """
         labels = len(self.labels)
         move = np.exp(self.moves - self.moves.max())
@@ -120,7 +120,10 @@ class Crf:
         some = [np.flatnonzero(size > t) for t in range(deep)]
         whole = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
         for t, own in enumerate(some):
-            step = (whole[own] @ move) * emit[start[own] + t][:, None, :]
+            step = (whole[own] if t == 0 else whole[own] @ move) * emit[start[own] + t][:, None, :]
+            if t == 0:
+                later = rank[own] > 0
+                step[later] = move * emit[start[own][later]][:, None, :]
             whole[own] = step / step.sum((1, 2), keepdims=True)
         head, tail = np.full((total, labels), 1 / labels), np.full((total, labels), 1 / labels)
         first = np.cumsum(per) - per
@@ -134,7 +137,10 @@ class Crf:
         forward, backward = np.empty_like(emit), np.empty_like(emit)
         now = head.copy()
         for t, own in enumerate(some):
-            step = (now[own] @ move) * emit[start[own] + t]
+            entered = now[own] @ move
+            if t == 0:
+                entered[rank[own] == 0] = 1 / labels
+            step = entered * emit[start[own] + t]
             now[own] = forward[start[own] + t] = step / step.sum(1, keepdims=True)
         now = tail.copy()
         for t in range(deep - 1, -1, -1):
@@ -164,6 +170,8 @@ class Crf:
         starts, ends, row, code = starts[keep], ends[keep], row[keep], code[keep]
         if not len(starts):
             return row, starts, ends, np.zeros((0, len(self.labels)))
+        if not self.labels:
+            return row, starts, ends, np.zeros((len(row), 0))
         score = self.emissions([plain(w) for w in words])[code]
         lengths = np.bincount(row, minlength=len(offsets) - 1)
         marginal, _ = self.forward_backward(score, lengths[lengths > 0])
@@ -193,7 +201,7 @@ def learn(docs: DataFrame, documents: int = 300, words: int = 128, salts: int =
     parts, so that the task that picks its documents reads at most ``salts`` times ``documents`` hashes.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 2))
-    hashed = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
     first, salted = Window.partitionBy("lang").orderBy("h"), Window.partitionBy("lang", "salt").orderBy("h")
     few = hashed.select("lang", "h", F.pmod("h", F.lit(salts)).alias("salt")).withColumn("rn", F.row_number().over(salted)).where(F.col("rn") <= documents)
     last = few.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= documents).groupBy("lang").agg(F.max("h").alias("h")).collect()
@@ -226,7 +234,7 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            for at, data, offsets in text_slices(b.column("text")):
+            for at, data, offsets in text_slices(b.column("text"), slice_bytes(len(own.labels))):
                 n = len(offsets) - 1
                 predicted, score, count, switches = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
                 if own.labels:
@@ -247,21 +255,29 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_labelled long, n_switches long")
 
 
-def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that have no language (``und``) or whose best language scores under ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
+def slice_bytes(labels: int) -> int:
+    """Bytes of text that are labelled together: a chunk of 64 words has a matrix of labels ** 2 numbers, so many labels need shorter slices."""
+    return max(1 << 14, (1 << 19) * 64 // max(64, labels**2))
+
+
+def drop_unidentified(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents that have no language: ``und`` by ``identify``, texts that are null or have no letter.
+
+    A code-switched text in which no language has half of the words stays. If there is nothing to learn from, every text with a
+    letter stays. Repeated rows, null doc_ids and extra columns of any name stay as they are; an empty table stays empty. The model learns
+    from ``docs`` as ``identify`` does.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))  # 2**17 rows for each language
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            for at, data, offsets in text_slices(b.column("text")):
+            for at, data, offsets in text_slices(b.column("text"), slice_bytes(len(own.labels))):
                 n = len(offsets) - 1
-                row, _, _, marginal = own.label_words(data, offsets)
-                count = np.bincount(row, minlength=n)
-                top = np.stack([np.bincount(row, marginal[:, k], n) for k in range(len(own.labels))], 1).max(1) if own.labels else np.zeros(n)
-                keep = (count > 0) & (top >= least * count) if own.labels else count > 0
-                yield b.slice(at, n).filter(pa.array(keep))
+                row, marginal = own.label_words(data, offsets)[::3]
+                sums = np.stack([np.bincount(row, marginal[:, k], n) for k in range(len(own.labels))], 1) if own.labels else np.bincount(row, minlength=n)[:, None]
+                yield b.slice(at, n).filter(pa.array(sums.max(1) > 0))
         give_back()
 
-    return docs.select(*columns).mapInArrow(run, docs.schema)
+    return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, docs.schema)

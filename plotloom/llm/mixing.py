@@ -76,30 +76,56 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def shard_counts(totals: np.ndarray, shard_slots: int, low: int, high: int, seed: int, exact: int = 500_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, count of each source, first slot of each source) for the shards from ``low`` to before ``high``.
+
+    Every slot of a shard is drawn: counts are multinomial under the condition that the shards together use each source's ``totals``
+    (the multivariate hypergeometric law), so the corpus meets its targets whatever a shard draws. The shards are halved again and again,
+    each half drawing its share, seeded by its bounds; a shard's counts thus need no other shard's. Over ``exact`` slots, where the
+    draws would stray by less than one in 20,000, halves get their exact shares.
+    """
+    total = int(totals.sum())
+
+    def visit(a: int, b: int, counts: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b <= low or a >= high:
+            return
+        if b - a == 1:
+            yield a, counts, first
+            return
+        middle, own = (a + b) // 2, int(counts.sum())
+        take = (middle - a) * shard_slots
+        if own > exact:
+            share = [int(c) * take for c in counts]  # whole numbers of any length
+            left = np.array([x // own for x in share], np.int64)
+            rest = sorted(range(len(share)), key=lambda i: (-(share[i] % own), i))[: take - int(left.sum())]
+            left[rest] += 1
+        else:
+            left = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(counts, take, method="marginals")
+        yield from visit(a, middle, left, first)
+        yield from visit(middle, b, counts - left, first + left)
+
+    if total:
+        yield from visit(0, -(-total // shard_slots), totals, np.zeros(len(totals), np.int64))
+
+
 def slots(docs_spark, sources: Sequence[Source], shard_slots: int, cap: float, seed: int) -> DataFrame:
-    """(src, block, shard): the drawn slots of all output shards.
+    """(src, block, shard): the drawn slots of all output shards, see shard_counts.
 
-    Each shard takes the whole part of its expected count from each source and draws the rest by a
-    multinomial on the fractional parts, so that a corpus's counts stray from the targets by at most a few slots a shard.
-    Slot k of a source holds block permutation(k mod blocks), a new permutation each time around; slots
-    from cap * blocks on stay empty, so no block is taken more than ``cap`` times.
+    Slot k of a source holds block permutation(k mod blocks), a new permutation each time around; no source has more than
+    cap * blocks slots, so no block is taken more than ``cap`` times.
     """
-    total = sum(s.slots for s in sources)
-    shards = math.ceil(total / shard_slots) if total else 0
-    share = np.array([s.slots / total if total else 0.0 for s in sources])
     blocks = np.array([s.blocks for s in sources], np.int64)
+    totals = np.array([min(round(s.slots), int(cap * s.blocks)) for s in sources], np.int64)
+    shards = -(-int(totals.sum()) // shard_slots) if len(totals) else 0
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                n = min(shard_slots, round(total) - shard * shard_slots)
-                whole = np.floor(n * share).astype(np.int64)
-                part = n * share - whole
-                left = n - int(whole.sum())
-                if left > 0 and part.sum() > 0:
-                    whole += np.random.default_rng([seed, shard]).multinomial(left, part / part.sum())
-                at = np.flatnonzero(whole)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(at.astype(np.int32)), pa.array(whole[at])], ["shard", "src", "n"])
+            own = batch.column(0).to_numpy()
+            if not len(own):
+                continue
+            for shard, n, first in shard_counts(totals, shard_slots, int(own[0]), int(own[-1]) + 1, seed):
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(first[at])], ["shard", "src", "n", "first"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +143,7 @@ def slots(docs_spark, sources: Sequence[Source], shard_slots: int, cap: float, s
                 for i in range(0, len(k), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of[i : i + 100_000]), s, np.int32)), pa.array(out[i : i + 100_000]), pa.array(of[i : i + 100_000])], ["src", "block", "shard"])
 
-    counts = docs_spark.range(0, max(shards, 0)).mapInArrow(draw, "shard long, src int, n long")
-    first = prefix_sums(counts, "src", ["shard"], "n", "first", F.floor(F.col("shard") / 1024))
-    return first.select("shard", "src", "n", "first").mapInArrow(place, "src int, block long, shard long")
+    return docs_spark.range(0, shards).mapInArrow(draw, "shard long, src int, n long, first long").mapInArrow(place, "src int, block long, shard long")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -127,13 +151,13 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("source", F.col("source").cast("string"))
 
 
-def _laid_out(rows: DataFrame, share, weights, cap, block, seed, shard_slots) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _laid_out(rows: DataFrame, order: Sequence[str], share, weights, cap, block, seed, shard_slots) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized rows with src, place and first word; words taken from each block; catalogue)."""
     spark = rows.sparkSession
     sources = catalogue(rows.select("source", "size"), share, weights, cap, block)
     listed = spark.createDataFrame([(s.name, i, s.size, float(s.target)) for i, s in enumerate(sources)], "_name string, src int, source_size long, target double")
     rows = rows.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")  # at most MOST_SOURCES rows
-    rows = prefix_sums(rows, "src", ["doc_id", "size"], "size", "first", hex_bucket("doc_id", "size"), rank="place")
+    rows = prefix_sums(rows, "src", order, "size", "first", hex_bucket("doc_id", "size"), rank="place")
     uses = slots(spark, sources, shard_slots, cap, seed).groupBy("src", "block").agg(F.count("*").alias("uses"))
     return rows, uses, listed
 
@@ -163,7 +187,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: Sequence[float] =
     buckets. The catalogue of sources is broadcast; over MOST_SOURCES sources raise ValueError.
     """
     sized = durable(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")).drop("text"))
-    rows, uses, listed = _laid_out(sized, share, weights, cap, block, seed, shard_slots)
+    rows, uses, listed = _laid_out(sized, ["doc_id", "size"], share, weights, cap, block, seed, shard_slots)
     overlap = F.when(F.col("block") >= 0, (F.col("high") - F.col("low")) * F.col("uses")).otherwise(0)
     taken = _segments(rows, uses, block, "doc_id").groupBy("src", "place", "doc_id", "size").agg(F.sum(overlap).alias("taken"))
     return taken.join(F.broadcast(listed), "src").select("doc_id", "size", "source_size", "target", "taken")
@@ -173,12 +197,17 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float
     """The mix itself, with the columns of ``docs``: a row for each maximal run of taken words of a document and turn.
 
     A document whose blocks are all taken comes back whole; one taken twice comes back twice; at the border of a
-    block that isn't taken the text is cut between words. A text without words is kept as it is. n_chars, where
-    there is such a column, counts the code points of the new text. Texts are cut in slices of about 2 MB.
+    block that isn't taken the text is cut between words. A null or empty text, or one without words, is kept as it is, once. n_chars, where
+    there is such a column, counts the code points of the new text. Texts are cut in slices of about half a megabyte.
+
+    Rows with equal doc_ids (or none) and sizes are ordered by the MD5 of the whole row, so that the same rows give the same texts
+    however they are partitioned; rows equal in every column are interchangeable. A null source is a source of its own. An empty
+    table stays empty; extra columns of any name are carried along.
     """
     columns = docs.columns
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    rows, uses, _ = _laid_out(_sized(kept), share, weights, cap, block, seed, shard_slots)
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    kept = docs.select(whole_row.alias("_doc"), F.md5(F.to_json(whole_row)).alias("_hash"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+    rows, uses, _ = _laid_out(_sized(kept), ["doc_id", "size", "_hash"], share, weights, cap, block, seed, shard_slots)
     parts = _segments(rows.select("src", "place", "first", "size"), uses, block).where("block >= 0").groupBy("src", "place").agg(F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("parts"))
     whole = rows.select("src", "place", "_doc").join(parts, ["src", "place"], "left").select("_doc.*", F.col("parts.low").alias("_low"), F.col("parts.high").alias("_high"), F.col("parts.uses").alias("_uses"))
     others = [c for c in columns if c != "text"]

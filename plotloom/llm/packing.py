@@ -66,7 +66,7 @@ def pack(lengths: Sequence[int], tiers: Sequence[int] = TIERS) -> list[tuple[int
 
 def _encoded(bpe: WordBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(tokens of each text, ids one after another), encoded in slices, as the work arrays are many times as large as the text."""
-    parts = [bpe.encode(data, offsets) for _, data, offsets in text_slices(texts)]
+    parts = [bpe.encode(data, offsets) for _, data, offsets in text_slices(texts, 1 << 20)]
     return np.concatenate([tokens for tokens, _ in parts]), np.concatenate([ids.astype("<u4") for _, ids in parts])
 
 

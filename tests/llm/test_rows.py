@@ -1,5 +1,7 @@
 """Sharding, line quality, mixing, token counts and URL filters against brute force."""
 
+import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -125,6 +127,61 @@ def test_mix(spark, odd):
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(odd).count() > 0
 
 
+def test_mix_of_ties(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"{chr(97 + rng.randint(0, 25))}{i}{k}" for k in range(90)) for i in range(120)]
+    rows = [(None if i % 2 else 5, t, "en", "abc"[i % 3], i % 4) for i, t in enumerate(texts)] * 2 + [(9, None, "en", "a", 0), (9, "", None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    runs = [Counter(map(tuple, mixing.mixed_documents(df.repartition(n)).collect())) for n in (3, 7)]
+    assert runs[0] == runs[1]
+    whole = Counter(w for _, t, _, _, _ in rows for w in WORD.findall(t or ""))
+    used = Counter(w for r, n in runs[0].items() for w in WORD.findall(r[1] or "") for _ in range(n))
+    assert used and all(used[w] <= 2 * whole[w] for w in used)
+
+
+def test_shard_draws():
+    totals = np.array([100_000, 3_000, 77, 0, 12_288])
+    every = list(mixing.shard_counts(totals, 4096, 0, 10**9, 7))
+    assert [s for s, _, _ in every] == list(range(29)) and sum(n for _, n, _ in every).tolist() == totals.tolist()
+    assert all(int(n.sum()) == 4096 for _, n, _ in every[:-1])
+    assert all((a == b).all() for (_, _, a), b in zip(every, np.cumsum([np.zeros(5, int)] + [n for _, n, _ in every], 0), strict=False))
+    some = list(mixing.shard_counts(totals, 4096, 5, 9, 7))
+    assert [(s, n.tolist(), f.tolist()) for s, n, f in some] == [(s, n.tolist(), f.tolist()) for s, n, f in every[5:9]]
+    # of the sources, each shard's spread is that of a draw of every slot
+    share = totals / totals.sum()
+    spread = np.mean([[n[:2] for _, n, _ in mixing.shard_counts(totals[:], 4096, 0, 28, seed)] for seed in range(40)], (0, 1)), np.std([[n[:2] for _, n, _ in mixing.shard_counts(totals, 4096, 0, 28, seed)] for seed in range(40)], (0, 1))
+    want = np.sqrt(4096 * share * (1 - share) * (1 - 4096 / totals.sum()))[:2]
+    assert np.all(np.abs(spread[1] / want - 1) < 0.1)
+    large = totals * 10**8
+    part = list(mixing.shard_counts(large, 4096, 10**7, 10**7 + 50, 1))
+    assert len(part) == 50 and all(n.min() >= 0 and n.sum() == 4096 for _, n, _ in part)
+
+
+def brute_taken(rows, share=1.5, weights=(3, 1, 2), cap=2, block=64, shard_slots=4096, seed=7):
+    """Words taken of each row (doc_id, text, source), one after another: sources, targets, order, slots, permutations."""
+    names = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
+    size = {n: sum(len(WORD.findall(t or "")) for _, t, s in rows if s == n) for n in names}
+    target = mixing.fill_targets([size[n] for n in names], [weights[i % 3] for i in range(len(names))], share * sum(size.values()), cap)
+    blocks = [-(-size[n] // block) for n in names]
+    totals = [min(round(t * b / size[n]), int(cap * b)) if size[n] else 0 for n, t, b in zip(names, target, blocks, strict=True)]
+    out = []
+    for i, n in enumerate(names):
+        own = [(d, len(WORD.findall(t or ""))) for d, t, s in rows if s == n]
+        key = lambda r: (hashlib.md5(f"{'~' if r[0] is None else r[0]}|{r[1]}".encode()).hexdigest()[:2], r[0] is not None, r[0] or 0, r[1])
+        uses = Counter(int(mixing.permute(np.array([k % blocks[i]]), blocks[i], seed * 1_000_003 + i * 101 + k // blocks[i])[0]) for k in range(totals[i]))
+        at = 0
+        for d, z in sorted(own, key=key):
+            out.append((d, z, sum(uses[w // block] for w in range(at, at + z))))
+            at += z
+    return Counter(out)
+
+
+def test_taken_by_brute_force(spark, odd):
+    for df in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), odd):
+        rows = [(r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()]
+        assert Counter((r.doc_id, r["size"], r.taken) for r in mixing.mix_sources(df).collect()) == brute_taken(rows)
+
+
 def test_permutation_and_targets():
     for n in (1, 2, 3, 17, 64, 1000):
         assert sorted(mixing.permute(np.arange(n), n, 5)) == list(range(n))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -289,7 +290,7 @@ def test_forward_backward():
         f, b = np.zeros((n, 3)), np.ones((n, 3))
         now = np.ones(3)
         for t in range(n):
-            now = (now @ m) * e[t]
+            now = (now @ m if t else now) * e[t]
             f[t] = now = now / now.sum()
         for t in range(n - 2, -1, -1):
             b[t] = m @ (b[t + 1] * e[t + 1])
@@ -303,6 +304,47 @@ def test_forward_backward():
     assert np.allclose(pairs, total)
 
 
+def test_transition_gradient():
+    rng = np.random.default_rng(1)
+    crf = language_crf.Crf(["a", "b", "c"], np.zeros((2, 3)), rng.normal(size=(3, 3)), 1)
+    lengths, y = np.array([3, 1, 4]), rng.integers(0, 3, 8)
+    score = rng.normal(size=(8, 3))
+    spans = [(0, 3), (3, 4), (4, 8)]
+
+    def loss():
+        out = 0.0
+        for a, b in spans:
+            weight = lambda p, a=a, b=b: sum(score[a + i, p[i]] for i in range(b - a)) + sum(crf.moves[u, v] for u, v in zip(p, p[1:], strict=False))
+            out += np.log(sum(np.exp(weight(p)) for p in product(range(3), repeat=b - a))) - weight(y[a:b].tolist())
+        return out
+
+    _, pairs = crf.forward_backward(score, lengths, pairs=True)
+    for a, b in spans:
+        np.subtract.at(pairs, (y[a : b - 1], y[a + 1 : b]), 1)
+    for i, j in product(range(3), repeat=2):
+        crf.moves[i, j] += 1e-5
+        up = loss()
+        crf.moves[i, j] -= 2e-5
+        down = loss()
+        crf.moves[i, j] += 1e-5
+        assert abs((up - down) / 2e-5 - pairs[i, j]) < 1e-6
+
+
+def test_unidentified_dropped(spark):
+    letters = lambda t: any(map(str.isalpha, t or ""))
+    want = Counter((d, t) for d, t, *_ in ODD if letters(t))
+    df = odd_rows(spark)
+    for rows in (df, df.withColumn("lang", F.lit(None).cast("string"))):  # the second has nothing to learn from
+        out = language_crf.drop_unidentified(rows)
+        assert out.columns == df.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+    assert {r.lang_pred for r in language_crf.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    switched = docs.withColumn("text", F.concat(F.lit("le chien mange dans la maison the dog eats in the house der Hund frisst in dem Haus "), F.substring("text", 1, 40)))
+    assert language_crf.drop_unidentified(switched).count() == switched.count()
+    many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 90))  # ninety languages: shorter slices, the same rows
+    assert Counter(map(tuple, language_crf.drop_unidentified(many).collect())) == Counter(tuple(r) for r in many.collect() if letters(r.text))
+
+
 def test_code_switching():
     words = {"en": "the quick brown house thing with through".split(), "xx": "zorvak ümlaki qrötz vankiz ötzel kravüm".split()}
     rng = random.Random(1)
