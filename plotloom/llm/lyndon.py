@@ -51,12 +51,18 @@ def suffix_arrays(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
         own = np.repeat(head, count)
         low = np.repeat(begin[live], count)
         at = members - 1
-        todo = np.flatnonzero((at >= low) & (group[np.maximum(at, 0)] >= own))
-        while len(todo):
+        todo = np.flatnonzero((at >= low) & (group[np.maximum(at, 0)] > own))
+        while len(todo):  # over higher groups, each passed for the last time
+            at[todo] = before[at[todo]]
             here = at[todo]
-            at[todo] = np.where(group[here] > own[todo], before[here], here - 1)
+            todo = todo[(here >= low[todo]) & (group[np.maximum(here, 0)] > own[todo])]
+        before[members] = at
+        todo = np.flatnonzero((at >= low) & (group[np.maximum(at, 0)] == own))
+        while len(todo):  # over members of the same group, by doubling: a run of equal characters is one such chain
+            at[todo] = before[at[todo]]
+            before[members[todo]] = at[todo]
             here = at[todo]
-            todo = todo[(here >= low[todo]) & (group[np.maximum(here, 0)] >= own[todo])]
+            todo = todo[(here >= low[todo]) & (group[np.maximum(here, 0)] == own[todo])]
         at[at < low] = -1
         before[members] = at
         moved, times = np.unique(at[at >= 0], return_counts=True)

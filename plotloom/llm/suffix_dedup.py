@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from plotloom.llm.common import WORD, durable, durable_by, give_back, let_go, mix64, ragged, text_slices
 from plotloom.llm.lyndon import suffix_arrays
 
-_STRING, _SEED_BYTES, _GROUP_BYTES, _PIECE = 50, 24, 2 << 20, 1 << 20
+_STRING, _SEED_BYTES, _GROUP_BYTES, _BUCKET_BYTES, _PIECE = 50, 24, 2 << 20, 32 << 20, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Classes of more distinct fragments than this are parted again by longer substrings before they are sorted.
 _MANY = 192
+#: A fragment has at most so many strings; the equal ones that a long run is cut into count as one.
+_LONG = 2048
+#: Classes that more groups than this have are parted again before they travel.
+_HOT = 256
 
 
 def _rolling(data: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -58,7 +62,8 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def fragments(data: np.ndarray, offsets: np.ndarray, width: int = _SEED_BYTES, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, class) of the fragments of rows; start and end are places in ``data``.
 
-    Each string of 50 bytes of a row lies in exactly one fragment, that of its class. Long stretches are worked in pieces.
+    Each string of 50 bytes of a row lies in exactly one fragment, that of its class. Long stretches are worked in pieces, and
+    a run that repeats its class's substring again and again is cut every ``_LONG`` strings.
     """
     parts = []
     for low in range(0, max(len(data) - _STRING + 1, 0), _PIECE):
@@ -73,6 +78,9 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = _SEED_BYTES, s
         new = np.ones(len(at), bool)
         new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(at)))
+        pieces = -(-count // _LONG)
+        first = np.repeat(first, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _LONG
         last = np.append(first[1:], len(at)) - 1
         parts.append((row[first], at[first], at[last] + _STRING, least[first]))
     if not parts:
@@ -178,8 +186,8 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _candidates(key: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, classes) that more than one document has, of one bucket of (gid, classes, shared)."""
+def _candidates(key: pa.Table, hot: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, classes, whether over ``hot`` groups have it) that more than one document has, of one bucket of (gid, classes, shared)."""
     gids = key["gid"].to_numpy()
     classes = [_unpack(x) for x in key["classes"].to_pylist()]
     shared = [np.frombuffer(x, bool) for x in key["shared"].to_pylist()]
@@ -190,11 +198,12 @@ def _candidates(key: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
     count = np.diff(np.append(first, len(v)))
     ok = (count > 1) | np.logical_or.reduceat(both[order], first)
-    hit = np.zeros(len(flat), bool)
-    hit[order] = np.repeat(ok, count)
+    hit, wide = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    hit[order], wide[order] = np.repeat(ok, count), np.repeat(count > hot, count)
     edges = np.concatenate([[0], np.cumsum(sizes)])
     for k, g in enumerate(gids):
-        yield int(g), flat[edges[k] : edges[k + 1]][hit[edges[k] : edges[k + 1]]]
+        own = slice(edges[k], edges[k + 1])
+        yield int(g), flat[own][hit[own]], wide[own][hit[own]]
 
 
 class _Group:
@@ -215,9 +224,19 @@ class _Group:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.row, self.starts, self.ends, self.classes = fragments(self.data, self.offsets)
 
-    def keep(self, wanted: np.ndarray) -> None:
+    def keep(self, wanted: np.ndarray, hot: np.ndarray) -> None:
+        """Leaves the fragments of the wanted classes; those of the hot ones among them become one fragment for each string, with a class of its own."""
         ok = np.isin(self.classes, wanted)
-        self.row, self.starts, self.ends, self.classes = self.row[ok], self.starts[ok], self.ends[ok], self.classes[ok]
+        row, starts, ends, classes = self.row[ok], self.starts[ok], self.ends[ok], self.classes[ok]
+        wide = np.isin(classes, wanted[hot])
+        if wide.any():
+            sizes = (ends - starts)[wide]
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            of, low, high, own = fragments(self.data[ragged(starts[wide], sizes)], begin, _STRING, seed=7)
+            shift = starts[wide][of] - begin[of]
+            inner = (row[wide][of], low + shift, high + shift, mix64(own + mix64(classes[wide][of])) >> np.uint64(16))
+            row, starts, ends, classes = (np.concatenate([x[~wide], y]) for x, y in zip((row, starts, ends, classes), inner, strict=True))
+        self.row, self.starts, self.ends, self.classes = row, starts, ends, classes
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first of each distinct fragment, its number for each fragment, its smallest doc, whether several docs have it)."""
@@ -229,18 +248,20 @@ class _Group:
         return pick, number, low, high > low
 
 
-def _by_bucket(classes: np.ndarray, buckets: int) -> list[np.ndarray]:
+def _by_bucket(classes: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """The places of the classes of each bucket that has any."""
     bucket = (classes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [order[cuts[k] : cuts[k + 1]] for k in range(buckets)]
+    some, first = np.unique(bucket[order], return_index=True)
+    return dict(zip(some.tolist(), np.split(order, first[1:]), strict=True)) if len(some) else {}
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
     """(sha, doc_id, n_removed, n_spans, kept_sha256, kept) of each distinct text of at least 50 bytes that holds doc_id, its smallest.
 
     Texts are dealt to groups of about two megabytes, compressed, once, and written to the checkpoint folder; classes, fragments and answers
-    travel between groups and class buckets as packed arrays. kept is the text without the removed bytes, null where
+    travel between groups and class buckets as packed arrays. Buckets are as many as shuffle partitions, or more where they
+    would stand for over 32 MB of text; a class that over ``hot`` groups have is parted by whole strings before its fragments travel. kept is the text without the removed bytes, null where
     nothing was removed.
     """
     spark = docs.sparkSession
@@ -248,6 +269,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.octet_length("text").alias("n")).where(F.col("n") >= _STRING)
     total = rows.agg(F.sum(F.col("n").cast("long")).alias("n")).first().n or 0
     groups = max(1, -(-total // _GROUP_BYTES))
+    buckets = max(parts, -(-total // _BUCKET_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -271,25 +293,28 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
         np.minimum.at(low, where, g.docs[g.row])
         np.maximum.at(high, where, g.docs[g.row])
-        out = [(b, _pack(distinct[x]), (high > low)[x].tobytes()) for b, x in enumerate(_by_bucket(distinct, parts)) if len(x)]
+        out = [(b, _pack(distinct[x]), (high > low)[x].tobytes()) for b, x in _by_bucket(distinct, buckets).items()]
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array(np.full(len(out), key[0].as_py()), pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "gid", "classes", "shared"])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        out = [(g, _pack(x)) for g, x in _candidates(table) if len(x)]
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["gid", "classes"])
+        out = [(g, _pack(x), wide.tobytes()) for g, x, wide in _candidates(table, hot) if len(x)]
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["gid", "classes", "hot"])
+
+    def told_classes(wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        classes, wide = wanted["classes"].drop_null().to_pylist(), wanted["hot"].drop_null().to_pylist()
+        return np.concatenate([np.zeros(0, np.uint64), *map(_unpack, classes)]), np.concatenate([np.zeros(0, bool), *(np.frombuffer(x, bool) for x in wide)])
 
     def cut(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
         out = []
         if table.num_rows and wanted.num_rows:
             pack = zstandard.ZstdCompressor(level=3)
             g = _Group(table)
-            g.keep(np.concatenate([_unpack(x) for x in wanted["classes"].to_pylist()]))
+            g.keep(*told_classes(wanted))
             pick, _, low, several = g.distinct()
-            for b, x in enumerate(_by_bucket(g.classes[pick], parts)):
-                if len(x):
-                    p = pick[x]
-                    sizes = g.ends[p] - g.starts[p]
-                    out.append((b, key[0].as_py(), _pack(g.classes[p]), sizes.astype("<u4").tobytes(), low[x].tobytes(), several[x].tobytes(), pack.compress(g.data[ragged(g.starts[p], sizes)].tobytes())))
+            for b, x in _by_bucket(g.classes[pick], buckets).items():
+                p = pick[x]
+                sizes = g.ends[p] - g.starts[p]
+                out.append((b, key[0].as_py(), _pack(g.classes[p]), sizes.astype("<u4").tobytes(), low[x].tobytes(), several[x].tobytes(), pack.compress(g.data[ragged(g.starts[p], sizes)].tobytes())))
         columns = list(zip(*out, strict=True)) or [()] * 7
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 5, strict=True)], ["bucket", "gid", "classes", "sizes", "low", "several", "body"])
 
@@ -325,15 +350,15 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         give_back()
         g = _Group(table)
         cover = np.zeros(len(g.data) + 1, np.int64)
-        classes_ = [_unpack(x) for x in wanted["classes"].to_pylist() if x is not None]
-        if classes_:
-            g.keep(np.concatenate(classes_))
+        classes_, wide = told_classes(wanted)
+        if len(classes_):
+            g.keep(classes_, wide)
             pick, number, _, _ = g.distinct()
-            buckets = _by_bucket(g.classes[pick], parts)
+            places = _by_bucket(g.classes[pick], buckets)
             runs_of, run_first, run_doc = [], [], []
             for b, fragment, first, doc in zip(*(wanted[c].to_pylist() for c in ("bucket", "fragment", "first", "earliest")), strict=True):
                 if fragment is not None:
-                    runs_of.append(buckets[b][np.frombuffer(fragment, "<u4")])
+                    runs_of.append(places[b][np.frombuffer(fragment, "<u4")])
                     run_first.append(np.frombuffer(first, "<u4").astype(np.int64))
                     run_doc.append(np.frombuffer(doc, "<i8"))
             if runs_of:
@@ -364,27 +389,27 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["sha", "doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     own = dealt.groupBy("gid").applyInArrow(classes, "bucket long, gid long, classes binary, shared binary")
-    wanted = durable(own.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "gid long, classes binary"))
+    wanted = durable(own.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "gid long, classes binary, hot binary"))
     del own
     let_go(docs.sparkSession)
     pieces = dealt.groupBy("gid").cogroup(wanted.groupBy("gid")).applyInArrow(cut, "bucket long, gid long, classes binary, sizes binary, low binary, several binary, body binary")
     runs = pieces.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort, "gid long, bucket long, fragment binary, first binary, earliest binary")
     empty = F.lit(None).cast("binary")
-    told = wanted.select("gid", "classes", F.lit(None).cast("long").alias("bucket"), empty.alias("fragment"), empty.alias("first"), empty.alias("earliest")).unionByName(runs.select("gid", empty.alias("classes"), "bucket", "fragment", "first", "earliest"))
+    told = wanted.select("gid", "classes", "hot", F.lit(None).cast("long").alias("bucket"), empty.alias("fragment"), empty.alias("first"), empty.alias("earliest")).unionByName(runs.select("gid", empty.alias("classes"), empty.alias("hot"), "bucket", "fragment", "first", "earliest"))
     return dealt.groupBy("gid").cogroup(told.groupBy("gid")).applyInArrow(remove, "sha string, doc_id long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _resolved(docs: DataFrame, *keep: str) -> DataFrame:
+def _resolved(docs: DataFrame, *keep: str, hot: int = _HOT) -> DataFrame:
     """Rows (*keep, _id, _sha, _n) with what was removed from their text; doc_id is the smallest that has the same text."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("_id"), F.sha2(text, 256).alias("_sha"), F.octet_length(text).cast("long").alias("_n"))
-    return rows.join(removed_spans(docs.select("doc_id", "text")).withColumnRenamed("sha", "_sha").withColumnRenamed("doc_id", "_least"), "_sha", "left")
+    return rows.join(removed_spans(docs.select("doc_id", "text"), hot).withColumnRenamed("sha", "_sha").withColumnRenamed("doc_id", "_least"), "_sha", "left")
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, hot: int = _HOT) -> DataFrame:
     """One row per document of (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id; strings are compared in the
@@ -394,7 +419,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     doc_id is neither smaller nor larger than any: such rows keep all their bytes. Repeated rows each get a row. Other columns are
     not read. An empty table gives an empty result.
     """
-    rows = _resolved(docs)
+    rows = _resolved(docs, hot=hot)
     all_ = (F.col("_n") >= _STRING) & (F.col("_id") > F.col("_least"))
     some = F.col("_id").isNotNull() & F.col("n_removed").isNotNull()
     pick = lambda whole, part, none: F.when(all_, whole).when(some, part).otherwise(none)
@@ -409,6 +434,9 @@ def drop_repeated_substrings(docs: DataFrame) -> DataFrame:
 
     n_chars, where there is such a column, counts the code points of the new text. A character of which only some bytes went is
     dropped. Texts from which nothing is removed stay as they are, null and empty ones included.
+
+    Rows with equal doc_ids don't cut each other and rows without a doc_id aren't cut; so repeated rows all stay. An empty table stays empty; extra columns
+    of any name are carried along.
     """
     columns = docs.columns
     rows = _resolved(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc")), "_doc")

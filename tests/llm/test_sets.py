@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -62,14 +63,34 @@ def test_substrings(spark, monkeypatch):
     rows += [(1000 + i, "a line that very many hold, with more than fifty bytes in it. " + "".join(word() for _ in range(20))) for i in range(60)]
     rows += rows[:10] + [(7, rows[0][1]), (2, rows[3][1])] + [(d, t) for d, t, *_ in ODD]
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, sha int, gid int")
-    for many in (3, 192):
+    for many, hot, group in ((3, 1, 4000), (192, 256, 2 << 20)):  # the first cuts every class again, before and after it travels
         monkeypatch.setattr(suffix_dedup, "_MANY", many)
-        got = Counter(tuple(r) for r in suffix_dedup.dedup_substrings(df).collect())
+        monkeypatch.setattr(suffix_dedup, "_GROUP_BYTES", group)
+        monkeypatch.setattr(suffix_dedup, "_BUCKET_BYTES", 4 * group)
+        got = Counter(tuple(r) for r in suffix_dedup.dedup_substrings(df, hot).collect())
         assert got == brute_spans(rows)
     assert suffix_dedup.dedup_substrings(df.limit(0)).count() == 0
     assert suffix_dedup.drop_repeated_substrings(odd_rows(spark)).columns == odd_rows(spark).columns
 
 
+def test_long_runs(spark):
+    n = 1 << 20
+    rng = random.Random(8)
+    odd = "".join(rng.choice(["xyzzy plugh frotz gnusto q", "xyzzy plugh frotz gnusto r", "xyzzy plugh frotz gnusto"]) for _ in range(20_000))
+    rows = [(1, " " * n + "first"), (2, " " * n + "second"), (3, "tail" + " " * (n + 7)), (4, "abc" * (n // 3)), (5, "x" + "abc" * (n // 3)), (6, odd), (7, odd[5:] + "!")]
+    began = time.time()
+    got = {r.doc_id: r for r in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert [got[k].n_removed for k in range(1, 8)] == [0, n, n + 7, 0, n // 3 * 3, 0, len(odd) - 5]
+    assert [got[k].n_spans for k in range(1, 8)] == [0, 1, 1, 0, 1, 0, 1]
+    assert got[3].kept_sha256 == hashlib.sha256(b"tail").hexdigest()
+    texts = [np.concatenate([np.ones(n, np.int64), [0]]), np.array([*([1, 2] * 500), 0])]
+    began = time.time()
+    for t in texts:
+        suffix_arrays(t[-50_000:], np.array([0, min(len(t), 50_000)]))
+    assert time.time() - began < 10
+
+
 def brute_print(text):
     words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")]
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
