@@ -6,11 +6,12 @@ import ctypes
 import gc
 import re
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,25 +158,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class SpanHash:
-    """64-bit hashes of any spans of one byte array, from prefix sums of b[i] * B**i modulo 2**64."""
-
-    _powers = np.ones(1, np.uint64)
-    _inverse = np.ones(1, np.uint64)
-
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data) + 1
-        if len(SpanHash._powers) < n:
-            for name, base in (("_powers", _BASE), ("_inverse", np.uint64(pow(int(_BASE), -1, 1 << 64)))):
-                setattr(SpanHash, name, np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)])))
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * SpanHash._powers[: n - 1], out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * SpanHash._inverse[starts]
-        return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-
-
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)
 
@@ -197,3 +178,8 @@ def unique_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary
+
+
+def byte_hashes(texts: Iterable[bytes]) -> np.ndarray:
+    """64-bit XXH3 hashes."""
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)

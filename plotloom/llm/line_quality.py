@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import SpanHash, durable, lower_ascii, mix64, text_slices, word_bounds
+from plotloom.llm.common import byte_hashes, durable, give_back, mix64, text_slices, unique_words, word_bounds
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -19,6 +19,13 @@ _OUT = pa.schema(
 )
 
 
+def _codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A number for each pair of non-negative numbers, equal only for equal pairs."""
+    if (int(first.max(initial=0)) + 1) * (int(second.max(initial=0)) + 1) > 1 << 62:
+        first = np.unique(first, return_inverse=True)[1]
+    return first * (int(second.max(initial=0)) + 1) + second
+
+
 def _repeats(values: np.ndarray) -> np.ndarray:
     """True where a value occurs twice or more."""
     order = np.argsort(values)
@@ -32,7 +39,8 @@ def _repeats(values: np.ndarray) -> np.ndarray:
 def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
     """The base counts of each row, and the row's distinct normalised lines with the words they hold in all.
 
-    A normalised line is its words, A-Z lower-cased, as a sequence; only its 64-bit hash is kept.
+    A normalised line is its words, A-Z lower-cased, as a sequence; only a 64-bit hash of it is kept, made of XXH3 hashes of the words and
+    their places. The base counts compare words and lines themselves, not hashes.
     """
     n = len(offsets) - 1
     starts, ends, row = word_bounds(data, offsets)
@@ -46,15 +54,12 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.n
         "n_words": per_row(row), "word_chars": per_row(row, points[ends] - points[starts]),
         "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
     }
-    hashes = SpanHash(data)
-    words = hashes(starts, ends)
-    salt = mix64(row.astype(np.uint64) + np.uint64(1))
-
-    covered = np.zeros(len(words), bool)
-    if len(words) >= 3:
+    code, distinct = unique_words(data, starts, ends)
+    covered = np.zeros(len(code), bool)
+    if len(code) >= 3:
         whole = np.flatnonzero(row[2:] == row[:-2])
-        three = mix64(mix64(mix64(words[whole]) + words[whole + 1]) + words[whole + 2]) ^ salt[whole]
-        again = whole[_repeats(three)]
+        words = code.astype(np.int64)
+        again = whole[_repeats(_codes(_codes(_codes(words[whole], words[whole + 1]), words[whole + 2]), row[whole]))]
         for k in range(3):
             covered[again + k] = True
     out["n_repeat_words"] = per_row(row[covered])
@@ -70,20 +75,20 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.n
     end = offsets[line_row + 1].copy()
     has = after < len(feeds)
     end[has] = np.minimum(end[has], feeds[after[has]])
-    raw = hashes(begin, end) ^ salt[first]
-    _, new = np.unique(raw, return_index=True)
+    lines, _ = unique_words(data, begin, end)
+    _, new = np.unique(_codes(lines.astype(np.int64), line_row), return_index=True)
     out["n_dup_lines"] = per_row(line_row) - per_row(line_row[new])
 
-    lower = SpanHash(lower_ascii(data))(starts, ends)
-    place = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
+    lower = byte_hashes(w.lower() for w in distinct.to_pylist())[code]  # bytes: A-Z only
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
     sums = np.add.reduceat(mix64(lower + mix64(place.astype(np.uint64))), first)
-    count = np.diff(np.append(first, len(words)))
+    count = np.diff(np.append(first, len(code)))
     normal = mix64(sums ^ count.astype(np.uint64)).view(np.int64)
-    lines = []
+    out_lines = []
     for at, to in zip(np.searchsorted(line_row, np.arange(n)), np.searchsorted(line_row, np.arange(n), "right"), strict=True):
-        distinct, where = np.unique(normal[at:to], return_inverse=True)
-        lines.append((distinct, np.bincount(where, count[at:to], len(distinct)).astype(np.int64)))
-    return out, lines
+        values, where = np.unique(normal[at:to], return_inverse=True)
+        out_lines.append((values, np.bincount(where, count[at:to], len(values)).astype(np.int64)))
+    return out, out_lines
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +96,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, data, offsets in text_slices(batch.column("text")):
             counts, lines = text_features(data, offsets)
             n = len(offsets) - 1
-            whole = SpanHash(data)(offsets[:-1], offsets[1:]).view(np.int64)
+            whole = byte_hashes(data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)).view(np.int64)
             lists = [pa.ListArray.from_arrays(np.cumsum([0, *(len(x[k]) for x in lines)]).astype(np.int32), np.concatenate([x[k] for x in lines])) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), batch.column("host").slice(at, n), *(pa.array(counts[c]) for c in _COUNTS), pa.array(whole), *lists], schema=_OUT)
+    give_back()
 
 
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, host_share: float = 0.03, least_documents: int = 10, min_left: float = 0.5) -> DataFrame:

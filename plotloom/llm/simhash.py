@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import SpanHash, durable, give_back, lower_ascii, mix64, ragged, text_slices, word_bounds
+from plotloom.llm.common import byte_hashes, durable, give_back, lower_ascii, mix64, text_slices, unique_words, word_bounds
 from plotloom.llm.components import components
 
 _BITS = 64
@@ -296,14 +296,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     bounds = np.zeros(len(offsets), np.int64)
     if not len(starts):
         return np.zeros(0, np.uint64), bounds
-    sizes = ends - starts
-    at = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.full(int((sizes + 1).sum()), 0x20, np.uint8)
-    joined[ragged(at, sizes)] = lower_ascii(data)[ragged(starts, sizes)]
+    code, distinct = unique_words(lower_ascii(data), starts, ends)
+    each = byte_hashes(distinct.to_pylist())[code]
     first = np.searchsorted(row, np.arange(len(offsets)))
-    last = np.minimum(np.arange(len(starts)) + words, first[row + 1]) - 1  # each shingle's last word
-    whole = (np.arange(len(starts)) + words <= first[row + 1]) | (np.arange(len(starts)) == first[row])
-    hashes, row = SpanHash(joined)(at[whole], (at + sizes)[last[whole]]), row[whole]
+    place, end = np.arange(len(starts)), first[row + 1]
+    whole = (place + words <= end) | (place == first[row])  # a row of fewer words is one shingle
+    at, end = place[whole], end[whole]
+    hashes = np.full(len(at), 1, np.uint64)
+    for k in range(words):
+        hashes = np.where(at + k < end, mix64(hashes + each[np.minimum(at + k, len(each) - 1)]), hashes)
+    row = row[whole]
     order = np.lexsort((hashes, row))
     hashes, row = hashes[order], row[order]
     new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))

@@ -86,6 +86,11 @@ def test_quality(spark, odd):
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     rows += [(1000 + i, "Shared  LINE here\n" + body(i if i < 30 else 0) + ("\nshared line here " + "z " * 99 if i == 1 else ""), "en", "hot", 0) for i in range(40)]
     rows += [(2000 + i, "\n".join(["a long line that many hold " * 1 + body(7)] + [f"own {i}"] * (i % 2)), "en", "copies", 0) for i in range(30)]
+    morse = ["a"]
+    for _ in range(10):
+        morse.append(morse[-1] + morse[-1].translate({97: "b", 98: "a"}))  # strings on which polynomial hashes modulo 2**64 are equal
+    one, two = morse[-1], morse[-1].translate({97: "b", 98: "a"})
+    rows += [(3000, f"{one}\n{two}\n{one}", "en", "t", 0), (3001, f"{one} p q {two} p q " + body(1), "en", "t", 0), (3002, f"{one} {two}\n{two} {one}\n{one}{two}\n", "en", "t", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
     for share, least in ((0.03, 10), (0.3, 2)):
         got = Counter(tuple(r) for r in line_quality.quality_rules(df, host_share=share, least_documents=least).collect())
