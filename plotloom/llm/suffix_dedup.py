@@ -69,20 +69,24 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = _SEED_BYTES, s
     for low in range(0, max(len(data) - _STRING + 1, 0), _PIECE):
         piece = data[low : low + _PIECE + _STRING - 1]
         least = _sliding_least(_rolling(piece, width, seed), _STRING - width + 1) >> np.uint64(16)  # 48 bits travel
-        at = low + np.arange(len(least))
-        row = np.searchsorted(offsets, at, "right") - 1
-        ok = at + _STRING <= offsets[row + 1]
-        at, row, least = at[ok], row[ok], least[ok]
-        if not len(at):
+        inner = offsets[1:-1]
+        inner = inner[(inner > low) & (inner < low + len(least) + _STRING - 1)] - low
+        cut = np.zeros(len(least) + _STRING, np.int32)  # strings that cross a row's end
+        np.add.at(cut, np.maximum(inner - _STRING + 1, 0), 1)
+        np.add.at(cut, np.minimum(inner, len(least)), -1)
+        crosses = np.cumsum(cut)[: len(least)] > 0
+        new = np.ones(len(least), bool)
+        new[1:] = (least[1:] != least[:-1]) | crosses[:-1]
+        new |= crosses
+        border = np.flatnonzero(new)
+        own = ~crosses[border]
+        first, count = border[own], np.diff(np.append(border, len(least)))[own]
+        if not len(first):
             continue
-        new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(at)))
         pieces = -(-count // _LONG)
         first = np.repeat(first, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _LONG
-        last = np.append(first[1:], len(at)) - 1
-        parts.append((row[first], at[first], at[last] + _STRING, least[first]))
+        count = np.minimum(_LONG, np.repeat(count, pieces) - (first - np.repeat(border[own], pieces)))
+        parts.append((np.searchsorted(offsets, low + first, "right") - 1, low + first, low + first + count - 1 + _STRING, least[first]))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
