@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Search budgets tried in turn, as shares of all rows.
-_SHARES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+_SHARES = (*np.geomspace(0.0005, 0.95, 64).tolist(), 1.0)
 #: Queries whose queues are held side by side.
 _SIDE = 64
 
@@ -163,8 +163,8 @@ def nearest_neighbours(
     """The ``k`` nearest found for each query of (vec_id, embedding): query_id, rank (from 1), vec_id, score.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates all rows but the query's own. score is the
-    Euclidean distance of the original vectors in double precision; nearest first, ties to the smaller vec_id. With ``k`` candidates or
-    fewer, all come back.
+    Euclidean distance of the original vectors in double precision; nearest first, ties to the smaller vec_id. Leaves searched hold
+    4 * ``k`` rows of the table at least, and small tables are searched whole, so with ``k`` candidates or fewer all come back.
 
     Vectors that are null, empty, all zero or hold a null or non-finite component take no part, nor do rows with a null
     vec_id or with another length than the most common one (the smaller, if tied). Rows with equal vec_id and vector count once.
@@ -193,7 +193,8 @@ def nearest_neighbours(
     if not drawn.num_rows:
         drawn = valid.limit(most_sample).select("v").toArrow()
     forest = Forest.fit(np.ascontiguousarray(_vectors(drawn["v"].combine_chunks())), trees, leaf, seed)
-    forest = forest.calibrated(_vectors(drawn["v"].combine_chunks()), recall, k, 64, seed)
+    forest = forest.calibrated(_vectors(drawn["v"].combine_chunks()), recall, k, 128, seed)
+    forest = replace(forest, share=max(forest.share, min(1.0, max(leaf, 4 * k) / n)))
     shared = spark.sparkContext.broadcast(forest)  # at most 2 * most_sample / leaf nodes a tree
     width = 4 if kind == "array<float>" else 8
     blocks = max(2 * spark.sparkContext.defaultParallelism, -(-n * dims * width // block_bytes))
