@@ -9,6 +9,8 @@ from plotloom.llm.common import hex_bucket, prefix_sums
 
 #: The multiplier of the 64-bit linear congruential generator of the published algorithm.
 _MULTIPLIER = 2862933555777941757
+#: Steps of the first fold, and copies of a row that are numbered at once.
+_STEPS, _RUN = 64, 65536
 _LIMBS = [_MULTIPLIER >> 16 * k & 0xFFFF for k in range(4)]
 
 
@@ -26,12 +28,8 @@ def _step(high: Column, low: Column) -> tuple[Column, Column]:
     return above.bitwiseAND(word), below.bitwiseAND(word)
 
 
-def jump_shard(key: Column, shards: int) -> Column:
-    """The shard, 0 to shards - 1, of a 64-bit key.
-
-    Going from n to n + 1 shards moves a key only if it moves into shard n, which holds for one key in n + 1.
-    A step jumps ahead by at least one shard, so ``shards`` steps always suffice; they run as one fold.
-    """
+def _jumped(key: Column, shards: int) -> Column:
+    """The state (at, next) of a 64-bit key: its shard, and the number of shards up to which it stays there."""
     word = F.lit(0xFFFFFFFF).cast("long")
     key = key.cast("long")
     start = F.struct(
@@ -45,7 +43,21 @@ def jump_shard(key: Column, shards: int) -> Column:
         moved = F.struct(high.alias("high"), low.alias("low"), state["next"].alias("at"), ahead.alias("next"))
         return F.when(state["next"] < shards, moved).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(int(shards))), start, jump, lambda s: s["at"].cast("int"))
+    def fold(state: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, jump)
+
+    few = fold(start, min(int(shards), _STEPS))
+    return few if shards <= _STEPS else F.transform(F.array(few), lambda s: F.when(s["next"] < shards, fold(s, int(shards))).otherwise(s))[0]
+
+
+def jump_shard(key: Column, shards: int) -> Column:
+    """The shard, 0 to shards - 1, of a 64-bit key.
+
+    Going from n to n + 1 shards moves a key only if it moves into shard n, which holds for one key in n + 1.
+    A step jumps ahead by at least one shard, so ``shards`` steps always suffice; mostly about log(shards) do, so of many shards
+    only the keys that aren't done after ``_STEPS`` steps go on. The steps run as one fold.
+    """
+    return _jumped(key, shards)["at"].cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,21 +71,21 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     share a shard whatever their texts; repeated rows each get a slot. Columns other than key and text are
     not read, so their names can't clash. An empty table gives an empty result.
 
-    Only key, size and checksum are shuffled, once, dealt by shard and one of 256 buckets; a shard's rows never
+    Texts are read once. Rows equal in key, size and checksum are counted before any shuffle and take neighbouring slots, so that
+    a row's copies, however many, meet as one number. The counts are dealt by shard and one of 256 buckets; a shard's rows never
     meet in one task.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    number = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
-    rows = docs.select(
-        F.col(key).alias("doc_id"),
-        (F.octet_length(body).cast("long") + 1).alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        jump_shard(number, shards).alias("shard"),
-        jump_shard(number, shards + 1).alias("grown_shard"),
-        F.lit(1).cast("long").alias("_one"),
+    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_rows"))
+    placed = counted.withColumn("_state", _jumped(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), shards)).select(
+        "doc_id", "size", "text_crc32", "_rows", F.col("_state.at").cast("int").alias("shard"),
+        F.when(F.col("_state.next") == shards, shards).otherwise(F.col("_state.at")).cast("int").alias("grown_shard"),
+    )
+    ranked = prefix_sums(placed, "shard", ["doc_id", "text_crc32", "size"], "_rows", "_first", hex_bucket("doc_id", "text_crc32"))
+    spread = ranked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / _RUN)))).withColumn(
+        "_place", F.explode(F.sequence(F.col("_part") * _RUN, F.least(F.col("_part") * _RUN + _RUN, "_rows") - 1))
     )
-    ranked = prefix_sums(rows, "shard", ["doc_id", "text_crc32", "size"], "_one", "slot", hex_bucket("doc_id", "text_crc32"))
-    return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return spread.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_place")).alias("slot"), "grown_shard")
