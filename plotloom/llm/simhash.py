@@ -181,10 +181,11 @@ def similar_groups(prints: DataFrame, distance: int = 3, groups: int = 4, most_b
 
     Bit statistics, value histograms and bucket keys cover all fingerprints. A bucket of more than ``most_bucket``
     fingerprints is cut again by the bits its key doesn't fix (by the same pigeonhole rule, exact), so no task holds an
-    unbounded one; inside a bucket, links are kept only as far as they connect something new.
+    unbounded one; inside a bucket, links are kept only as far as they connect something new. Repeated prints count once; ``print`` isn't
+    null; an empty table gives an empty result.
     """
     spark = prints.sparkSession
-    distinct = prints.select("print").distinct()
+    distinct = durable(prints.select("print").distinct())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((_BITS, _BITS), np.int64)
@@ -394,7 +395,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction =
     Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and a group is a connected component.
     Every pair of candidates is checked exactly; a pair of similarity 0.8 is a candidate with probability 0.99997, a closer
     one more surely. Rows are told apart by doc_id and text, so a doc_id that repeats with
-    different texts loses none of them for its number. Texts without words are copies of one another.
+    different texts loses none of them for its number; of rows equal in both, one stays. Null and empty texts and others without words are copies
+    of one another. An empty table stays empty; extra columns of any name are carried along.
     """
     table, roots = similar_sets(docs, words, similarity, bands, rows)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")
