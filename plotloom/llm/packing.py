@@ -91,36 +91,48 @@ def pack_documents(docs: DataFrame, tokenizer: str, tiers: Sequence[int] = TIERS
     gives an empty result. A text longer than a run is a run of its own.
     """
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+        """(doc_ids, texts) of about ``slice_bytes`` of text, gathered over as many batches as that takes."""
+        names, texts, held = [], [], 0
+        for batch in batches:
+            for at, data, offsets in text_slices(batch.column("text"), slice_bytes):
+                if held and held + len(data) > slice_bytes:
+                    yield names, pa.concat_arrays(texts)
+                    names, texts, held = [], [], 0
+                names += batch.column("doc_id").slice(at, len(offsets) - 1).to_pylist()
+                texts.append(batch.column("text").slice(at, len(offsets) - 1))
+                held += len(data) + len(offsets)
+        if names:
+            yield names, pa.concat_arrays(texts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer)
         part = TaskContext.get().partitionId() << 33
         sequence = step = 0
-        for batch in batches:
-            names = batch.column("doc_id").to_pylist()
-            for at, _, offsets in text_slices(batch.column("text"), slice_bytes):
-                tokens, ids = _encoded(bpe, batch.column("text").slice(at, len(offsets) - 1))
-                sizes = tokens + 1
-                begin = np.cumsum(sizes) - sizes
-                whole = np.full(int(sizes.sum()), _END, "<u4")
-                inner = np.ones(len(whole), bool)
-                inner[begin + tokens] = False
-                whole[inner] = ids
-                packed = pack(sizes.tolist(), tiers)
-                used = np.array([sum(p[2] for p in pieces) for _, pieces in packed])
-                steps = step_groups(used, step_tokens)
-                rows = []
-                for k, (window, pieces) in enumerate(packed):
-                    place = 0
-                    for i, start, length in pieces:
-                        low = int(begin[i]) + start
-                        rows.append((names[at + i], start, length, zlib.crc32(whole[low : low + length]), int(sizes[i]), part + sequence + k, place, window, part + step + int(steps[k])))
-                        place += length
-                sequence += len(packed)
-                step += int(steps.max()) + 1
-                for low in range(0, len(rows), 50_000):
-                    columns = list(zip(*rows[low : low + 50_000], strict=True))
-                    kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
+        for names, texts in runs(batches):
+            tokens, ids = _encoded(bpe, texts)
+            sizes = tokens + 1
+            begin = np.cumsum(sizes) - sizes
+            whole = np.full(int(sizes.sum()), _END, "<u4")
+            inner = np.ones(len(whole), bool)
+            inner[begin + tokens] = False
+            whole[inner] = ids
+            packed = pack(sizes.tolist(), tiers)
+            used = np.array([sum(p[2] for p in pieces) for _, pieces in packed])
+            steps = step_groups(used, step_tokens)
+            rows = []
+            for k, (window, pieces) in enumerate(packed):
+                place = 0
+                for i, start, length in pieces:
+                    low = int(begin[i]) + start
+                    rows.append((names[i], start, length, zlib.crc32(whole[low : low + length]), int(sizes[i]), part + sequence + k, place, window, part + step + int(steps[k])))
+                    place += length
+            sequence += len(packed)
+            step += int(steps.max()) + 1
+            for low in range(0, len(rows), 50_000):
+                columns = list(zip(*rows[low : low + 50_000], strict=True))
+                kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
         give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
