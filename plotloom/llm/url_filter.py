@@ -23,7 +23,7 @@ _SLOTS = ((0, 3), (1, 3), (0, 4), (1, 4), (0, 5), (1, 5), (0, 6))
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host, A-Z lower-cased, and the path; both empty for null or where there is no '://'."""
-    rest = F.when(url.contains("://"), F.expr("substring({0}, instr({0}, '://') + 3)".format("url"))).otherwise("")
+    rest = F.when(url.contains("://"), F.substr(url, F.instr(url, "://") + 3)).otherwise("")
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
@@ -46,13 +46,20 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 # A byte and the five before it (its gram, 48 bits, the byte itself lowest) fix all its counts.
 
 
-def grams(text: bytes) -> np.ndarray:
-    """The gram of each byte; before the text stand edge bytes."""
-    data = np.concatenate([np.full(_ORDER, _EDGE, np.uint8), np.frombuffer(text, np.uint8)]).astype(np.int64)
-    out = np.zeros(len(text), np.int64)
-    for k in range(_ORDER + 1):
-        out |= data[_ORDER - k : len(data) - k] << (8 * k)
-    return out
+def grams(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(gram of each byte of the URLs, offsets of the URLs); before a URL stand edge bytes, null is empty."""
+    column = pc.fill_null(urls, "").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2] if len(column) else None
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.int64) if data is not None and data.size else np.zeros(0, np.int64)
+    offsets = offsets - offsets[0]
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = data.copy()
+    for k in range(1, _ORDER + 1):
+        before = np.full(len(data), _EDGE, np.int64)
+        before[k:] = np.where(place[k:] >= k, data[:-k], _EDGE)
+        out |= before << (8 * k)
+    return out, offsets
 
 
 def _keys(gram: Column) -> list[Column]:
@@ -60,21 +67,15 @@ def _keys(gram: Column) -> list[Column]:
     return [F.lit(slot << 48) + F.shiftright(gram, 8 * skip).bitwiseAND(F.lit((1 << 8 * size) - 1)) for slot, (skip, size) in enumerate(_SLOTS)]
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
-
-
 def count_grams(labelled: DataFrame) -> DataFrame:
     """(gram, n0, n1): how often each gram is in the rejected and in the accepted URLs (url, accepted). Written to the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             accepted = b.column("accepted").to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [grams(t) for t in _bytes(b.column("url"))]
-            if not texts:
-                continue
-            found, at = np.unique(np.concatenate(texts), return_inverse=True)
-            label = np.repeat(accepted, [len(t) for t in texts])
+            all_, offsets = grams(b.column("url"))
+            found, at = np.unique(all_, return_inverse=True)
+            label = np.repeat(accepted, np.diff(offsets))
             sides = [pa.array(np.bincount(at[label == y], minlength=len(found))) for y in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(found), *sides], ["gram", "n0", "n1"])
 
@@ -131,9 +132,10 @@ def scored(rows: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part = b.column("part").to_numpy()
-            texts = [grams(t) for t in _bytes(b.column("url"))]
+            all_, offsets = grams(b.column("url"))
+            owner = np.repeat(part, np.diff(offsets))
             for p in np.unique(part):
-                own = np.unique(np.concatenate([texts[i] for i in np.flatnonzero(part == p)]))
+                own = np.unique(all_[owner == p])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p)), pa.array(own)], ["part", "gram"])
 
     needed = durable(rows.select("part", "url").mapInArrow(distinct, "part long, gram long").distinct())
@@ -142,9 +144,12 @@ def scored(rows: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
     def judge(own: pa.Table, known: pa.Table) -> pa.Table:
         known = known.sort_by("gram")
         gram, term = known["gram"].to_numpy(), known["term"].to_numpy()
-        texts = [grams(t) for t in _bytes(own["url"].combine_chunks())]
-        scores = [float(term[np.searchsorted(gram, t)].mean()) if len(t) else 0.0 for t in texts]
-        return own.append_column("score", pa.array(scores, pa.float64()))
+        all_, offsets = grams(pa.concat_arrays(own["url"].chunks))
+        sizes = np.diff(offsets)
+        some, scores = sizes > 0, np.zeros(len(sizes))
+        if some.any():
+            scores[some] = np.add.reduceat(term[np.searchsorted(gram, all_)], offsets[:-1][some]) / sizes[some]
+        return own.append_column("score", pa.array(scores))
 
     back = needed.join(terms, "gram").groupBy("part")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
