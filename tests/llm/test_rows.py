@@ -51,6 +51,12 @@ def test_shards(spark, odd):
     got = {r.k: r.s for r in df.select("k", sharding.jump_shard(df.k, 1000).alias("s")).collect()}
     assert got == {k: jump(k, 1000) for k in keys}
     assert sharding.shard_documents(odd.limit(0)).count() == 0
+    copies = spark.range(200_000).selectExpr("CASE WHEN id % 3 > 0 THEN 5 ELSE id END AS doc_id", "CASE WHEN id % 3 > 0 THEN 'the same' ELSE 't' || id % 7 END AS text")
+    found = sharding.shard_documents(copies, 100).selectExpr("shard", "slot", "doc_id", "grown_shard").toPandas()
+    assert len(found) == 200_000 and (found.doc_id == 5).sum() == 133_333
+    for _, own in found.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    assert all(r.shard == jump(r.doc_id, 100) and r.grown_shard == jump(r.doc_id, 101) for r in found.drop_duplicates("doc_id").itertuples())
 
 
 def base(text):
@@ -279,3 +285,16 @@ def test_url_scores_exact(spark):
     some = [r for r in rows if r.page_id % 5 == 0 or r.page_id >= 9000]
     assert np.allclose([r.score for r in some], brute_scores([urls[r.page_id] for r in some], labels), atol=1e-9)
     assert len({r.score for r in rows if r.page_id >= 9003}) == 1
+
+    # the verdict: the rule's, else the score against the threshold that best parts the ruled URLs left out of the counts
+    left = {u: int(dict(url_filter.RULES)[brute_url(u)[2]] == "allow") for u in urls if u and brute_url(u)[2] and zlib.crc32(u.encode()) % 5 == 0}
+    score = dict(zip(left, brute_scores(list(left), labels), strict=True))
+    grid = -8 + np.arange(4001) * 16 / 4000
+    cell = {u: min(3999, max(0, int(np.floor((v + 8) * 250)))) for u, v in score.items()}
+    sides = [np.sort([cell[u] for u in left if left[u] == y]) for y in (0, 1)]
+    right = np.searchsorted(sides[0], np.arange(1, 4001)) / len(sides[0]) + 1 - np.searchsorted(sides[1], np.arange(1, 4001)) / len(sides[1])
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    threshold = (grid[best.min() + 1] + grid[best.max() + 1]) / 2
+    rule = {u: brute_url(u)[2] for u in urls}
+    assert all(r.verdict == (dict(url_filter.RULES)[rule[urls[r.page_id]]] if rule[urls[r.page_id]] else "allow" if r.score >= threshold else "block") for r in rows)
+    assert {r.verdict for r in rows if not rule[urls[r.page_id]]} == {"allow", "block"}

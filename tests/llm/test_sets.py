@@ -385,3 +385,22 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd_rows(spark), "").columns == odd_rows(spark).columns
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_forest_of_clusters(spark):
+    """On clustered vectors a query reranks a small share of the rows; few rows all come back."""
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(150, 48))[rng.integers(0, 150, 12_000)] + 0.3 * rng.normal(size=(12_000, 48))
+    trees = forest.Forest.fit(rows, 12, 48, 11).calibrated(rows, 0.96, 10, 128, 11)
+    leaves, keys = trees.leaves(rows), trees.keys(rows[:200])
+    opened = [np.any([near[t][leaves[t]] for t in range(12)], 0) for near in keys <= trees.bounds(keys)[:, None, None]]
+    assert np.mean(opened) < 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    want = brute_near([(i, tuple(v)) for i, v in enumerate(rows.tolist())])
+    found = defaultdict(set)
+    for r in forest.nearest_neighbours(df).collect():
+        found[r.query_id].add(r.vec_id)
+    assert np.mean([len(found[q] & {i for _, i in w}) / len(w) for q, w in want.items()]) >= 0.9
+    few = [(0, [5.0, 1.0]), (1, [-5.0, -1.0])] + [(i, [0.01 * i, 0.02]) for i in range(2, 8)]
+    got = forest.nearest_neighbours(spark.createDataFrame(few, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id for r in got} == set(range(1, 8))
