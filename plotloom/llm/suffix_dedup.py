@@ -29,7 +29,7 @@ _MANY = 192
 #: A fragment has at most so many strings; the equal ones that a long run is cut into count as one.
 _LONG = 2048
 #: Classes that more groups than this have are parted again before they travel.
-_HOT = 256
+_HOT = 4096
 
 
 def _rolling(data: np.ndarray, width: int, seed: int) -> np.ndarray:
