@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import byte_hashes, durable, give_back, lower_ascii, mix64, text_slices, unique_words, word_bounds
+from plotloom.llm.common import byte_hashes, durable, give_back, lower_ascii, mix64, ragged, text_slices, unique_words, word_bounds
 from plotloom.llm.components import components
 
 _BITS = 64
@@ -329,12 +329,97 @@ def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int) ->
     return out
 
 
-def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def _spanning(names: np.ndarray, flat: np.ndarray, bounds: np.ndarray, roots: np.ndarray, similarity: Fraction) -> Iterator[tuple[int, int]]:
+    """Links that connect whatever all links among these sets connect; set i is flat[bounds[i] : bounds[i + 1]], and sets of one root are connected already.
+
+    A search that takes each set once and meets only those that nothing has reached yet.
+    """
+    up, down = similarity.numerator, similarity.denominator
+    sizes = np.diff(bounds)
+    distinct, code = np.unique(flat, return_inverse=True)
+    _, kin = np.unique(roots, return_inverse=True)
+    marked = np.zeros(len(distinct), bool)
+
+    def without(left: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left = left[~gone[kin[left]]]
+        return left, code[ragged(bounds[left], sizes[left])], np.cumsum(sizes[left]) - sizes[left]
+
+    first = np.argsort(-np.bincount(kin)[kin], kind="stable")  # from the largest kin on
+    left, body, starts = without(np.arange(len(names)), np.zeros(len(names), bool))
+    for start in first:
+        if not len(left):
+            return
+        if kin[start] not in kin[left]:
+            continue
+        gone = np.zeros(len(names), bool)
+        gone[kin[start]] = True
+        front = left[kin[left] == kin[start]].tolist()
+        left, body, starts = without(left, gone)
+        while front and len(left):
+            one = front.pop()
+            own = code[bounds[one] : bounds[one + 1]]
+            marked[own] = True
+            common = np.add.reduceat(marked[body].astype(np.int64), starts)
+            marked[own] = False
+            near = left[common * (up + down) >= (sizes[left] + sizes[one]) * up]
+            if len(near):
+                met, at = np.unique(kin[near], return_index=True)
+                yield from ((int(names[one]), int(names[i])) for i in near[at])
+                gone[met] = True
+                front.extend(left[gone[kin[left]]].tolist())
+                left, body, starts = without(left, gone)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) among rows (task, set, root, shingles) that come sorted by task; a task may span batches."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        tasks = table["task"].to_numpy()
+        names, roots = table["set"].to_numpy(), table["root"].to_numpy()
+        bodies = table["shingles"].to_pylist()
+        flat, bounds = _numbers(b"".join(bodies)), np.append(0, np.cumsum([len(x) // 6 for x in bodies]))
+        edges = np.flatnonzero(np.append(tasks[1:] != tasks[:-1], True)) + 1
+        out = []
+        for low, high in zip(np.append(0, edges[:-1]), edges, strict=True):
+            out.extend(_spanning(names[low:high], flat[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], roots[low:high], similarity))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tasks = batch.column("task").to_numpy()
+        cut = int(np.searchsorted(tasks, tasks[-1]))
+        if cut or (held and held[-1].column("task")[-1].as_py() != tasks[0]):
+            yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from work(pa.Table.from_batches(held))
+    give_back()
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """48 bits of each, ascending, once."""
+    return np.unique(hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int, rows: int, most: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(doc_id, copy, set) of all rows and (set, root) of the sets that have a link: root names the connected component.
 
-    ``copy`` is the text's MD5, ``set`` a hash of its shingles; sets are linked whose Jaccard similarity, counted on the whole sets,
-    is ``similarity`` or more. Candidates share a band. Each first meets its band's least set; what these links don't
-    already connect then meets every other candidate of the band, so that neither a large group nor a large band is cut.
+    ``copy`` is the text's MD5, ``set`` a hash of its shingles; sets are linked whose Jaccard similarity, counted on the whole sets (48 bits of
+    each shingle's hash), is ``similarity`` or more. Candidates share a band. Each bucket of a band, without those that repeat another's members, comes with its
+    sets to one task, which searches for links that span what all links connect, so that pairs are never rows. A bucket of more than
+    ``most`` sets is dealt to blocks, each with the bucket's least set; what the blocks leave apart from the
+    bucket's largest component then meets every block, ``most`` at a time, so that no candidate is left out.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,43 +438,50 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
         for b in batches:
             for at, data, offsets in text_slices(b.column("text")):
                 hashes, bounds = shingle_sets(data, offsets, words)
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("set").slice(at, len(offsets) - 1), lists], ["set", "shingles"])
+                sets = [_packed(hashes[low:high]) for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("set").slice(at, len(sets)), pa.array(sets, pa.binary())], ["set", "shingles"])
         give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_md5().alias("copy"), "text")
     table = durable(texts.mapInArrow(sign, "doc_id long, copy string, set long, size long, keys array<long>"))
-    rows_ = table.where("size > 0").select("set", "size", F.explode("keys").alias("key")).distinct()
-    least = rows_.groupBy("key").agg(F.min_by(F.struct("set", "size"), "set").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = durable(rows_.join(least.select("key", F.col("low.set").alias("low"), F.col("low.size").alias("low_size")), "key"))
+    members = table.where("size > 0").select("set", F.explode("keys").alias("key")).distinct()
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor(F.xxhash64("set")).alias("sum")).where("n > 1")
+    buckets = buckets.groupBy("n", "low", "sum").agg(F.min("key").alias("key"))  # of buckets with the same members, one
+    shared = durable(members.join(buckets.select("key", "n", "low"), "key"))
     wanted = table.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("copy").alias("copy"))
-    sets = durable(texts.select("copy", "text").join(wanted, "copy").dropDuplicates(["copy"]).select("set", "text").mapInArrow(shingles, "set long, shingles array<long>"))
-
-    up, down = similarity.numerator, similarity.denominator
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, a_size, b_size) that are similar; |a & b| / |a | b| >= up / down in whole numbers."""
-        near = pairs.where((F.col("a_size") * down >= F.col("b_size") * up) & (F.col("b_size") * down >= F.col("a_size") * up)).distinct()
-        both = near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("a_shingles")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("b_shingles")), "b")
-        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-        return both.where(common * (up + down) >= (F.col("a_size") + F.col("b_size")) * up).select("a", "b")
-
-    edges = durable(verified(shared.where("set <> low").select(F.col("low").alias("a"), F.col("set").alias("b"), F.col("low_size").alias("a_size"), F.col("size").alias("b_size"))))
-    roots = components(edges).select(F.col("node").alias("set"), "root")
-    own = shared.join(roots, "set", "left").select("key", "set", "size", "low", F.coalesce("root", "set").alias("root"))
-    mixed = own.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    own = durable(own.where("set <> low").join(mixed, "key", "left_semi").select("key", "set", "size", "root"))
-    other = own.select("key", F.col("set").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-    more = own.join(other, "key").where("set < b AND root <> b_root").select(F.col("set").alias("a"), "b", F.col("size").alias("a_size"), "b_size")
-    every = edges.unionByName(durable(verified(more)))
-    return table.select("doc_id", "copy", "set"), components(every).select(F.col("node").alias("set"), "root")
+    sets = durable(texts.select("copy", "text").join(wanted, "copy").dropDuplicates(["copy"]).select("set", "text").mapInArrow(shingles, "set long, shingles binary"))
+
+    def links(tasks: DataFrame) -> DataFrame:
+        """The spanning links of rows (task, set, root)."""
+        dealt = tasks.join(sets, "set").select("task", "set", "root", "shingles").repartition("task").sortWithinPartitions("task")
+        return durable(dealt.mapInArrow(lambda b: _linked(b, similarity), "a long, b long"))
+
+    blocks = F.ceil(F.col("n") / most)
+    own = shared.withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), blocks))
+    pilots = shared.where((F.col("n") > most) & (F.col("set") == F.col("low"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    every = own.select("key", "block", "set").unionByName(pilots.select("key", "block", "set")).distinct() if not pilots.isEmpty() else own
+    edges = links(every.select(F.xxhash64("key", "block").alias("task"), "set", F.col("set").alias("root")))
+    large = shared.where(F.col("n") > most)
+    if not large.isEmpty():
+        roots = components(edges).select(F.col("node").alias("set"), "root")
+        own = durable(own.where(F.col("n") > most).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+        counted = own.groupBy("key", "root").agg(F.count("*").alias("rows"))
+        main = counted.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"))
+        apart = main.where("all > most").select("key", "main", F.ceil((F.col("all") - F.col("most")) / most).alias("turns"))
+        own = own.join(apart, "key")
+        loose = own.where("root <> main").withColumn("turn", F.pmod(F.xxhash64("set", F.lit(2)), F.col("turns")))
+        probes = loose.select("key", "set", "root", "turn", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+        base = own.select("key", "set", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
+        both = base.select("key", "block", "turn", "set", "root").unionByName(probes.select("key", "block", "turn", "set", "root")).distinct()
+        edges = edges.unionByName(links(both.select(F.xxhash64("key", "block", "turn").alias("task"), "set", "root")))
+    return table.select("doc_id", "copy", "set"), components(edges).select(F.col("node").alias("set"), "root")
 
 
 def text_md5() -> Column:
     return F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Fraction(4, 5), bands: int = 20, rows: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Fraction(4, 5), bands: int = 20, rows: int = 4, most: int = 4096) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id, then the smallest MD5 of its text; null doc_ids come last.
 
     Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and a group is a connected component.
@@ -398,7 +490,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction =
     different texts loses none of them for its number; of rows equal in both, one stays. Null and empty texts and others without words are copies
     of one another. An empty table stays empty; extra columns of any name are carried along.
     """
-    table, roots = similar_sets(docs, words, similarity, bands, rows)
+    table, roots = similar_sets(docs, words, similarity, bands, rows, most)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")
     kept = table.join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("group")).agg(F.min(order).alias("least"))
     kept = kept.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.copy").alias("_kept_copy"))

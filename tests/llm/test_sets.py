@@ -165,9 +165,18 @@ def test_near_copies_dropped(spark):
         base[rng.randint(0, 399)] = f"x{i}"
         rows.append((50_000 + rng.randint(0, 40), " ".join(base)))
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, set int, root int")
-    out = simhash.drop_near_duplicates(df)
-    assert out.columns == df.columns
-    assert Counter((r.doc_id, r.text or "") for r in out.collect()) == brute_survivors(rows)
+    straddling = [f"u{rng.randint(0, 10**6)}" for _ in range(120)]
+    for i in range(150):  # copies of one text with few to many edits, so that some have no link, or only links to some
+        own = list(straddling)
+        for k in rng.sample(range(120), rng.randint(0, 8)):
+            own[k] = f"y{i}x{k}"
+        rows.append((60_000 + i, " ".join(own)))
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, set int, root int")
+    want = brute_survivors(rows)
+    for most in (4096, 9):  # the second deals large buckets to blocks
+        out = simhash.drop_near_duplicates(df, most=most)
+        assert out.columns == df.columns
+        assert Counter((r.doc_id, r.text or "") for r in out.collect()) == want
 
 
 def test_survivors_are_rows(spark):
