@@ -14,8 +14,13 @@ def class_metrics(rows: DataFrame, truth: str, guess: str, keys: Sequence[str] =
     Classes are all values of truth and guess. 0 stands for 0 / 0; kappa is null when chance agreement is 1. Only the
     confusion table (classes squared) is shuffled after its partial counts.
     """
-    keys = list(keys)
     cells = rows.groupBy(*keys, F.col(truth).cast("string").alias("t"), F.col(guess).cast("string").alias("p")).agg(F.count("*").alias("n"))
+    return confusion_metrics(cells, keys)
+
+
+def confusion_metrics(cells: DataFrame, keys: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """The same from a confusion table (*keys, t, p, n), rounded to ``digits``."""
+    keys = list(keys)
     side = F.explode(F.array(F.struct(F.col("t").alias("c"), F.lit(1).alias("is_t"), F.lit(0).alias("is_p")), F.struct(F.col("p").alias("c"), F.lit(0).alias("is_t"), F.lit(1).alias("is_p"))))
     by = cells.select(*keys, "n", "t", "p", side.alias("s")).groupBy(*keys, F.col("s.c").alias("c")).agg(
         F.sum(F.col("n") * F.col("s.is_t")).alias("support"), F.sum(F.col("n") * F.col("s.is_p")).alias("named"),
@@ -27,7 +32,7 @@ def class_metrics(rows: DataFrame, truth: str, guess: str, keys: Sequence[str] =
     total = F.sum("support")
     weigh = lambda c: zero(F.sum(F.col(c) * F.col("support")), total)
     agreed, chance = F.sum("hit") / total, F.sum(F.col("support") * F.col("named")) / (total * total)
-    round_ = lambda c: F.round(c, 6)
+    round_ = lambda c: F.round(c, digits)
     return by.groupBy(*keys).agg(
         total.cast("long").alias("total"), F.sum("hit").cast("long").alias("correct"), round_(agreed).alias("accuracy"),
         round_(F.avg("pr")).alias("precision_macro"), round_(weigh("pr")).alias("precision_weighted"),

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plotloom.functions import numbers as N
 from plotloom.functions import text as T
 from plotloom.operators import metrics as M
 from plotloom.operators import relate as R
+from plotloom.plans.registry import query
 from plotloom.sources.readers import result_key
 from plotloom.streaming.windows import segments
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _METRICS = """
 , cells AS (SELECT {k} t, p, count(*) n FROM base GROUP BY ALL)
 , sides AS (SELECT {k} t AS c, n AS support, 0 AS named, CASE WHEN t = p THEN n ELSE 0 END AS hit FROM cells UNION ALL SELECT {k} p, 0, n, 0 FROM cells)

@@ -1,6 +1,6 @@
 import pytest
 
-from plotloom.plans import catalogue
+from plotloom.plans.all_queries import QUERIES, SQL
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.01"
@@ -11,6 +11,6 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", catalogue.QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_query(spark, duck, name):
-    compare(catalogue.QUERIES[name](spark, SF), duck, catalogue.SQL[name])
+    compare(QUERIES[name](spark, SF), duck, SQL[name])
