@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from plotloom.llm.common import WORD, durable, durable_by, give_back, let_go, mix64, ragged, text_slices
 from plotloom.llm.lyndon import suffix_arrays
 
-_STRING, _SEED_BYTES, _GROUP_BYTES, _BUCKET_BYTES, _PIECE = 50, 24, 2 << 20, 32 << 20, 1 << 20
+_STRING, _SEED_BYTES, _GROUP_BYTES, _BUCKET_BYTES, _PIECE = 50, 24, 2 << 20, 32 << 20, 1 << 18
+#: Bytes of fragments that are sorted together.
+_SORTED = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Classes of more distinct fragments than this are parted again by longer substrings before they are sorted.
 _MANY = 192
@@ -117,6 +119,21 @@ def earliest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np
     begin = np.concatenate([[0], np.cumsum(windows)])
     if not len(starts):
         return begin, np.zeros(0, np.int64)
+    parts = -(-int((ends - starts).sum()) // _SORTED)
+    if parts > 1 and not level:  # classes are independent, so memory stays that of one part
+        share = (mix64(classes) % np.uint64(parts)).astype(np.int64)
+        out = np.zeros(int(begin[-1]), np.int64)
+        for part in range(parts):
+            own = np.flatnonzero(share == part)
+            out[ragged(begin[own], windows[own])] = _earliest(data, starts[own], ends[own], classes[own], docs[own], level)
+        return begin, out
+    return begin, _earliest(data, starts, ends, classes, docs, level)
+
+
+def _earliest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray, docs: np.ndarray, level: int) -> np.ndarray:
+    windows = ends - starts - _STRING + 1
+    if not len(starts):
+        return np.zeros(0, np.int64)
     pick, number = _distinct(data, starts, ends, classes)
     least = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(least, number, docs)
@@ -142,15 +159,15 @@ def earliest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np
     order = order[each[order] > 1]
     load = np.cumsum((e - s)[order] + 1)
     at = 0
-    while at < len(order):  # classes of like size side by side, about a megabyte at a time
-        to = int(np.searchsorted(load, (load[at - 1] if at else 0) + _PIECE, "right"))
+    while at < len(order):  # classes of like size side by side
+        to = int(np.searchsorted(load, (load[at - 1] if at else 0) + (_SORTED >> 1), "right"))
         to = max(to, at + 1)
         while to < len(order) and c[order[to]] == c[order[to - 1]]:
             to += 1
         some = np.sort(order[at:to])
         _sort_classes(data, s[some], e[some], c[some], least[some], own[some], out)
         at = to
-    return begin, out[ragged(own[number], windows)]
+    return out[ragged(own[number], windows)]
 
 
 def _sort_classes(data: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray, least: np.ndarray, own: np.ndarray, out: np.ndarray) -> None:
@@ -169,10 +186,10 @@ def _sort_classes(data: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray,
     order, fragment = order[full], fragment[full]
     klass = c[fragment]
     same = np.zeros(len(order), bool)
-    for low in range(1, len(order), 100_000):
-        a, b = order[low - 1 : low - 1 + 100_000], order[low : low + 100_000]
+    step, block = np.arange(_STRING), 8192
+    for low in range(1, len(order), block):
+        a, b = order[low - 1 : low - 1 + block], order[low : low + block]
         a = a[: len(b)]
-        step = np.arange(_STRING)
         same[low : low + len(b)] = (klass[low : low + len(b)] == klass[low - 1 : low - 1 + len(b)]) & (text[a[:, None] + step] == text[b[:, None] + step]).all(1)
     heads = np.flatnonzero(~same)
     if len(heads):
