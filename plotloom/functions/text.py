@@ -17,6 +17,11 @@ ARTICLES = ("a", "an", "the")
 LETTERS = "ABCD"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def answer_letter(response: Column) -> Column:
     """The option letter of a free answer, or null; rules from the first character down to the only letter that occurs."""
     text = F.trim(response)
