@@ -49,6 +49,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Has Spark send rows to Python in Arrow batches of ``rows``, as its own 10,000 whole texts take tens of megabytes on either side.
+
+    Spark reads the setting when a plan runs, so it holds for the session; another value that somebody has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def let_go(spark: SparkSession) -> None:
     """Has Spark delete shuffle files and checkpoints that no plan refers to any more; by itself it waits for the driver's memory to fill."""
     gc.collect()

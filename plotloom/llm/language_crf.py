@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, give_back, mix64, ragged, text_slices, unique_words, word_bounds
+from plotloom.llm.common import WORD, give_back, mix64, ragged, small_batches, text_slices, unique_words, word_bounds
 
 _BEGIN, _END = 2, 3
 _CHUNK = 64
@@ -229,6 +229,7 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     gives an empty result. No shuffle of texts but of the bounded training sample.
     """
     crf = learn(docs) if model is None else model
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # 2**17 rows for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +268,7 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
     letter stays. Repeated rows, null doc_ids and extra columns of any name stay as they are; an empty table stays empty. The model learns
     from ``docs`` as ``identify`` does.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))  # 2**17 rows for each language
     columns = docs.columns
 

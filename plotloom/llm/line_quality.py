@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import byte_hashes, durable, give_back, mix64, text_slices, unique_words, word_bounds
+from plotloom.llm.common import byte_hashes, durable, give_back, mix64, small_batches, text_slices, unique_words, word_bounds
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -118,6 +118,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     hold costs one row a task; the lines above the limits join back under adaptive execution, which broadcasts them
     only if their measured size allows and otherwise splits the hot ones.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("source").cast("string").alias("host"))
     schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, line_hashes array<long>, line_words array<long>"
     base = durable(rows.mapInArrow(_features, schema).withColumn("row", F.monotonically_increasing_id()))

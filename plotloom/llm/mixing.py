@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, durable, give_back, hex_bucket, mix64, prefix_sums, text_slices, word_bounds
+from plotloom.llm.common import WORD, durable, give_back, hex_bucket, mix64, prefix_sums, small_batches, text_slices, word_bounds
 
 #: The catalogue of sources, a row for each, is held by the driver and by each task: more than this many are refused.
 MOST_SOURCES = 200_000
@@ -241,5 +241,6 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float
                 yield pa.RecordBatch.from_arrays([pa.array(text, kind) if c == "text" else rest.column(c) for c in columns], columns)
         give_back()
 
+    small_batches(docs.sparkSession)
     out = whole.mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

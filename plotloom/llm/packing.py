@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import give_back, text_slices
+from plotloom.llm.common import give_back, small_batches, text_slices
 from plotloom.llm.word_bpe import WordBpe, word_bpe
 
 TIERS = (256, 512, 1024, 2048)
@@ -66,7 +66,7 @@ def pack(lengths: Sequence[int], tiers: Sequence[int] = TIERS) -> list[tuple[int
 
 def _encoded(bpe: WordBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(tokens of each text, ids one after another), encoded in slices, as the work arrays are many times as large as the text."""
-    parts = [bpe.encode(data, offsets) for _, data, offsets in text_slices(texts, 1 << 20)]
+    parts = [bpe.encode(data, offsets) for _, data, offsets in text_slices(texts)]
     return np.concatenate([tokens for tokens, _ in parts]), np.concatenate([ids.astype("<u4") for _, ids in parts])
 
 
@@ -135,4 +135,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, tiers: Sequence[int] = TIERS
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
         give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import byte_hashes, durable, give_back, lower_ascii, mix64, ragged, text_slices, unique_words, word_bounds
+from plotloom.llm.common import byte_hashes, durable, give_back, lower_ascii, mix64, ragged, small_batches, text_slices, unique_words, word_bounds
 from plotloom.llm.components import components
 
 _BITS = 64
@@ -269,6 +269,7 @@ def fingerprint_table(docs: DataFrame, words: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(offsets) - 1), pa.array(fingerprints(data, offsets, words).view(np.int64))], ["doc_id", "print"])
         give_back()
 
+    small_batches(docs.sparkSession)
     return durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long"))
 
 
@@ -442,6 +443,7 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
                 yield pa.RecordBatch.from_arrays([b.column("set").slice(at, len(sets)), pa.array(sets, pa.binary())], ["set", "shingles"])
         give_back()
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_md5().alias("copy"), "text")
     table = durable(texts.mapInArrow(sign, "doc_id long, copy string, set long, size long, keys array<long>"))
     members = table.where("size > 0").select("set", F.explode("keys").alias("key")).distinct()

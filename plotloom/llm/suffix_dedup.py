@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, durable, durable_by, give_back, let_go, mix64, ragged, text_slices
+from plotloom.llm.common import WORD, durable, durable_by, give_back, let_go, mix64, ragged, small_batches, text_slices
 from plotloom.llm.lyndon import suffix_arrays
 
 _STRING, _SEED_BYTES, _GROUP_BYTES, _BUCKET_BYTES, _PIECE = 50, 24, 2 << 20, 32 << 20, 1 << 18
@@ -286,6 +286,7 @@ def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
     nothing was removed.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.octet_length("text").alias("n")).where(F.col("n") >= _STRING)
     total = rows.agg(F.sum(F.col("n").cast("long")).alias("n")).first().n or 0

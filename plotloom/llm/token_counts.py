@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotloom.llm.common import small_batches
+
 _META = "▁"
 
 
@@ -116,5 +118,6 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, chunk: int
             tokens = each[distinct.indices.to_numpy()] if len(text) else each[:0]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(text.cast(pa.binary())).cast(pa.int64()), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
