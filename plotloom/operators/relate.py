@@ -68,3 +68,79 @@ def weighted_pick(rows: DataFrame, group: Sequence[str], value: str, seed: str =
     up = F.sum("n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(by)
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", *group, F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
     return counts.withColumn("up", up).withColumn("u", draw).where("up > u").groupBy(*group).agg(F.min_by(value, "up").alias(value))
+
+
+def look_back_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, weight: str, keep: int = 20) -> DataFrame:
+    """Adds middle (the lower one), mean, highest and latest of the last ``keep`` values of a key, and the mean and the weighted mean so far."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    last, all_ = by.rowsBetween(1 - keep, 0), by.rowsBetween(Window.unboundedPreceding, 0)
+    held = F.array_sort(F.collect_list(value).over(last))
+    return rows.withColumns({
+        "middle": F.get(held, ((F.size(held) - 1) / 2).cast("int")), "mean": F.avg(value).over(last), "highest": F.max(value).over(last), "latest": F.col(value),
+        "so_far": F.avg(value).over(all_), "weighted": F.try_divide(F.sum(F.col(value) * F.col(weight)).over(all_), F.sum(weight).over(all_)),
+    })
+
+
+def neighbours(queries: DataFrame, docs: DataFrame, k: int, skip: Column | None = None) -> DataFrame:
+    """(query_id, rank, doc_key, score) of each query (query_id, index, v) in its own index of docs (index, pos, doc_key, v).
+
+    The best ``k`` by cosine, ties by ``pos``; with -1 all, in the order of ``pos``; with 1, where the best is the summary, the second too, so that a clip
+    always comes. An index is one video's memory, so the join is on it.
+    """
+    pairs = queries.join(docs.withColumnRenamed("v", "_d"), "index")
+    pairs = pairs if skip is None else pairs.where(~skip)
+    rows = pairs.withColumn("score", F.try_divide(dot(F.col("v"), F.col("_d")), F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("_d"), F.col("_d"))))).drop("v", "_d")
+    by = Window.partitionBy("query_id")
+    rows = rows.withColumn("rank", F.row_number().over(by.orderBy("pos") if k == -1 else by.orderBy(F.desc("score"), "pos")))
+    if k == -1:
+        return rows.select("query_id", "rank", "doc_key", "score")
+    rows = rows.where(F.col("rank") <= max(k, 2))
+    best = F.max(F.when(F.col("rank") == 1, F.col("doc_key"))).over(by)
+    keep = (F.col("rank") <= k) | ((best == "summary") & (F.col("rank") <= 2)) if k == 1 else F.col("rank") <= k
+    return rows.withColumn("_k", keep).where("_k").select("query_id", "rank", "doc_key", "score")
+
+
+def run_counters(work: DataFrame, done: DataFrame, failed: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, total, skipped, processed, failed): skipped was done before; of the rest, failed are those listed."""
+    mark = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    rows = work.join(mark(done, "_d"), list(keys), "left").join(mark(failed, "_f"), list(keys), "left")
+    old, bad = F.coalesce("_d", F.lit(False)), F.coalesce("_f", F.lit(False))
+    return rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(old).alias("skipped"), F.count_if(~old & ~bad).alias("processed"), F.count_if(~old & bad).alias("failed"))
+
+
+def shuffled(rows: DataFrame, key: str, epochs: int = 1, within: Sequence[str] = ()) -> DataFrame:
+    """Each row once an epoch with its ``place`` in that epoch's order, by the MD5 of key and epoch, in each group of ``within``."""
+    out = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+    drawn = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("epoch").cast("string")))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("epoch", *within).orderBy(drawn, key)))
+
+
+def drawn_mixture(rows: DataFrame, source: str, key: str, ratios: dict[str, float], draws: int, seed: str) -> DataFrame:
+    """(draw, key, source): each draw takes a source by its ratio, then that source's next row; a source that runs out starts again.
+
+    The sources of a mixture are a configuration; only their names and sizes are on the driver.
+    """
+    total, up, borders = sum(ratios.values()), 0.0, []
+    for name in sorted(ratios):
+        up += ratios[name]
+        borders.append((name, up / total))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    pick = F.lit(None).cast("string")
+    for name, border in reversed(borders):
+        pick = F.when(u < border, name).otherwise(pick)
+    drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn(source, pick)
+    sizes = rows.groupBy(source).agg(F.count("*").alias("_n"))
+    drawn = drawn.join(F.broadcast(sizes), source)  # a row a source
+    drawn = drawn.withColumn("seat", ((F.row_number().over(Window.partitionBy(source).orderBy("draw")) - 1) % F.col("_n")).cast("long"))
+    order = F.row_number().over(Window.partitionBy(source).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), key)) - 1
+    return drawn.join(rows.withColumn("seat", order.cast("long")), [source, "seat"]).select("draw", key, source)
+
+
+def pick_by_weight(rows: DataFrame, group: Sequence[str], value: str, weight: str, seed: str = "0") -> DataFrame:
+    """One value for each group in proportion to its weight, by the MD5 of group and seed; weights that are all 0 count alike."""
+    by = Window.partitionBy(*group)
+    own = F.when(F.sum(weight).over(by) > 0, F.col(weight)).otherwise(1)
+    rows = rows.withColumn("_w", own)
+    up = F.sum("_w").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_w").over(by)
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(g).cast("string") for g in group), F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return rows.withColumn("up", up).withColumn("u", draw).where("up > u").groupBy(*group).agg(F.min_by(value, "up").alias(value))
