@@ -1 +1,142 @@
-"""Placeholder."""
+"""Queries of the reader views, over annotation rows that stand on the part table."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plotloom.plans.registry import query
+from plotloom.sources import views as W
+
+
+def annotation_rows(t) -> DataFrame:
+    """Rows with the fields of every reader."""
+    k, name, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
+    text = k.cast("string")
+    said = lambda v: F.struct(v.alias("value"))
+    box = F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3), F.lit(0.4))
+    word = F.struct(brand.alias("word"), F.struct(F.lit(0.1).alias("top_left_x"), F.lit(0.2).alias("top_left_y"), F.lit(0.3).alias("width"), F.when(k % 4 == 0, 0.9).otherwise(0.4).alias("height")).alias("bounding_box"))
+    fields = {
+        "image": F.concat(F.when(k % 3 == 0, "val/COCO_").otherwise("train/COCO_"), text, F.lit(".jpg")), "image_id": text, "instance_id": text, "question": name, "question_id": F.concat(F.lit("q"), text), "answers_": F.array(brand),
+        "choices": F.array(brand, F.lit("x")), "correct_choice_idx": F.lit(0), "direct_answers": F.array(brand), "image_path": F.concat(F.lit("a/b"), text, F.lit(".png")), "analysis": F.concat(F.lit("why\nAnswer:"), brand),
+        "grounded_caption": F.concat(F.lit("g "), name), "detailed_caption": name, "caption": F.when(k % 2 == 0, F.array_join(F.array_repeat(name, 40), " ")).otherwise(name), "img_id": F.concat(F.lit("i"), text), "sents": name, "inputs": name, "targets": brand,
+        "instances": F.array(F.struct(name.alias("instruction_with_input"), F.when(k % 2 == 0, "be brief").alias("constraints"), brand.alias("output"))), "conversations": F.array(said(F.concat(F.lit("<image>\n"), name)), said(brand), said(F.lit("more")), said(F.lit("yes"))), "id": text,
+        "qa_id": text, "deck_name": F.lit("deck"), "evidence_pages": F.when(k % 2 == 0, F.array(F.lit(4))).otherwise(F.array(F.lit(4), F.lit(5))), "key": text, "imageURL": F.lit("http://x/y.gif"), "split": F.when(k % 2 == 0, "train").otherwise("val"), "questions": F.array(name, F.lit("who")),
+        "answers": F.array(brand, F.lit("me")), "bbox_": F.array(F.lit(10.0), F.lit(20.0), F.lit(30.0), F.lit(40.0)), "utf8_string": brand, "width": F.when(k % 2 == 0, 100.0).otherwise(200.0), "height": F.lit(100.0), "image_index": text, "question_string": name,
+        "caption_str": name, "ocr_info": F.array(word), "sample": text, "noun_chunks": F.array(F.concat(F.array(F.lit(0.0), F.lit(4.0)), box)), "ref_exps": F.array(F.concat(F.array(F.lit(0.0), F.lit(4.0)), box)), "objects": F.array(brand), "bbox": F.array(box), "phrase": name, "x": F.lit(20.0), "y": F.lit(30.0),
+        "image_width": F.lit(400.0), "image_height": F.lit(200.0), "data_id": text, "instructions": F.array(name), "action": F.array(F.lit("left"), F.lit("right")), "n_steps": F.lit(3), "stroke": F.array(*(F.lit(float(v)) for v in (1, 2, 3, 4, 0.5, 0, 1, 0))), "strokes": F.array(F.array_repeat(F.lit(0.2), 13)), "tag": F.lit("[detail]"),
+        "captions": F.array(name), "loc_y": F.lit(3), "loc_x": F.lit(5), "rgb": F.array(F.lit(1), F.lit(2), F.lit(3)), "file_name": F.concat(text, F.lit(".jpg")), "refers": F.array(name), "mask": F.lit(1), "video_id": text, "q": name, "a": brand, "q1": name, "q2": brand, "videoid": text, "name": F.concat(F.lit("x-y:"), name), "page_dir": F.lit("p"),
+        "vid_name": text, "show_name": F.lit("Castle"), **{f"a{i}": F.lit(str(i)) for i in range(5)}, "answer_idx": F.lit("2"), "img": text, "text": name, "label": F.when(k % 2 == 0, 1).otherwise(0), "frames": F.lit("<F>"),
+    }
+    return t("part").select(k, *(v.alias(n) for n, v in fields.items()))
+
+
+def samples(rows: DataFrame, name: str) -> DataFrame:
+    """(reader, p_partkey, image, asked, answer) of one reader; what it lacks is null."""
+    view = W.VIEWS[name]
+    kinds = dict(f.split(":", 1) for f in _fields(view.schema))
+    own = rows
+    if kinds.get("answer", "").startswith("array"):
+        own = own.withColumn("answer", F.col("answers_"))
+    elif "answer" in kinds:
+        own = own.withColumn("answer", F.get("answers_", 0))
+    if kinds.get("answers", "").startswith("array<struct"):
+        own = own.withColumn("answers", F.transform("answers", lambda a: F.struct(a.alias("answer"))))
+    if kinds.get("bbox") == "array<double>":
+        own = own.withColumn("bbox", F.col("bbox_"))
+    if kinds.get("split") == "int":
+        own = own.withColumn("split", F.when(F.col("split") == "train", 1).otherwise(2))
+    if view.scan == "keyed_pairs":
+        own = W.question_pairs(own)
+    columns = view.columns()
+    asked = next((columns[c] for c in ("instruction_input", "question", "conv_q", "image_id") if c in columns), F.lit(None))
+    answer = next((columns[c] for c in ("answer", "labels", "conv_a", "answers", "question_id", "img_id", "instance_id") if c in columns), F.lit(None))
+    own = own.withColumn("_key", F.md5(F.concat_ws("|", F.col("p_partkey").cast("string"), F.lit(name))))
+    own = own if view.where is None else own.where(view.where())
+    return own.select(F.lit(name).alias("reader"), "p_partkey", columns.get("image", F.lit(None)).cast("string").alias("image"), asked.cast("string").alias("asked"), answer.cast("string").alias("answer"))
+
+
+def _fields(schema: str) -> list[str]:
+    out, depth, at = [], 0, 0
+    for i, ch in enumerate(schema):
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            out.append(schema[at:i])
+            at = i + 1
+    return [*out, schema[at:]]
+
+
+def _clean(x: str) -> str:
+    return f"array_to_string(string_split(trim(regexp_replace(regexp_replace(lower({x}), '[.!\"()*#:;~]', ' ', 'g'), ' {{2,}}', ' ', 'g')), ' ')[1:50], ' ')"
+
+
+_I = "'<Img><ImageHere></Img> ' || "
+_CAP = "CASE WHEN k % 2 = 0 THEN array_to_string(list_transform(range(40), lambda i: n), ' ') ELSE n END"
+_N, _B = _clean("n"), _clean("b")
+#: (reader, image, asked, answer, which rows)
+_LEGS = [
+    ("AOKVQAReasoningDataset", "'b' || k || '.png'", f"{_I}'[vqa] ' || {_N} || ' '", "b", ""),
+    ("COCOVQAEvalDataset", "img", f"{_I}'Question: ' || {_N} || ' Short answer: '", "'q' || k", ""),
+    ("GQAEvalDataset", "img", f"{_I}'[vqa] Based on the image, respond to this question with a short answer: ' || {_N} || ' '", "b", ""),
+    ("GroundedCaptionReasonDataset", "file", f"{_I}'[vqa] ' || {_N}", "b", ""),
+    ("CaptionReasonDataset", "file", f"{_I}'[reasoning] ' || {_N}", "'g ' || n || ' short answer: ' || b", ""),
+    ("ReasoningDataset", "k || '.jpg'", f"{_I}n || ' '", "b", ""),
+    ("OCRVQADataset", "k || '.gif'", f"{_I}'Q: ' || {_N} || ' A:  '", _B, "k % 2 = 0"),
+    ("OCRVQADataset", "k || '.gif'", f"{_I}'Q: who A:  '", "'me'", "k % 2 = 0"),
+    ("TextOCRDataset", "k || '.jpg'", f"{_I}CASE WHEN k % 2 = 0 THEN '[OCR]  <10><20><40><60>' ELSE '[OCR]  <5><20><20><60>' END", "b", ""),
+    ("PlotVQADataset", "k || '.png'", f"'Q: ' || {_I}n || '  A:'", "b", ""),
+    ("CaptionDataset", "lpad(k::VARCHAR, 12, '0') || '.jpg'", "k::VARCHAR", _clean(_CAP), ""),
+    ("COCOCapEvalDataset", "img", "'' || k", "k::VARCHAR", ""),
+    ("CCSBUAlignDataset", "k || '.jpg'", "k::VARCHAR", _CAP, ""),
+    ("CCSBUDataset", "k || '.jpg'", "NULL", _clean(_CAP), ""),
+    ("EvalCaptionData", "file", "'[caption] please describe this image?'", "NULL", ""),
+    ("TextCapBboxToObjectDataset", "k || '.jpg'", f"{_I}'[OCR] {{<10><20><40><60>}}'", "b", "k % 4 <> 0"),
+    ("RefCOCOEvalData", "'i' || k || '.jpg'", "'[refer] where is ' || n || '?'", "'i' || k", ""),
+    ("LlavaDetailDataset", "'COCO_train2014_' || k || '.jpg'", f"{_I}{_N} || ' '", "b", ""),
+    ("LlavaConversationDataset", "'COCO_train2014_' || k || '.jpg'", f"{_I}n || ' !@#more'", "b || '!@#yes'", ""),
+    ("CoTDataset", "NULL", "n", "b", ""),
+    ("UnnaturalDataset", "NULL", "n || CASE WHEN k % 2 = 0 THEN ' be brief' ELSE '' END", "b", ""),
+    ("NavR2RDataset", "k || '/0.jpg,' || k || '/1.jpg'", "'Command: ' || n || chr(10) || chr(10) || '<ImageHere> A: !@#<ImageHere> A: '", "'left!@#right'", ""),
+    ("PaintPTCOCODataset", "k || '.jpg'", "'<Image><ImageHere><Canvas><ImageHere> Next Stroke: '", "'(1,2,3,4,90,0,255,0)'", ""),
+    ("PaintLanRLOpaqueCOCODataset", "k || '.jpg'", "'Task: ' || n || chr(10) || 'Canvas: <ImageHere> Action: '", "'[detail]0(51,51,51,51,51,51,51,51,51,51,51)'", ""),
+    ("PaintPixelCOCODataset", "file", f"{_I}'[reconstruct] loc: [3,5] rgb: '", "'[1,2,3]'", "k % 3 <> 0"),
+    ("SegReferCOCODataset", "k || '.jpg'", f"{_I}'[segmentation] ' || n || ' loc: [3,5] mask: '", "'1'", "k % 2 = 0"),
+    ("WebVidDataset", "'p/' || k || '.mp4'", "NULL", "n", ""),
+    ("VideoChatGPTDataset", "k || '.mp4'", "'<F>' || chr(10) || n", "b", ""),
+    ("TVQAEVAL", "'castle_frames/' || k", "'<F>' || chr(10) || n || ' ' || chr(10) || chr(10) || ' As you watched in this video Choose ONE suitable answer from these mutiple choices ' || chr(10) || chr(10) || array_to_string(list_transform(range(5), lambda i: 'option ' || i || ': ' || i || ' ' || chr(10) || chr(10)), '') || chr(10) || ' Your output should be THE NUMBER OF THE CORRECT ANSWER FROM THE CHOICES FROM 0 TO 4 INCLUSIVE'", "'2'", ""),
+    ("OKVQAEvalData", "lpad(k::VARCHAR, 12, '0') || '.jpg'", "'[vqa] Based on the image, respond to this question with a short answer: ' || n", "'q' || k", ""),
+    ("VizWizEvalData", "img", "'[vqa] Based on the image, respond to this question with a short answer: ' || n || ' and reply ''unanswerable'' if you could not answer it'", "b || '_me'", ""),
+    ("IconQAEvalData", "k || '/image.png'", "'[vqa] Based on the image, respond to this question with a short answer: ' || n", "b", ""),
+    ("HMEvalData", "k::VARCHAR", "'[vqa] This is an image with: \"' || n || '\" written on it. Is it hateful? Answer:'", "CASE WHEN k % 2 = 0 THEN '1' ELSE '0' END", ""),
+    ("VSREvalData", "img", f"'[vqa] Based on the image, is this statement true or false? ' || {_CAP}", "CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END", ""),
+]
+_ROWS = "WITH r AS (SELECT p_partkey k, p_name n, p_brand b, CASE WHEN p_partkey % 3 = 0 THEN 'val/COCO_' ELSE 'train/COCO_' END || p_partkey || '.jpg' img, 'COCO_' || p_partkey || '.jpg' AS file FROM part) "
+#: Readers that draw a template: their samples are held against the pools.
+_SQL = _ROWS + " UNION ALL ".join(f"SELECT '{r}' reader, k p_partkey, {i} image, {'NULL' if r == 'WebVidDataset' else a} asked, {w} answer FROM r" + (f" WHERE {o}" if o else "") for r, i, a, w, o in _LEGS)
+
+
+@query(_SQL)
+def reader_samples(t):
+    rows = annotation_rows(t)
+    out = []
+    for name in dict.fromkeys(leg[0] for leg in _LEGS):
+        own = samples(rows, name)
+        out.append(own.withColumn("asked", F.lit(None).cast("string")) if name == "WebVidDataset" else own)  # its template is drawn
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}')" for r in sorted(W.VIEWS)) + ") v(reader) CROSS JOIN (SELECT count(*) n FROM part)")
+def all_readers(t):
+    rows = annotation_rows(t)
+    counted = [samples(rows, name).groupBy("reader").agg(F.count("*").alias("n")) for name in W.VIEWS]
+    kept = reduce(DataFrame.unionByName, counted)
+    return t("part").agg(F.count("*").alias("n")).crossJoin(kept.select("reader")).select("reader", "n")
+
+
+@query(_ROWS + "SELECT kind, k p_partkey, asked FROM r, (VALUES " + ", ".join(f"({i}, 'slide', '{p}')" for i, p in enumerate(("<Img><ImageHere></Img> {}", "<Img><ImageHere></Img> From this slide, {}"))) + ") p(i, kind, tpl), LATERAL (SELECT replace(tpl, '{}', " + _N + ") asked) WHERE k % 2 = 0 AND ('0x' || md5(md5(k || '|SingleSlideVQADataset'))[1:8])::BIGINT % 2 = i UNION ALL SELECT 'vqa', k, '<Img><ImageHere></Img> ' || replace(tpl, '{}', " + _N + ") || ' ' FROM r, (VALUES (0, '[vqa] {}'), (1, '[vqa] Based on the image, respond to this question with a short answer: {}')) p(i, tpl) WHERE ('0x' || md5(md5(k || '|GQADataset'))[1:8])::BIGINT % 2 = i")
+def drawn_templates(t):
+    rows = annotation_rows(t)
+    kinds = (("slide", "SingleSlideVQADataset"), ("vqa", "GQADataset"))
+    return reduce(DataFrame.unionByName, [samples(rows, n).select(F.lit(k).alias("kind"), "p_partkey", "asked") for k, n in kinds])
