@@ -15,7 +15,7 @@ def story_events(t) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     scene = F.concat_ws("_", F.date_format("ts", "MMdd"), F.lit("scene"), F.lpad(F.hour("ts").cast("string"), 3, "0"))
     subjects = F.when(e % 19 == 0, F.array().cast("array<string>")).when(e % 2 == 0, F.array(F.concat(F.lit("S"), u % 7), F.concat(F.lit("T"), u % 5))).otherwise(F.array(F.concat(F.lit("S"), u % 7)))
-    text = F.when(e % 41 == 0, "All").when(e % 43 == 0, F.concat(F.lit("Unknown "), e)).when(e % 47 == 0, F.concat(F.lit("All left "), e)).otherwise(F.concat(F.lit("Ev "), (e / 2).cast("long")))
+    text = F.when(e % 41 == 0, "All").when(e % 43 == 0, F.concat(F.lit("Unknown "), e)).when(e % 47 == 0, F.concat(F.lit("All left "), e)).otherwise(F.concat(F.lit("Ev "), F.when(e % 6 == 1, e - 1).otherwise(e)))
     place = F.when(e % 37 == 0, "").when(F.col("value") > 200, "unknown room").otherwise(F.concat("event_type", F.when(u % 3 == 0, " Hall").otherwise(" Bar")))
     return t("events").select(
         F.date_format("ts", "MMdd").alias("episode"), F.concat(scene, F.lit("_event_"), F.lpad(e.cast("string"), 9, "0")).alias("event_id"), text.alias("description"), place.alias("location"),
@@ -25,7 +25,7 @@ def story_events(t) -> DataFrame:
 
 _E = """
 WITH e AS (SELECT strftime(ts, '%m%d') episode, strftime(ts, '%m%d') || '_scene_' || lpad(hour(ts)::VARCHAR, 3, '0') || '_event_' || lpad(event_id::VARCHAR, 9, '0') event_id,
-CASE WHEN event_id % 41 = 0 THEN 'All' WHEN event_id % 43 = 0 THEN 'Unknown ' || event_id WHEN event_id % 47 = 0 THEN 'All left ' || event_id ELSE 'Ev ' || (event_id // 2) END description,
+CASE WHEN event_id % 41 = 0 THEN 'All' WHEN event_id % 43 = 0 THEN 'Unknown ' || event_id WHEN event_id % 47 = 0 THEN 'All left ' || event_id ELSE 'Ev ' || CASE WHEN event_id % 6 = 1 THEN event_id - 1 ELSE event_id END END description,
 CASE WHEN event_id % 37 = 0 THEN '' WHEN value > 200 THEN 'unknown room' ELSE event_type || CASE WHEN user_id % 3 = 0 THEN ' Hall' ELSE ' Bar' END END AS location,
 CASE WHEN event_id % 19 = 0 THEN [] WHEN event_id % 2 = 0 THEN ['S' || (user_id % 7), 'T' || (user_id % 5)] ELSE ['S' || (user_id % 7)] END subjects,
 CASE WHEN event_id % 11 = 0 THEN '' ELSE strftime(ts, '%m%d') || '_scene_' || lpad(hour(ts)::VARCHAR, 3, '0') END clip, strftime(ts, '%H:%M:%S') AS started, epoch(ts)::BIGINT % 86400 AS start FROM events),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from collections.abc import Iterator, Sequence
 
@@ -42,7 +43,8 @@ def keyed(spark: SparkSession, path: str, schema: str, field: str | None = None)
 
 def lines(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
     """One row for each JSON line."""
-    return spark.read.schema(schema).json([paths] if isinstance(paths, str) else list(paths))
+    text = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    return text.select(F.from_json("value", f"struct<{schema}>").alias("a")).select("a.*")
 
 
 def nested(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -64,6 +66,13 @@ def shards(spark: SparkSession, path: str, schema: str, most_bytes: int = 1 << 3
     task's; ``most_bytes`` bounds its size.
     """
 
+    def readable(body: bytes) -> str | None:
+        try:
+            text = body.decode("utf-8")
+            return text if isinstance(json.loads(text), dict) else None
+        except ValueError:
+            return None
+
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for shard, content in zip(f["path"], f["content"], strict=True):
@@ -76,7 +85,7 @@ def shards(spark: SparkSession, path: str, schema: str, most_bytes: int = 1 << 3
                                 found.setdefault(stem, {})[end] = archive.extractfile(member).read() if end == "json" else b""
                 except (tarfile.TarError, EOFError, OSError):
                     pass
-                rows = [(shard, k, v["json"].decode("utf-8", "replace")) for k, v in found.items() if "json" in v and "jpg" in v]
+                rows = [(shard, k, body) for k, v in found.items() if "json" in v and "jpg" in v and (body := readable(v["json"])) is not None]
                 yield pd.DataFrame(rows, columns=["shard", "sample", "body"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).where(F.col("length") <= most_bytes).select("path", "content")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def segments(events: DataFrame, length: str = "80 seconds", late: str = "10 minutes") -> DataFrame:
@@ -20,18 +22,58 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "10 minutes") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def look_back(events: DataFrame, key: str, value: str, keep: int = 20) -> DataFrame:
-    """For each batch of a stream and key: lower median, mean, max and last of the last ``keep`` values."""
+def look_back(events: DataFrame, key: str, value: str, keep: int = 20, forget: str = "1 day", late: str = "10 minutes") -> DataFrame:
+    """For each batch of a stream and key: lower median, mean, max and last of the last ``keep`` values, by time.
+
+    A key that nothing came for in ``forget`` of event time is forgotten, so that the state stays that of the keys in use.
+    """
+    wait = int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         values = list(state.get[0]) if state.exists else []
-        for f in frames:
-            values = (values + f.sort_values("ts")[value].tolist())[-keep:]
+        fresh = pd.concat(list(frames)).sort_values("ts")
+        values = (values + fresh[value].tolist())[-keep:]
         state.update((values,))
+        state.setTimeoutTimestamp(max(int(fresh["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
         ordered = sorted(values)
         yield pd.DataFrame([(str(name[0]), ordered[(len(ordered) - 1) // 2], sum(values) / len(values), ordered[-1], values[-1])], columns=["key", "median", "mean", "max", "last"])
 
-    return events.groupBy(key).applyInPandasWithState(step, "key string, median double, mean double, max double, last double", "values array<double>", "update", "NoTimeout")
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, "key string, median double, mean double, max double, last double", "values array<double>", "update", "EventTimeTimeout")
+
+
+def with_resume(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Runs ``work`` over what the source has that no earlier run finished, and appends its rows as parquet; a finished batch is marked in the checkpoint."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        work(rows).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is run again replaces itself
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def interleaved(streams: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
+    """The rows of several streams with their source's name; how they alternate is the trigger's, not fixed."""
+    out = None
+    for rows, name in zip(streams, names, strict=True):
+        one = rows.withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def endless(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:
+    """(ts, value) without an end."""
+    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().withColumnRenamed("timestamp", "ts")
+
+
+def poll(ready: Callable[[], bool], tries: int = 10, wait: float = 0.5) -> bool:
+    """Asks until it is ready, ``tries`` times at most, waiting twice as long each time."""
+    for k in range(tries):
+        if ready():
+            return True
+        time.sleep(min(60.0, wait * 2**k))
+    return ready()
 
 
 def stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plotloom.functions import numbers as N
 from plotloom.functions import text as T
 from plotloom.operators import metrics as M
+from plotloom.operators import subtitles
 from plotloom.plans.all_queries import QUERIES
 from plotloom.sources import readers, writers
 from plotloom.streaming import windows
@@ -79,8 +80,11 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "v/ep1.vtt").write_text("WEBVTT\n\n00:01:10.000 --> 00:01:20.500\nHello\nyou\n\n01:20.500 --> 01:30.000\nBye\n")
     cues = readers.cues(spark, str(tmp_path / "v"))
     assert [tuple(r) for r in cues.orderBy("pos").collect()] == [("ep1", 0, 70.0, 80.5, "Hello you"), ("ep1", 1, 80.5, 90.0, "Bye")]
-    vtt = writers.clip_subtitles(cues.withColumn("clip_no", F.lit(1))).first()
-    assert vtt.file == "0001.vtt" and "00:01:10.000 --> 00:01:20.500\nHello you" in vtt.vtt
+    files = {r.file: r.vtt for r in subtitles.clip_files(cues, 80.0).collect()}
+    assert files == {"0001.vtt": "WEBVTT\n\n00:01:10.000 --> 00:01:20.000\nHello you\n", "0002.vtt": "WEBVTT\n\n00:00:00.000 --> 00:00:00.500\nHello you\n\n00:00:00.500 --> 00:00:10.000\nBye\n"}
+    total = spark.createDataFrame([("ep1", 250.0)], "video_id string, total double")
+    assert [r.vtt for r in subtitles.clip_files(cues, 80.0, total).orderBy("file").collect()][2:] == ["WEBVTT\n", "WEBVTT\n"]
+    assert subtitles.whole_vtt(cues).first().vtt.startswith("WEBVTT\n\n00:01:10.000 --> 00:01:20.500\nHello you\n\n00:01:20.500")
     (tmp_path / "k.json").write_text(json.dumps({"b": {"n": 1}, "a": {"n": 2}}))
     assert [(r.key, r.value.n) for r in readers.keyed_objects(spark, str(tmp_path / "k.json"), "struct<n:int>").orderBy("pos").collect()] == [("b", 1), ("a", 2)]
     left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,)], "k int")
