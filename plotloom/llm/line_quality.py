@@ -93,7 +93,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.n
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, data, offsets in text_slices(batch.column("text")):
+        for at, data, offsets in text_slices(batch.column("text"), 2 << 20):
             counts, lines = text_features(data, offsets)
             n = len(offsets) - 1
             whole = byte_hashes(data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)).view(np.int64)
