@@ -113,7 +113,7 @@ def archive_members(spark: SparkSession, parts: Sequence[str], keep: str = "frie
                     out.append((m.name, next((p for p in m.name.split("/") if "season" in p.lower()), None), m.size))
         return pd.DataFrame(out, columns=["member", "season", "bytes"])
 
-    return rows.groupBy(F.lit(1)).applyInPandas(unpack, "member string, season string, bytes long")
+    return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda f: unpack(f.drop(columns="_one")), "member string, season string, bytes long")
 
 
 def vqa_pair(spark: SparkSession, annotation_path: str, question_path: str) -> tuple[DataFrame, DataFrame]:
