@@ -141,12 +141,12 @@ def caption_clean(text: Column, words: int = 50) -> Column:
 
 
 def punctuation(text: Column) -> Column:
-    """A mark goes if the input has it next to a space or holds digit,digit; else it becomes a space. Full stops go unless a digit follows."""
+    """A mark goes if the input has it next to a space or holds digit,digit; else it becomes a space. The first 32 full stops that no digit follows go."""
     out, comma = text, text.rlike(r"[0-9],[0-9]")
     for m in MARKS:
         beside = text.contains(m + " ") | text.contains(" " + m) | comma
         out = F.replace(out, F.lit(m), F.when(beside, "").otherwise(" "))
-    return F.regexp_replace(out, r"\.(?![0-9])", "")
+    return F.array_join(F.split(out, r"\.(?![0-9])", 33), "")
 
 
 def digits_articles(text: Column, contractions: dict[str, str] | None = None) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +40,88 @@ def last_by(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> Dat
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def top_cosine(queries: DataFrame, docs: DataFrame, k: int, block: int = 256) -> DataFrame:
+def top_cosine(queries: DataFrame, docs: DataFrame, k: int, asked: int = 4096, held: int = 65536) -> DataFrame:
     """(query_id, rank, doc_id, score): the ``k`` best of docs (doc_id, v) for each query (query_id, v), ties to the smaller doc_id.
 
-    Vectors are scaled once. Queries are a stated set, cut into blocks; a block meets each part of the documents once and only its
-    best ``k`` leave it.
+    Both sides are dealt to blocks, of about ``asked`` queries and ``held`` documents. A pair of blocks meets in one task, as a product of two
+    matrices, and only each query's best ``k`` leave it, so that pairs are never rows and nothing is broadcast. Vectors without a length score null
+    and come last; one of another length than the query's takes no part.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c)))
-    q = queries.select("query_id", unit(F.col("v")).alias("_q")).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(block)))
-    held = q.groupBy("_block").agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
-    scored = docs.select("doc_id", unit(F.col("v")).alias("_d")).crossJoin(held).select("doc_id", "_d", F.explode("_qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "doc_id", dot(F.col("q._q"), F.col("_d")).alias("score")).where("query_id <> doc_id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    n, m = docs.count(), queries.count()
+    rows, turns = max(1, -(-n // held)), max(1, -(-m // asked))
+    block = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts))
+    spread = lambda parts, name: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+    left = docs.select("doc_id", F.transform("v", lambda x: x.cast("double")).alias("v"), block("doc_id", rows).alias("row"), spread(turns, "turn"))
+    right = queries.select("query_id", F.transform("v", lambda x: x.cast("double")).alias("v"), block("query_id", turns).alias("turn"), spread(rows, "row"))
+
+    def best(own: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(some):
+            own = own.sort_values("doc_id", kind="stable")
+            ids = own["doc_id"].to_numpy()
+            wide = own["v"].map(len).to_numpy()
+            for size, few in some.groupby(some["v"].map(len)):
+                fit = np.flatnonzero(wide == size)
+                if not len(fit) or not size:
+                    continue
+                base = np.stack(own["v"].to_numpy()[fit])
+                length = np.sqrt((base * base).sum(1))
+                for q, v in zip(few["query_id"], few["v"], strict=True):
+                    v = np.asarray(v, float)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = (base / length[:, None]) @ (v / np.sqrt((v * v).sum()))
+                    at = fit[ids[fit] != q] if (ids[fit] == q).any() else fit
+                    score = score[ids[fit] != q]
+                    order = np.argsort(-np.where(np.isnan(score), -np.inf, score), kind="stable")[:k]
+                    out.extend((q, ids[at[i]], score[i]) for i in order)
+        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
+
+    kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+    found = left.groupBy("row", "turn").cogroup(right.groupBy("row", "turn")).applyInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def in_order(rows: DataFrame, key: str, name: str, buckets: int = 256, sample: int = 20_000) -> DataFrame:
+    """Adds ``name``: the row's number from 0 in the order of the distinct values of ``key``, without bringing all rows to one task.
+
+    Borders come from a sample of keys by hash, of about ``sample``; each bucket is numbered on its own, and the counts of at most
+    ``buckets`` buckets give its first number.
+    """
+    n = rows.count()
+    few = rows.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // sample)))) == 0).select(key).limit(2 * sample).collect()
+    keys = sorted(r[0] for r in few)
+    borders = sorted({keys[len(keys) * k // buckets] for k in range(1, buckets)}) if keys else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(key))) if borders else F.lit(0)
+    laid = rows.withColumn("_bucket", bucket)
+    counts, first, total = dict(map(tuple, laid.groupBy("_bucket").count().collect())), {}, 0
+    for b in sorted(counts):
+        first[b], total = total, total + counts[b]
+    start = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))[F.col("_bucket")] if first else F.lit(0)
+    return laid.withColumn(name, F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1 + start).drop("_bucket")
+
+
+def ring_draws(rows: DataFrame, key: str, group: Sequence[str], value: str, k: int) -> DataFrame:
+    """Adds others: up to ``k`` values of the row's group besides its own, drawn by hash.
+
+    The group's distinct values sit in a ring in the order of their MD5; a row starts at the place of its own hash and takes what follows. A row
+    looks up k + 1 places, so neither a group's values nor pairs of row and value are ever gathered.
+    """
+    group = list(group)
+    pool = rows.select(*group, value).distinct().withColumn("_h", F.concat(F.md5(value), F.lit("|"), value))
+    if group:
+        by = Window.partitionBy(*group)
+        pool = pool.withColumn("_seat", F.row_number().over(by.orderBy("_h")) - 1)
+        rows = rows.join(pool.groupBy(*group).agg(F.count("*").alias("_n")), group)
+    else:
+        pool = in_order(pool, "_h", "_seat")
+        rows = rows.withColumn("_n", F.lit(pool.count()))
+    start = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    wanted = rows.select(*group, key, F.col(value).alias("_own"), "_n", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n") - 1).cast("int"))).alias("_i"))
+    wanted = wanted.withColumn("_seat", ((start + F.col("_i")) % F.col("_n")).cast("int"))
+    found = wanted.join(pool.drop("_h").withColumn("_seat", F.col("_seat").cast("int")), [*group, "_seat"]).where(F.col(value) != F.col("_own"))
+    held = found.groupBy(*group, key).agg(F.slice(F.array_sort(F.collect_list(F.struct("_i", value))), 1, k).alias("_x"))
+    return rows.drop("_n").join(held, [*group, key], "left").withColumn("others", F.coalesce(F.transform("_x", lambda x: x[value]), F.array().cast("array<string>"))).drop("_x")
 
 
 def hash_sample(rows: DataFrame, key: str, k: int, seed: str = "0", group: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plotloom.functions import text as T
 from plotloom.functions.numbers import to_seconds
+from plotloom.operators.relate import in_order, ring_draws
 
 QUESTION = ("episode", "event_id", "kind", "question", "options", "answer_index", "related", "clips", "ok")
 
@@ -70,12 +71,11 @@ def first_of_group(rows: DataFrame, keys: list[str], order: str, k: int, *values
 
 def location_recall(events: DataFrame) -> DataFrame:
     """Where an event was, against three other valid places of its episode."""
-    places = events.where(F.col("location") != "").groupBy("episode").agg(F.collect_set("location").alias("places"))
+    valid = events.where(T.valid_option(F.col("location"))).select("episode", "event_id", "location")
+    others = ring_draws(valid, "event_id", ["episode"], "location", 3).select("event_id", "others")
     text = F.concat(F.lit("Where did "), F.lower("description"), F.lit(" when "), F.array_join("subjects", " and "), F.lit(" were present?"))
-    other = F.filter("places", lambda p: (p != F.col("location")) & T.valid_option(p))
-    others = F.transform(F.slice(F.array_sort(F.transform(other, lambda p: F.struct(drawn(F.col("event_id"), p).alias("h"), p.alias("p")))), 1, 3), lambda s: s["p"])
-    rows = _askable(events).join(places, "episode")
-    return _finished(rows.withColumn("question", text).withColumn("answer", F.col("location")).withColumn("others", others), "location", "L")
+    rows = _askable(events).join(others, "event_id", "left").withColumn("others", F.coalesce("others", F.array().cast("array<string>")))
+    return _finished(rows.withColumn("question", text).withColumn("answer", F.col("location")), "location", "L")
 
 
 def subject_recall(events: DataFrame) -> DataFrame:
@@ -223,25 +223,6 @@ def place_sequences(events: DataFrame, asked: int = 2, size: int = 4) -> DataFra
     return held.select("episode", "location", "turn", text.alias("question"), options.alias("options"), slot.alias("answer_index"), F.transform("e", lambda x: x["event_id"]).alias("related"), F.lit(True).alias("ok"))
 
 
-def in_order(rows: DataFrame, key: str, name: str, buckets: int = 256, sample: int = 20_000) -> DataFrame:
-    """Adds ``name``: the row's number from 0 in the order of the distinct values of ``key``, without bringing all rows to one task.
-
-    Borders come from a sample of keys by hash, at most ``sample``; each bucket is numbered on its own, and the counts of at most
-    ``buckets`` buckets give its first number.
-    """
-    n = rows.count()
-    few = rows.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // sample)))) == 0).select(key).limit(2 * sample).collect()
-    keys = sorted(r[0] for r in few)
-    borders = sorted({keys[len(keys) * k // buckets] for k in range(1, buckets)}) if keys else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(key))) if borders else F.lit(0)
-    laid = rows.withColumn("_bucket", bucket)
-    counts, first, total = dict(map(tuple, laid.groupBy("_bucket").count().collect())), {}, 0
-    for b in sorted(counts):
-        first[b], total = total, total + counts[b]
-    start = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))[F.col("_bucket")] if first else F.lit(0)
-    return laid.withColumn(name, F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1 + start).drop("_bucket")
-
-
 def numbered_questions(events: DataFrame, spans: int = 3, asked: int = 2) -> DataFrame:
     """All questions of all families with ids ``Q_<episode>_<number>``; attempts that give no question leave gaps."""
     none = lambda c: F.lit(None).cast(c)

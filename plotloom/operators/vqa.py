@@ -215,7 +215,7 @@ def prior_contexts(questions: DataFrame, contexts: DataFrame, train: DataFrame,
     Each question draws from the hash order of the training ids, starting at its own hash, so questions differ without a pair of each with each.
     The training ids are numbered in hash order; a draw is ``shots`` places that follow each other.
     """
-    from plotloom.operators.stories import in_order
+    from plotloom.operators.relate import in_order
 
     order = F.md5(F.concat_ws("|", F.col("example_id").cast("string"), F.lit(seed)))
     line = in_order(train.withColumn("_h", order), "_h", "at").select("at", "example_id")

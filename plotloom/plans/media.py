@@ -114,7 +114,7 @@ def first_texts(t):
 
 @query("WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS clip_no, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS caption, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END subtitle FROM documents) SELECT clip_no * 2 AS pos, 'caption__' || lpad(clip_no::VARCHAR, 5, '0') doc_key, caption AS text FROM d WHERE caption <> '' UNION ALL SELECT clip_no * 2 + 1, 'subtitle__' || lpad(clip_no::VARCHAR, 5, '0'), subtitle FROM d WHERE subtitle IS NOT NULL")
 def memory_documents(t):
-    from plotloom.operators.stories import in_order
+    from plotloom.operators.relate import in_order
 
     d = in_order(t("documents").select("doc_id", "lang", "source"), "doc_id", "at")
     clips = d.select((F.col("at") + 1).alias("clip_no"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("lang")).alias("caption"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("subtitle"))

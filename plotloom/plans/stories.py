@@ -48,8 +48,9 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.where("ok").select("episode", "event_id", "kind", "question", F.array_join("options", "|").alias("options"), "answer_index")
 
 
-@query(_E + """, p AS (SELECT DISTINCT episode, location p FROM e WHERE location <> '' AND NOT starts_with(location, 'unknown')), d AS (SELECT e.event_id, p, row_number() OVER (PARTITION BY e.event_id ORDER BY md5(e.event_id || '|' || p), p) rn FROM e JOIN p ON e.episode = p.episode AND e.location <> p),
-o AS (SELECT event_id, list(p ORDER BY rn) others FROM d WHERE rn <= 3 GROUP BY 1), a AS (SELECT episode, event_id, 'Where did ' || lower(description) || ' when ' || array_to_string(subjects, ' and ') || ' were present?' question, location AS answer, others FROM e JOIN o USING (event_id) WHERE location <> '' AND len(subjects) > 0)
+@query(_E + """, p AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY md5(p) || '|' || p) - 1 seat, count(*) OVER (PARTITION BY episode) n FROM (SELECT DISTINCT episode, location p FROM e WHERE location <> '' AND NOT starts_with(location, 'unknown'))),
+d AS (SELECT e.event_id, p, k FROM e JOIN (SELECT DISTINCT episode, n FROM p) z USING (episode), range(0, 4) r(k), p WHERE p.seat = (('0x' || md5(event_id)[1:8])::BIGINT + k) % z.n AND p.episode = e.episode AND k < z.n AND e.location <> p AND e.location <> '' AND NOT starts_with(e.location, 'unknown')),
+o AS (SELECT event_id, list(p ORDER BY k)[1:3] others FROM d GROUP BY 1), a AS (SELECT episode, event_id, 'Where did ' || lower(description) || ' when ' || array_to_string(subjects, ' and ') || ' were present?' question, location AS answer, others FROM e JOIN o USING (event_id) WHERE location <> '' AND len(subjects) > 0)
 """ + _made("location", "L"))
 def recall_location(t):
     return _shown(S.location_recall(story_events(t)))
