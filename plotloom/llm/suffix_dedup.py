@@ -24,10 +24,10 @@ from plotloom.llm.lyndon import suffix_arrays
 
 _STRING, _SEED_BYTES, _GROUP_BYTES, _BUCKET_BYTES, _PIECE = 50, 24, 2 << 20, 32 << 20, 1 << 18
 #: Bytes of fragments that are sorted together.
-_SORTED = 1 << 20
+_SORTED = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Classes of more distinct fragments than this are parted again by longer substrings before they are sorted.
-_MANY = 192
+_MANY = 16
 #: A fragment has at most so many strings; the equal ones that a long run is cut into count as one.
 _LONG = 2048
 #: Classes that more groups than this have are parted again before they travel.
