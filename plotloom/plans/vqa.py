@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotloom.functions import numbers as N
 from plotloom.functions import text as T
+from plotloom.operators import models as P
 from plotloom.operators import vqa as V
 from plotloom.plans.registry import query
 
@@ -185,3 +186,42 @@ def few_shots(t):
 def contractions(t):
     text = F.concat(F.lit("The Couldnt TWO an cats "), F.when(F.col("p_partkey") % 2 == 0, "theyve").otherwise("somebody'd"))
     return t("part").select("p_partkey", T.digits_articles(text).alias("words"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '' ELSE upper(p_name) END response, CASE WHEN p_size % 7 = 0 THEN 'no size ' || p_size END AS error FROM part")
+def model_rows(t):
+    def shout(prompt: str) -> str:
+        size, name = prompt.split("|")
+        if int(size) % 7 == 0:
+            raise ValueError(f"no size {size}")
+        return name.upper()
+
+    return P.call_rows(t("part").select("p_partkey", F.concat_ws("|", "p_size", "p_name").alias("prompt")), "prompt", shout).select("p_partkey", "response", "error")
+
+
+@query("WITH b AS (SELECT o_custkey, o_orderkey, o_orderstatus, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 8 b FROM orders), f AS (SELECT o_custkey, b, bool_or(o_orderstatus = 'P') bad FROM b GROUP BY ALL) SELECT o_orderkey, CASE WHEN bad THEN NULL ELSE lower(o_orderstatus) END response, CASE WHEN bad THEN 'partial' END AS error FROM b JOIN f USING (o_custkey, b)")
+def model_batches(t):
+    def lower(prompts: list[str]) -> list[str]:
+        if "P" in prompts:
+            raise ValueError("partial")
+        return [p.lower() for p in prompts]
+
+    rows = P.in_batches(t("orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
+    return P.call_batches(rows, ["o_custkey"], "o_orderkey", "o_orderstatus", lower).select("o_orderkey", "response", "error")
+
+
+@query("SELECT p_partkey, length(p_name)::DOUBLE size, CASE WHEN p_size % 2 = 0 THEN 'yes' END pred, CASE WHEN p_retailprice > 1000 THEN p_brand || chr(10) || chr(10) || 'Question: ' || p_type ELSE p_type END prompt, 'Q: ' || p_name || chr(10) || 'A:' || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' ' || p_brand END shot FROM part")
+def model_inputs(t):
+    rows = P.embedded(t("part").select("p_partkey", "p_name", "p_size", "p_brand", "p_type", "p_retailprice"), "p_name", lambda texts: [[float(len(x))] for x in texts])
+    verdicts = t("part").where("p_size % 2 = 0").select("p_partkey", F.lit("yes").alias("pred"), F.lit(5.0).alias("score"))
+    asked = P.answer_route(F.col("p_retailprice"), F.col("p_brand"), F.col("p_type"), long=1000.0)
+    shot = P.shot_text(F.col("p_name"), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")))
+    return P.judged_by(rows, verdicts, ["p_partkey"]).select("p_partkey", F.get("embedding", 0).cast("double").alias("size"), "pred", asked["prompt"].alias("prompt"), shot.alias("shot"))
+
+
+@query("SELECT split, count(*) n FROM (SELECT CASE WHEN s_nationkey % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM supplier UNION ALL SELECT 'train' FROM customer WHERE c_nationkey % 5 <> 0) GROUP BY 1")
+def united_splits(t):
+    s = t("supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"), "s_acctbal")
+    c = t("customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"), "c_mktsegment")
+    sets = P.by_split({"s": {"train": s.where("k % 5 <> 0"), "val": s.where("k % 5 = 0")}, "c": {"train": c.where("k % 5 <> 0")}})
+    return P.split_sizes(sets["train"].withColumn("split", F.lit("train")).unionByName(sets["val"].withColumn("split", F.lit("val")), allowMissingColumns=True))

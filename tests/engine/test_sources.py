@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plotloom.operators import evaluation, subtitles, vqa
 from plotloom.plans import all_queries, media, stories
 from plotloom.plans.evaluation import results
-from plotloom.sources import scans, views, writers
+from plotloom.sources import fetch, scans, views, writers
 from plotloom.sources.registry import Registry
 from plotloom.streaming import windows
 
@@ -147,6 +147,17 @@ def test_sinks(spark, tmp_path):
     assert json.loads(spark.range(1).select(writers.pretty(F.struct(F.lit("é").alias("a"))).alias("x")).first().x) == {"a": "é"}
 
 
+def test_fetching(spark, tmp_path):
+    put(tmp_path / "site/a.html", "A"), put(tmp_path / "site/c.html", "C")
+    listed = [("a.html", str(tmp_path / "site/a.html"), None), ("b.html", str(tmp_path / "site/none"), None), ("c.html", str(tmp_path / "site/c.html"), "0" * 32), ("d.txt", "x", None)]
+    listing = fetch.scripts(spark.createDataFrame(listed, "name string, url string, md5 string"))
+    get = lambda url: open(url, "rb").read()
+    for want in ({"a.html": "fetched", "b.html": "failed", "c.html": "failed"}, {"a.html": "kept", "b.html": "failed", "c.html": "failed"}):
+        assert {r.name: r.state for r in fetch.fetched(listing, str(tmp_path / "got"), get, 2).collect()} == want
+    assert (tmp_path / "got/a.html").read_text() == "A"
+    assert {r.state: r.n for r in fetch.counted(fetch.fetched(listing, str(tmp_path / "got"), get, 2)).collect()} == {"kept": 1, "failed": 2}
+
+
 def test_registry():
     r = Registry()
     r.register("task", "vqa")(int)
