@@ -175,3 +175,15 @@ def ordered_distinct(options: Column) -> Column:
 
 def join_prompt(parts: Sequence[Column], mark: str = "\n") -> Column:
     return F.concat_ws(mark, *parts)
+
+
+def padded_id(number: Column, digits: int) -> Column:
+    """The number with leading zeros; longer ones stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)
+
+
+def override(text: Column) -> Column:
+    """struct<key, path> of ``key=path``, cut at the first '='; a text without one is a key alone."""
+    parts = F.split(text, "=", 2)
+    return F.struct(F.get(parts, 0).alias("key"), F.get(parts, 1).alias("path"))

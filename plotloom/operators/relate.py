@@ -216,3 +216,14 @@ def pick_by_weight(rows: DataFrame, group: Sequence[str], value: str, weight: st
     up = F.sum("_w").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_w").over(by)
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(g).cast("string") for g in group), F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
     return rows.withColumn("up", up).withColumn("u", draw).where("up > u").groupBy(*group).agg(F.min_by(value, "up").alias(value))
+
+
+def grouped_join(rows: DataFrame, others: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the list of their values, rows without any); the second must be empty where every row has to have one."""
+    lists = others.groupBy(key).agg(F.collect_list(value).alias(value))
+    return rows.join(lists, key), rows.join(lists, key, "left_anti")
+
+
+def on_leaves(tree: Column, f) -> Column:
+    """A map of arrays with ``f`` on every element."""
+    return F.transform_values(tree, lambda _, v: F.transform(v, lambda x: f(x)))

@@ -236,3 +236,20 @@ def numbered_questions(events: DataFrame, spans: int = 3, asked: int = 2) -> Dat
     every = reduce(DataFrame.unionByName, [*recall, boolean, temporal, latest, orders])
     number = F.row_number().over(Window.partitionBy("episode").orderBy("family", "o1", "o2"))
     return every.withColumn("question_id", F.concat(F.lit("Q_"), "episode", F.lit("_"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))).where("ok").drop("ok", "family", "o1", "o2")
+
+
+def by_location(events: DataFrame) -> DataFrame:
+    """(episode, location, events): each place's events in order; blank places are left out."""
+    return events.where(F.coalesce(F.col("location"), F.lit("")) != "").groupBy("episode", "location").agg(F.array_sort(F.collect_list(F.struct("event_id", "description"))).alias("events"))
+
+
+def question_statistics(questions: DataFrame) -> DataFrame:
+    """(kind, name, n): the seven histograms of a question set, and how many there are; one shuffle of partial counts."""
+    cell = lambda kind, name, where=None: F.struct(F.lit(kind).alias("kind"), (name if where is None else F.when(where, name)).alias("name"))
+    size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
+    cells = F.array(
+        cell("total", F.lit("total_questions")), cell("question_type", F.col("question_type")), cell("subcategory", F.col("subcategory")), cell("cue", F.concat("cues", F.lit(" -> "), "target"), F.col("cues") != ""), cell("target", F.col("target"), F.col("target") != ""),
+        cell("episode_span", F.concat(size("episode_span"), F.lit(" episode(s)")), size("episode_span") > 0), cell("clip_span", F.concat(size("clip_span"), F.lit(" clip(s)")), size("clip_span") > 0),
+        cell("answer", F.char(F.col("answer_index") + 65), F.col("answer_index").between(0, 3)),
+    )
+    return questions.select(F.explode(F.filter(cells, lambda c: c["name"].isNotNull())).alias("c")).groupBy("c.kind", "c.name").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotloom.functions.text import paragraphs, title
+from plotloom.functions.text import paragraphs, question_kept, title
 
 TURN = "struct<speaker:string,text:string>"
 EVENT = "struct<event_id:string,event_description:string,involved_subjects:array<string>,location:string,timestamp:string,episode_clip:string>"
@@ -40,6 +40,15 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", F.posexplode(rows).alias("pos", "q")).select("path", "pos", "q.*")
 
 
+def kept_questions(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """The rows of ``questions`` that an evaluation keeps, without the first ``skip`` of all (by file and place), which a checkpoint has done."""
+    rows = questions(spark, path)
+    if skip:
+        rows = rows.orderBy("path", "pos").offset(skip)
+    empty = F.array().cast("array<string>")
+    return rows.where(question_kept(F.coalesce("question", F.lit("")), F.coalesce("options", empty), F.coalesce("answer_index", F.lit(-1))))
+
+
 def result_key(path):
     """(model, run, context, nn) columns from a result file's path; rows of other folders have a null context."""
     plain = lambda k: F.regexp_extract(path, r"results_[^/]+/([^/]+)/(with_context|without_context)/(run_[^/]+)/[^/]+\.json$", k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plotloom.operators import evaluation, subtitles, vqa
 from plotloom.plans import all_queries, media, stories
 from plotloom.plans.evaluation import results
-from plotloom.sources import fetch, scans, views, writers
+from plotloom.sources import fetch, readers, scans, views, writers
 from plotloom.sources.registry import Registry
 from plotloom.streaming import windows
 
@@ -147,6 +147,23 @@ def test_sinks(spark, tmp_path):
     assert json.loads(spark.range(1).select(writers.pretty(F.struct(F.lit("é").alias("a"))).alias("x")).first().x) == {"a": "é"}
 
 
+def test_readers_of_episodes(spark, tmp_path):
+    scene = {"scene_description": "x", "dialogue": [{"speaker": "R", "text": "hi"}], "events": [{"event_id": "e1"}], "clip_start": 3}
+    put(tmp_path / "ep/0101.json", {"episode": "0101", "scenes": [scene]})
+    row = readers.episodes(spark, str(tmp_path / "ep")).first()
+    assert row.episode == "0101" and row.scenes[0].dialogue[0].text == "hi" and row.scenes[0].clip_start == "3" and row.title is None
+    put(tmp_path / "l.jsonl", '{"a": 1}\n{"a": 2}\n')
+    assert sorted(r.a for r in readers.json_lines(spark, str(tmp_path / "l.jsonl"), "a int").collect()) == [1, 2]
+    put(tmp_path / "qa/a.json", [{"question_id": "q1", "question": "Who called?"}, {"question_id": "q2", "question": "Who?", "options": ["x"], "answer_index": 0}])
+    put(tmp_path / "qa/b.json", {"qa_dataset": [{"question_id": "q3", "question": "Why?", "options": ["All"]}, {"question_id": "q4"}]})
+    assert sorted(r.question_id for r in readers.kept_questions(spark, str(tmp_path / "qa")).collect()) == ["q2", "q4"]
+    assert sorted(r.question_id for r in readers.kept_questions(spark, str(tmp_path / "qa"), skip=2).collect()) == ["q4"]
+    tree = tmp_path / "tree/results_vanilla/m/with_context/run_1"
+    put(tree / "a.json", [{"question_id": "q1"}])
+    rows = readers.questions(spark, str(tree)).select(*readers.result_key(F.col("path")))
+    assert tuple(rows.first()) == ("m", "run_1", "with_context", "vanilla")
+
+
 def test_fetching(spark, tmp_path):
     put(tmp_path / "site/a.html", "A"), put(tmp_path / "site/c.html", "C")
     listed = [("a.html", str(tmp_path / "site/a.html"), None), ("b.html", str(tmp_path / "site/none"), None), ("c.html", str(tmp_path / "site/c.html"), "0" * 32), ("d.txt", "x", None)]
