@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotloom.llm.common import WORD, give_back, mix64, ragged, small_batches, text_slices, unique_words, word_bounds
@@ -194,26 +195,29 @@ def _fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4, F.lit(-1))
 
 
-def learn(docs: DataFrame, documents: int = 300, words: int = 128, salts: int = 64) -> Crf:
-    """A model from at most ``documents`` documents of each language, the smallest by hash, and a window of at most ``words`` words of each.
+def learn(docs: DataFrame, documents: int = 300, words: int = 128) -> Crf:
+    """A model from at most ``documents`` distinct texts of each language, the smallest by hash, and a window of at most ``words`` words of each.
 
-    Only rows with a language whose crc32(doc_id) mod 4 is 0, 1 or 3 are learned from. Each language is dealt over ``salts``
-    parts, so that the task that picks its documents reads at most ``salts`` times ``documents`` hashes.
+    Only rows with a language whose crc32(doc_id) mod 4 is 0, 1 or 3 are learned from. The languages' row counts say up to which hash
+    about twice as many texts lie; those come to the driver, which takes the smallest. So no task meets a whole language, and a text's
+    copies meet as one. A null or empty lang, text or doc_id isn't learned from; an empty table gives a model without languages.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 2))
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
-    first, salted = Window.partitionBy("lang").orderBy("h"), Window.partitionBy("lang", "salt").orderBy("h")
-    few = hashed.select("lang", "h", F.pmod("h", F.lit(salts)).alias("salt")).withColumn("rn", F.row_number().over(salted)).where(F.col("rn") <= documents)
-    last = few.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= documents).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    if not last:
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 2)).select("lang", "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    if not counts:
         return Crf.fit([])
-    cut = F.create_map(*(F.lit(x) for r in last for x in (r.lang, r.h)))  # a number for each language, so no text moves to be picked
-    listed = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1 << 31, (2 * documents << 31) // r.n))))
+    picked = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 31))).where(F.col("h") < cut[F.col("lang")])
+    listed = picked.select("lang", "h", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all"))
     begin = F.pmod(F.col("h"), F.greatest(F.size("all") - words, F.lit(0)) + 1).cast("int") + 1
-    picked = hashed.where(F.col("h") <= cut[F.col("lang")])
-    found = picked.select("lang", "h", listed.alias("all")).select("lang", "h", F.slice("all", begin, words).alias("words")).dropDuplicates(["lang", "h"]).collect()
+    found = listed.select("lang", "h", F.slice("all", begin, words).alias("words")).groupBy("lang", "h").agg(F.min("words").alias("words")).collect()
     found.sort(key=lambda r: (r.lang, r.h))
-    return Crf.fit([(r.lang, [plain(w) for w in r.words if any(map(str.isalpha, w))]) for r in found])
+    kept, seen = [], Counter()
+    for r in found:
+        if seen[r.lang] < documents:
+            seen[r.lang] += 1
+            kept.append((r.lang, [plain(w) for w in r.words if any(map(str.isalpha, w))]))
+    return Crf.fit(kept)
 
 
 def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
