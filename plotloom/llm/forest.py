@@ -96,13 +96,17 @@ class Forest:
             out = np.stack([np.where(right, crossed, out), np.where(right, out, crossed)], 3).reshape(len(queries), len(self.directions), -1)
         return out
 
-    def bounds(self, keys: np.ndarray, share: float | None = None) -> np.ndarray:
+    def queued(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each tree's keys in the order of the queue, and the share of the rows that its leaves hold up to there."""
+        order = keys.argsort(2, kind="stable")
+        return np.take_along_axis(keys, order, 2), np.cumsum(np.take_along_axis(np.broadcast_to(self.weights, keys.shape), order, 2), 2)
+
+    def bounds(self, keys: np.ndarray, share: float | None = None, queued: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """The key at which each query's queue stops: leaves come in the order of their keys, so those up to it are searched."""
         share = self.share if share is None else share
-        order = keys.argsort(2, kind="stable")
-        held = np.cumsum(np.take_along_axis(np.broadcast_to(self.weights, keys.shape), order, 2), 2)
+        sorted_, held = self.queued(keys) if queued is None else queued
         last = np.minimum((held < share - 1e-9).sum(2, keepdims=True), keys.shape[2] - 1)
-        return np.take_along_axis(keys, np.take_along_axis(order, last, 2), 2)[:, :, 0].min(1)
+        return np.take_along_axis(sorted_, last, 2)[:, :, 0].min(1)
 
     def calibrated(self, sample: np.ndarray, wanted: float, k: int, queries: int, seed: int) -> Forest:
         """With the smallest search share that reaches the wanted recall on queries drawn from the sample."""
@@ -116,10 +120,10 @@ class Forest:
             d[i] = np.inf
             truth = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
             nearest.append(own[trees, leaves[:, truth]].min(0))
-        total = sum(map(len, nearest))
+        total, queued = sum(map(len, nearest)), self.queued(keys)
         share = 1.0
         for share in _SHARES:
-            if sum((n <= b).sum() for n, b in zip(nearest, self.bounds(keys, share), strict=True)) >= wanted * total:
+            if sum((n <= b).sum() for n, b in zip(nearest, self.bounds(keys, share, queued), strict=True)) >= wanted * total:
                 break
         return Forest(self.directions, self.cuts, share, self.weights)
 
