@@ -60,7 +60,8 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Has Spark delete shuffle files and checkpoints that no plan refers to any more; by itself it waits for the driver's memory to fill."""
+    """Has Spark delete shuffle files that no plan refers to any more, and checkpoints if spark.cleaner.referenceTracking.cleanCheckpoints is set; by itself it
+    waits for the driver's memory to fill."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

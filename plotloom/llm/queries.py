@@ -52,6 +52,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over ``documents``; its docstrings say what each does with nulls, ties and empty tables."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

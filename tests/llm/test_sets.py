@@ -73,6 +73,32 @@ def test_substrings(spark, monkeypatch):
     assert suffix_dedup.drop_repeated_substrings(odd_rows(spark)).columns == odd_rows(spark).columns
 
 
+def test_passages_cut(spark):
+    """The texts that the pipeline's stage leaves, against the brute force."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh éü") for _ in range(120))
+    rows = [(i, rng.choice(["", passage[:70], passage, "pre " + passage[20:] + " post", "own words " + "".join(rng.choice("xyz ") for _ in range(60))]), "en", rng.choice(["a", None]), 5) for i in range(40)]
+    rows += [(None, passage, None, None, None), (7, rows[7][1], "en", "a", 5), (99, None, "en", "a", 0)]
+    first = {}
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            if d is not None:
+                first[b[p : p + 50]] = min(d, first.get(b[p : p + 50], d))
+    want = Counter()
+    for d, t, lang, source, n in rows:
+        b, gone = (t or "").encode(), np.zeros(len((t or "").encode()), bool)
+        for p in range(len(b) - 49):
+            if d is not None and first[b[p : p + 50]] < d:
+                gone[p : p + 50] = True
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if gone.any() and not WORD.search(left):
+            continue
+        want[d, left if gone.any() else t, lang, source, None if t is None else len(left if gone.any() else t)] += 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert Counter(map(tuple, suffix_dedup.drop_repeated_substrings(df).collect())) == want
+
+
 def test_long_runs(spark):
     n = 1 << 20
     rng = random.Random(8)
