@@ -15,6 +15,8 @@ MARKS = (";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-",
 NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 ARTICLES = ("a", "an", "the")
 LETTERS = "ABCD"
+#: White space in every script, which the engines' own classes leave out in part.
+BLANK = r"\t\n\x0B\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Contractions without their apostrophes, and with them. Keys with capitals never meet lower-case words.
 CONTRACTIONS = {
     "aint": "ain't", "arent": "aren't", "cant": "can't", "couldve": "could've", "couldnt": "couldn't", "couldn'tve": "couldn't've",
@@ -42,7 +44,7 @@ CONTRACTIONS = {
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def answer_letter(response: Column) -> Column:
@@ -116,7 +118,7 @@ def subjects_kept(involved: Column, scene: Column, description: Column) -> Colum
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
 
 
 def dialogue_pairs(text: Column) -> Column:
@@ -131,12 +133,12 @@ def dialogue_pairs(text: Column) -> Column:
 
 
 def alnum_clean(text: Column) -> Column:
-    return collapse(F.regexp_replace(text, r"[^a-zA-Z0-9 \t\n\x0B\f\r']", ""))
+    return collapse(F.regexp_replace(text, f"[^a-zA-Z0-9{BLANK}']", ""))
 
 
 def caption_clean(text: Column, words: int = 50) -> Column:
     low = F.regexp_replace(F.lower(text), r"[.!\"()*#:;~]", " ")
-    low = F.trim(F.rtrim(F.regexp_replace(low, r"[ \t\n\x0B\f\r]{2,}", " "), F.lit("\n")))
+    low = F.trim(F.rtrim(F.regexp_replace(low, f"[{BLANK}]{{2,}}", " "), F.lit("\n")))
     return F.array_join(F.slice(F.split(low, " "), 1, words), " ")
 
 

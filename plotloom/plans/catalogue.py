@@ -180,8 +180,9 @@ def location_distractors(t):
 @query("WITH d AS (SELECT ts::DATE d, count(*) n, min(event_id) lo, max(event_id) hi FROM events GROUP BY 1), w AS (SELECT d, count(*) OVER f k, sum(n) OVER f n, min(lo) OVER f lo, max(hi) OVER f hi FROM d WINDOW f AS (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT d::VARCHAR AS day, n::BIGINT n, lo, hi, CASE WHEN n > 3 THEN least(greatest(1, n::BIGINT // 3), n::BIGINT // 2) ELSE 0 END::BIGINT AS i FROM w WHERE k = 3")
 def span_frame(t):
     days = t("events").groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
-    w = Window.orderBy("d").rowsBetween(-2, 0)  # a row for each day
-    rows = days.select("d", F.count("*").over(w).alias("k"), F.sum("n").over(w).alias("n"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi")).where("k = 3")
+    line = R.in_order(days, "d", "at")
+    spans = line.select("d", F.explode(F.sequence(F.col("at") - 2, F.col("at"))).alias("at")).join(line.select("at", "n", "lo", "hi"), "at")
+    rows = spans.groupBy("d").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("k = 3")
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     return rows.select(F.col("d").cast("string").alias("day"), "n", "lo", "hi", F.when(F.col("n") > 3, F.least(third, F.floor(F.col("n") / 2))).otherwise(0).alias("i"))
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotloom.functions.text import BLANK
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,7 +21,7 @@ def query(sql: str | None):
 
         QUERIES[f.__name__] = run
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace(r" \t\n\x0B\f\r", BLANK)  # white space, as the operators take it
         return f
 
     return add

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plotloom.functions import numbers as N
 from plotloom.functions import text as T
 from plotloom.operators import models as P
+from plotloom.operators import relate as R
 from plotloom.operators import vqa as V
 from plotloom.plans.registry import query
 
@@ -54,7 +54,7 @@ _VOCAB = f"WITH q AS ({_PART}), v AS (SELECT word, row_number() OVER (ORDER BY w
 
 def _vocab(t):
     words = t("part").where("p_size % 2 = 0").select(F.col("p_brand").alias("word")).distinct()
-    return words.withColumn("place", (F.row_number().over(Window.orderBy("word")) - 1).cast("int"))  # one row a brand
+    return R.in_order(words, "word", "place").withColumn("place", F.col("place").cast("int"))
 
 
 @query(_VOCAB + " SELECT question_id, array_to_string(list_transform(range(25), lambda i: list_contains(p, i)::INT), '') hot FROM (SELECT question_id, list(place) p FROM h GROUP BY 1)")
