@@ -73,6 +73,28 @@ def test_substrings(spark, monkeypatch):
     assert suffix_dedup.drop_repeated_substrings(odd_rows(spark)).columns == odd_rows(spark).columns
 
 
+def test_earliest_strings(monkeypatch):
+    """The same answer however classes are parted and batched, and that of a plain dictionary."""
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("ab") for _ in range(60)) for _ in range(12)]
+    texts = [("".join(rng.choice(parts)[: rng.randint(20, 60)] for _ in range(30))).encode() for _ in range(60)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    row, starts, ends, classes = suffix_dedup.fragments(data, offsets)
+    docs = np.array([rng.randint(0, 40) for _ in texts])[row]
+    first = {}
+    for s, e, d in zip(starts, ends, docs, strict=True):
+        for p in range(s, e - 49):
+            w = data[p : p + 50].tobytes()
+            first[w] = min(int(d), first.get(w, 99))
+    want = [first[data[p : p + 50].tobytes()] for s, e in zip(starts, ends, strict=True) for p in range(s, e - 49)]
+    for many, size in ((10**9, 1 << 30), (3, 1 << 30), (16, 5000)):
+        monkeypatch.setattr(suffix_dedup, "_MANY", many)
+        monkeypatch.setattr(suffix_dedup, "_SORTED", size)
+        begin, found = suffix_dedup.earliest(data, starts, ends, classes, docs)
+        assert found.tolist() == want and begin[-1] == len(want)
+
+
 def test_passages_cut(spark):
     """The texts that the pipeline's stage leaves, against the brute force."""
     rng = random.Random(9)
