@@ -18,14 +18,23 @@ _CHUNK = 64
 
 
 def word_features(words: Sequence[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """See features_of."""
+    return features_of(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64), bits)
+
+
+def features_of(data: np.ndarray, lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(first feature of each word and the end, hashed features): the word itself (lexicon), its affixes and its inner n-grams.
 
-    n-grams have 2 to 4 bytes of the word with a mark at either end; one that holds a mark is an affix and hashed apart.
+    n-grams have 2 to 4 bytes of the word with a mark at either end; one that holds a mark is an affix and hashed apart. The words stand one after
+    another in ``data``.
     """
-    marked = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8)
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    words, sizes = len(lengths), lengths + 2
+    ends = np.cumsum(sizes)
+    marked = np.full(int(sizes.sum()), _END, np.uint8)
+    marked[ends - sizes] = _BEGIN
+    marked[ragged(ends - sizes + 1, lengths)] = data
     begin = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(words), sizes)
     wide = marked.astype(np.uint64)
     mask = np.uint64((1 << bits) - 1)
     parts, owner = [], []
@@ -40,12 +49,12 @@ def word_features(words: Sequence[bytes], bits: int) -> tuple[np.ndarray, np.nda
         owner.append(word[: len(code)][ok])
     powers = np.uint64(0x100000001B3)
     place = np.arange(len(marked)) - np.repeat(begin, sizes)
-    whole = np.add.reduceat(mix64(wide + place.astype(np.uint64) * powers), begin) if len(words) else np.zeros(0, np.uint64)
+    whole = np.add.reduceat(mix64(wide + place.astype(np.uint64) * powers), begin) if words else np.zeros(0, np.uint64)
     parts.append(mix64(whole + np.uint64(7)) & mask)
-    owner.append(np.arange(len(words)))
+    owner.append(np.arange(words))
     of = np.concatenate(owner)
     order = np.argsort(of, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))]), np.concatenate(parts)[order].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=words))]), np.concatenate(parts)[order].astype(np.int64)
 
 
 @dataclass
@@ -98,9 +107,9 @@ class Crf:
                 out.moves -= rate * pairs / np.sqrt(heat_m)
         return out
 
-    def emissions(self, words: Sequence[bytes]) -> np.ndarray:
-        first, features = word_features(words, self.bits)
-        return np.add.reduceat(self.weights[features], first[:-1]) if len(words) else np.zeros((0, len(self.labels)))
+    def emissions(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        first, features = features_of(data, lengths, self.bits)
+        return np.add.reduceat(self.weights[features], first[:-1]) if len(lengths) else np.zeros((0, len(self.labels)))
 
     def forward_backward(self, score: np.ndarray, lengths: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """(words, labels) posterior marginals of sequences laid end to end, and the expected transitions if asked for.
@@ -165,20 +174,51 @@ class Crf:
         if not len(starts):
             return row, starts, ends, np.zeros((0, len(self.labels)))
         code, words = unique_words(data, starts, ends)
-        words = [w.decode() for w in words.to_pylist()]
-        lettered = np.array([any(map(str.isalpha, w)) for w in words], bool)
+        body, sizes, lettered = plain_words(words)
         keep = lettered[code]
         starts, ends, row, code = starts[keep], ends[keep], row[keep], code[keep]
         if not len(starts):
             return row, starts, ends, np.zeros((0, len(self.labels)))
         if not self.labels:
             return row, starts, ends, np.zeros((len(row), 0))
-        score = self.emissions([plain(w) for w in words])[code]
+        score = self.emissions(body, sizes)[code]
         lengths = np.bincount(row, minlength=len(offsets) - 1)
         marginal, _ = self.forward_backward(score, lengths[lengths > 0])
         return row, starts, ends, marginal
 
 
+_LOWER = np.zeros(256, np.uint8)  # of ASCII letters
+_LOWER[ord("a") : ord("z") + 1] = _LOWER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+
+
+def plain_words(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes one after another, lengths, whether there is a letter) of the words as ``plain`` gives them; ASCII words are done as one array."""
+    n = len(words)
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    low = _LOWER[data]
+    spots = np.flatnonzero(low)
+    letters, foreign = (np.concatenate([[0], np.cumsum(x)]) for x in (low > 0, data >= 0x80))
+    own = foreign[bounds[1:]] == foreign[bounds[:-1]]
+    first, last = letters[bounds[:-1]], letters[bounds[1:]]
+    lettered = last > first
+    start, stop = np.zeros(n, np.int64), np.zeros(n, np.int64)  # from the first letter to the last
+    start[lettered], stop[lettered] = spots[first[lettered]], spots[last[lettered] - 1] + 1
+    rest = np.flatnonzero(~own)
+    texts = [w.decode() for w in words.take(pa.array(rest)).to_pylist()]
+    others = [plain(w) for w in texts]
+    lettered[rest] = [any(map(str.isalpha, w)) for w in texts]
+    lengths = stop - start
+    lengths[rest] = [len(w) for w in others]
+    begin = np.cumsum(lengths) - lengths
+    out = np.zeros(int(lengths.sum()), np.uint8)
+    from_ = ragged(start[own], lengths[own])
+    out[ragged(begin[own], lengths[own])] = np.where(low[from_] > 0, low[from_], data[from_])
+    out[ragged(begin[rest], lengths[rest])] = np.frombuffer(b"".join(others), np.uint8)
+    return out, lengths, lettered
+
+
 def plain(word: str) -> bytes:
     """A word in lower case, without what isn't a letter at its ends."""
     if not word.isalpha():

@@ -408,6 +408,16 @@ def test_transition_gradient():
         assert abs((up - down) / 2e-5 - pairs[i, j]) < 1e-6
 
 
+def test_plain_words():
+    words = ["", "a", "Abc", "it's", "(x)", "--", "12", "A1b2", "été", "«Où»", "ÄÖ!", "x\u00a0y", "漢字,", "İ", "ß9", "'tis"]
+    import pyarrow as pa
+
+    data, sizes, lettered = language_crf.plain_words(pa.array([b"skip", *(w.encode() for w in words)], pa.large_binary()).slice(1))
+    ends = np.cumsum(sizes)
+    assert [data[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)] == [language_crf.plain(w) for w in words]
+    assert lettered.tolist() == [any(map(str.isalpha, w)) for w in words]
+
+
 def test_unidentified_dropped(spark):
     letters = lambda t: any(map(str.isalpha, t or ""))
     want = Counter((d, t) for d, t, *_ in ODD if letters(t))
