@@ -120,7 +120,7 @@ def earliest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np
     if not len(starts):
         return begin, np.zeros(0, np.int64)
     parts = -(-int((ends - starts).sum()) // _SORTED)
-    if parts > 1 and not level:  # classes are independent, so memory stays that of one part
+    if parts > 1:  # classes are independent, so memory stays that of one part
         share = (mix64(classes) % np.uint64(parts)).astype(np.int64)
         out = np.zeros(int(begin[-1]), np.int64)
         for part in range(parts):
