@@ -118,32 +118,27 @@ def slots(docs_spark, sources: Sequence[Source], shard_slots: int, cap: float, s
     totals = np.array([min(round(s.slots), int(cap * s.blocks)) for s in sources], np.int64)
     shards = -(-int(totals.sum()) // shard_slots) if len(totals) else 0
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(src: int, first: int, n: int) -> np.ndarray:
+        k = np.arange(first, first + n)
+        k = k[k < int(cap * blocks[src])]
+        out = np.empty(len(k), np.int64)
+        for turn in np.unique(k // blocks[src]):
+            at = k // blocks[src] == turn
+            out[at] = permute(k[at] % blocks[src], int(blocks[src]), seed * 1_000_003 + src * 101 + int(turn))
+        return out
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # in one Python worker, as a second one in the same task would hold its memory on
         for batch in batches:
             own = batch.column(0).to_numpy()
             if not len(own):
                 continue
             for shard, n, first in shard_counts(totals, shard_slots, int(own[0]), int(own[-1]) + 1, seed):
                 at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(first[at])], ["shard", "src", "n", "first"])
+                found = [place(int(s), int(first[s]), int(n[s])) for s in at]
+                src = np.repeat(at, [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(src.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.full(len(src), shard))], ["src", "block", "shard"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard, src, n, first = (batch.column(c).to_numpy() for c in ("shard", "src", "n", "first"))
-            for s in np.unique(src):
-                own = src == s
-                k = np.concatenate([np.arange(f, f + m) for f, m in zip(first[own], n[own], strict=True)])
-                of = np.repeat(shard[own], n[own])
-                ok = k < int(cap * blocks[s])
-                k, of = k[ok], of[ok]
-                out = np.empty(len(k), np.int64)
-                for turn in np.unique(k // blocks[s]):
-                    at = k // blocks[s] == turn
-                    out[at] = permute(k[at] % blocks[s], int(blocks[s]), seed * 1_000_003 + int(s) * 101 + int(turn))
-                for i in range(0, len(k), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of[i : i + 100_000]), s, np.int32)), pa.array(out[i : i + 100_000]), pa.array(of[i : i + 100_000])], ["src", "block", "shard"])
-
-    return docs_spark.range(0, shards).mapInArrow(draw, "shard long, src int, n long, first long").mapInArrow(place, "src int, block long, shard long")
+    return docs_spark.range(0, shards).mapInArrow(draw, "src int, block long, shard long")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
