@@ -302,7 +302,7 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
 
 def slice_bytes(labels: int) -> int:
     """Bytes of text that are labelled together: a chunk of 64 words has a matrix of labels ** 2 numbers, so many labels need shorter slices."""
-    return max(1 << 14, (1 << 19) * 64 // max(64, labels**2))
+    return max(1 << 14, (1 << 18) * 64 // max(64, labels**2))
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:

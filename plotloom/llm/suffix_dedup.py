@@ -24,7 +24,7 @@ from plotloom.llm.lyndon import suffix_arrays
 
 _STRING, _SEED_BYTES, _GROUP_BYTES, _BUCKET_BYTES, _PIECE = 50, 24, 2 << 20, 32 << 20, 1 << 18
 #: Bytes of fragments that are sorted together.
-_SORTED = 2 << 20
+_SORTED = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Classes of more distinct fragments than this are parted again by longer substrings before they are sorted.
 _MANY = 16
@@ -174,9 +174,9 @@ def _sort_classes(data: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray,
     """Writes to ``out`` the earliest doc of each string of the fragments, which come by class."""
     sizes = e - s
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.ones(int(begin[-1]), np.int64)  # the mark after each fragment
+    text = np.ones(int(begin[-1]), np.int16)  # the mark after each fragment
     spots = ragged(begin[:-1], sizes)
-    text[spots] = data[ragged(s, sizes)].astype(np.int64) + 2
+    text[spots] = data[ragged(s, sizes)].astype(np.int16) + 2
     ends_class = np.append(c[1:] != c[:-1], True)
     text[begin[1:][ends_class] - 1] = 0  # the end of each class
     strings = np.concatenate([[0], begin[1:][ends_class]])
