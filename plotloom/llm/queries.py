@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotloom.llm import forest, language_crf, line_quality, mixing, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
+from plotloom.llm import fill_middle, forest, language_crf, line_quality, mixing, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
 from plotloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over ``documents``; its docstrings say what each does with nulls, ties and empty tables."""
     import corpus_pipeline
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality, op11_fill_middle, pipeline)}
 
 
 _OP1 = """
@@ -93,7 +97,16 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (gone IS NOT NULL AND (words_left < 0.5 * n_words OR words_left < 50)) AS kept, words_left FROM f
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') w, sha256('42:' || coalesce(doc_id::VARCHAR, '')) h FROM documents),
+r AS (SELECT *, len(w) n, ('0x' || substr(h, 1, 8))::BIGINT % (len(w) + 1) a, ('0x' || substr(h, 9, 8))::BIGINT % (len(w) + 1) b, ('0x' || substr(h, 17, 8))::BIGINT % 100 c, ('0x' || substr(h, 25, 8))::BIGINT % 100 e FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 50 THEN 'plain' WHEN e < 80 THEN 'spm' ELSE 'psm' END form,
+array_to_string(w[1:least(a, b)], '') p, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') m, array_to_string(w[greatest(a, b) + 1:n], '') s FROM r)
+SELECT doc_id, n::BIGINT n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) output_sha256, sha256(t) restored_sha256 FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others rest on trained models, hashes or tokenizers, which SQL can't express; tests/llm holds them against brute force."""
-    return {"op1_suffix_dedup": _OP1, "op10_line_quality": _OP10}
+    return {"op1_suffix_dedup": _OP1, "op10_line_quality": _OP10, "op11_fill_middle": _OP11}
