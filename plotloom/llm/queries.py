@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotloom.llm import fill_middle, forest, language_crf, line_quality, mixing, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
+from plotloom.llm import elkan, fill_middle, forest, language_crf, line_quality, mixing, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
 from plotloom.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over ``documents``; its docstrings say what each does with nulls, ties and empty tables."""
     import corpus_pipeline
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality, op11_fill_middle, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality, op11_fill_middle, op12_elkan, pipeline)}
 
 
 _OP1 = """
@@ -107,6 +111,26 @@ sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p ||
 """
 
 
+def _op12(rounds: int = 10, clusters: int = 8) -> str:
+    """Lloyd's rounds, one after another, with all distances."""
+    near = "SELECT r, vec_id, x, arg_min(cluster, (d, cluster)) cluster, min(d) d FROM (SELECT r, vec_id, x, cluster, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT d FROM v, {c}) GROUP BY ALL"
+    parts = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x AS y FROM (SELECT x, sha256('3:' || coalesce(vec_id::VARCHAR, '')) h FROM v ORDER BY h, x LIMIT {clusters}))",
+    ]
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED ({near.format(c=f'c{i}')})")
+        parts.append(
+            f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.y, c.y) y FROM c{i} c LEFT JOIN (SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY p) y FROM "
+            f"(SELECT cluster, p, sum(x[p])::BIGINT s, count(*)::BIGINT n FROM a{i}, range(1, 65) t(p) GROUP BY 1, 2) GROUP BY 1) m ON c.cluster = m.cluster)"
+        )
+    parts.append(f"z AS MATERIALIZED ({near.format(c=f'c{rounds}')})")
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, z.cluster::INT AS cluster, d::BIGINT distance, (sum(d) OVER (PARTITION BY z.cluster))::BIGINT cluster_inertia, (sum(d) OVER ())::BIGINT inertia, "
+        f"sha256(array_to_string(y, ',')) centroid_sha256, count(*) OVER (PARTITION BY z.cluster) size FROM z JOIN c{rounds} c ON z.cluster = c.cluster"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     """The others rest on trained models, hashes or tokenizers, which SQL can't express; tests/llm holds them against brute force."""
-    return {"op1_suffix_dedup": _OP1, "op10_line_quality": _OP10, "op11_fill_middle": _OP11}
+    return {"op1_suffix_dedup": _OP1, "op10_line_quality": _OP10, "op11_fill_middle": _OP11, "op12_elkan": _op12()}
