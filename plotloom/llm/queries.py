@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotloom.llm import elkan, fill_middle, forest, language_crf, line_quality, mixing, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
+from plotloom.llm import elkan, fill_middle, forest, language_crf, line_quality, mixing, packing, secret_scan, sharding, simhash, suffix_dedup, token_counts, url_filter
 from plotloom.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over ``documents``; its docstrings say what each does with nulls, ties and empty tables."""
     import corpus_pipeline
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality, op11_fill_middle, op12_elkan, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_token_counts, op4_url_filter, op5_simhash, op6_forest, op7_mix_sources, op8_pack, op9_jump_shards, op10_line_quality, op11_fill_middle, op12_elkan, op13_secret_scan, pipeline)}
 
 
 _OP1 = """
@@ -131,6 +135,28 @@ def _op12(rounds: int = 10, clusters: int = 8) -> str:
     )
 
 
+def _op13() -> str:
+    cased = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    words = "|".join(cased(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns = (f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}", "[A-Za-z0-9+/_-]{20,}={0,2}")
+    matches = " UNION ALL ".join(
+        f"SELECT r, source, lang, {k} k, unnest(range(1, len(m) + 1)) i, unnest(m) m, unnest(v) v, unnest(g[1:len(m)]) g FROM (SELECT r, source, lang, regexp_extract_all(t, '{p}') m, regexp_extract_all(t, '{p}', {2 if k == 0 else 0}) v, string_split_regex(t, '{p}') g FROM d)"
+        for k, p in enumerate(patterns)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(source, '~') source, coalesce(lang, '~') lang, coalesce(text, '') t FROM documents),
+x AS ({matches}),
+y AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r, k ORDER BY i) e FROM x),
+b AS (SELECT r, k, e - length(m) a, e FROM y WHERE k < 3 AND (k > 0 OR length(v) >= 12)),
+c AS (SELECT DISTINCT r, source, lang, v, e - length(v) a, e FROM y WHERE (k > 0 OR length(v) >= 12) AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 8),
+o AS (SELECT v, count(DISTINCT source) <= 2 AND count(DISTINCT (source, lang)) <= 3 AS own FROM c GROUP BY v),
+w AS (SELECT r, a, e, own FROM c JOIN o USING (v)),
+s AS (SELECT r, count(*) FILTER (k = 0) n0, count(*) FILTER (k = 1) n1, count(*) FILTER (k = 2) n2, string_agg(z, ',' ORDER BY a, k, e) FILTER (k < 3) base, string_agg(z, ',' ORDER BY a, k, e) FILTER (k < 3 OR own) spans, count(*) FILTER (k = 3 AND own) owned, count(*) FILTER (k = 3 AND NOT own) examples
+FROM (SELECT *, ['assign', 'access', 'hex', 'live'][k + 1] || ':' || a || ':' || e z FROM (SELECT r, k, a, e, NULL own FROM b UNION ALL SELECT r, 3, a, e, own FROM w)) GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) n_assign, coalesce(n1, 0) n_access, coalesce(n2, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(owned, 0) owned, coalesce(examples, 0) examples FROM d LEFT JOIN s USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others rest on trained models, hashes or tokenizers, which SQL can't express; tests/llm holds them against brute force."""
-    return {"op1_suffix_dedup": _OP1, "op10_line_quality": _OP10, "op11_fill_middle": _OP11, "op12_elkan": _op12()}
+    return {"op1_suffix_dedup": _OP1, "op10_line_quality": _OP10, "op11_fill_middle": _OP11, "op12_elkan": _op12(), "op13_secret_scan": _op13()}
