@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +106,12 @@ class Crf:
                 pairs = pairs / len(lengths) + 1e-3 * out.moves
                 heat_m += pairs**2
                 out.moves -= rate * pairs / np.sqrt(heat_m)
+        out.weights = out.weights.astype(np.float32)  # 4 bytes a cell on each executor
         return out
 
     def emissions(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         first, features = features_of(data, lengths, self.bits)
-        return np.add.reduceat(self.weights[features], first[:-1]) if len(lengths) else np.zeros((0, len(self.labels)))
+        return np.add.reduceat(self.weights[features], first[:-1], dtype=np.float64) if len(lengths) else np.zeros((0, len(self.labels)))
 
     def forward_backward(self, score: np.ndarray, lengths: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """(words, labels) posterior marginals of sequences laid end to end, and the expected transitions if asked for.
@@ -187,6 +189,24 @@ class Crf:
         return row, starts, ends, marginal
 
 
+    def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language or ``und``, score, words with a letter, changes of label) of each UTF-8 row; see identify."""
+        n = len(offsets) - 1
+        predicted, score, count, switches = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if self.labels:
+            row, _, _, marginal = self.label_words(data, offsets)
+            count = np.bincount(row, minlength=n).astype(np.int64)
+            sums = np.stack([np.bincount(row, marginal[:, k], n) for k in range(len(self.labels))], 1)
+            best = sums.argmax(1)
+            has = count > 0
+            predicted[has] = np.array(self.labels, object)[best[has]]
+            score[has] = np.clip(sums[has, best[has]] / count[has], 0, 1)
+            word = marginal.argmax(1)
+            change = (row[1:] == row[:-1]) & (word[1:] != word[:-1])
+            switches = np.bincount(row[1:][change], minlength=n).astype(np.int64)
+        return predicted, score, count, switches
+
+
 _LOWER = np.zeros(256, np.uint8)  # of ASCII letters
 _LOWER[ord("a") : ord("z") + 1] = _LOWER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
@@ -235,29 +255,42 @@ def _fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4, F.lit(-1))
 
 
-def learn(docs: DataFrame, documents: int = 300, words: int = 128) -> Crf:
+def _learnable(docs: DataFrame) -> DataFrame:
+    """(lang, h, text) of the rows that may be learned from; h is a hash of the text below 2**31."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 2))
+    return rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("h"), "text")
+
+
+def learn(docs: DataFrame, documents: int = 300, words: int = 128, total: int = 20_000, weights_mb: int = 64) -> Crf:
     """A model from at most ``documents`` distinct texts of each language, the smallest by hash, and a window of at most ``words`` words of each.
 
-    Only rows with a language whose crc32(doc_id) mod 4 is 0, 1 or 3 are learned from. The languages' row counts say up to which hash
-    about twice as many texts lie; those come to the driver, which takes the smallest. So no task meets a whole language, and a text's
-    copies meet as one. A null or empty lang, text or doc_id isn't learned from; an empty table gives a model without languages.
+    Only rows with a language whose crc32(doc_id) mod 4 is 0, 1 or 3 are learned from. The number of distinct texts of each language, however often they
+    repeat, says up to which hash about twice as many as wanted lie; those come to the driver, which takes the smallest. So no task meets a whole language, a text's
+    copies meet as one, and a language of few texts is learned from all of them.
+
+    The sample has bounds: ``total`` texts are wanted in all, so many languages get fewer each, one at least; beyond ``total`` languages
+    those with the most distinct texts are learned. The weights, which go to all executors, take ``weights_mb`` MB at most: beyond 128 languages features share
+    cells. A null lang, text or doc_id isn't learned from; an empty table gives a model without languages.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 2)).select("lang", "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    rows = _learnable(docs)
+    distinct = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))  # kept in registers: no text and no hash travels
+    counts = distinct.orderBy(F.desc("n"), "lang").limit(total).collect()  # at most ``total`` rows
     if not counts:
         return Crf.fit([])
-    cut = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1 << 31, (2 * documents << 31) // r.n))))
-    picked = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 31))).where(F.col("h") < cut[F.col("lang")])
+    wanted = max(1, min(documents, total // len(counts)))
+    cuts = docs.sparkSession.createDataFrame([(r.lang, min(1 << 31, (2 * wanted + 20 << 31) // max(1, r.n))) for r in counts], "lang string, cut long")
+    picked = rows.join(F.broadcast(cuts), "lang").where("h < cut")  # a row a language
     listed = picked.select("lang", "h", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all"))
     begin = F.pmod(F.col("h"), F.greatest(F.size("all") - words, F.lit(0)) + 1).cast("int") + 1
     found = listed.select("lang", "h", F.slice("all", begin, words).alias("words")).groupBy("lang", "h").agg(F.min("words").alias("words")).collect()
     found.sort(key=lambda r: (r.lang, r.h))
     kept, seen = [], Counter()
     for r in found:
-        if seen[r.lang] < documents:
+        if seen[r.lang] < wanted:
             seen[r.lang] += 1
             kept.append((r.lang, [plain(w) for w in r.words if any(map(str.isalpha, w))]))
-    return Crf.fit(kept)
+    cells = max(1, (weights_mb << 20) // (4 * len(counts)))
+    return Crf.fit(kept, bits=min(17, cells.bit_length() - 1))
 
 
 def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
@@ -274,26 +307,15 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """
     crf = learn(docs) if model is None else model
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(crf)  # 2**17 rows for each language
+    shared = docs.sparkSession.sparkContext.broadcast(crf)  # at most weights_mb of ``learn``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
             for at, data, offsets in text_slices(b.column("text"), slice_bytes(len(own.labels))):
                 n = len(offsets) - 1
-                predicted, score, count, switches = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-                if own.labels:
-                    row, _, _, marginal = own.label_words(data, offsets)
-                    count = np.bincount(row, minlength=n)
-                    sums = np.stack([np.bincount(row, marginal[:, k], n) for k in range(len(own.labels))], 1)
-                    best = sums.argmax(1)
-                    has = count > 0
-                    predicted[has] = np.array(own.labels, object)[best[has]]
-                    score[has] = np.clip(sums[has, best[has]] / count[has], 0, 1)
-                    word = marginal.argmax(1)
-                    change = (row[1:] == row[:-1]) & (word[1:] != word[:-1])
-                    switches = np.bincount(row[1:][change], minlength=n)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("held_out").slice(at, n), pa.array(predicted, pa.string()), pa.array(score), pa.array(count.astype(np.int64)), pa.array(switches.astype(np.int64))], ["doc_id", "held_out", "lang_pred", "score", "n_labelled", "n_switches"])
+                found = own.documents(data, offsets)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("held_out").slice(at, n), *map(pa.array, found)], ["doc_id", "held_out", "lang_pred", "score", "n_labelled", "n_switches"])
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (_fold(F.col("doc_id")) == 2).alias("held_out"))
@@ -305,25 +327,41 @@ def slice_bytes(labels: int) -> int:
     return max(1 << 14, (1 << 18) * 64 // max(64, labels**2))
 
 
+def lettered_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each UTF-8 row has a letter."""
+    letters = np.concatenate([[0], np.cumsum(_LOWER[data] > 0)])
+    out = letters[offsets[1:]] > letters[offsets[:-1]]
+    for i in np.flatnonzero(~out & (offsets[1:] > offsets[:-1])):
+        out[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode()))
+    return out
+
+
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that have no language: ``und`` by ``identify``, texts that are null or have no letter.
+    """``docs`` without the documents that have no language, and with a language for those that name none.
 
-    A code-switched text in which no language has half of the words stays. If there is nothing to learn from, every text with a
-    letter stays. Repeated rows, null doc_ids and extra columns of any name stay as they are; an empty table stays empty. The model learns
-    from ``docs`` as ``identify`` does.
+    Rejected are those that ``identify`` calls ``und``: texts that are null or have no letter. A code-switched text in which no language has half of
+    the words stays. A document whose lang is null gets ``lang_pred`` of ``identify``, learned from ``docs`` as there; a lang that is
+    given stays as it is, so such texts meet a test for letters only. If there is nothing to learn from, a null lang stays. Without a column
+    lang, documents are only rejected. Repeated rows, null doc_ids and extra columns of any name stay as they are; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))  # 2**17 rows for each language
     columns = docs.columns
+    crf = learn(docs) if "lang" in columns and docs.where("lang IS NULL").limit(1).count() else Crf.fit([])
+    shared = docs.sparkSession.sparkContext.broadcast(crf)  # at most weights_mb of ``learn``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
             for at, data, offsets in text_slices(b.column("text"), slice_bytes(len(own.labels))):
-                n = len(offsets) - 1
-                row, marginal = own.label_words(data, offsets)[::3]
-                sums = np.stack([np.bincount(row, marginal[:, k], n) for k in range(len(own.labels))], 1) if own.labels else np.bincount(row, minlength=n)[:, None]
-                yield b.slice(at, n).filter(pa.array(sums.max(1) > 0))
+                kept = pa.array(lettered_rows(data, offsets))
+                part = b.slice(at, len(kept)).filter(kept)
+                if own.labels:
+                    place = columns.index("lang")
+                    none = part.column(place).is_null()
+                    found = [x for _, d, o in text_slices(part.column("text").filter(none), slice_bytes(len(own.labels))) for x in own.documents(d, o)[0]]
+                    lang = pc.replace_with_mask(part.column(place), none, pa.array(found, part.schema.field(place).type))
+                    part = part.set_column(place, "lang", lang)
+                yield part
         give_back()
 
     return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, docs.schema)

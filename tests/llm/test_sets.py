@@ -356,6 +356,54 @@ def test_language(spark):
     assert language_crf.identify(docs.limit(0)).count() == 0
 
 
+def test_language_of_many_copies(spark):
+    """A language is learned from its distinct texts, however often they repeat."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    few = docs.where("lang = 'fr' AND crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2").orderBy("doc_id").limit(5)
+    copies = few.crossJoin(spark.range(20_000)).select("text", "lang", F.expr("1000000 + id * 10 + doc_id % 10 AS doc_id"))
+    rows = docs.where("lang <> 'fr'").select("text", "lang", "doc_id")
+    assert language_crf.learn(rows.unionByName(copies)).labels == language_crf.learn(rows.unionByName(few.select("text", "lang", "doc_id"))).labels == ["de", "en", "es", "fr"]
+
+
+def test_languages_have_a_bound(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id % 1500, ' other thing') AS text", "concat('l', id % 600) AS lang")
+    crf = language_crf.learn(rows, total=400, weights_mb=1)
+    assert len(crf.labels) == 400 and crf.weights.nbytes <= 1 << 20
+
+
+def test_labels_and_scores_word_by_word(spark):
+    """lang_pred and score of whole texts against sums over all paths of a plain forward-backward in logarithms."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").unionByName(odd_rows(spark).where("length(coalesce(text, '')) < 1000").select("doc_id", "text", "lang"))
+    crf = language_crf.learn(docs, documents=20, words=30)
+
+    def brute(text):
+        words = [language_crf.plain(w) for w in WORD.findall(text or "") if any(map(str.isalpha, w))]
+        if not words:
+            return "und", 0.0
+        first, used = language_crf.word_features(words, crf.bits)
+        emit = np.array([crf.weights[used[a:b]].astype(float).sum(0) for a, b in zip(first[:-1], first[1:], strict=True)])
+        ahead, back = [emit[0]], [np.zeros(len(crf.labels))]
+        for e in emit[1:]:
+            ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + crf.moves, 0) + e)
+        for e in emit[:0:-1]:
+            back.append(np.logaddexp.reduce(crf.moves + (e + back[-1])[None, :], 1))
+        joint = np.array(ahead) + np.array(back[::-1])
+        mean = np.exp(joint - np.logaddexp.reduce(joint, 1)[:, None]).mean(0)
+        return crf.labels[int(mean.argmax())], float(mean.max())
+
+    texts = Counter((r.doc_id, *brute(r.text)[:1], round(brute(r.text)[1], 6)) for r in docs.collect())
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_crf.identify(docs, crf).collect()) == texts
+
+
+def test_missing_languages_are_named(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    named = {r.doc_id: r.lang_pred for r in language_crf.identify(docs).collect()}
+    given = {r.doc_id: r.lang for r in docs.collect()}
+    out = language_crf.drop_unidentified(docs).collect()
+    assert out and all(r.lang == (given[r.doc_id] or named[r.doc_id]) for r in out)
+    assert {r.doc_id for r in out} == {d for d, p in named.items() if p != "und"}
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     crf = language_crf.Crf(["a", "b", "c"], np.zeros((2, 3)), rng.normal(size=(3, 3)), 1)
