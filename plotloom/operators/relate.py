@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotloom.functions.numbers import dot
+from plotloom.operators.prefix import running
 
 
 def interval_join(spans: DataFrame, cues: DataFrame, width: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -82,23 +83,9 @@ def top_cosine(queries: DataFrame, docs: DataFrame, k: int, asked: int = 4096, h
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def in_order(rows: DataFrame, key: str, name: str, buckets: int = 256, sample: int = 20_000) -> DataFrame:
-    """Adds ``name``: the row's number from 0 in the order of the distinct values of ``key``, without bringing all rows to one task.
-
-    Borders come from a sample of keys by hash, of about ``sample``; each bucket is numbered on its own, and the counts of at most
-    ``buckets`` buckets give its first number.
-    """
-    n = rows.count()
-    few = rows.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // sample)))) == 0).select(key).limit(2 * sample).collect()
-    keys = sorted(r[0] for r in few)
-    borders = sorted({keys[len(keys) * k // buckets] for k in range(1, buckets)}) if keys else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(key))) if borders else F.lit(0)
-    laid = rows.withColumn("_bucket", bucket)
-    counts, first, total = dict(map(tuple, laid.groupBy("_bucket").count().collect())), {}, 0
-    for b in sorted(counts):
-        first[b], total = total, total + counts[b]
-    start = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))[F.col("_bucket")] if first else F.lit(0)
-    return laid.withColumn(name, F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1 + start).drop("_bucket")
+def in_order(rows: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
+    """Adds ``name``: the row's number from 0 in the order of the distinct values of ``key``, without bringing all rows to one task."""
+    return running(rows, [key], place=name, buckets=buckets)
 
 
 def ring_draws(rows: DataFrame, key: str, group: Sequence[str], value: str, k: int) -> DataFrame:
@@ -110,12 +97,10 @@ def ring_draws(rows: DataFrame, key: str, group: Sequence[str], value: str, k: i
     group = list(group)
     pool = rows.select(*group, value).distinct().withColumn("_h", F.concat(F.md5(value), F.lit("|"), value))
     if group:
-        by = Window.partitionBy(*group)
-        pool = pool.withColumn("_seat", F.row_number().over(by.orderBy("_h")) - 1)
         rows = rows.join(pool.groupBy(*group).agg(F.count("*").alias("_n")), group)
     else:
-        pool = in_order(pool, "_h", "_seat")
-        rows = rows.withColumn("_n", F.lit(pool.count()))
+        rows = rows.crossJoin(F.broadcast(pool.agg(F.count("*").alias("_n"))))  # one row
+    pool = running(pool, ["_h"], place="_seat", by=group)
     start = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
     wanted = rows.select(*group, key, F.col(value).alias("_own"), "_n", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n") - 1).cast("int"))).alias("_i"))
     wanted = wanted.withColumn("_seat", ((start + F.col("_i")) % F.col("_n")).cast("int"))
@@ -181,31 +166,28 @@ def run_counters(work: DataFrame, done: DataFrame, failed: DataFrame, keys: Sequ
 
 
 def shuffled(rows: DataFrame, key: str, epochs: int = 1, within: Sequence[str] = ()) -> DataFrame:
-    """Each row once an epoch with its ``place`` in that epoch's order, by the MD5 of key and epoch, in each group of ``within``."""
+    """Each row once an epoch with its ``place``, from 1, in that epoch's order, by the MD5 of key and epoch, in each group of ``within``."""
     out = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
-    drawn = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("epoch").cast("string")))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("epoch", *within).orderBy(drawn, key)))
+    out = out.withColumn("_drawn", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("epoch").cast("string"))))
+    return running(out, ["_drawn", key], place="place", by=["epoch", *within]).withColumn("place", (F.col("place") + 1).cast("int")).drop("_drawn")
 
 
-def drawn_mixture(rows: DataFrame, source: str, key: str, ratios: dict[str, float], draws: int, seed: str) -> DataFrame:
-    """(draw, key, source): each draw takes a source by its ratio, then that source's next row; a source that runs out starts again.
+def drawn_mixture(rows: DataFrame, source: str, key: str, ratios: DataFrame, draws: int, seed: str, cells: int = 1024) -> DataFrame:
+    """(draw, key, source): each draw takes a source by its ratio (source, ratio), then that source's next row; a source that runs out starts again.
 
-    The sources of a mixture are a configuration; only their names and sizes are on the driver.
+    Ratios become ranges of 0 to 1 by running sums, which draws meet in ``cells`` cells of equal width; draws and rows of a source are numbered in
+    buckets. So there may be any number of sources, and one may have nearly all rows.
     """
-    total, up, borders = sum(ratios.values()), 0.0, []
-    for name in sorted(ratios):
-        up += ratios[name]
-        borders.append((name, up / total))
+    ranges = running(ratios.where("ratio > 0").select(source, F.col("ratio").cast("double").alias("ratio")), [source], {"up": F.col("ratio")})
+    ranges = ranges.crossJoin(F.broadcast(ratios.where("ratio > 0").agg(F.sum(F.col("ratio").cast("double")).alias("_all"))))  # one row
+    ranges = ranges.select(F.col(source), ((F.col("up") - F.col("ratio")) / F.col("_all")).alias("_low"), (F.col("up") / F.col("_all")).alias("_up"))
+    ranges = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * cells), F.least(F.floor(F.col("_up") * cells), F.lit(cells - 1).cast("long")))))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    pick = F.lit(None).cast("string")
-    for name, border in reversed(borders):
-        pick = F.when(u < border, name).otherwise(pick)
-    drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn(source, pick)
-    sizes = rows.groupBy(source).agg(F.count("*").alias("_n"))
-    drawn = drawn.join(F.broadcast(sizes), source)  # a row a source
-    drawn = drawn.withColumn("seat", ((F.row_number().over(Window.partitionBy(source).orderBy("draw")) - 1) % F.col("_n")).cast("long"))
-    order = F.row_number().over(Window.partitionBy(source).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), key)) - 1
-    return drawn.join(rows.withColumn("seat", order.cast("long")), [source, "seat"]).select("draw", key, source)
+    drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_u", u).withColumn("_cell", F.floor(F.col("_u") * cells))
+    drawn = drawn.join(ranges, "_cell").where("_u >= _low AND _u < _up").select("draw", source)
+    drawn = running(drawn, ["draw"], place="_turn", by=[source]).join(rows.groupBy(source).agg(F.count("*").alias("_n")), source)
+    seats = running(rows.withColumn("_drawn", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))), ["_drawn", key], place="_seat", by=[source])
+    return drawn.withColumn("_seat", F.col("_turn") % F.col("_n")).join(seats, [source, "_seat"]).select("draw", key, source)
 
 
 def pick_by_weight(rows: DataFrame, group: Sequence[str], value: str, weight: str, seed: str = "0") -> DataFrame:

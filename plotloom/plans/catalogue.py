@@ -9,6 +9,7 @@ from plotloom.functions import numbers as N
 from plotloom.functions import text as T
 from plotloom.operators import metrics as M
 from plotloom.operators import relate as R
+from plotloom.operators.prefix import even_parts
 from plotloom.plans.registry import query
 from plotloom.sources.readers import result_key
 from plotloom.streaming.windows import segments
@@ -233,7 +234,7 @@ def tumbling_segments(t):
 
 @query("SELECT lang, part::INT part, sum(n_chars)::BIGINT chars FROM (SELECT lang, n_chars, ntile(7) OVER (PARTITION BY lang ORDER BY doc_id) part FROM documents) GROUP BY ALL")
 def ntile_paragraphs(t):
-    return t("documents").withColumn("part", F.ntile(7).over(Window.partitionBy("lang").orderBy("doc_id"))).groupBy("lang", "part").agg(F.sum("n_chars").alias("chars"))
+    return even_parts(t("documents").select("lang", "doc_id", "n_chars"), 7, ["doc_id"], by=["lang"]).groupBy("lang", "part").agg(F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT event_id, quantile_disc(value, 0.5) OVER w median, round(sum(value) OVER w, 2) recent, max(value) OVER w highest, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")

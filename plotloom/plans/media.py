@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotloom.functions import media as X
 from plotloom.functions import numbers as N
+from plotloom.operators import prefix as P
 from plotloom.operators import relate as R
 from plotloom.operators import subtitles as S
 from plotloom.plans.registry import query
@@ -52,6 +53,13 @@ def frame_places(t):
     return t("documents").where("n_chars > 2").select("doc_id", F.array_join(centres, ",").alias("centres"), F.array_join(N.every_kth(n, 6), ",").alias("every"), F.array_join(N.padded(F.array(n % 7, n), 5), ",").alias("padded"))
 
 
+@query("SELECT event_id, count(*) OVER w AS so_many, (sum(value::DECIMAL(18, 2)) OVER w)::DOUBLE / count(*) OVER w AS so_far, (sum(value::DECIMAL(18, 2) * (event_id % 3)) OVER w)::DOUBLE / nullif(sum(event_id % 3) OVER w, 0)::DOUBLE weighted FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def running_global(t):
+    n, value = F.col("event_id") % 3, F.col("value").cast("decimal(18,2)")
+    rows = P.running(t("events"), ["ts", "event_id"], {"total": value, "heavy": value * n, "weight": n, "so_many": F.lit(1).cast("long")})
+    return rows.select("event_id", "so_many", (F.col("total").cast("double") / F.col("so_many")).alias("so_far"), F.try_divide(F.col("heavy").cast("double"), F.col("weight")).alias("weighted"))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings), m AS (SELECT vec_id, e, list_max(e) mx FROM v)
 SELECT vec_id, round(exp(e[1] - mx) / list_sum(list_transform(e, lambda x: exp(x - mx))), 6) soft, round(e[2] / sqrt(list_dot_product(e, e)), 6) AS unit, round(e[3] + e[4], 6) added, round((e[1] + e[3]) / 2, 6) AS pooled FROM m""")
 def vector_functions(t):
@@ -176,8 +184,8 @@ d AS (SELECT i, source, n FROM (SELECT i, ('0x' || md5(i || '|mix')[1:8])::BIGIN
 o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|mix'), doc_id) - 1 AS seat FROM documents) SELECT i AS draw, doc_id, source FROM e JOIN o USING (source, seat)""")
 def drawn_mixture(t):
     docs = t("documents").select("doc_id", "source")
-    names = sorted(r.source for r in docs.select("source").distinct().collect())
-    return R.drawn_mixture(docs, "source", "doc_id", {n: 3.0 if i % 2 == 0 else 1.0 for i, n in enumerate(names)}, 5000, "mix")
+    ratios = R.in_order(docs.select("source").distinct(), "source", "k").select("source", F.when(F.col("k") % 2 == 0, 3.0).otherwise(1.0).alias("ratio"))
+    return R.drawn_mixture(docs, "source", "doc_id", ratios, 5000, "mix")
 
 
 @query("""WITH c AS (SELECT o_custkey % 7 AS grp, o_orderpriority a, count(*) n FROM orders GROUP BY ALL), q AS (SELECT c_custkey, c_custkey % 8 AS grp FROM customer), w AS (SELECT q.c_custkey, c.a, coalesce(c.n, 0) n FROM q JOIN c USING (grp)),
