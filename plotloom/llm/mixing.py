@@ -2,63 +2,47 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import WORD, durable, give_back, hex_bucket, mix64, prefix_sums, small_batches, text_slices, word_bounds
-
-#: The catalogue of sources, a row for each, is held by the driver and by each task: more than this many are refused.
-MOST_SOURCES = 200_000
-
-
-@dataclass(frozen=True)
-class Source:
-    name: str | None
-    size: int
-    target: float
-    blocks: int
-    slots: float
-
-
-def fill_targets(sizes: Sequence[int], weights: Sequence[float], wanted: float, cap: float) -> list[float]:
-    """Shares ``wanted`` by weight; a target stops at cap * size and its excess is shared again among the rest."""
-    most = [cap * s for s in sizes]
-    target = [0.0] * len(sizes)
-    open_ = [i for i, s in enumerate(sizes) if s]
-    left = min(float(wanted), sum(most))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / total > most[i]]
-        if not full:
-            for i in open_:
-                target[i] = left * weights[i] / total
+from plotloom.llm.common import WORD, durable, give_back, hex_bucket, let_go, mix64, prefix_sums, small_batches, text_slices, word_bounds
+from plotloom.operators.prefix import running
+
+#: Sources whose shares are drawn together. A shard first draws counts for groups of so many, then for the sources of each group.
+GROUP = 4096
+#: Tables of a row a source, or an array a group of sources, are broadcast up to so many sources, and merged beyond.
+BROADCAST = 20_000
+#: A source has at least so many blocks, as far as its words go; its blocks are shorter for that.
+LEAST_BLOCKS = 256
+
+
+def catalogue(rows: DataFrame, share: float, weights: Sequence[float], cap: int, block: int) -> tuple[DataFrame, int]:
+    """A durable table of the sources, with their number.
+
+    src numbers the sources by code point, null last; weights repeat in that order. Targets share ``share`` of all sizes by weight; a target stops at
+    cap * size and its excess is shared again among the rest, until none is above: the level that all others reach is raised
+    round by round. blocks of ``words`` words each (the last may be shorter) make a source; slots is the number of them that its target is worth.
+    """
+    found = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull())
+    found = running(durable(found), ["_null", "source"], place="src").drop("_null").withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("src") % len(weights) + 1).cast("int")))
+    found = durable(found.withColumn("most", F.col("source_size") * float(cap)))
+    sizes = found.agg(F.count("*"), F.sum("source_size")).first()
+    wanted, level, full = min(float(share), float(cap)) * (sizes[1] or 0), 0.0, -1
+    while True:
+        stopped = (F.col("most") <= level * F.col("weight")) | (F.col("source_size") == 0)
+        r = found.agg(F.count_if(stopped), F.sum(F.when(stopped, F.col("most"))), F.sum(F.when(~stopped, F.col("weight")))).first()
+        if r[0] == full or not r[2]:
             break
-        for i in full:
-            target[i] = most[i]
-        left -= sum(most[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return target
-
-
-def catalogue(rows: DataFrame, share: float, weights: Sequence[float], cap: float, block: int) -> list[Source]:
-    """The sources by code point, null last, with their targets, blocks and expected slots."""
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [int(r["size"] or 0) for r in found]
-    targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), cap)
-    out = []
-    for r, size, target in zip(found, sizes, targets, strict=True):
-        blocks = -(-size // block)
-        out.append(Source(r.source, size, target, blocks, target * blocks / size if size else 0.0))
-    return out
+        full, level = r[0], (wanted - (r[1] or 0.0)) / r[2]
+    target = F.when(stopped, F.col("most")).otherwise(F.least(F.col("most"), level * F.col("weight")))
+    words = F.greatest(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), F.floor(F.col("source_size") / LEAST_BLOCKS)))
+    out = found.withColumn("target", target).withColumn("words", words).withColumn("blocks", F.ceil(F.col("source_size") / F.col("words")))
+    out = out.withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
+    return durable(out.select("source", "src", "source_size", "target", "words", "blocks", "slots")), sizes[0]
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -76,69 +60,86 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(totals: np.ndarray, shard_slots: int, low: int, high: int, seed: int, exact: int = 500_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, count of each source, first slot of each source) for the shards from ``low`` to before ``high``.
+def draw_counts(open_: DataFrame, shares: DataFrame, sources: int, seed: int, turn: int) -> DataFrame:
+    """(shard, src, n): each shard draws its open slots (shard, n) from the sources, multinomially by their shares (src, share).
 
-    Every slot of a shard is drawn: counts are multinomial under the condition that the shards together use each source's ``totals``
-    (the multivariate hypergeometric law), so the corpus meets its targets whatever a shard draws. The shards are halved again and again,
-    each half drawing its share, seeded by its bounds; a shard's counts thus need no other shard's. Over ``exact`` slots, where the
-    draws would stray by less than one in 20,000, halves get their exact shares.
+    Seeded by shard and turn, so that a shard's draw needs no other's. A shard draws counts for groups of ``GROUP`` sources and then
+    splits each, so it holds a number for each group, and a group's shares, at a time.
     """
-    total = int(totals.sum())
-
-    def visit(a: int, b: int, counts: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        if b <= low or a >= high:
-            return
-        if b - a == 1:
-            yield a, counts, first
-            return
-        middle, own = (a + b) // 2, int(counts.sum())
-        take = (middle - a) * shard_slots
-        if own > exact:
-            share = [int(c) * take for c in counts]  # whole numbers of any length
-            left = np.array([x // own for x in share], np.int64)
-            rest = sorted(range(len(share)), key=lambda i: (-(share[i] % own), i))[: take - int(left.sum())]
-            left[rest] += 1
-        else:
-            left = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(counts, take, method="marginals")
-        yield from visit(a, middle, left, first)
-        yield from visit(middle, b, counts - left, first + left)
-
-    if total:
-        yield from visit(0, -(-total // shard_slots), totals, np.zeros(len(totals), np.int64))
-
-
-def slots(docs_spark, sources: Sequence[Source], shard_slots: int, cap: float, seed: int) -> DataFrame:
-    """(src, block, shard): the drawn slots of all output shards, see shard_counts.
-
-    Slot k of a source holds block permutation(k mod blocks), a new permutation each time around; no source has more than
-    cap * blocks slots, so no block is taken more than ``cap`` times.
+    grouped = shares.where("share > 0").groupBy(F.floor(F.col("src") / GROUP).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("src", "share"))).alias("own"), F.sum("share").alias("total"))
+    totals = sorted((r.grp, r.total) for r in grouped.select("grp", "total").collect())  # a row for each GROUP sources
+    numbers, p = np.array([g for g, _ in totals], np.int64), np.array([t for _, t in totals])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, n in zip(b.column("shard").to_pylist(), b.column("n").to_pylist(), strict=True):
+                got = np.random.default_rng([seed, turn, shard]).multinomial(n, p / p.sum())
+                at = np.flatnonzero(got)
+                yield pa.RecordBatch.from_pydict({"shard": np.full(len(at), shard), "grp": numbers[at], "n": got[at]})
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (shard, grp, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("shard", "grp", "n")), strict=True)):
+                own = b.column("own")[i].values
+                src, q = own.field("src").to_numpy(), own.field("share").to_numpy()
+                got = np.random.default_rng([seed, turn, shard, grp]).multinomial(n, q / q.sum())
+                at = np.flatnonzero(got)
+                yield pa.RecordBatch.from_pydict({"shard": np.full(len(at), shard), "src": src[at], "n": got[at]})
+        give_back()
+
+    first = open_.mapInArrow(between, "shard long, grp long, n long")
+    lists = grouped.select("grp", "own")
+    return first.join(F.broadcast(lists) if sources <= BROADCAST else lists.hint("merge"), "grp").mapInArrow(within, "shard long, src long, n long")
+
+
+def draw_slots(sources: DataFrame, number: int, shard_slots: int, cap: int, seed: int) -> DataFrame:
+    """(src, blocks, shard, first, n): the slots of each output shard, as runs of the source's slots, numbered from 0 through all shards.
+
+    Each shard of ``shard_slots`` slots draws how many of them each source gets, multinomially by the sources' expected slots. Where the shards together
+    draw more of a source than one above its expected number, or than cap * blocks, the last ones give theirs back and draw these again, by the room that
+    is left, until none is above. So a source misses its target by a few slots at any size, and no block is taken more than ``cap`` times.
     """
-    blocks = np.array([s.blocks for s in sources], np.int64)
-    totals = np.array([min(round(s.slots), int(cap * s.blocks)) for s in sources], np.int64)
-    shards = -(-int(totals.sum()) // shard_slots) if len(totals) else 0
-
-    def place(src: int, first: int, n: int) -> np.ndarray:
-        k = np.arange(first, first + n)
-        k = k[k < int(cap * blocks[src])]
-        out = np.empty(len(k), np.int64)
-        for turn in np.unique(k // blocks[src]):
-            at = k // blocks[src] == turn
-            out[at] = permute(k[at] % blocks[src], int(blocks[src]), seed * 1_000_003 + src * 101 + int(turn))
-        return out
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # in one Python worker, as a second one in the same task would hold its memory on
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            if not len(own):
-                continue
-            for shard, n, first in shard_counts(totals, shard_slots, int(own[0]), int(own[-1]) + 1, seed):
-                at = np.flatnonzero(n)
-                found = [place(int(s), int(first[s]), int(n[s])) for s in at]
-                src = np.repeat(at, [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(src.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.full(len(src), shard))], ["src", "block", "shard"])
+    spark = sources.sparkSession
+    total = int((sources.agg(F.sum("slots")).first()[0] or 0.0) + 1e-6)
+    shards = -(-total // shard_slots)
+    room = F.least(F.col("blocks") * cap, F.ceil(F.col("slots") - 1e-6) + 1)
+    open_ = spark.range(shards).select(F.col("id").alias("shard"), F.least(F.lit(shard_slots).cast("long"), F.lit(total) - F.col("id") * shard_slots).alias("n"))
+    state = sources.select("src", "blocks", "slots", room.alias("most"), F.lit(0).cast("long").alias("taken"))
+    out, turn, left = None, 0, total
+    while left:
+        shares = state.select("src", (F.col("slots") if turn == 0 else (F.col("most") - F.col("taken")).cast("double")).alias("share"))
+        drawn = prefix_sums(draw_counts(open_, shares, number, seed, turn), "src", ["shard"], "n", "before", F.floor(F.col("shard") / 256))
+        drawn = drawn.join(F.broadcast(state) if number <= BROADCAST else state.hint("merge"), "src")
+        kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("most") - F.col("taken") - F.col("before")))
+        drawn = durable(drawn.select("src", "blocks", "shard", (F.col("taken") + F.col("before")).alias("first"), kept.alias("n"), (F.col("n") - kept).alias("back")))
+        found = drawn.where("n > 0").drop("back")
+        out = found if out is None else out.unionByName(found)
+        open_ = drawn.groupBy("shard").agg(F.sum("back").alias("n")).where("n > 0")
+        more = drawn.groupBy("src").agg(F.sum("n").alias("_more"))
+        left, turn = drawn.agg(F.sum("back")).first()[0], turn + 1
+        if left:
+            state = durable(state.join(more, "src", "left").withColumn("taken", F.col("taken") + F.coalesce("_more", F.lit(0))).drop("_more"))
+            open_ = durable(open_)
+        let_go(spark)
+    return spark.createDataFrame([], "src long, blocks long, shard long, first long, n long") if out is None else out
+
+
+def slots(drawn: DataFrame, seed: int, run: int = 1 << 16) -> DataFrame:
+    """(src, block, shard): the block of each drawn slot. Slot k of a source holds block permutation(k mod blocks), a new permutation each time around."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for src, blocks, shard, first, n in zip(*(b.column(c).to_pylist() for c in ("src", "blocks", "shard", "first", "n")), strict=True):
+                for low in range(first, first + n, run):
+                    k = np.arange(low, min(low + run, first + n))
+                    out = np.empty(len(k), np.int64)
+                    for turn in np.unique(k // blocks):
+                        at = k // blocks == turn
+                        out[at] = permute(k[at] % blocks, blocks, seed * 1_000_003 + src * 101 + int(turn))
+                    yield pa.RecordBatch.from_pydict({"src": np.full(len(k), src), "block": out, "shard": np.full(len(k), shard)})
+        give_back()
 
-    return docs_spark.range(0, shards).mapInArrow(draw, "src int, block long, shard long")
+    return drawn.mapInArrow(place, "src long, block long, shard long")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -146,49 +147,54 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("source", F.col("source").cast("string"))
 
 
-def _laid_out(rows: DataFrame, order: Sequence[str], share, weights, cap, block, seed, shard_slots) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sized rows with src, place and first word; words taken from each block; catalogue)."""
-    spark = rows.sparkSession
-    sources = catalogue(rows.select("source", "size"), share, weights, cap, block)
-    listed = spark.createDataFrame([(s.name, i, s.size, float(s.target)) for i, s in enumerate(sources)], "_name string, src int, source_size long, target double")
-    rows = rows.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")  # at most MOST_SOURCES rows
+def _laid_out(rows: DataFrame, order: Sequence[str], share, weights, cap, block, seed, shard_slots, draw_seed) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(sized rows with src, words, place and first word; how often each block is taken; catalogue; number of sources)."""
+    if cap != int(cap) or cap < 1:
+        raise ValueError("cap must be a whole number, as blocks are taken whole")
+    sources, number = catalogue(rows.select("source", "size"), share, weights, int(cap), block)
+    listed = sources.select(F.col("source").alias("_name"), "src", "words")
+    rows = rows.join(F.broadcast(listed) if number <= BROADCAST else listed.hint("merge"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     rows = prefix_sums(rows, "src", order, "size", "first", hex_bucket("doc_id", "size"), rank="place")
-    uses = slots(spark, sources, shard_slots, cap, seed).groupBy("src", "block").agg(F.count("*").alias("uses"))
-    return rows, uses, listed
+    drawn = draw_slots(sources, number, shard_slots, int(cap), seed if draw_seed is None else draw_seed)
+    uses = slots(drawn, seed).groupBy("src", "block").agg(F.count("*").alias("uses"))
+    return rows, uses, sources, number
 
 
-def _segments(rows: DataFrame, uses: DataFrame, block: int, *keep: str) -> DataFrame:
+def _segments(rows: DataFrame, uses: DataFrame, *keep: str) -> DataFrame:
     """Each row's blocks with how often the mix takes them.
 
-    ``uses`` has a row for each taken block, but Spark expects a few kilobytes, as it stems from a range: without the hint it is broadcast.
+    ``uses`` has a row for each taken block, but Spark may expect a few kilobytes, as it stems from Python: without the hint it may be broadcast.
     """
-    ends = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))).otherwise(F.array(F.lit(-1).cast("long")))
-    cut = rows.select(*keep, "src", "place", "first", "size", F.explode(ends).alias("block"))
-    low = F.greatest(F.col("first"), F.col("block") * block)
-    high = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block)
+    words = F.col("words")
+    ends = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / words), F.floor((F.col("first") + F.col("size") - 1) / words))).otherwise(F.array(F.lit(-1).cast("long")))
+    cut = rows.select(*keep, "src", "words", "place", "first", "size", F.explode(ends).alias("block"))
+    low = F.greatest(F.col("first"), F.col("block") * words)
+    high = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * words)
     return cut.join(uses.hint("merge"), ["src", "block"], "left").withColumn("low", low - F.col("first")).withColumn("high", high - F.col("first")).withColumn("uses", F.coalesce("uses", F.lit(0).cast("long")))
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: float = 2, block: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: int = 2, block: int = 64, shard_slots: int = 4096, seed: int = 7, draw_seed: int | None = None) -> DataFrame:
     """One row per document of (doc_id, text, source): doc_id, size, source_size, target and taken.
 
-    Words of a source's documents, laid end to end in pseudorandom order, make blocks of ``block`` words (the last may
-    be shorter). The mix takes ``share`` of all words; see fill_targets and slots. taken counts the words of the
-    document in the drawn blocks, repeats included, and never exceeds ``cap`` times its size.
+    Words of a source's documents, laid end to end in pseudorandom order, make blocks of ``block`` words, shorter ones in a source of few
+    words. The mix takes ``share`` of all words by ``weights``; see catalogue, draw_slots and slots. taken counts the words of the
+    document in the drawn blocks, repeats included, and never exceeds ``cap`` times its size. A source's taken words miss its target by a few
+    blocks at most. ``draw_seed``, ``seed`` where it isn't given, seeds the shards' draws alone, not the permutations.
 
     A null or empty text has size 0 and takes nothing; null is a source of its own, the last; repeated rows and doc_ids
     are separate rows; other columns are not read; an empty table gives an empty result. The same input and
-    seed give the same result. Texts are read once, into a durable table of sizes; only sizes are shuffled, and a source that holds most rows is dealt over 256
-    buckets. The catalogue of sources is broadcast; over MOST_SOURCES sources raise ValueError.
+    seeds give the same result. Texts are read once, into a durable table of sizes; only sizes are shuffled, and a source that holds most rows is dealt over 256
+    buckets. There may be any number of sources: their table is broadcast up to ``BROADCAST`` rows and merged beyond.
     """
     sized = durable(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")).drop("text"))
-    rows, uses, listed = _laid_out(sized, ["doc_id", "size"], share, weights, cap, block, seed, shard_slots)
+    rows, uses, sources, number = _laid_out(sized, ["doc_id", "size"], share, weights, cap, block, seed, shard_slots, draw_seed)
     overlap = F.when(F.col("block") >= 0, (F.col("high") - F.col("low")) * F.col("uses")).otherwise(0)
-    taken = _segments(rows, uses, block, "doc_id").groupBy("src", "place", "doc_id", "size").agg(F.sum(overlap).alias("taken"))
-    return taken.join(F.broadcast(listed), "src").select("doc_id", "size", "source_size", "target", "taken")
+    taken = _segments(rows, uses, "doc_id").groupBy("src", "place", "doc_id", "size").agg(F.sum(overlap).alias("taken"))
+    listed = sources.select("src", "source_size", "target")
+    return taken.join(F.broadcast(listed) if number <= BROADCAST else listed.hint("merge"), "src").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: float = 2, block: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
+def mixed_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: int = 2, block: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each maximal run of taken words of a document and turn.
 
     A document whose blocks are all taken comes back whole; one taken twice comes back twice; at the border of a
@@ -202,8 +208,8 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float
     columns = docs.columns
     whole_row = F.struct(*(F.col(f"`{c}`") for c in columns))
     kept = docs.select(whole_row.alias("_doc"), F.md5(F.to_json(whole_row)).alias("_hash"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    rows, uses, _ = _laid_out(_sized(kept), ["doc_id", "size", "_hash"], share, weights, cap, block, seed, shard_slots)
-    parts = _segments(rows.select("src", "place", "first", "size"), uses, block).where("block >= 0").groupBy("src", "place").agg(F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("parts"))
+    rows, uses, _, _ = _laid_out(_sized(kept), ["doc_id", "size", "_hash"], share, weights, cap, block, seed, shard_slots, None)
+    parts = _segments(rows.select("src", "words", "place", "first", "size"), uses).where("block >= 0").groupBy("src", "place").agg(F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("parts"))
     whole = rows.select("src", "place", "_doc").join(parts, ["src", "place"], "left").select("_doc.*", F.col("parts.low").alias("_low"), F.col("parts.high").alias("_high"), F.col("parts.uses").alias("_uses"))
     others = [c for c in columns if c != "text"]
 
