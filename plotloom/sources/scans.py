@@ -1,16 +1,14 @@
-"""Scans of annotation files: lists, enveloped lists, keyed objects, lines, nested lists, shards of archives, folders, tables."""
+"""Scans of annotation files: lists, enveloped lists, keyed objects, lines, nested lists, folders, tables; archives are in ``archives``."""
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotloom.sources.archives import archive_members, shards  # noqa: F401  scans like the others
+
 
 def _texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.text([paths] if isinstance(paths, str) else list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
@@ -59,63 +57,6 @@ def folders(spark: SparkSession, path: str, schema: str, name: str = "data.json"
     return text.select(place.alias("data_id"), F.from_json("value", f"struct<{schema}>").alias("a")).select("data_id", "a.*")
 
 
-def shards(spark: SparkSession, path: str, schema: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """(shard, sample, *schema) of tar archives whose members ``<sample>.json`` and ``<sample>.jpg`` make samples.
-
-    A sample needs both. An archive that can't be read to its end gives what came before; a member whose JSON is bad gives none. An archive is one
-    task's; ``most_bytes`` bounds its size.
-    """
-
-    def readable(body: bytes) -> str | None:
-        try:
-            text = body.decode("utf-8")
-            return text if isinstance(json.loads(text), dict) else None
-        except ValueError:
-            return None
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for shard, content in zip(f["path"], f["content"], strict=True):
-                found: dict[str, dict[str, bytes]] = {}
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-                        for member in archive:
-                            if member.isfile():
-                                stem, _, end = member.name.rpartition("/")[2].partition(".")
-                                found.setdefault(stem, {})[end] = archive.extractfile(member).read() if end == "json" else b""
-                except (tarfile.TarError, EOFError, OSError):
-                    pass
-                rows = [(shard, k, body) for k, v in found.items() if "json" in v and "jpg" in v and (body := readable(v["json"])) is not None]
-                yield pd.DataFrame(rows, columns=["shard", "sample", "body"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).where(F.col("length") <= most_bytes).select("path", "content")
-    rows = files.mapInPandas(unpack, "shard string, sample string, body string")
-    return rows.select(F.element_at(F.split("shard", "/"), -1).alias("shard"), "sample", F.from_json("body", f"struct<{schema}>").alias("a")).where("a IS NOT NULL").select("shard", "sample", "a.*")
-
-
-def archive_members(spark: SparkSession, parts: Sequence[str], keep: str = "friends/") -> DataFrame:
-    """(member, season, bytes) of the tar archive that is cut into ``parts``, in their order: members whose path holds /friends/ in any case, or starts with the prefix.
-
-    season is the first part of the path that holds 'season'. All parts are required. The archive is a stream, so one task reads it.
-    """
-    listed = spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "part int, name string")
-    found = spark.read.format("binaryFile").load(list(parts)).select("path", "content").withColumn("name", F.regexp_replace("path", "^file:/*", "/"))
-    rows = listed.join(found, "name").select("part", "content")
-
-    def unpack(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) < len(parts):
-            raise ValueError("a part of the archive is missing")
-        whole = b"".join(frame.sort_values("part")["content"])
-        out = []
-        with tarfile.open(fileobj=io.BytesIO(whole)) as archive:
-            for m in archive:
-                if m.isfile() and (f"/{keep}" in m.name.lower() or m.name.startswith(keep)):
-                    out.append((m.name, next((p for p in m.name.split("/") if "season" in p.lower()), None), m.size))
-        return pd.DataFrame(out, columns=["member", "season", "bytes"])
-
-    return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda f: unpack(f.drop(columns="_one")), "member string, season string, bytes long")
-
-
 def vqa_pair(spark: SparkSession, annotation_path: str, question_path: str) -> tuple[DataFrame, DataFrame]:
     """(annotations, questions) of the two files of a question set."""
     notes = annotations(spark, annotation_path, "question_id:long,image_id:long,question_type:string,answer_type:string,answers:array<struct<answer_id:int,answer:string>>")
