@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plotloom.operators import states
+from plotloom.plans.catalogue import _METRICS
 from plotloom.plans.registry import query
 from plotloom.sources import archives
+from plotloom.sources.commits import ResultStore
 from plotloom.sources.scratch import scratch
 
 
@@ -19,3 +22,34 @@ def tar_shards(t):
     archives.write_shards(docs.select(F.concat(F.lit("d"), "doc_id").alias("sample"), F.explode(ends).alias("ending", "content")), place, 500).collect()  # a row an archive
     found = archives.shards(docs.sparkSession, place, "doc_id:long,lang:string,source:string,n_chars:long,text:string", 1 << 20)
     return found.select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+def _committed(rows, make, name: str):
+    """The states of three disjoint parts of the rows, each a commit of its own, the second one tried twice."""
+    store = ResultStore(rows.sparkSession, scratch(rows.sparkSession, name))
+    for part in (0, 1, 1, 2):
+        store.append(make(rows.where(F.col("doc_id") % 3 == part)), f"part{part}")
+    return store.read()
+
+
+@query("WITH base AS (SELECT lang, quality::VARCHAR t, toxic::VARCHAR p FROM labels JOIN documents USING (doc_id))" + _METRICS.format(k="lang,", g="GROUP BY lang"))
+def merged_metrics(t):
+    rows = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id")
+    return states.confusion_scores(_committed(rows, lambda own: states.confusion_state(own, "quality", "toxic", ["lang"]), "states"), ["lang"])
+
+
+@query("SELECT lang, 'n_chars' AS value, count(n_chars) n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) deviation, min(n_chars)::DOUBLE low, max(n_chars)::DOUBLE high FROM documents GROUP BY lang")
+def merged_moments(t):
+    rows = t("documents").select("doc_id", "lang", "n_chars")
+    return states.moment_scores(_committed(rows, lambda own: states.moment_state(own, ["n_chars"], ["lang"]), "states"), ["lang"])
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, (batch, o_orderdate, o_orderkey)) AS o_orderkey FROM (SELECT *, o_orderkey % 3 AS batch FROM orders) GROUP BY 1")
+def committed_results(t):
+    """Three writers after another, each with the first order of a customer; a customer's row is that of the first writer that has one."""
+    rows = t("orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    store = ResultStore(rows.sparkSession, scratch(rows.sparkSession, "results"))
+    for batch in range(3):
+        store.append(rows.where(F.col("o_orderkey") % 3 == batch), f"rank{batch}", ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    store.compact()
+    return store.read().select("o_custkey", "o_orderkey")

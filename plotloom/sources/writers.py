@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plotloom.sources.scratch import store_of, stored
+
 
 def pending(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows whose keys aren't done yet."""
@@ -40,23 +43,23 @@ def pretty(value: Column) -> Column:
 def write_texts(rows: DataFrame, folder: str, name: str = "file", text: str = "text", overwrite: bool = True) -> DataFrame:
     """Writes a file for each row under ``folder``, from the task that holds it; returns (file, written), False where one was there and stays.
 
-    The folder must be one that all executors share.
+    The folder is a path that all executors share, or an address of a store that Arrow knows.
     """
     spark = rows.sparkSession
-    folder = folder.removeprefix("file://").rstrip("/")
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        store, root = store_of(folder.rstrip("/"))
+        store.create_dir(root, recursive=True)
         for f in frames:
             done = []
             for n, body in zip(f[name], f[text], strict=True):
-                path = f"{folder}/{n}"
-                fresh = overwrite or not os.path.exists(path)
+                path = f"{root}/{n}"
+                fresh = overwrite or store.get_file_info(path).type == FileType.NotFound
                 if fresh:
-                    part = f"{path}.{os.getpid()}.part"  # whole or not at all, also if the task is run again
-                    with open(part, "w", encoding="utf-8") as out:
-                        out.write(body)
-                    os.replace(part, path)
+                    part = f"{path}.{uuid.uuid4().hex}.part"  # whole or not at all, also if the task is run again
+                    with store.open_output_stream(part) as out:
+                        out.write(body.encode())
+                    store.move(part, path)
                 done.append((n, fresh))
             yield pd.DataFrame(done, columns=["file", "written"])
 
@@ -121,12 +124,15 @@ def answer_map(rows: DataFrame) -> DataFrame:
     return rows.select("question_id", F.to_json(F.struct("multiple_choice", "direct_answer")).alias("json"))
 
 
-def judge_until_done(results: DataFrame, scores: Callable[[DataFrame], DataFrame], stored: DataFrame, key: str = "video_name", tries: int = 3) -> DataFrame:
-    """(key, score): stored scores, and those of the rest by ``scores``, which is asked again for what it left out, ``tries`` times at most."""
-    have = stored.select(key, "score")
+def judge_until_done(results: DataFrame, scores: Callable[[DataFrame], DataFrame], before: DataFrame, key: str = "video_name", tries: int = 3) -> DataFrame:
+    """(key, score): scores from before, and those of the rest by ``scores``, which is asked again for what it left out, ``tries`` times at most.
+
+    What a try scored is written to the shared folder, so that no row is scored twice.
+    """
+    have = before.select(key, "score")
     for _ in range(tries):
         left = pending(results, have, [key])
         if left.isEmpty():
             break
-        have = have.unionByName(scores(left).where("score IS NOT NULL").select(key, "score"))
+        have = have.unionByName(stored(scores(left).where("score IS NOT NULL").select(key, "score"), "scores"))
     return have
