@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotloom.operators import states
+from plotloom.operators import orders, states
 from plotloom.plans.catalogue import _METRICS
 from plotloom.plans.registry import query
 from plotloom.sources import archives
 from plotloom.sources.commits import ResultStore
 from plotloom.sources.scratch import scratch
+from plotloom.streaming import windows
 
 
 @query("SELECT doc_id, lang, source, n_chars, md5(coalesce(text, '')) digest FROM documents WHERE doc_id % 10 <> 3")
@@ -53,3 +54,34 @@ def committed_results(t):
         store.append(rows.where(F.col("o_orderkey") % 3 == batch), f"rank{batch}", ["o_custkey"], ["o_orderdate", "o_orderkey"])
     store.compact()
     return store.read().select("o_custkey", "o_orderkey")
+
+
+@query("SELECT event_id, count(*) OVER w AS n, quantile_disc(value, 0.5) OVER w AS median, round(avg(value) OVER w, 9) AS mean, max(value) OVER w AS highest, value AS latest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+def streamed_look_back(t):
+    """Events replayed through a stream, six days a batch, a seventh of them a batch late; a row in the far future lets the watermark pass the last ones."""
+    events = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    spark = events.sparkSession
+    place, schema = scratch(spark, "replay"), "event_id long, ts timestamp, user_id long, value double"
+    batch = F.floor(F.dayofmonth("ts") / 6) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    for b in range(7):
+        events.where(batch == b).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    events.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(0.0).alias("value")).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    live = windows.stream(windows.timed_session(spark), f"{place}/in", schema)
+    rows = windows.rows_in_order(live, "user_id", "event_id", "value", late="13 days", forget="400 days")
+    rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("key long, id long, ts timestamp, n long, median double, mean double, highest double, latest double").parquet(f"{place}/out")
+    return found.where("id >= 0").select(F.col("id").alias("event_id"), "n", "median", F.round("mean", 9).alias("mean"), "highest", "latest")
+
+
+@query("SELECT epoch::INT AS epoch, count(*) n, count(DISTINCT doc_id) AS documents, 0::BIGINT AS far FROM documents, range(0, 2) r(epoch) GROUP BY 1")
+def buffered_shuffle(t):
+    """Documents through a buffer of 500 rows, twice; far counts rows that moved by as many places, of which there must be none."""
+    own = t("documents").select("doc_id").withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = orders.shuffle_buffer(own, 500, seed=5, epochs=2)
+    return rows.groupBy("epoch").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.count_if(F.abs(F.col("place") - F.col("at")) >= 500).alias("far"))
+
+
+@query(None)
+def interleaved_documents(t):
+    """Documents of three sources, 3 to 1 to 2, until all have ended; held by a test against a plain loop."""
+    return orders.interleaved(t("documents").select("doc_id", "source"), "source", ["doc_id"], {"src0": 3, "src1": 1, "src2": 2})

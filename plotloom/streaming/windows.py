@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 
 def segments(events: DataFrame, length: str = "80 seconds", late: str = "10 minutes") -> DataFrame:
@@ -23,9 +23,8 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "10 minutes") ->
 
 
 def look_back(events: DataFrame, key: str, value: str, keep: int = 20, forget: str = "1 day", late: str = "10 minutes") -> DataFrame:
-    """For each batch of a stream and key: lower median, mean, max and last of the last ``keep`` values, by time.
-
-    A key that nothing came for in ``forget`` of event time is forgotten, so that the state stays that of the keys in use.
+    """For each batch of a stream and key: lower median, mean, max and last of the last ``keep`` values, by time of arrival; see rows_in_order for
+    a row's own frame, whatever came late. A key that nothing came for in ``forget`` of event time is forgotten, so that the state stays that of the keys in use.
     """
     wait = int(pd.Timedelta(forget).total_seconds() * 1000)
 
@@ -44,6 +43,78 @@ def look_back(events: DataFrame, key: str, value: str, keep: int = 20, forget: s
     return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, "key string, median double, mean double, max double, last double", "values array<double>", "update", "EventTimeTimeout")
 
 
+class LookBack(StatefulProcessor):
+    """Rows (at, id, value) of a key in the order of (at, id), however they arrive within the watermark, each with figures of the last ``keep`` values.
+
+    Rows wait in a list until the watermark has passed the last that came with them, which one timer for each key and batch tells; what came late has
+    taken its place by then. Another list holds the values that the next row looks back on. A key that nothing came for in ``forget`` ms of
+    event time is forgotten, by a timer too, so the state stays that of the keys in use. Times are microseconds.
+    """
+
+    def __init__(self, keep: int, forget: int):
+        self.keep, self.forget = keep, forget
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, id long, value double")
+        self.held = handle.getListState("held", "at long, value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows))
+        self.waiting.appendList([(int(a), int(i), float(v)) for a, i, v in zip(fresh["at"], fresh["id"], fresh["value"], strict=True)])
+        self.handle.registerTimer(-(-int(fresh["at"].max()) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = 1000 * expiredTimerInfo.getExpiryTimeInMs()
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        held = list(self.held.get()) if self.held.exists() else []
+        due = [r for r in waiting if r[0] <= now]
+        if not due:
+            if held and held[-1][0] + 1000 * self.forget <= now:
+                self.held.clear()
+            return
+        out = []
+        for at, number, value in due:
+            held = [*held, (at, value)][-self.keep :]
+            values = [v for _, v in held]
+            ordered = sorted(values)
+            out.append((key[0], number, at, len(values), ordered[(len(ordered) - 1) // 2], sum(values) / len(values), ordered[-1], value))
+        self.held.put([tuple(h) for h in held])
+        left = waiting[len(due) :]
+        if left:
+            self.waiting.put([tuple(r) for r in left])
+        else:
+            self.waiting.clear()
+        self.handle.registerTimer(-(-held[-1][0] // 1000) + self.forget)
+        yield pd.DataFrame(out, columns=["key", "id", "at", "n", "median", "mean", "highest", "latest"])
+
+    def close(self) -> None:
+        pass
+
+
+def rows_in_order(events: DataFrame, key: str, number: str, value: str, keep: int = 20, forget: str = "1 day", late: str = "10 minutes") -> DataFrame:
+    """Of a stream with ``ts``: for each row, once the watermark has passed it, count, lower median, mean, highest and latest of the last ``keep`` values of its key.
+
+    (key, id, ts, n, median, mean, highest, latest), where rows of a key are in the order of time and ``number``, as in a frame of rows over a table. The
+    session needs a state store that knows timers; see timed_session.
+    """
+    rows = events.withWatermark("ts", late).select(F.col(key).cast("long").alias("key"), "ts", F.unix_micros("ts").alias("at"), F.col(number).cast("long").alias("id"), F.col(value).cast("double").alias("value"))
+    schema = "key long, id long, at long, n long, median double, mean double, highest double, latest double"
+    wait = int(pd.Timedelta(forget).total_seconds() * 1000)
+    out = rows.groupBy("key").transformWithStateInPandas(LookBack(keep, wait), schema, "Append", "EventTime")
+    return out.select("key", "id", F.timestamp_micros("at").alias("ts"), "n", "median", "mean", "highest", "latest")
+
+
+def timed_session(spark: SparkSession) -> SparkSession:
+    """A session beside the user's, with its shuffles and time zone, whose streams keep state in RocksDB, as timers need."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 def with_resume(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Runs ``work`` over what the source has that no earlier run finished, and appends its rows as parquet; a finished batch is marked in the checkpoint."""
 
@@ -54,7 +125,7 @@ def with_resume(source: DataFrame, work: Callable[[DataFrame], DataFrame], out:
 
 
 def interleaved(streams: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
-    """The rows of several streams with their source's name; how they alternate is the trigger's, not fixed."""
+    """The rows of several streams with their source's name; how they alternate is the trigger's; ``orders.interleave_stream`` gives each its share."""
     out = None
     for rows, name in zip(streams, names, strict=True):
         one = rows.withColumn("source", F.lit(name))
