@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import math
+from collections import defaultdict
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,46 +55,71 @@ def once_each(rows: DataFrame, order: Column | str = "pos") -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy("video_id", "text").orderBy(order))).where("_rn = 1").drop("_rn")
 
 
+def _frames_of(start: float, end: float, rate: int) -> tuple[int, int]:
+    """The first and the last frame whose time, frame / rate, lies from start to end; the first is after the last if there is none."""
+    first, last = math.ceil(start * rate), math.floor(end * rate)
+    while (first - 1) / rate >= start:  # a product may be off by a rounding
+        first -= 1
+    while first / rate < start:
+        first += 1
+    while (last + 1) / rate <= end:
+        last += 1
+    while last / rate > end:
+        last -= 1
+    return max(0, first), last
+
+
 def running_text(frames: int, fps: float, cues: list[tuple[float, float, str]], length: int, most: int, words: bool) -> str:
     """The placeholders of a video's sampled frames, with what is said up to each.
 
     At every frame the cues whose time holds it (both ends count) are looked up. Without ``words`` the first whose text the running text doesn't
     hold is taken, if it wasn't before, and no other; with ``words`` all are, but only their words that neither the running nor the
     last caption holds. A sampled frame takes what has run up, until ``most`` words are out. Missing frames repeat the last.
+
+    Only frames at which a cue begins or has ended, or which are sampled, change what is open; from each of them on, frames are looked at until one
+    adds nothing, as then none does before the next. So the work follows the cues and the samples, not the frames.
     """
     step = max(1, int(frames / length))
     rate = max(1, int(fps))
-    starts = sorted((s, e, k) for k, (s, e, _) in enumerate(cues))
+    end = min(frames, step * (length - 1) + 1)
+    opens, closes = defaultdict(list), defaultdict(list)
+    for k, (s, e, _) in enumerate(cues):
+        first, last = _frames_of(s, e, rate)
+        if first <= last and first < end:
+            opens[first].append(k)
+            closes[last + 1].append(k)
+    borders = sorted({f for f in {*opens, *closes, *range(0, end, step)} if f < end})
     out, run, before, seen, said, taken = [], "", "", set(), 0, 0
-    open_: list[tuple[float, int]] = []
-    at = 0
-    for frame in range(frames):
-        t = frame / rate
-        while at < len(starts) and starts[at][0] <= t:
-            bisect.insort(open_, (starts[at][2], starts[at][1]))
-            at += 1
-        open_ = [(k, e) for k, e in open_ if e >= t]
-        for k, _ in open_:
-            text = cues[k][2].replace("\n", " ")
-            if words:
-                if text not in seen:
-                    for w in text.split(" "):
-                        if w not in run and w not in before:
-                            run += w + " "
-                seen.add(text)
-            elif text not in run:
-                if text not in seen:
-                    run += text + " "
-                seen.add(text)
-                break
-        if frame % step == 0:
-            out.append("<Img><ImageHere>")
-            taken += 1
-            if run and said < most:
-                out.append(f"<Cap>{run}")
-                said += len(run.split(" "))
-                before, run = run, ""
-            if taken >= length:
+    open_: list[int] = []
+    for frame, next_ in pairwise([*borders, end]):
+        for k in closes[frame]:
+            del open_[bisect.bisect_left(open_, k)]
+        for k in opens[frame]:
+            bisect.insort(open_, k)
+        for at in range(frame, next_):
+            was = len(run), len(seen)
+            for k in open_:
+                text = cues[k][2].replace("\n", " ")
+                if words:
+                    if text not in seen:
+                        for w in text.split(" "):
+                            if w not in run and w not in before:
+                                run += w + " "
+                    seen.add(text)
+                elif text not in run:
+                    if text not in seen:
+                        run += text + " "
+                    seen.add(text)
+                    break
+            same = was == (len(run), len(seen))
+            if at % step == 0:
+                out.append("<Img><ImageHere>")
+                taken += 1
+                if run and said < most:
+                    out.append(f"<Cap>{run}")
+                    said += len(run.split(" "))
+                    before, run, same = run, "", False
+            if same:
                 break
     out.extend(["<Img><ImageHere>"] * (length - taken if taken else 0))
     return "".join(out)

@@ -2,7 +2,9 @@
 
 import io
 import json
+import random
 import tarfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,6 +244,20 @@ def test_frame_captions(spark):
         assert got == {r.video_id: naive_text(r.frames, 1.5, said[r.video_id], 9, 12, words) for r in videos.collect()}
 
 
+def test_running_text_of_random_cues():
+    """Against looking at every frame; and twenty hours of video, with a cue every two seconds, in a moment."""
+    rng = random.Random(9)
+    for k in range(400):
+        frames, fps = rng.randint(0, 400), rng.choice([0.5, 1.0, 2.9, 24.0, 29.97])
+        cues = [(s := round(rng.uniform(0, frames / max(1, fps)), rng.choice([0, 1, 3])), s + rng.choice([0, 0.01, 1, 5, 60]), rng.choice(["a b", "b", "c d e", "a", "f\ng", "", "h i"])) for _ in range(rng.randint(0, 12))]
+        args = frames, fps, cues, rng.choice([1, 4, 9, 45]), rng.choice([1, 6, 400]), k % 2 == 0
+        plain = [(a, b, text.replace("\n", " ")) for a, b, text in cues]
+        assert subtitles.running_text(*args) == naive_text(*args[:2], plain, *args[3:]), args
+    began = time.time()
+    assert subtitles.running_text(20 * 3600 * 30, 30.0, [(2.0 * i, 2.0 * i + 3, f"cue number {i}") for i in range(36_000)], 90, 10**6, False).count("<Cap>") >= 89
+    assert time.time() - began < 5
+
+
 def test_question_numbers(spark):
     rows = all_queries.QUERIES["all_questions"](spark, SF).collect()
     ids = [r.question_id for r in rows]
