@@ -92,28 +92,64 @@ def events_from_text(response: Column, episode: Column, scene_no: Column, locati
     Code fences go, then everything outside the first '[' and the last ']'; what isn't a JSON array gives none. Items that aren't
     objects or have a blank description are passed over, but keep their number. An item whose description or subjects
     aren't text ends the list. Subjects outside the scene go; if none is left, those named in the description come. The first ``most`` stay.
+
+    A reply is parsed once, as a variant, and its items are read from that. JSON that a variant doesn't take (an object that names a key twice, single quotes) is
+    read item by item as text.
     """
     fenced = F.regexp_replace(F.regexp_replace(strip(response), r"(?s)^.*?```(?:json)?", ""), r"(?s)```.*$", "")
-    text = F.when(response.contains("```"), fenced).otherwise(strip(response))
-    items = F.coalesce(F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), "array<string>"), F.array().cast("array<string>"))
-    body = "event_description string, involved_subjects array<string>, start_offset string, end_offset string, episode_clip string"
-    kind = lambda x, path: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(x), path, "variant")), F.lit("NONE"))
-    is_object = lambda x: F.coalesce(F.ltrim(x).startswith("{"), F.lit(False))
-    people = lambda x: kind(x, "$.involved_subjects")
-    odd = lambda x: is_object(x) & (~kind(x, "$.event_description").isin("STRING", "NONE") | (people(x).startswith("ARRAY<") & ~people(x).isin("ARRAY<STRING>", "ARRAY<VOID>")))
-    parsed = F.transform(items, lambda x, i: F.struct(is_object(x).alias("is"), odd(x).alias("odd"), F.from_json(x, body).alias("e"), (i + 1).alias("no")))
-    bad = F.array_min(F.transform(F.filter(parsed, lambda p: p["odd"]), lambda p: p["no"]))
-    described = lambda p: strip(F.coalesce(p["e"]["event_description"], F.lit("")))
-    good = F.filter(parsed, lambda p: p["is"] & (described(p) != "") & (p["no"] < F.coalesce(bad, F.lit(1 << 30))))
+    text = F.regexp_extract(F.when(response.contains("```"), fenced).otherwise(strip(response)), r"(?s)\[.*\]", 0)
+    fields = ("start_offset", "end_offset", "episode_clip")
+
+    def item(x: Column, i: Column) -> Column:
+        told, people = (F.try_variant_get(x, f"$.{name}", "variant") for name in ("event_description", "involved_subjects"))
+
+        def read(v: Column) -> Column:
+            said, named = F.schema_of_variant(v["told"]), F.schema_of_variant(v["people"])
+            listed = F.coalesce(named.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+            return F.struct(
+                (i + 1).alias("no"), (F.coalesce(~said.isin("STRING"), F.lit(False)) | (F.coalesce(named.startswith("ARRAY<"), F.lit(False)) & ~listed)).alias("odd"),
+                strip(F.coalesce(F.when(said == "STRING", F.try_variant_get(v["told"], "$", "string")), F.lit(""))).alias("told"), F.when(listed, F.try_variant_get(v["people"], "$", "array<string>")).alias("people"),
+                *(F.try_variant_get(x, f"$.{name}", "string").alias(name) for name in fields),
+            )
+
+        return F.when(F.schema_of_variant(x).startswith("OBJECT"), F.get(F.transform(F.array(F.struct(told.alias("told"), people.alias("people"))), read), 0))
+
+    def found(v: Column) -> Column:
+        return F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), item), lambda p: p.isNotNull())
+
+    parsed = F.get(F.transform(F.array(F.struct(F.try_parse_json(text).alias("v"), text.alias("t"))), lambda b: F.when(b["v"].isNotNull(), found(b["v"])).when(b["t"] != "", _text_items(b["t"]))), 0)
     pad = lambda n: F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
     scene = F.concat(episode, F.lit("_scene_"), pad(scene_no))
 
     def event(p: Column) -> Column:
-        e, text_ = p["e"], described(p)
-        listed = F.transform(F.coalesce(e["involved_subjects"], F.array().cast("array<string>")), lambda s: strip(s))
+        listed = F.transform(F.coalesce(p["people"], F.array().cast("array<string>")), lambda s: strip(s))
         return F.struct(
-            F.concat(scene, F.lit("_event_"), pad(p["no"])).alias("event_id"), text_.alias("event_description"), subjects_kept(listed, subjects, text_).alias("involved_subjects"), F.coalesce(location, F.lit("")).alias("location"),
-            F.concat(F.coalesce(e["start_offset"], start, F.lit("00:00:00")), F.lit("-"), F.coalesce(e["end_offset"], end, F.lit("00:00:00"))).alias("timestamp"), F.coalesce(e["episode_clip"], scene).alias("episode_clip"),
+            F.concat(scene, F.lit("_event_"), pad(p["no"])).alias("event_id"), p["told"].alias("event_description"), subjects_kept(listed, subjects, p["told"]).alias("involved_subjects"), F.coalesce(location, F.lit("")).alias("location"),
+            F.concat(F.coalesce(p["start_offset"], start, F.lit("00:00:00")), F.lit("-"), F.coalesce(p["end_offset"], end, F.lit("00:00:00"))).alias("timestamp"), F.coalesce(p["episode_clip"], scene).alias("episode_clip"),
         )
 
-    return F.slice(F.transform(good, event), 1, most)
+    def kept(all_: Column) -> Column:
+        end_ = F.coalesce(F.array_min(F.transform(F.filter(all_, lambda p: p["odd"]), lambda p: p["no"])), F.lit(1 << 30))
+        return F.slice(F.transform(F.filter(F.transform(all_, lambda p: F.struct(p.alias("p"), end_.alias("end"))), lambda q: (q["p"]["told"] != "") & (q["p"]["no"] < q["end"])), lambda q: event(q["p"])), 1, most)
+
+    return F.get(F.transform(F.array(F.coalesce(parsed, F.array().cast(f"array<{_ITEM}>"))), kept), 0)
+
+
+_ITEM = "struct<no:int,odd:boolean,told:string,people:array<string>,start_offset:string,end_offset:string,episode_clip:string>"
+
+
+def _text_items(text: Column) -> Column:
+    """The items of a JSON array, read one by one as text."""
+    body = "event_description string, involved_subjects array<string>, start_offset string, end_offset string, episode_clip string"
+    kind = lambda x, path: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(x), path, "variant")), F.lit("NONE"))
+    people = lambda x: kind(x, "$.involved_subjects")
+    odd = lambda x: ~kind(x, "$.event_description").isin("STRING", "NONE") | (people(x).startswith("ARRAY<") & ~people(x).isin("ARRAY<STRING>", "ARRAY<VOID>"))
+
+    def item(x: Column, i: Column) -> Column:
+        e = F.from_json(x, body)
+        return F.when(
+            F.coalesce(F.ltrim(x).startswith("{"), F.lit(False)),
+            F.struct((i + 1).alias("no"), odd(x).alias("odd"), strip(F.coalesce(e["event_description"], F.lit(""))).alias("told"), e["involved_subjects"].alias("people"), *(e[n].alias(n) for n in ("start_offset", "end_offset", "episode_clip"))),
+        )
+
+    return F.filter(F.transform(F.from_json(text, "array<string>"), item), lambda p: p.isNotNull())
