@@ -8,33 +8,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotloom.sources.archives import archive_members, shards  # noqa: F401  scans like the others
+from plotloom.sources.json_ranges import elements, keyed_body
+from plotloom.sources.scratch import store_of
+
+
+#: A JSON file up to so many bytes is parsed as one text; a larger one is read in ranges of so many.
+WHOLE, RANGE = 256 << 20, 32 << 20
 
 
 def _texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.text([paths] if isinstance(paths, str) else list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
+def _large(spark: SparkSession, paths: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """(files that can be parsed as one text, files that are too large for that); by their sizes alone."""
+    files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)).select("path", "length").collect()  # a row a file
+    return [r.path for r in files if r.length <= WHOLE], [r.path for r in files if r.length > WHOLE]
+
+
+def _first_mark(path: str) -> str:
+    store, place = store_of(path)
+    with store.open_input_file(place) as f:
+        return next((chr(c) for piece in iter(lambda: f.read(4096), b"") for c in piece.lstrip(b"\xef\xbb\xbf \t\r\n")[:1]), "")
+
+
 def annotations(spark: SparkSession, paths: str | Sequence[str], schema: str, field: str = "annotations") -> DataFrame:
-    """(instance_id, *schema) of JSON files that are lists, or objects whose ``field`` is one; files by path, each parsed once.
+    """(instance_id, *schema) of JSON files that are lists, or objects whose ``field`` is one; each parsed once, a file of over ``WHOLE`` bytes in ranges.
 
-    instance_id numbers the rows of all files from 0, as text; null where the files are more than one, whose rows' place isn't known without a sort.
+    instance_id is a row's number from 0, as text; of several files each row has its file's name before the number.
     """
-    text = _texts(spark, paths)
+    small, large = _large(spark, paths)
     listed = F.from_json("value", f"array<struct<{schema}>>")
     inner = F.from_json("value", f"struct<`{field}`:array<struct<{schema}>>>")[field]
-    rows = text.select("path", F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(inner)).alias("pos", "a"))
+    rows = None
+    if small or not large:
+        rows = _texts(spark, small or paths).select("path", F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(inner)).alias("pos", "a"))
+    for path in large:
+        one = elements(spark, path, None if _first_mark(path) == "[" else field, RANGE).select("path", F.col("number").alias("pos"), F.from_json("body", f"struct<{schema}>").alias("a"))
+        rows = one if rows is None else rows.unionByName(one)
     single = isinstance(paths, str) and paths.endswith(".json")
     number = F.col("pos").cast("string") if single else F.concat_ws("#", F.element_at(F.split("path", "/"), -1), F.col("pos").cast("string"))
     return rows.select(number.alias("instance_id"), "a.*")
 
 
 def enveloped(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """The rows of the list under ``field`` of a JSON object."""
+    """The rows of the list under ``field`` of a JSON object, with their places."""
+    if _large(spark, path)[1]:
+        return elements(spark, path, field, RANGE).select(F.col("number").cast("int").alias("pos"), F.from_json("body", f"struct<{schema}>").alias("a")).select("pos", "a.*")
     return _texts(spark, path).select(F.posexplode(F.from_json("value", f"struct<`{field}`:array<struct<{schema}>>>")[field]).alias("pos", "a")).select("pos", "a.*")
 
 
 def keyed(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
     """(pos, key, *schema) of a JSON object of objects, or of the one under ``field``; in file order."""
+    if _large(spark, path)[1]:
+        key, value = keyed_body(F.col("body"), schema)
+        return elements(spark, path, field, RANGE).select(F.col("number").cast("int").alias("pos"), key.alias("key"), value.alias("a")).select("pos", "key", "a.*")
     value = F.from_json("value", f"map<string,struct<{schema}>>") if field is None else F.from_json("value", f"struct<`{field}`:map<string,struct<{schema}>>>")[field]
     return _texts(spark, path).select(F.posexplode(F.map_entries(value)).alias("pos", "e")).select("pos", "e.key", "e.value.*")
 
