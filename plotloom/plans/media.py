@@ -10,6 +10,7 @@ from plotloom.functions import numbers as N
 from plotloom.operators import prefix as P
 from plotloom.operators import relate as R
 from plotloom.operators import subtitles as S
+from plotloom.operators.table_functions import register
 from plotloom.plans.registry import query
 
 _POOL = ("look at {}", "what is {} ?", "{}")
@@ -108,13 +109,34 @@ _CUES = "WITH c AS (SELECT 'v' || user_id video_id, event_id pos, epoch(ts)::DOU
 _CLOCK = "lpad((floor({0} / 3600)::BIGINT)::VARCHAR, greatest(2, length((floor({0} / 3600)::BIGINT)::VARCHAR))::INT, '0') || ':' || lpad((floor({0} / 60)::BIGINT % 60)::VARCHAR, 2, '0') || ':' || lpad((floor({0})::BIGINT % 60)::VARCHAR, 2, '0') || '.' || lpad((floor({0} * 1000 + 0.000001)::BIGINT % 1000)::VARCHAR, 3, '0')"
 
 
-@query(_CUES + f""", t AS (SELECT video_id, max(end_s) total FROM c GROUP BY 1), s AS (SELECT video_id, i + 1 clip_no, i * 7200.0::DOUBLE a, least((i + 1) * 7200.0::DOUBLE, total) b FROM t, range(0, 10000) r(i) WHERE i < ceil(total / 7200.0)),
+_CLIPS = _CUES + f""", t AS (SELECT video_id, max(end_s) total FROM c GROUP BY 1), s AS (SELECT video_id, i + 1 clip_no, i * 7200.0::DOUBLE a, least((i + 1) * 7200.0::DOUBLE, total) b FROM t, range(0, 10000) r(i) WHERE i < ceil(total / 7200.0)),
 h AS (SELECT s.video_id, clip_no, pos, greatest(start_s, a) - a x, least(end_s, b) - a y, text FROM s JOIN c ON c.video_id = s.video_id AND end_s > a AND start_s < b), l AS (SELECT video_id, clip_no, string_agg(chr(10) || {_CLOCK.format('x')} || ' --> ' || {_CLOCK.format('y')} || chr(10) || text || chr(10), '' ORDER BY pos) k FROM h WHERE y > x GROUP BY ALL)
-SELECT s.video_id, lpad(clip_no::VARCHAR, 4, '0') || '.vtt' AS file, 'WEBVTT' || chr(10) || coalesce(k, '') AS vtt FROM s LEFT JOIN l USING (video_id, clip_no)""")
+SELECT s.video_id, lpad(clip_no::VARCHAR, 4, '0') || '.vtt' AS file, 'WEBVTT' || chr(10) || coalesce(k, '') AS vtt FROM s LEFT JOIN l USING (video_id, clip_no)"""
+
+
+@query(_CLIPS)
 def clip_subtitles(t):
     return S.clip_files(cues(t), 7200.0)
 
 
+@query(_CLIPS)
+def clips_by_sql(t):
+    """The same by the table function, called from SQL."""
+    rows = cues(t)
+    register(rows.sparkSession)
+    return rows.sparkSession.sql("SELECT video_id, file, vtt FROM clips(TABLE({cues}) PARTITION BY (video_id), 7200.0D)", cues=rows)
+
+
+@query("""WITH p AS (SELECT page_id, unnest(list_filter(list_transform(regexp_extract_all(html, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda x: x <> '')) paragraph FROM pages)
+SELECT page_id, count(*) n, md5(string_agg(md5(paragraph), ',' ORDER BY md5(paragraph))) digest FROM p GROUP BY 1""")
+def paragraphs_by_sql(t):
+    """Paragraphs by the table function, joined laterally."""
+    pages = t("pages")
+    register(pages.sparkSession)
+    rows = pages.sparkSession.sql("SELECT page_id, p.pos, p.paragraph FROM {pages}, LATERAL html_rows(html) p", pages=pages)
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("paragraph"))), ",")).alias("digest"))
+
+
 @query(_CUES + " SELECT video_id, min(pos) pos, text FROM c GROUP BY video_id, text")
 def first_texts(t):
     return S.once_each(cues(t)).select("video_id", "pos", "text")
