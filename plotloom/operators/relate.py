@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotloom.functions.numbers import dot
 from plotloom.operators.prefix import running
+from plotloom.sources.scratch import stored
 
 
 def interval_join(spans: DataFrame, cues: DataFrame, width: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -41,12 +41,44 @@ def last_by(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> Dat
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
+def _best(own: pd.DataFrame, some: pd.DataFrame, k: int, skip_own: bool = True) -> list[tuple]:
+    """(query_id, doc_id, score) of the ``k`` best of own (doc_id, v) for each of some (query_id, v), ties to the smaller doc_id, by products of matrices.
+
+    Vectors without a length score null and come last; one of another length than the query's takes no part.
+    """
+    out: list[tuple] = []
+    if not len(own) or not len(some):
+        return out
+    own = own.sort_values("doc_id", kind="stable")
+    ids, wide = own["doc_id"].to_numpy(), own["v"].map(len).to_numpy()
+    for size, few in some.groupby(some["v"].map(len)):
+        fit = np.flatnonzero(wide == size)
+        if not len(fit) or not size:
+            continue
+        base, asked, names = np.stack(own["v"].to_numpy()[fit]), np.stack(few["v"].to_numpy()), few["query_id"].to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            base = base / np.sqrt((base * base).sum(1))[:, None]
+            asked = asked / np.sqrt((asked * asked).sum(1))[:, None]
+        step = max(1, (1 << 22) // len(fit))  # of the scores, some 32 MB at a time
+        for at in range(0, len(names), step):
+            score = asked[at : at + step] @ base.T
+            score[np.isnan(score)] = -np.inf
+            for name, line in zip(names[at : at + step], score, strict=True):
+                order = np.flatnonzero(ids[fit] != name) if skip_own else np.arange(len(fit))
+                if len(order) > k:
+                    bar = np.partition(line[order], len(order) - k)[len(order) - k]
+                    order = order[line[order] >= bar]
+                order = order[np.argsort(-line[order], kind="stable")]
+                out.extend((name, ids[fit[i]], None if line[i] == -np.inf else float(line[i])) for i in order[:k])
+    return out
+
+
 def top_cosine(queries: DataFrame, docs: DataFrame, k: int, asked: int = 4096, held: int = 65536) -> DataFrame:
     """(query_id, rank, doc_id, score): the ``k`` best of docs (doc_id, v) for each query (query_id, v), ties to the smaller doc_id.
 
     Both sides are dealt to blocks, of about ``asked`` queries and ``held`` documents. A pair of blocks meets in one task, as a product of two
     matrices, and only each query's best ``k`` leave it, so that pairs are never rows and nothing is broadcast. Vectors without a length score null
-    and come last; one of another length than the query's takes no part.
+    and come last; one of another length than the query's takes no part. Every pair of blocks meets: see pruned_cosine. Both sides are counted first.
     """
     n, m = docs.count(), queries.count()
     rows, turns = max(1, -(-n // held)), max(1, -(-m // asked))
@@ -54,35 +86,133 @@ def top_cosine(queries: DataFrame, docs: DataFrame, k: int, asked: int = 4096, h
     spread = lambda parts, name: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
     left = docs.select("doc_id", F.transform("v", lambda x: x.cast("double")).alias("v"), block("doc_id", rows).alias("row"), spread(turns, "turn"))
     right = queries.select("query_id", F.transform("v", lambda x: x.cast("double")).alias("v"), block("query_id", turns).alias("turn"), spread(rows, "row"))
+    return _ranked(_met(left, right, ["row", "turn"], k), k)
+
+
+def _met(left: DataFrame, right: DataFrame, by: Sequence[str], k: int, skip_own: bool = True) -> DataFrame:
+    """(query_id, doc_id, score): each group's ``k`` best of left (doc_id, v) for each of right (query_id, v)."""
 
     def best(own: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(some):
-            own = own.sort_values("doc_id", kind="stable")
-            ids = own["doc_id"].to_numpy()
-            wide = own["v"].map(len).to_numpy()
-            for size, few in some.groupby(some["v"].map(len)):
-                fit = np.flatnonzero(wide == size)
-                if not len(fit) or not size:
-                    continue
-                base = np.stack(own["v"].to_numpy()[fit])
-                length = np.sqrt((base * base).sum(1))
-                for q, v in zip(few["query_id"], few["v"], strict=True):
-                    v = np.asarray(v, float)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        score = (base / length[:, None]) @ (v / np.sqrt((v * v).sum()))
-                    at = fit[ids[fit] != q] if (ids[fit] == q).any() else fit
-                    score = score[ids[fit] != q]
-                    order = np.argsort(-np.where(np.isnan(score), -np.inf, score), kind="stable")[:k]
-                    out.extend((q, ids[at[i]], score[i]) for i in order)
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
-
-    kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
-    found = left.groupBy("row", "turn").cogroup(right.groupBy("row", "turn")).applyInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        return pd.DataFrame(_best(own, some, k, skip_own), columns=["query_id", "doc_id", "score"])
+
+    kinds = dict(right.dtypes)["query_id"], dict(left.dtypes)["doc_id"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def pruned_cosine(queries: DataFrame, docs: DataFrame, k: int, held: int = 4096, asked: int = 4096, sample: int = 20_000) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of ``top_cosine``, of which a query meets only blocks that can hold one of its ``k`` best; and {pairs, met}: pairs of query and block, in all and met.
+
+    Documents lie in blocks around centres, which are drawn by hash; a block of more than ``held`` is parted again. On the unit sphere a block has a centre and a
+    radius, so the distance of a query to the centre bounds the cosine with all that lies in it. A query first meets the blocks with the best bounds
+    that hold more than ``k`` documents together; its k-th best there is a bar, and of the others only blocks whose bound reaches it are met.
+    The result is exact: bounds are widened by more than they can be rounded. A query without a length, or with fewer than ``k`` so far, meets all.
+
+    The blocks' centres, a row for about ``held`` documents, go to every task that bounds queries; both tables, and what the first round
+    found, are stored in the shared folder.
+    """
+    spark = docs.sparkSession
+    unit = lambda df, name: df.select(name, F.transform("v", lambda x: x.cast("double")).alias("v"))
+    own, some = stored(unit(docs, "doc_id"), "vectors"), stored(unit(queries, "query_id"), "queries")
+    n = own.count()
+    number = max(1, -(-2 * n // held))
+    rate = max(1, n // max(1, min(sample, 4 * number)))
+    drawn = [np.array(r.v) for r in own.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).where(F.size("v") > 0).orderBy(F.xxhash64(F.lit(7), "doc_id")).limit(min(sample, number)).collect()]
+    centres: dict[int, np.ndarray] = {}
+    for size in {len(v) for v in drawn}:
+        some_ = np.stack([v for v in drawn if len(v) == size])
+        length = np.sqrt((some_ * some_).sum(1))
+        centres[size] = some_[length > 0] / length[length > 0][:, None]
+    shared = spark.sparkContext.broadcast(centres)  # at most ``sample`` vectors
+
+    def near(vs: pd.Series) -> pd.Series:
+        out = np.zeros(len(vs), np.int64)
+        for size, at in vs.groupby(vs.map(len)).groups.items():
+            c = shared.value.get(size)
+            if c is not None and len(c):
+                place = vs.index.get_indexer(at)
+                x = np.stack(vs.to_numpy()[place])
+                length = np.sqrt((x * x).sum(1))
+                cell = 1 + (x @ c.T).argmax(1)
+                out[place] = np.where(length > 0, cell, 0)
+        return pd.Series(out)
+
+    cell = F.pandas_udf(near, "long")
+    celled = own.withColumn("cell", cell("v")).withColumn("wide", F.size("v"))
+    sizes = celled.groupBy("wide", "cell").agg(F.ceil(F.count("*") / held).alias("parts"))
+    laid = celled.join(sizes, ["wide", "cell"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).withColumn("block", F.concat_ws("/", "wide", "cell", "part")).drop("parts", "part")
+    laid = stored(laid, "blocks")
+
+    def summary(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(frame["v"].to_numpy()) if len(frame["v"].iloc[0]) else np.zeros((len(frame), 0))
+        length = np.sqrt((x * x).sum(1))
+        whole = bool((length > 0).all()) and x.shape[1] > 0
+        x = x / length[:, None] if whole else x
+        centre = x.mean(0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max()) * (1 + 1e-9) + 1e-9 if whole else float("inf")
+        return pd.DataFrame({"block": [frame["block"].iloc[0]], "wide": [x.shape[1]], "n": [len(frame)], "centre": [centre], "radius": [radius]})
+
+    blocks = laid.select("block", "v").groupBy("block").applyInPandas(summary, "block string, wide long, n long, centre array<double>, radius double").collect()  # a row for about ``held`` documents
+    by_size: dict[int, tuple] = {}
+    for size in {r.wide for r in blocks}:
+        rows = [r for r in blocks if r.wide == size]
+        by_size[size] = [r.block for r in rows], np.array([r.n for r in rows]), np.stack([np.array(r.centre) for r in rows]), np.array([r.radius for r in rows])
+    table = spark.sparkContext.broadcast(by_size)
+
+    def bounds(v: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(blocks, documents in each, upper bound of the cosine) for a query."""
+        names, counts, centre, radius = table.value.get(len(v), ([], np.zeros(0, int), np.zeros((0, len(v))), np.zeros(0)))
+        length = float(np.sqrt((v * v).sum()))
+        if not length or not len(names):
+            return names, counts, np.full(len(names), np.inf)
+        gap = np.sqrt(((centre - v / length) ** 2).sum(1)) * (1 - 1e-9) - radius - 1e-9
+        return names, counts, np.where(np.isinf(radius), np.inf, 1 - np.maximum(0, gap) ** 2 / 2 + 1e-9)
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for q, v in zip(f["query_id"], f["v"], strict=True):
+                names, counts, high = bounds(np.asarray(v))
+                order = np.argsort(-high, kind="stable")
+                enough = int(np.searchsorted(np.cumsum(counts[order]), k + 1)) + 1
+                out.extend((q, v, names[i]) for i in order[:enough])
+            yield pd.DataFrame(out, columns=["query_id", "v", "block"])
+
+    def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for q, v, bar in zip(f["query_id"], f["v"], f["bar"], strict=True):
+                names, counts, high = bounds(np.asarray(v))
+                order = np.argsort(-high, kind="stable")
+                enough = int(np.searchsorted(np.cumsum(counts[order]), k + 1)) + 1
+                out.extend((q, v, names[i]) for i in order[enough:] if np.isnan(bar) or high[i] >= bar)
+            yield pd.DataFrame(out, columns=["query_id", "v", "block"])
+
+    kind = dict(queries.dtypes)["query_id"]
+    schema = f"query_id {kind}, v array<double>, block string"
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        """Each block with its queries, ``asked`` at a time: a block that very many ask is copied to as many groups."""
+        turns = pairs.groupBy("block").agg(F.ceil(F.count("*") / asked).alias("turns"))
+        right = pairs.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).drop("turns")
+        left = laid.join(turns, "block").select("doc_id", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
+        return stored(_met(left, right, ["block", "turn"], k), "found")
+
+    one = stored(some.mapInPandas(first, schema), "pairs")
+    found = meet(one)
+    bar = _ranked(found, k).where("score IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_low"))
+    barred = some.join(bar, "query_id", "left").withColumn("bar", F.when(F.col("_n") == k, F.col("_low") - 1e-9))
+    two = stored(barred.select("query_id", "v", "bar").mapInPandas(rest, schema), "pairs")
+    found = found.unionByName(meet(two))
+    per = {size: len(x[0]) for size, x in by_size.items()}
+    pairs = sum(r["count"] * per.get(r.wide, 0) for r in some.groupBy(F.size("v").alias("wide")).count().collect())  # a row a length of vectors
+    return _ranked(found, k), {"pairs": pairs, "met": one.count() + two.count()}
+
+
 def in_order(rows: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
     """Adds ``name``: the row's number from 0 in the order of the distinct values of ``key``, without bringing all rows to one task."""
     return running(rows, [key], place=name, buckets=buckets)
@@ -138,23 +268,30 @@ def look_back_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
     })
 
 
-def neighbours(queries: DataFrame, docs: DataFrame, k: int, skip: Column | None = None) -> DataFrame:
+def neighbours(queries: DataFrame, docs: DataFrame, k: int, skip_own: bool = False, held: int = 65536) -> DataFrame:
     """(query_id, rank, doc_key, score) of each query (query_id, index, v) in its own index of docs (index, pos, doc_key, v).
 
-    The best ``k`` by cosine, ties by ``pos``; with -1 all, in the order of ``pos``; with 1, where the best is the summary, the second too, so that a clip
-    always comes. An index is one video's memory, so the join is on it.
+    The best ``k`` by cosine, ties by ``pos``; with 1, where the best is the summary, the second too, so that a clip always comes; with -1 all, in the order of
+    ``pos``, without a score. An index is one video's memory: it meets its queries in parts of about ``held`` documents, as products of matrices, of which
+    only the best leave. With ``skip_own`` a query doesn't find the document whose pos is its id.
     """
-    pairs = queries.join(docs.withColumnRenamed("v", "_d"), "index")
-    pairs = pairs if skip is None else pairs.where(~skip)
-    rows = pairs.withColumn("score", F.try_divide(dot(F.col("v"), F.col("_d")), F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("_d"), F.col("_d"))))).drop("v", "_d")
-    by = Window.partitionBy("query_id")
-    rows = rows.withColumn("rank", F.row_number().over(by.orderBy("pos") if k == -1 else by.orderBy(F.desc("score"), "pos")))
     if k == -1:
-        return rows.select("query_id", "rank", "doc_key", "score")
-    rows = rows.where(F.col("rank") <= max(k, 2))
-    best = F.max(F.when(F.col("rank") == 1, F.col("doc_key"))).over(by)
-    keep = (F.col("rank") <= k) | ((best == "summary") & (F.col("rank") <= 2)) if k == 1 else F.col("rank") <= k
-    return rows.withColumn("_k", keep).where("_k").select("query_id", "rank", "doc_key", "score")
+        pairs = queries.select("query_id", "index").join(docs.select("index", "pos", "doc_key"), "index")
+        pairs = pairs.where(F.col("query_id") != F.col("pos")) if skip_own else pairs
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
+        return pairs.select("query_id", rank.alias("rank"), "doc_key", F.lit(None).cast("double").alias("score"))
+    wide = lambda df, *c: df.select(*c, "index", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    parts = docs.groupBy("index").agg(F.ceil(F.count("*") / held).alias("parts"))
+    left = wide(docs, F.col("pos").alias("doc_id")).join(parts, "index").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
+    right = wide(queries, "query_id").join(parts, "index").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    rows = _ranked(_met(left, right, ["index", "part"], max(k, 2), skip_own), max(k, 2))
+    rows = rows.join(queries.select("query_id", "index"), "query_id").join(docs.select("index", F.col("pos").alias("doc_id"), "doc_key"), ["index", "doc_id"])
+    if k == 1:
+        best = F.max(F.when(F.col("rank") == 1, F.col("doc_key"))).over(Window.partitionBy("query_id"))
+        rows = rows.withColumn("_k", (F.col("rank") <= k) | (best == "summary")).where("_k")
+    else:
+        rows = rows.where(F.col("rank") <= k)
+    return rows.select("query_id", "rank", "doc_key", "score")
 
 
 def run_counters(work: DataFrame, done: DataFrame, failed: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

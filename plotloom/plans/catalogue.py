@@ -280,6 +280,12 @@ def cosine_topk(t):
     return R.top_cosine(*_vectors(t), 5).withColumn("score", F.round("score", 6)).select("query_id", "rank", "doc_id", "score")
 
 
+@query(_COS + " SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) score FROM r WHERE rank <= 5")
+def pruned_topk(t):
+    """The same rows, of blocks that can hold them only."""
+    return R.pruned_cosine(*_vectors(t), 5)[0].withColumn("score", F.round("score", 6)).select("query_id", "rank", "doc_id", "score")
+
+
 @query(_COS + ", f AS (SELECT query_id, label, min(rank) k FROM r WHERE rank <= 10 GROUP BY ALL) SELECT query_id, string_agg(label::VARCHAR, ',' ORDER BY k) clips FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) n FROM f) WHERE n <= 3 GROUP BY 1")
 def clips_from_keys(t):
     near = R.top_cosine(*_vectors(t), 10).join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")

@@ -184,7 +184,7 @@ def neighbours(t):
     docs = e.select((F.col("vec_id") % 10).alias("index"), F.col("vec_id").alias("pos"), F.when(F.col("vec_id") % 3 == 0, "summary").otherwise(F.concat(F.lit("caption__"), "vec_id")).alias("doc_key"), "v")
     out = None
     for k in (1, 4, -1):
-        rows = R.neighbours(asked, docs, k, skip=F.col("query_id") == F.col("pos")).select(F.lit(k).alias("wanted"), "query_id", "rank", "doc_key")
+        rows = R.neighbours(asked, docs, k, skip_own=True).select(F.lit(k).alias("wanted"), "query_id", "rank", "doc_key")
         out = rows if out is None else out.unionByName(rows)
     return out
 
