@@ -50,12 +50,10 @@ def samples(rows: DataFrame, name: str) -> DataFrame:
         own = own.withColumn("split", F.when(F.col("split") == "train", 1).otherwise(2))
     if view.scan == "keyed_pairs":
         own = W.question_pairs(own)
-    columns = view.columns()
-    asked = next((columns[c] for c in ("instruction_input", "question", "conv_q", "image_id") if c in columns), F.lit(None))
-    answer = next((columns[c] for c in ("answer", "labels", "conv_a", "answers", "question_id", "img_id", "instance_id") if c in columns), F.lit(None))
-    own = own.withColumn("_key", F.md5(F.concat_ws("|", F.col("p_partkey").cast("string"), F.lit(name))))
-    own = own if view.where is None else own.where(view.where())
-    return own.select(F.lit(name).alias("reader"), "p_partkey", columns.get("image", F.lit(None)).cast("string").alias("image"), asked.cast("string").alias("asked"), answer.cast("string").alias("answer"))
+    out = view.over(own, F.md5(F.concat_ws("|", F.col("p_partkey").cast("string"), F.lit(name))), ["p_partkey"])
+    first = lambda *names: next((F.col(c) for c in names if c in out.columns), F.lit(None)).cast("string")
+    asked, answer = first("instruction_input", "question", "conv_q", "image_id"), first("answer", "labels", "conv_a", "answers", "question_id", "img_id", "instance_id")
+    return out.select(F.lit(name).alias("reader"), "p_partkey", first("image").alias("image"), asked.alias("asked"), answer.alias("answer"))
 
 
 def _fields(schema: str) -> list[str]:
@@ -75,6 +73,22 @@ def _clean(x: str) -> str:
 _I = "'<Img><ImageHere></Img> ' || "
 _CAP = "CASE WHEN k % 2 = 0 THEN array_to_string(list_transform(range(40), lambda i: n), ' ') ELSE n END"
 _N, _B = _clean("n"), _clean("b")
+
+
+def _drawn(reader: str, pool: tuple[str, ...], value: str = "", around: str = W.X.IMAGE + " {} ") -> str:
+    """A reader's template with a value in it, drawn by the MD5 of the row's key."""
+    quoted = ", ".join("'" + p.replace("'", "''") + "'" for p in pool)
+    text = f"[{quoted}][('0x' || md5(md5(k || '|{reader}'))[1:8])::BIGINT % {len(pool)} + 1]"
+    head, _, tail = around.partition("{}")
+    return f"'{head}' || " + (f"replace({text}, '{{}}', {value})" if value else text) + f" || '{tail}'"
+
+
+_SHORT = "'[vqa] Based on the image, respond to this question with a short answer: ' || n"
+_BOX = "'{<10><20><30><40>}'"
+_PHRASE = f"substr({_CAP}, 1, 4)"
+_CAPTIONS = tuple("[caption] " + p for p in W.CAPTION)
+_LISTED = "'" + W.LIST_OBJECTS + "'"
+_TRAIN14 = "'COCO_train2014_' || k || '.jpg'"
 #: (reader, image, asked, answer, which rows)
 _LEGS = [
     ("AOKVQAReasoningDataset", "'b' || k || '.png'", f"{_I}'[vqa] ' || {_N} || ' '", "b", ""),
@@ -103,36 +117,68 @@ _LEGS = [
     ("PaintLanRLOpaqueCOCODataset", "k || '.jpg'", "'Task: ' || n || chr(10) || 'Canvas: <ImageHere> Action: '", "'[detail]0(51,51,51,51,51,51,51,51,51,51,51)'", ""),
     ("PaintPixelCOCODataset", "file", f"{_I}'[reconstruct] loc: [3,5] rgb: '", "'[1,2,3]'", "k % 3 <> 0"),
     ("SegReferCOCODataset", "k || '.jpg'", f"{_I}'[segmentation] ' || n || ' loc: [3,5] mask: '", "'1'", "k % 2 = 0"),
-    ("WebVidDataset", "'p/' || k || '.mp4'", "NULL", "n", ""),
+    ("WebVidDataset", "'p/' || k || '.mp4'", "'<F>' || chr(10) || " + _drawn("WebVidDataset", W.VIDEO, "", "{}"), "n", ""),
     ("VideoChatGPTDataset", "k || '.mp4'", "'<F>' || chr(10) || n", "b", ""),
     ("TVQAEVAL", "'castle_frames/' || k", "'<F>' || chr(10) || n || ' ' || chr(10) || chr(10) || ' As you watched in this video Choose ONE suitable answer from these mutiple choices ' || chr(10) || chr(10) || array_to_string(list_transform(range(5), lambda i: 'option ' || i || ': ' || i || ' ' || chr(10) || chr(10)), '') || chr(10) || ' Your output should be THE NUMBER OF THE CORRECT ANSWER FROM THE CHOICES FROM 0 TO 4 INCLUSIVE'", "'2'", ""),
     ("OKVQAEvalData", "lpad(k::VARCHAR, 12, '0') || '.jpg'", "'[vqa] Based on the image, respond to this question with a short answer: ' || n", "'q' || k", ""),
     ("VizWizEvalData", "img", "'[vqa] Based on the image, respond to this question with a short answer: ' || n || ' and reply ''unanswerable'' if you could not answer it'", "b || '_me'", ""),
     ("IconQAEvalData", "k || '/image.png'", "'[vqa] Based on the image, respond to this question with a short answer: ' || n", "b", ""),
     ("HMEvalData", "k::VARCHAR", "'[vqa] This is an image with: \"' || n || '\" written on it. Is it hateful? Answer:'", "CASE WHEN k % 2 = 0 THEN '1' ELSE '0' END", ""),
+    ("AOKVQADataset", "file", _drawn("AOKVQADataset", W.VQA, _N), _B, ""),
+    ("AOKVQGDataset", "file", _drawn("AOKVQGDataset", W.QUESTION_FOR, "b", "{}"), _N, ""),
+    ("AOKVQGReasoningDataset", "'b' || k || '.png'", _drawn("AOKVQGReasoningDataset", W.QUESTION_FOR, "b", "{}"), _N, ""),
+    ("COCOVQADataset", "file", _drawn("COCOVQADataset", W.VQA, _N), _B, ""),
+    ("COCOVQGDataset", "file", _drawn("COCOVQGDataset", W.QUESTION_FOR, "b", W.X.IMAGE + " {}"), _N, ""),
+    ("GQADataset", "img", _drawn("GQADataset", W.VQA, _N), _B, ""),
+    ("VQADataset", "img", "n", "b", ""),
+    ("VQAEvalDataset", "img", "n", "'q' || k", ""),
+    ("textVQAEvalDataset", "img", f"{_I}'[vqa] Based on the image, respond to this question with a short answer: ' || {_N} || ' '", "b || '_me'", ""),
+    ("SingleSlideVQADataset", "'deck/slide_4_1024.jpg'", _drawn("SingleSlideVQADataset", W.SLIDE, _N, "{}"), "b", "k % 2 = 0"),
+    ("COCOCaptionDataset", "file", _drawn("COCOCaptionDataset", _CAPTIONS), _clean(_CAP), "k % 3 <> 0"),
+    ("CaptionEvalDataset", "img", "k::VARCHAR", "k::VARCHAR", ""),
+    ("NoCapsEvalDataset", "img", "'i' || k", "k::VARCHAR", ""),
+    ("LaionDataset", "k || '.jpg'", _drawn("LaionDataset", _CAPTIONS), _clean(_CAP), ""),
+    ("TextCapDataset", "k || '.jpg'", _drawn("TextCapDataset", _CAPTIONS), _N, ""),
+    ("LocNaCOCODataset", "lpad(k::VARCHAR, 12, '0') || '.jpg'", _drawn("LocNaCOCODataset", W.LONG_CAPTION, "", "###Human: {} ###Assistant: "), _CAP, f"len(string_split({_CAP}, ' ')) >= 60"),
+    ("GroundedDetailDataset", _TRAIN14, _drawn("GroundedDetailDataset", W.DETAIL), "'g ' || n", ""),
+    ("COYOCaptionWDSDataset", "k || '.jpg'", _drawn("COYOCaptionWDSDataset", W.GROUNDED), _clean(f"replace({_CAP}, {_PHRASE}, '<p>' || {_PHRASE} || '</p> ' || {_BOX})"), ""),
+    ("COYOBoxToPhraseWDSDataset", "k || '.jpg'", _drawn("COYOBoxToPhraseWDSDataset", W.IDENTIFY, _BOX), _clean(_PHRASE), ""),
+    ("COYOPhraseToBoxWDSDataset", "k || '.jpg'", _drawn("COYOPhraseToBoxWDSDataset", W.REFER, _clean(_PHRASE)), _BOX, ""),
+    *((r, "k || '.jpg'", f"{_I}{_clean(_LISTED)}", _clean("'{' || b || ',<10><20><40><60>}'"), "") for r in ("LVISBBOXDataset", "OpenImageDataset")),
+    *((r, "k || '.jpg'", _drawn(r, W.OBJECT_AT, "'{<10><20><40><60>}'"), _B, "") for r in ("LVISBboxToObjectDataset", "OpenBboxToObjectDataset")),
+    ("ReferVisualGenomeDataset", "k || '.jpg'", _drawn("ReferVisualGenomeDataset", W.REFER, _N), "'{<5><15><30><65>}'", "k % 2 = 0"),
+    ("LlavaReasonDataset", _TRAIN14, f"{_I}{_N} || ' '", "b", ""),
+    ("PaintRLCOCODataset", "k || '.jpg'", "'<Image><ImageHere><Canvas><ImageHere> Action: '", "'[detail]0(" + ",".join(["51"] * 13) + ")'", ""),
+    ("CMDVideoDataset", "k || '.mp4'", "'<F>' || chr(10) || " + _drawn("CMDVideoDataset", W.VIDEO, "", "{}"), _CAP, ""),
+    ("VideoChatGPTEvalDataset", "k || '.mp4'", "'<F>' || chr(10) || n", "b", ""),
+    ("Video_validation_Dataset", "k || '.mp4'", "'<F>' || chr(10) || n", "b", ""),
+    ("VideoChatGPTEval_consistancy", "k || '.mp4'", "'<F>' || chr(10) || n", "b", ""),
+    ("Video_loader_template", "'videos/' || k || '.mp4'", "'<F>' || chr(10) || n", "b", ""),
+    ("AOKVQADAEvalData", "img", _SHORT, "'q' || k", ""),
+    ("AOKVQAMCEvalData", "img", _SHORT, "'q' || k", ""),
+    ("GQAEvalData", "img", _SHORT, "b", ""),
     ("VSREvalData", "img", f"'[vqa] Based on the image, is this statement true or false? ' || {_CAP}", "CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END", ""),
 ]
 _ROWS = "WITH r AS (SELECT p_partkey k, p_name n, p_brand b, CASE WHEN p_partkey % 3 = 0 THEN 'val/COCO_' ELSE 'train/COCO_' END || p_partkey || '.jpg' img, 'COCO_' || p_partkey || '.jpg' AS file FROM part) "
-#: Readers that draw a template: their samples are held against the pools.
-_SQL = _ROWS + " UNION ALL ".join(f"SELECT '{r}' reader, k p_partkey, {i} image, {'NULL' if r == 'WebVidDataset' else a} asked, {w} answer FROM r" + (f" WHERE {o}" if o else "") for r, i, a, w, o in _LEGS)
+_SQL = " UNION ALL ".join(f"SELECT '{r}' reader, k p_partkey, {i} image, {a} asked, {w} answer FROM r" + (f" WHERE {o}" if o else "") for r, i, a, w, o in _LEGS)
 
 
-@query(_SQL)
-def reader_samples(t):
+def all_samples(t) -> DataFrame:
     rows = annotation_rows(t)
-    out = []
-    for name in dict.fromkeys(leg[0] for leg in _LEGS):
-        own = samples(rows, name)
-        out.append(own.withColumn("asked", F.lit(None).cast("string")) if name == "WebVidDataset" else own)  # its template is drawn
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, [samples(rows, name) for name in W.VIEWS])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}')" for r in sorted(W.VIEWS)) + ") v(reader) CROSS JOIN (SELECT count(*) n FROM part)")
+@query(_ROWS + _SQL)
+def reader_samples(t):
+    return all_samples(t)
+
+
+@query(_ROWS + f", s AS ({_SQL}) SELECT reader, count(*) n, sum(('0x' || md5(concat_ws('|', p_partkey, coalesce(image, '~'), coalesce(asked, '~'), coalesce(answer, '~')))[1:8])::BIGINT)::BIGINT digest FROM s GROUP BY 1")
 def all_readers(t):
-    rows = annotation_rows(t)
-    counted = [samples(rows, name).groupBy("reader").agg(F.count("*").alias("n")) for name in W.VIEWS]
-    kept = reduce(DataFrame.unionByName, counted)
-    return t("part").agg(F.count("*").alias("n")).crossJoin(kept.select("reader")).select("reader", "n")
+    """Each reader's own number of samples, and the sum of a digest of each."""
+    text = F.concat_ws("|", F.col("p_partkey").cast("string"), *(F.coalesce(c, F.lit("~")) for c in ("image", "asked", "answer")))
+    digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return all_samples(t).groupBy("reader").agg(F.count("*").alias("n"), F.sum(digest).alias("digest"))
 
 
 @query(_ROWS + "SELECT kind, k p_partkey, asked FROM r, (VALUES " + ", ".join(f"({i}, 'slide', '{p}')" for i, p in enumerate(("<Img><ImageHere></Img> {}", "<Img><ImageHere></Img> From this slide, {}"))) + ") p(i, kind, tpl), LATERAL (SELECT replace(tpl, '{}', " + _N + ") asked) WHERE k % 2 = 0 AND ('0x' || md5(md5(k || '|SingleSlideVQADataset'))[1:8])::BIGINT % 2 = i UNION ALL SELECT 'vqa', k, '<Img><ImageHere></Img> ' || replace(tpl, '{}', " + _N + ") || ' ' FROM r, (VALUES (0, '[vqa] {}'), (1, '[vqa] Based on the image, respond to this question with a short answer: {}')) p(i, tpl) WHERE ('0x' || md5(md5(k || '|GQADataset'))[1:8])::BIGINT % 2 = i")

@@ -6,7 +6,7 @@ answers) are made by the MD5 of the row, so that a table always gives the same s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,15 +140,15 @@ class View:
     where: Callable[[], Column] | None = None
     field: str | None = None
 
-    def over(self, rows: DataFrame) -> DataFrame:
-        """The samples of annotation rows."""
-        own = rows.withColumn("_key", F.md5(F.to_json(F.struct(*rows.columns))))
+    def over(self, rows: DataFrame, key: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+        """The samples of annotation rows, behind the columns ``keep`` of theirs; draws go by ``key``, or else by the whole row."""
+        own = rows.withColumn("_key", F.md5(F.to_json(F.struct(*rows.columns))) if key is None else key)
         for c in ("instance_id", "frames"):
             if c not in rows.columns:
                 own = own.withColumn(c, F.lit(None).cast("string"))
         if self.where is not None:
             own = own.where(self.where())
-        return own.select(*(c.alias(n) for n, c in self.columns().items()))
+        return own.select(*(F.col(k) for k in keep), *(c.alias(n) for n, c in self.columns().items()))
 
 
 VIEWS: dict[str, View] = {}
