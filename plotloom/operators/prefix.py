@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def bucketed(rows: DataFrame, order: Sequence[str], buckets: int = 256, sample: int = 20_000) -> DataFrame:
     """Adds _bucket: rising with ``order``, so that each bucket holds about as many rows.
 
-    Borders come from about ``sample`` rows, picked by a hash of their keys; ties in all keys share a bucket. The rows are counted and sampled first, so
-    rows that are dear to make should be stored before. A row finds its bucket among coarse borders, then among the fine ones there.
+    Borders come from about ``sample`` rows, picked by a hash of their keys; ties in all keys share a bucket, and so do up to ``sample`` rows. The rows are counted
+    and sampled first, so rows that are dear to make should be stored before. A row finds its bucket among coarse borders, then among the fine ones there.
     """
     n = rows.count()
+    if n <= sample:
+        return rows.withColumn("_bucket", F.lit(0))
     few = rows.where(F.pmod(F.xxhash64(*order), F.lit(max(1, -(-n // sample)))) == 0).select(*order).distinct().orderBy(*order).limit(2 * sample).collect()
     places = sorted({len(few) * k // buckets for k in range(1, buckets)} - {0})
     kinds = [rows.schema[c].dataType for c in order]
@@ -30,7 +32,7 @@ def bucketed(rows: DataFrame, order: Sequence[str], buckets: int = 256, sample:
     return rows.withColumn("_coarse", below(coarse)).withColumn("_bucket", F.col("_coarse") * wide + below(F.slice(fine, F.col("_coarse") * wide + 1, wide))).drop("_coarse")
 
 
-def running(rows: DataFrame, order: Sequence[str], sums: Mapping[str, Column] | None = None, place: str | None = None, size: str | None = None, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+def running(rows: DataFrame, order: Sequence[str], sums: Mapping[str, Column] | None = None, place: str | None = None, size: str | None = None, by: Sequence[str] = (), buckets: int = 256, sample: int = 20_000) -> DataFrame:
     """Adds for each name of ``sums`` the total of its column up to and with the row, in ``order``; ``place``, the number of rows before; ``size``, that of all.
 
     With ``by`` in each group, null being a group. Rows are dealt by bucket of the order (see bucketed) and group, and summed there; the totals of the
@@ -39,7 +41,7 @@ def running(rows: DataFrame, order: Sequence[str], sums: Mapping[str, Column] |
     """
     sums = dict(sums or {})
     keys = [*by, *(c for c in order if c not in by)]
-    laid = bucketed(rows.withColumns({f"_of_{c}": v for c, v in sums.items()}), keys, buckets).withColumn("_group", F.struct(F.lit(0).alias("_"), *by))
+    laid = bucketed(rows.withColumns({f"_of_{c}": v for c, v in sums.items()}), keys, buckets, sample).withColumn("_group", F.struct(F.lit(0).alias("_"), *by))
     inner = Window.partitionBy("_bucket", "_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = laid.groupBy("_bucket", "_group").agg(F.count("*").alias("_rows"), *(F.sum(f"_of_{c}").alias(f"_sum_{c}") for c in sums))

@@ -239,6 +239,20 @@ def ring_draws(rows: DataFrame, key: str, group: Sequence[str], value: str, k: i
     return rows.drop("_n").join(held, [*group, key], "left").withColumn("others", F.coalesce(F.transform("_x", lambda x: x[value]), F.array().cast("array<string>"))).drop("_x")
 
 
+def ring_pick(rows: DataFrame, pool: DataFrame, key: str, group: Sequence[str], value: str, looks: Column, fits: Column) -> DataFrame:
+    """Adds ``value``: of the distinct values of the row's group in ``pool`` the first that fits, null if none does.
+
+    The values sit in a ring in the order of their MD5; a row starts at the place of its key's hash and looks at ``looks`` + 1 of them at most, which must be
+    enough to pass those that don't fit. So a group's values are never gathered, and don't meet all its rows.
+    """
+    group = list(group)
+    seats = running(pool.select(*group, value).where(F.col(value).isNotNull()).distinct().withColumn("_h", F.concat(F.md5(value), F.lit("|"), value)), ["_h"], place="_seat", by=group).drop("_h")
+    start = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    wanted = rows.join(seats.groupBy(*group).agg(F.count("*").alias("_n")), group).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(looks.cast("long"), F.col("_n") - 1))))
+    found = wanted.withColumn("_seat", (start + F.col("_i")) % F.col("_n")).join(seats, [*group, "_seat"]).where(fits)
+    return rows.join(found.groupBy(*group, key).agg(F.min_by(value, "_i").alias(value)), [*group, key], "left")
+
+
 def hash_sample(rows: DataFrame, key: str, k: int, seed: str = "0", group: Sequence[str] = ()) -> DataFrame:
     """``k`` rows in a repeatable random order, by the MD5 of key and seed."""
     drawn = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from plotloom.functions import text as T
 from plotloom.functions.numbers import to_seconds
-from plotloom.operators.relate import in_order, ring_draws
+from plotloom.operators.prefix import running
+from plotloom.operators.relate import in_order, ring_draws, ring_pick
 
 QUESTION = ("episode", "event_id", "kind", "question", "options", "answer_index", "related", "clips", "ok")
 
@@ -100,13 +101,16 @@ def event_recall(events: DataFrame) -> DataFrame:
 
 
 def boolean_questions(events: DataFrame) -> DataFrame:
-    """Of a fifth of each episode's events: was it at another place, was an absent person there? The right answer is always No."""
-    by = Window.partitionBy("episode")
-    sample = _single(events).withColumn("_rn", F.row_number().over(by.orderBy(drawn(F.col("event_id"), "bool"), "event_id"))).withColumn("_n", F.count("*").over(by))
-    sample = sample.where(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 5)))
-    sets = events.groupBy("episode").agg(F.collect_set(F.when(F.col("location") != "", F.col("location"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("subjects"))).alias("people"))
-    pick = lambda set_: F.array_min(F.transform(set_, lambda x: F.struct(drawn(F.col("event_id"), x).alias("h"), x.alias("x"))))["x"]
-    rows = sample.join(sets, "episode").withColumn("place", pick(F.filter("places", lambda p: p != F.col("location")))).withColumn("person", pick(F.array_except("people", "subjects")))
+    """Of a fifth of each episode's events: was it at another place, was an absent person there? The right answer is always No.
+
+    Places and people are picked from rings, so an episode's events don't meet all its places and people, and no row holds them.
+    """
+    sample = running(_single(events).withColumn("_h", drawn(F.col("event_id"), "bool")), ["_h", "event_id"], place="_at", size="_n", by=["episode"])
+    sample = sample.where(F.col("_at") < F.greatest(F.lit(1), F.floor(F.col("_n") / 5))).drop("_h", "_at", "_n")
+    places = events.where(F.col("location") != "").select("episode", F.col("location").alias("place"))
+    rows = ring_pick(sample, places, "event_id", ["episode"], "place", F.lit(1), F.col("place") != F.col("location"))
+    people = events.select("episode", F.explode("subjects").alias("person"))
+    rows = ring_pick(rows, people, "event_id", ["episode"], "person", F.size("subjects"), ~F.array_contains("subjects", F.col("person")))
     low = F.lower("description")
     asked = F.array(
         F.struct(F.lit("place").alias("kind"), F.concat(F.lit("Did "), low, F.lit(" at "), "place", F.lit("?")).alias("question")),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plotloom.functions import media as X
 from plotloom.functions import text as T
+from plotloom.operators import models as M
 from plotloom.operators import relate as R
 from plotloom.operators import stories as S
 from plotloom.plans.registry import query
@@ -97,3 +98,12 @@ def mapped_leaves(t):
     tree = F.create_map(F.lit("a"), F.array("n_chars"), F.lit("b"), F.array(F.col("n_chars"), F.col("n_chars") + 1))
     out = R.on_leaves(tree, twice)
     return t("documents").select("doc_id", F.get(out["a"], 0).alias("a"), F.array_join(out["b"], ",").alias("b"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(range(32), lambda i: (((p_size >> (i % 6)::INT) & 1) <> ((p_partkey >> (i % 11)::INT) & 1))::INT), '') AS only_one FROM part")
+def mask_differences(t):
+    """Masks of 32 points, of the bits of a size and of a key: where exactly one of them is set."""
+    points = F.sequence(F.lit(0), F.lit(31))
+    bit = lambda value, wide: F.transform(points, lambda i: F.call_function("shiftright", value, (i % wide).cast("int")).bitwiseAND(F.lit(1)).cast("int"))
+    out = M.masked_difference(bit(F.col("p_size").cast("long"), 6), bit(F.col("p_partkey").cast("long"), 11))
+    return t("part").select("p_partkey", F.array_join(F.transform(out, lambda x: x.cast("string")), "").alias("only_one"))

@@ -75,8 +75,8 @@ def recall_event(t):
 
 
 @query(_E + """, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY md5(event_id || '|bool'), event_id) rn, count(*) OVER (PARTITION BY episode) n FROM e) WHERE rn <= greatest(1, n // 5)),
-p AS (SELECT DISTINCT episode, 'place' kind, location x FROM e WHERE location <> '' UNION SELECT DISTINCT episode, 'person', unnest(subjects) FROM e),
-c AS (SELECT s.event_id, kind, x, row_number() OVER (PARTITION BY s.event_id, kind ORDER BY md5(s.event_id || '|' || x), x) k FROM s JOIN p USING (episode) WHERE CASE WHEN kind = 'place' THEN x <> s.location ELSE NOT list_contains(s.subjects, x) END)
+p AS (SELECT *, row_number() OVER (PARTITION BY episode, kind ORDER BY md5(x) || '|' || x) - 1 seat, count(*) OVER (PARTITION BY episode, kind) size FROM (SELECT DISTINCT episode, 'place' kind, location x FROM e WHERE location <> '' UNION SELECT DISTINCT episode, 'person', unnest(subjects) FROM e)),
+c AS (SELECT event_id, kind, x, row_number() OVER (PARTITION BY event_id, kind ORDER BY (seat - ('0x' || md5(event_id)[1:8])::BIGINT % size + size) % size) k FROM s JOIN p USING (episode) WHERE CASE WHEN kind = 'place' THEN x <> s.location ELSE NOT list_contains(s.subjects, x) END)
 SELECT episode, event_id, kind, CASE WHEN kind = 'place' THEN 'Did ' || lower(description) || ' at ' || x || '?' ELSE 'Was ' || x || ' present when ' || lower(description) || '?' END question, CASE WHEN z = 1 THEN 'Yes|No' ELSE 'No|Yes' END AS options, z AS answer_index
 FROM (SELECT s.episode, s.event_id, s.description, kind, x, (('0x' || md5(s.event_id || '|' || kind)[1:8])::BIGINT % 2)::INT z FROM s JOIN c USING (event_id) WHERE k = 1)""")
 def boolean_recall(t):

@@ -13,7 +13,7 @@ def test_running(spark):
     df = spark.createDataFrame(rows, "g string, t int, k int, v double").repartition(5)
     order = lambda r: (r[1] is not None, r[1] or 0, r[2])
     for by in ((), ("g",)):
-        got = prefix.running(df, ["t", "k"], {"total": F.col("v"), "ones": F.lit(1)}, "at", "all", by, buckets=16)
+        got = prefix.running(df, ["t", "k"], {"total": F.col("v"), "ones": F.lit(1)}, "at", "all", by, buckets=16, sample=900)
         assert got.columns == ["g", "t", "k", "v", "total", "ones", "at", "all"]
         groups = {}
         for r in rows:
