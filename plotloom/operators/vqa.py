@@ -181,30 +181,24 @@ def cider(guesses: DataFrame, references: DataFrame, key: str, orders: int = 4,
     """(key, cider) of (key, text) guesses and references, one or more for each key: mean TF-IDF cosine of n-grams, times 10.
 
     Document frequency counts the keys whose references hold an n-gram. The guess's weight is clipped to the reference's, and each
-    order is damped by the difference in length, as the D variant of the measure has it.
+    order is damped by the difference in length, as the D variant of the measure has it. n-grams travel as 64-bit hashes; a guess and each of
+    its references meet in one grouping, which gives norms and products together.
     """
-    refs = references.withColumn("_ref", F.row_number().over(Window.partitionBy(key).orderBy("text")))
-    words = lambda df, *keep: df.select(*keep, split_words(F.col("text")).alias("w"))
-    tagged = lambda n: F.transform(_grams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-    every = F.flatten(F.array(*(tagged(n) for n in range(1, orders + 1))))
-    spread = lambda df, *keep: df.select(*keep, F.greatest(F.size("w") - 1, F.lit(0)).alias("len"), F.explode(every).alias("x"))
-    ref = spread(words(refs, key, "_ref"), key, "_ref").groupBy(key, "_ref", "x.n", "x.g").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
-    own = spread(words(guesses, key), key).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
-    df = ref.select(key, "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
-    total = math.log(max(1, references.select(key).distinct().count()))
-    weight = F.col("tf") * (F.lit(total) - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df").cast("double"), F.lit(0.0)))))
-    ref = ref.join(df, ["n", "g"], "left").withColumn("v", weight).drop("df", "tf")
-    own = own.join(df, ["n", "g"], "left").withColumn("v", weight).drop("df", "tf")
-    norm = lambda rows, *keys: rows.groupBy(*keys, "n").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    both = own.select(key, "n", "g", F.col("v").alias("a")).join(ref.select(key, "_ref", "n", "g", F.col("v").alias("b")), [key, "n", "g"])
-    dots = both.groupBy(key, "_ref", "n").agg(F.sum(F.least("a", "b") * F.col("b")).alias("dot"))
-    lengths = words(guesses, key).select(key, F.greatest(F.size("w") - 1, F.lit(0)).alias("lg"))
-    rl = words(refs, key, "_ref").select(key, "_ref", F.greatest(F.size("w") - 1, F.lit(0)).alias("lr"))
-    scored = dots.join(norm(own, key).withColumnRenamed("norm", "na"), [key, "n"]).join(norm(ref, key, "_ref").withColumnRenamed("norm", "nb"), [key, "_ref", "n"])
-    scored = scored.join(lengths, key).join(rl, [key, "_ref"])
-    value = F.coalesce(F.try_divide("dot", F.col("na") * F.col("nb")), F.lit(0.0)) * F.exp(-((F.col("lg") - F.col("lr")) ** 2) / (2 * sigma * sigma))
+    refs = references.select(key, F.monotonically_increasing_id().alias("_ref"), split_words(F.col("text")).alias("w"))
+    own = guesses.select(key, split_words(F.col("text")).alias("w")).join(refs.select(key, "_ref"), key)  # once for each reference
+    size, zero = F.greatest(F.size("w") - 1, F.lit(0)), F.lit(0)
+    sides = own.select(key, "_ref", "w", F.lit(1).alias("a"), zero.alias("b"), size.alias("lg"), zero.alias("lr")).unionByName(refs.select(key, "_ref", "w", zero.alias("a"), F.lit(1).alias("b"), zero.alias("lg"), size.alias("lr")))
+    tagged = lambda n: F.transform(_grams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), g).alias("g")))
+    spread = sides.select(key, "_ref", "a", "b", "lg", "lr", F.explode(F.flatten(F.array(*(tagged(n) for n in range(1, orders + 1))))).alias("x"))
+    met = spread.groupBy(key, "_ref", "x.n", "x.g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("lg").alias("lg"), F.max("lr").alias("lr"))
+    df = met.where("b > 0").select(key, "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
+    total = references.select(key).distinct().agg(F.log(F.greatest(F.count("*"), F.lit(1)).cast("double")).alias("_total"))  # one row
+    rare = F.col("_total") - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df").cast("double"), F.lit(0.0))))
+    rows = met.join(df, ["n", "g"], "left").crossJoin(F.broadcast(total)).withColumn("a", F.col("a") * rare).withColumn("b", F.col("b") * rare)
+    scored = rows.groupBy(key, "_ref", "n").agg(F.sum(F.least("a", "b") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("na"), F.sum(F.col("b") * F.col("b")).alias("nb"), F.max("lg").alias("lg"), F.max("lr").alias("lr"))
+    value = F.coalesce(F.try_divide("dot", F.sqrt("na") * F.sqrt("nb")), F.lit(0.0)) * F.exp(-((F.col("lg") - F.col("lr")) ** 2) / (2 * sigma * sigma))
     sums = scored.groupBy(key).agg(F.sum(value).alias("s"))
-    counts = refs.groupBy(key).agg(F.count("*").alias("refs"))
+    counts = references.groupBy(key).agg(F.count("*").alias("refs"))
     out = guesses.select(key).join(counts, key, "left").join(sums, key, "left")
     return out.select(key, F.round(F.coalesce(F.try_divide(10.0 * F.col("s"), F.lit(float(orders)) * F.col("refs")), F.lit(0.0)), 6).alias("cider"))
 
