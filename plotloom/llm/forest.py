@@ -92,7 +92,8 @@ class Forest:
         out = np.zeros((len(queries), len(self.directions), 1))
         for d in range(self.depth):
             margin = at[:, :, d, None] - self.cuts[None, :, (1 << d) - 1 : (2 << d) - 1]
-            crossed, right = out + margin * margin, margin > 0
+            with np.errstate(over="ignore"):
+                crossed, right = out + margin * margin, margin > 0
             out = np.stack([np.where(right, crossed, out), np.where(right, out, crossed)], 3).reshape(len(queries), len(self.directions), -1)
         return out
 
@@ -116,7 +117,7 @@ class Forest:
         keys = self.keys(sample[picked])
         nearest = []  # of each true neighbour, the key of the nearest of its leaves
         for i, own in zip(picked, keys, strict=True):
-            d = ((sample - sample[i]) ** 2).sum(1)
+            d = distances(sample, sample[i])
             d[i] = np.inf
             truth = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
             nearest.append(own[trees, leaves[:, truth]].min(0))
@@ -137,9 +138,23 @@ def _flat(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in doubles. Where squares leave the range of a double, they are taken of shares of the largest difference."""
+    gap = rows.astype(np.float64) - query
+    with np.errstate(over="ignore"):
+        out = np.sqrt((gap * gap).sum(1))
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+    if len(odd):
+        half = np.abs(rows[odd].astype(np.float64) / 2 - query / 2)  # halves, as a difference may be too large itself
+        most = half.max(1, initial=0.0)
+        with np.errstate(over="ignore"):
+            out[odd] = np.where(most > 0, 2 * (most * np.sqrt(((half / np.where(most > 0, most, 1)[:, None]) ** 2).sum(1))), 0.0)
+    return out
+
+
 def _best(query: np.ndarray, base: np.ndarray, ids: np.ndarray, hit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(distances, ids) of the ``k`` nearest of the rows ``hit``, in the order of ascending ids; of a vec_id with several vectors, the nearest counts."""
-    d = np.concatenate([np.zeros(0), *(np.sqrt(((base[hit[i : i + 8192]].astype(np.float64) - query) ** 2).sum(1)) for i in range(0, len(hit), 8192))])
+    d = np.concatenate([np.zeros(0), *(distances(base[hit[i : i + 8192]], query) for i in range(0, len(hit), 8192))])
     own = ids[hit]
     if len(own) and (own[1:] == own[:-1]).any():
         begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))

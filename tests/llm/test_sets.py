@@ -519,3 +519,13 @@ def test_forest_of_clusters(spark):
     few = [(0, [5.0, 1.0]), (1, [-5.0, -1.0])] + [(i, [0.01 * i, 0.02]) for i in range(2, 8)]
     got = forest.nearest_neighbours(spark.createDataFrame(few, "vec_id long, embedding array<double>")).collect()
     assert {r.vec_id for r in got} == set(range(1, 8))
+
+
+def test_distances_of_extreme_vectors(spark):
+    """Components whose squares are no doubles: the order and the scores are those of the true distances."""
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 0.0]), (2, [4e200, 1.0]), (3, [1e-200, 1e-200]), (4, [3e-200, 1e-200]), (5, [3.0, 4.0]), (100, [0.0, 1e-200])]
+    got = forest.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100)}
+    assert [i for i, _ in by[100]] == [3, 4, 5, 0, 1, 2] and [i for i, _ in by[0]] == [1, 3, 4, 5, 100, 2]  # five of them at 1e200
+    want = {3: 1e-200, 4: 3e-200, 5: 5.0, 0: 1e200, 1: 2e200, 2: 4e200}
+    assert all(abs(s - want[i]) <= 1e-12 * want[i] for i, s in by[100])
