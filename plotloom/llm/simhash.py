@@ -315,13 +315,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return hashes[new], bounds
 
 
-def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int, seed: int = 0) -> np.ndarray:
     """A key for each set and band, of ``rows`` MinHash values each; sets of Jaccard similarity s share one of them with probability 1 - (1 - s ** rows) ** bands."""
     out = np.zeros((len(bounds) - 1, bands), np.uint64)
     some = np.flatnonzero(np.diff(bounds))
     if not len(some):
         return out
-    seeds = mix64(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, 2)
+    seeds = mix64((np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, 2)
     for band in range(bands):
         key = np.full(len(some), band + 1, np.uint64)
         for flip, factor in seeds[band * rows : (band + 1) * rows]:
@@ -413,6 +413,10 @@ def _numbers(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+#: Bands and MinHash values in each by which a bucket is parted again, and how often at most.
+DEEP, LEVELS = (40, 8), 3
+
+
 def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int, rows: int, most: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(doc_id, copy, set) of all rows and (set, root) of the sets that have a link: root names the connected component.
 
@@ -420,7 +424,9 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
     each shingle's hash), is ``similarity`` or more. Candidates share a band. Each bucket of a band, without those that repeat another's members, comes with its
     sets to one task, which searches for links that span what all links connect, so that pairs are never rows. A bucket of more than
     ``most`` sets is dealt to blocks, each with the bucket's least set; what the blocks leave apart from the
-    bucket's largest component then meets every block, ``most`` at a time, so that no candidate is left out.
+    bucket's largest component then meets every block. Where that is more than ``most`` sets, so that it would meet the blocks again and again, the bucket is
+    parted by further bands instead, of ``DEEP`` MinHash values, in which a pair of similarity 0.8 meets with probability 0.9994; what is
+    as large after ``LEVELS`` such partings meets every block, ``most`` sets at a time, so that no candidate is left out.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,24 +464,51 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
         dealt = tasks.join(sets, "set").select("task", "set", "root", "shingles").repartition("task").sortWithinPartitions("task")
         return durable(dealt.mapInArrow(lambda b: _linked(b, similarity), "a long, b long"))
 
-    blocks = F.ceil(F.col("n") / most)
-    own = shared.withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), blocks))
-    pilots = shared.where((F.col("n") > most) & (F.col("set") == F.col("low"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    every = own.select("key", "block", "set").unionByName(pilots.select("key", "block", "set")).distinct() if not pilots.isEmpty() else own
-    edges = links(every.select(F.xxhash64("key", "block").alias("task"), "set", F.col("set").alias("root")))
-    large = shared.where(F.col("n") > most)
-    if not large.isEmpty():
-        roots = components(edges).select(F.col("node").alias("set"), "root")
-        own = durable(own.where(F.col("n") > most).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+    def parted(own: DataFrame, level: int) -> DataFrame:
+        """(key, set, root, n, low): the sets of the buckets of own (key, set, root) in buckets by further bands."""
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bodies = b.column("shingles").to_pylist()
+                keys = band_keys(_numbers(b"".join(bodies)), np.append(0, np.cumsum([len(x) // 6 for x in bodies])), *DEEP, level).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, DEEP[0], dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("set"), lists], ["set", "keys"])
+
+        further = sets.join(own.select("set").distinct(), "set", "left_semi").mapInArrow(keyed, "set long, keys array<long>")
+        inner = own.join(further, "set").select("set", "root", F.explode("keys").alias("inner"), "key").select("set", "root", F.xxhash64("key", "inner").alias("key")).distinct()
+        found = inner.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor(F.xxhash64("set")).alias("sum"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 1 AND a <> b")
+        found = found.groupBy("n", "low", "sum").agg(F.min("key").alias("key"))
+        return durable(inner.join(found.select("key", "n", "low"), "key"))
+
+    def met(shared: DataFrame, level: int) -> DataFrame:
+        """Links that span what the links inside the buckets (key, set, root, n, low) connect, where sets of one root are connected before."""
+        blocks = F.ceil(F.col("n") / most)
+        own = shared.withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), blocks))
+        pilots = shared.where((F.col("n") > most) & (F.col("set") == F.col("low"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        every = own.select("key", "block", "set", "root").unionByName(pilots.select("key", "block", "set", "root")).distinct() if not pilots.isEmpty() else own
+        edges = links(every.select(F.xxhash64("key", "block").alias("task"), "set", "root"))
+        large = shared.where(F.col("n") > most)
+        if large.isEmpty():
+            return edges
+        known = large.where("root <> set").select(F.col("set").alias("a"), F.col("root").alias("b")).distinct()
+        roots = components(edges.unionByName(known) if level else edges).select(F.col("node").alias("set"), F.col("root").alias("now"))
+        own = durable(own.where(F.col("n") > most).join(roots, "set", "left").withColumn("root", F.coalesce("now", "root")).drop("now"))
         counted = own.groupBy("key", "root").agg(F.count("*").alias("rows"))
         main = counted.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"))
-        apart = main.where("all > most").select("key", "main", F.ceil((F.col("all") - F.col("most")) / most).alias("turns"))
+        apart = durable(main.where("all > most").select("key", "main", F.ceil((F.col("all") - F.col("most")) / most).alias("turns")))
+        if level < LEVELS:
+            deep = own.join(apart.where("turns > 1").select("key"), "key", "left_semi").select("key", "set", "root")
+            if not deep.isEmpty():
+                edges = edges.unionByName(met(parted(deep, level + 1), level + 1))
+            apart = apart.where("turns = 1")
         own = own.join(apart, "key")
         loose = own.where("root <> main").withColumn("turn", F.pmod(F.xxhash64("set", F.lit(2)), F.col("turns")))
         probes = loose.select("key", "set", "root", "turn", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
         base = own.select("key", "set", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
         both = base.select("key", "block", "turn", "set", "root").unionByName(probes.select("key", "block", "turn", "set", "root")).distinct()
-        edges = edges.unionByName(links(both.select(F.xxhash64("key", "block", "turn").alias("task"), "set", "root")))
+        return edges.unionByName(links(both.select(F.xxhash64("key", "block", "turn").alias("task"), "set", "root")))
+
+    edges = met(shared.withColumn("root", F.col("set")), 0)
     return table.select("doc_id", "copy", "set"), components(edges).select(F.col("node").alias("set"), "root")
 
 

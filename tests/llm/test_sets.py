@@ -227,6 +227,32 @@ def test_near_copies_dropped(spark):
         assert Counter((r.doc_id, r.text or "") for r in out.collect()) == want
 
 
+def test_bands_of_loose_sets(spark, monkeypatch):
+    """Texts with much in common that are no near copies: their bands are parted again instead of meeting block by block, and planted near copies are found."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    texts = [" ".join(common + [f"u{k}x{i}" for i in range(32)]) for k in range(500)]
+    for k in range(0, 60, 2):
+        words = texts[k].split(" ")
+        texts[k + 1] = " ".join(words[:-3] + [f"n{k}", *words[-2:]])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(simhash, "DEEP", (40, 6))
+    for levels in (3, 0):
+        monkeypatch.setattr(simhash, "LEVELS", levels)
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(df, most=20).collect()}
+        assert kept == set(root), (levels, len(kept), len(set(root)))
+    assert len(set(root)) == 470
+
+
 def test_survivors_are_rows(spark):
     words = lambda k: [f"{k}w{i}" for i in range(100)]
     a, b, c = (" ".join(words(k)) for k in "abc")
