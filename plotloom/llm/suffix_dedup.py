@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -246,18 +248,23 @@ class _Group:
         self.row, self.starts, self.ends, self.classes = fragments(self.data, self.offsets)
 
     def keep(self, wanted: np.ndarray, hot: np.ndarray) -> None:
-        """Leaves the fragments of the wanted classes; those of the hot ones among them become one fragment for each string, with a class of its own."""
+        """Leaves the fragments of the wanted classes; of the hot ones among them only ``whole`` is left, the place of each string (equal ones that follow each other are one)."""
         ok = np.isin(self.classes, wanted)
         row, starts, ends, classes = self.row[ok], self.starts[ok], self.ends[ok], self.classes[ok]
         wide = np.isin(classes, wanted[hot])
+        none = np.zeros(0, np.int64)
+        self.whole = none, none, none
         if wide.any():
             sizes = (ends - starts)[wide]
             begin = np.concatenate([[0], np.cumsum(sizes)])
-            of, low, high, own = fragments(self.data[ragged(starts[wide], sizes)], begin, _STRING, seed=7)
+            of, low, high, _ = fragments(self.data[ragged(starts[wide], sizes)], begin, _STRING, seed=7)
             shift = starts[wide][of] - begin[of]
-            inner = (row[wide][of], low + shift, high + shift, mix64(own + mix64(classes[wide][of])) >> np.uint64(16))
-            row, starts, ends, classes = (np.concatenate([x[~wide], y]) for x, y in zip((row, starts, ends, classes), inner, strict=True))
-        self.row, self.starts, self.ends, self.classes = row, starts, ends, classes
+            self.whole = row[wide][of], low + shift, high + shift
+        self.row, self.starts, self.ends, self.classes = row[~wide], starts[~wide], ends[~wide], classes[~wide]
+
+    def names(self) -> list[bytes]:
+        """128 bits of hash of each of the ``whole`` strings."""
+        return [xxhash.xxh3_128_digest(self.data[s : s + _STRING]) for s in self.whole[1]]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first of each distinct fragment, its number for each fragment, its smallest doc, whether several docs have it)."""
@@ -282,8 +289,11 @@ def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
 
     Texts are dealt to groups of about two megabytes, compressed, once, and written to the checkpoint folder; classes, fragments and answers
     travel between groups and class buckets as packed arrays. Buckets are as many as shuffle partitions, or more where they
-    would stand for over 32 MB of text; a class that over ``hot`` groups have is parted by whole strings before its fragments travel. kept is the text without the removed bytes, null where
-    nothing was removed.
+    would stand for over 32 MB of text. kept is the text without the removed bytes, null where nothing was removed.
+
+    A class that over ``hot`` groups have, like that of a line which all documents hold, sends no fragments: of each of its whole strings a group has only the
+    smallest doc_id counts, so 128 bits of the string's hash and that number meet in a partial minimum before they travel, and the minimum
+    joins back to the groups under adaptive execution, which splits a string that all groups ask for.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -319,8 +329,8 @@ def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array(np.full(len(out), key[0].as_py()), pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "gid", "classes", "shared"])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        out = [(g, _pack(x), wide.tobytes()) for g, x, wide in _candidates(table, hot) if len(x)]
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["gid", "classes", "hot"])
+        out = [(g, _pack(x), wide.tobytes(), bool(wide.any())) for g, x, wide in _candidates(table, hot) if len(x)]
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.bool_()))], ["gid", "classes", "hot", "any_hot"])
 
     def told_classes(wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         classes, wide = wanted["classes"].drop_null().to_pylist(), wanted["hot"].drop_null().to_pylist()
@@ -340,6 +350,18 @@ def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * 7
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 5, strict=True)], ["bucket", "gid", "classes", "sizes", "low", "several", "body"])
 
+    def strings(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
+        """(name, gid, low, high) of each whole string of the group's hot classes: the smallest and largest doc that has it."""
+        seen: dict[bytes, tuple[int, int]] = {}
+        if table.num_rows and wanted.num_rows:
+            g = _Group(table)
+            g.keep(*told_classes(wanted))
+            for name, doc in zip(g.names(), g.docs[g.whole[0]].tolist(), strict=True):
+                low, high = seen.get(name, (doc, doc))
+                seen[name] = min(low, doc), max(high, doc)
+        found = [pa.array(seen, pa.binary()), pa.array(np.full(len(seen), key[0].as_py()), pa.int64()), pa.array([x for x, _ in seen.values()], pa.int64()), pa.array([x for _, x in seen.values()], pa.int64())]
+        return pa.table(found, ["name", "gid", "low", "high"])
+
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         take = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
         each = [_unpack(x) for x in table["classes"].to_pylist()]
@@ -375,6 +397,11 @@ def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
         classes_, wide = told_classes(wanted)
         if len(classes_):
             g.keep(classes_, wide)
+            least = {n: d for n, d in zip(wanted["name"].to_pylist(), wanted["least"].to_pylist(), strict=True) if n is not None}
+            row, first, last = g.whole
+            hit = np.array([least.get(n, d) < d for n, d in zip(g.names(), g.docs[row].tolist(), strict=True)], bool) if least else np.zeros(len(row), bool)
+            np.add.at(cover, first[hit], 1)
+            np.add.at(cover, last[hit], -1)
             pick, number, _, _ = g.distinct()
             places = _by_bucket(g.classes[pick], buckets)
             runs_of, run_first, run_doc = [], [], []
@@ -411,13 +438,20 @@ def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["sha", "doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     own = dealt.groupBy("gid").applyInArrow(classes, "bucket long, gid long, classes binary, shared binary")
-    wanted = durable(own.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "gid long, classes binary, hot binary"))
+    wanted = durable(own.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "gid long, classes binary, hot binary, any_hot boolean"))
     del own
     let_go(docs.sparkSession)
     pieces = dealt.groupBy("gid").cogroup(wanted.groupBy("gid")).applyInArrow(cut, "bucket long, gid long, classes binary, sizes binary, low binary, several binary, body binary")
     runs = pieces.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort, "gid long, bucket long, fragment binary, first binary, earliest binary")
-    empty = F.lit(None).cast("binary")
-    told = wanted.select("gid", "classes", "hot", F.lit(None).cast("long").alias("bucket"), empty.alias("fragment"), empty.alias("first"), empty.alias("earliest")).unionByName(runs.select("gid", empty.alias("classes"), empty.alias("hot"), "bucket", "fragment", "first", "earliest"))
+    answers = [wanted.select("gid", "classes", "hot"), runs]
+    asked = wanted.where("any_hot")
+    if not asked.isEmpty():
+        whole = durable(dealt.join(asked.select("gid").distinct(), "gid", "left_semi").groupBy("gid").cogroup(asked.groupBy("gid")).applyInArrow(strings, "name binary, gid long, low long, high long"))
+        least = durable(whole.groupBy("name").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("name", "least"))
+        answers.append(whole.join(least.hint("merge"), "name").where("least < high").select("gid", "name", "least"))
+    kinds = {"classes": "binary", "hot": "binary", "bucket": "long", "fragment": "binary", "first": "binary", "earliest": "binary", "name": "binary", "least": "long"}
+    filled = [a.select("gid", *(F.col(c) if c in a.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items())) for a in answers]
+    told = reduce(DataFrame.unionByName, filled)
     return dealt.groupBy("gid").cogroup(told.groupBy("gid")).applyInArrow(remove, "sha string, doc_id long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
