@@ -456,7 +456,7 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor(F.xxhash64("set")).alias("sum")).where("n > 1")
     buckets = buckets.groupBy("n", "low", "sum").agg(F.min("key").alias("key"))  # of buckets with the same members, one
     shared = durable(members.join(buckets.select("key", "n", "low"), "key"))
-    wanted = table.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("copy").alias("copy"))
+    wanted = table.groupBy("set").agg(F.min("copy").alias("copy")).join(shared.select("set").distinct(), "set", "left_semi")  # counted first, as one set may be most rows'
     sets = durable(texts.select("copy", "text").join(wanted, "copy").dropDuplicates(["copy"]).select("set", "text").mapInArrow(shingles, "set long, shingles binary"))
 
     def links(tasks: DataFrame) -> DataFrame:
@@ -527,7 +527,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction =
     """
     table, roots = similar_sets(docs, words, similarity, bands, rows, most)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")
-    kept = table.join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("group")).agg(F.min(order).alias("least"))
+    kept = table.groupBy("set").agg(F.min(order).alias("least")).join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("group")).agg(F.min("least").alias("least"))
     kept = kept.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.copy").alias("_kept_copy"))
     rows_ = docs.withColumn("_kept_copy", text_md5()).withColumn("_kept_id", F.col("doc_id").cast("long"))
     joined = rows_.alias("d").join(kept.alias("k"), (F.col("d._kept_copy") == F.col("k._kept_copy")) & F.col("d._kept_id").eqNullSafe(F.col("k._kept_id")), "left_semi")

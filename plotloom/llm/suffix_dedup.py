@@ -284,12 +284,13 @@ def _by_bucket(classes: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
     return dict(zip(some.tolist(), np.split(order, first[1:]), strict=True)) if len(some) else {}
 
 
-def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
+def removed_spans(docs: DataFrame, hot: int = _HOT, every: bool = False) -> DataFrame:
     """(sha, doc_id, n_removed, n_spans, kept_sha256, kept) of each distinct text of at least 50 bytes that holds doc_id, its smallest.
 
     Texts are dealt to groups of about two megabytes, compressed, once, and written to the checkpoint folder; classes, fragments and answers
     travel between groups and class buckets as packed arrays. Buckets are as many as shuffle partitions, or more where they
-    would stand for over 32 MB of text. kept is the text without the removed bytes, null where nothing was removed.
+    would stand for over 32 MB of text. kept is the text without the removed bytes, null where nothing was removed, or
+    with ``every`` the whole text there.
 
     A class that over ``hot`` groups have, like that of a line which all documents hold, sends no fragments: of each of its whole strings a group has only the
     smallest doc_id counts, so 128 bits of the string's hash and that number meet in a partial minimum before they travel, and the minimum
@@ -432,8 +433,8 @@ def removed_spans(docs: DataFrame, hot: int = _HOT) -> DataFrame:
             a, b = g.offsets[i], g.offsets[i + 1]
             own = gone[a:b]
             n = int(own.sum())
-            kept = g.data[a:b][~own].tobytes() if n else None
-            out.append((sha.hex(), int(g.docs[i]), n, int(own[0]) + int((own[1:] & ~own[:-1]).sum()), hashlib.sha256(kept).hexdigest() if n else sha.hex(), kept.decode("utf-8", "ignore") if n else None))
+            kept = g.data[a:b][~own].tobytes() if n or every else None
+            out.append((sha.hex(), int(g.docs[i]), n, int(own[0]) + int((own[1:] & ~own[:-1]).sum()), hashlib.sha256(kept).hexdigest() if n else sha.hex(), None if kept is None else kept.decode("utf-8", "ignore")))
         columns = list(zip(*out, strict=True))
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["sha", "doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -495,9 +496,13 @@ def drop_repeated_substrings(docs: DataFrame) -> DataFrame:
     of any name are carried along.
     """
     columns = docs.columns
-    rows = _resolved(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc")), "_doc")
-    whole = (F.col("_n") >= _STRING) & (F.col("_id") > F.col("_least"))
-    cut = F.col("_id").isNotNull() & F.col("kept").isNotNull()
-    left = rows.where(~F.coalesce(whole, F.lit(False)) & (~cut | F.col("kept").rlike(WORD)))
-    out = left.select(*(F.when(cut, F.col("kept")).otherwise(F.col("_doc.text")).alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in columns))
+    text = F.coalesce("text", F.lit(""))
+    others = [F.col(f"`{c}`") for c in columns if c != "text"]
+    # texts of 50 bytes or more come back from the groups that they were dealt to, so that they don't travel with their rows as well
+    stays = F.col("doc_id").isNull() | (F.octet_length(text) < _STRING)
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.when(stays, F.col("text")).alias("_own"), stays.alias("_stays"), F.sha2(text, 256).alias("_sha"))
+    found = removed_spans(docs.select("doc_id", "text"), every=True).select(F.col("sha").alias("_sha"), F.col("doc_id").alias("_least"), "n_removed", "kept")
+    rows = rows.join(found, "_sha", "left")
+    left = rows.where(F.col("_stays") | ((F.col("_id") <= F.col("_least")) & ((F.col("n_removed") == 0) | F.col("kept").rlike(WORD))))
+    out = left.select(*(F.when(F.col("_stays"), F.col("_own")).otherwise(F.col("kept")).alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
