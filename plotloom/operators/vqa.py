@@ -184,7 +184,7 @@ def cider(guesses: DataFrame, references: DataFrame, key: str, orders: int = 4,
     order is damped by the difference in length, as the D variant of the measure has it. n-grams travel as 64-bit hashes; a guess and each of
     its references meet in one grouping, which gives norms and products together.
     """
-    refs = references.select(key, F.monotonically_increasing_id().alias("_ref"), split_words(F.col("text")).alias("w"))
+    refs = references.select(key, F.row_number().over(Window.partitionBy(key).orderBy("text")).alias("_ref"), split_words(F.col("text")).alias("w"))
     own = guesses.select(key, split_words(F.col("text")).alias("w")).join(refs.select(key, "_ref"), key)  # once for each reference
     size, zero = F.greatest(F.size("w") - 1, F.lit(0)), F.lit(0)
     sides = own.select(key, "_ref", "w", F.lit(1).alias("a"), zero.alias("b"), size.alias("lg"), zero.alias("lr")).unionByName(refs.select(key, "_ref", "w", zero.alias("a"), F.lit(1).alias("b"), zero.alias("lg"), size.alias("lr")))

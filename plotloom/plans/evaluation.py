@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotloom.operators import evaluation as E
 from plotloom.operators import metrics as M
 from plotloom.plans.catalogue import _LETTER, _METRICS
+from plotloom.operators.tasks import task
 from plotloom.plans.registry import query
 
 _KINDS = ("single target recall", "boolean", "temporal: chronological ordering", "temporal: latest event retrieval", "temporal: single cue retrieval", "open")
@@ -90,3 +91,12 @@ def metrics_levels(t):
     cells = rows.groupBy("lang", "source", "t", "p").agg(F.count("*").alias("n"))  # before each cell counts at four levels
     spread = cells.select("t", "p", "n", F.explode(levels).alias("k")).groupBy("k.lang", "k.source", "t", "p").agg(F.sum("n").alias("n"))
     return M.confusion_metrics(spread, ["lang", "source"])
+
+
+@query("WITH p AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN 'view' END prediction FROM events WHERE event_id % 5 <> 0), e AS (SELECT user_id % 4 AS grp, event_type, prediction FROM events LEFT JOIN p USING (event_id)) SELECT grp, count(*) n, count(*) FILTER (prediction = event_type) hits, round(count(*) FILTER (prediction = event_type) / count(*), 6) accuracy FROM e GROUP BY 1")
+def task_scores(t):
+    """A task by its name: predictions of four fifths of the events, a third of them right."""
+    samples = t("events").select(F.col("event_id").alias("question_id"), F.col("event_type").alias("answer"), (F.col("user_id") % 4).alias("grp"))
+    guess = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, "view")
+    predictions = t("events").where("event_id % 5 <> 0").select(F.col("event_id").alias("question_id"), guess.alias("prediction"))
+    return task("exact_match").evaluate(samples, predictions, ["grp"])

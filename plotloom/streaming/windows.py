@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from plotloom.operators.prefix import running
+
 
 def segments(events: DataFrame, length: str = "80 seconds", late: str = "10 minutes") -> DataFrame:
     """Count and sum of (ts, value) in tumbling segments; the same code on a table and on a stream."""
@@ -138,6 +140,20 @@ def endless(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().withColumnRenamed("timestamp", "ts")
 
 
+def epochs(rows: DataFrame, order: Sequence[str], rows_per_second: int = 10) -> DataFrame:
+    """A stream without an end of a table's rows, in their order, again and again: (ts, epoch, place, *rows).
+
+    Each number of a counting source is a place of an epoch, which meets the numbered table; so the stream keeps no state but the count, and goes on after a restart
+    where its checkpoint says. The table is counted once; an empty one gives no rows.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    numbered = running(rows, order, place="place").withColumnRenamed("place", "_place")
+    count = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    ticks = count.select(F.col("timestamp").alias("ts"), F.floor(F.col("value") / max(1, n)).alias("epoch"), (F.col("value") % max(1, n)).alias("place"))
+    return ticks.join(numbered, F.col("place") == F.col("_place")).drop("_place")
+
+
 def poll(ready: Callable[[], bool], tries: int = 10, wait: float = 0.5) -> bool:
     """Asks until it is ready, ``tries`` times at most, waiting twice as long each time."""
     for k in range(tries):
