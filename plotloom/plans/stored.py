@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotloom.operators import orders, states
+from plotloom.operators import orders, states, subtitles
 from plotloom.plans.catalogue import _METRICS
+from plotloom.plans.media import _CUES, cues
 from plotloom.plans.registry import query
-from plotloom.sources import archives
+from plotloom.sources import archives, json_ranges, readers, scans, writers
 from plotloom.sources.commits import ResultStore
 from plotloom.sources.scratch import scratch
 from plotloom.streaming import windows
@@ -85,3 +86,70 @@ def buffered_shuffle(t):
 def interleaved_documents(t):
     """Documents of three sources, 3 to 1 to 2, until all have ended; held by a test against a plain loop."""
     return orders.interleaved(t("documents").select("doc_id", "source"), "source", ["doc_id"], {"src0": 3, "src1": 1, "src2": 2})
+
+
+def _filed(t, start: str, each, between: str, end: str) -> tuple:
+    """(session, folder): documents as JSON files of up to 500 rows, each of which ``each`` makes text, by doc_id, between ``start`` and ``end``."""
+    docs = t("documents")
+    place = scratch(docs.sparkSession, "json")
+    rows = docs.groupBy(F.floor(F.col("doc_id") / 500).alias("f")).agg(F.array_sort(F.collect_list(F.struct("doc_id", each.alias("x")))).alias("rows"))
+    text = F.concat(F.lit(start), F.array_join(F.transform("rows", lambda r: r["x"]), between), F.lit(end))
+    writers.write_texts(rows.select(F.concat("f", F.lit(".json")).alias("file"), text.alias("text")), place)
+    return docs.sparkSession, place
+
+
+_ROW = ("doc_id", "lang", "source", "n_chars", "text")
+_FIELDS = "doc_id:long,lang:string,source:string,n_chars:long,text:string"
+_DIGEST = "md5(coalesce(text, '')) digest"
+
+
+def _digested(rows, *keep: str):
+    return rows.select(*keep, "doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query(f"SELECT (doc_id // 500) || '.json#' || (row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1) instance_id, doc_id, lang, source, n_chars, {_DIGEST} FROM documents")
+def json_lists(t):
+    """Documents as JSON lists, each read whole, numbered by file."""
+    spark, place = _filed(t, "[", F.to_json(F.struct(*_ROW)), ",\n", "]")
+    return _digested(scans.annotations(spark, place, _FIELDS), "instance_id")
+
+
+@query(f"SELECT (row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1)::BIGINT AS number, doc_id, lang, source, n_chars, {_DIGEST} FROM documents")
+def json_by_ranges(t):
+    """Documents as lists inside of objects, read by ranges of 64 KB."""
+    spark, place = _filed(t, '{"info": {"qa_pairs": []}, "qa_pairs": [', F.to_json(F.struct(*_ROW)), ", ", '], "end": "]"}')
+    rows = json_ranges.elements(spark, place, "qa_pairs", 1 << 16)
+    return _digested(rows.select("number", F.from_json("body", f"struct<{_FIELDS}>").alias("a")).select("number", "a.*"), "number")
+
+
+@query(f"SELECT (row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1)::INT AS pos, 'k' || doc_id AS key, doc_id, lang, source, n_chars, {_DIGEST} FROM documents")
+def json_objects(t):
+    """Documents as objects of objects, with their keys."""
+    spark, place = _filed(t, "{", F.concat(F.lit('"k'), F.col("doc_id"), F.lit('": '), F.to_json(F.struct(*_ROW))), ",\n", "}")
+    return _digested(scans.keyed(spark, place, _FIELDS), "pos", "key")
+
+
+@query(f"SELECT doc_id, lang, source, n_chars, {_DIGEST} FROM documents")
+def json_lines(t):
+    docs = t("documents")
+    place = scratch(docs.sparkSession, "lines")
+    writers.write_json(docs.select(*_ROW), place)
+    return _digested(scans.lines(docs.sparkSession, place, _FIELDS))
+
+
+@query("SELECT vec_id::INT AS pos, 'doc__' || vec_id doc_key, label::VARCHAR AS text, embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last, len(embedding)::INT AS size FROM embeddings")
+def vector_store(t):
+    rows = t("embeddings").select(F.col("vec_id").cast("int").alias("pos"), F.concat(F.lit("doc__"), "vec_id").alias("doc_key"), F.col("label").cast("string").alias("text"), "embedding")
+    place = scratch(rows.sparkSession, "vectors")
+    writers.write_vectors(rows, place)
+    e = F.col("embedding")
+    return scans.vectors(rows.sparkSession, place).select("pos", "doc_key", "text", F.get(e, 0).cast("double").alias("first"), F.element_at(e, -1).cast("double").alias("last"), F.size(e).alias("size"))
+
+
+@query(_CUES + " SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY start_s, pos) - 1)::INT AS pos, floor(start_s * 1000 + 0.000001) / 1000 AS start_s, floor(end_s * 1000 + 0.000001) / 1000 AS end_s, text FROM c")
+def subtitle_files(t):
+    """A WebVTT file of each video, written and read back as cues."""
+    rows = cues(t)
+    place = scratch(rows.sparkSession, "subtitles")
+    writers.write_texts(subtitles.whole_vtt(rows).select(F.concat("video_id", F.lit(".vtt")).alias("file"), F.col("vtt").alias("text")), place)
+    return readers.cues(rows.sparkSession, place).select("video_id", F.col("pos").cast("int").alias("pos"), "start_s", "end_s", "text")
