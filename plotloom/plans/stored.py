@@ -153,3 +153,40 @@ def subtitle_files(t):
     place = scratch(rows.sparkSession, "subtitles")
     writers.write_texts(subtitles.whole_vtt(rows).select(F.concat("video_id", F.lit(".vtt")).alias("file"), F.col("vtt").alias("text")), place)
     return readers.cues(rows.sparkSession, place).select("video_id", F.col("pos").cast("int").alias("pos"), "start_s", "end_s", "text")
+
+
+@query("SELECT row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1 AS pos, 'd' || doc_id doc_key, coalesce(text, '') AS text FROM documents")
+def document_maps(t):
+    """Objects of texts by key, as a clip memory keeps them."""
+    whole = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    entry = F.concat(F.lit('"d'), F.col("doc_id"), F.lit('": '), F.substr(whole, F.lit(6), F.length(whole) - 6))
+    spark, place = _filed(t, "{", entry, ", ", "}")
+    return scans.document_map(spark, place).select(F.col("pos").cast("long").alias("pos"), "doc_key", "text")
+
+
+@query("SELECT 'q' || doc_id question_id, source || ' or not?' question, array_to_string([lang, source], '|') AS options, (doc_id % 4)::INT answer_index, (row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1)::INT AS pos FROM documents")
+def question_files(t):
+    """Files of questions inside of ``qa_dataset``."""
+    made = F.struct(F.concat(F.lit("q"), "doc_id").alias("question_id"), F.concat("source", F.lit(" or not?")).alias("question"), F.array("lang", "source").alias("options"), (F.col("doc_id") % 4).alias("answer_index"))
+    spark, place = _filed(t, '{"qa_dataset": [', F.to_json(made), ", ", "]}")
+    return readers.questions(spark, place).select("question_id", "question", F.array_join("options", "|").alias("options"), F.col("answer_index").cast("int").alias("answer_index"), F.col("pos").cast("int").alias("pos"))
+
+
+@query("SELECT 'p' || (doc_id // 500) data_id, count(*) n_steps, sum(doc_id)::BIGINT total FROM documents GROUP BY 1")
+def episode_folders(t):
+    """A folder for each 500 documents with one JSON file, as navigation episodes lie."""
+    docs = t("documents")
+    place = scratch(docs.sparkSession, "folders")
+    held = docs.groupBy(F.floor(F.col("doc_id") / 500).alias("f")).agg(F.array_sort(F.collect_list("doc_id")).alias("path"), F.count("*").alias("n_steps"))
+    writers.write_texts(held.select(F.concat(F.lit("p"), "f", F.lit("/data.json")).alias("file"), F.to_json(F.struct("path", "n_steps")).alias("text")), place)
+    rows = scans.folders(docs.sparkSession, place, "path:array<long>,n_steps:long")
+    return rows.select("data_id", "n_steps", F.aggregate("path", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT 'v' || user_id video_id, 'en' AS extension FROM events GROUP BY user_id")
+def subtitle_index(t):
+    """Which videos have a subtitle file, from names alone."""
+    rows = t("events").select(F.concat(F.lit("v"), "user_id", F.lit(".en.vtt")).alias("file"), F.lit("WEBVTT\n").alias("text")).distinct()
+    place = scratch(rows.sparkSession, "names")
+    writers.write_texts(rows, place)
+    return scans.availability(rows.sparkSession, place)

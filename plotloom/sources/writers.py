@@ -56,6 +56,8 @@ def write_texts(rows: DataFrame, folder: str, name: str = "file", text: str = "t
                 path = f"{root}/{n}"
                 fresh = overwrite or store.get_file_info(path).type == FileType.NotFound
                 if fresh:
+                    if "/" in n:
+                        store.create_dir(path.rpartition("/")[0], recursive=True)
                     part = f"{path}.{uuid.uuid4().hex}.part"  # whole or not at all, also if the task is run again
                     with store.open_output_stream(part) as out:
                         out.write(body.encode())
