@@ -457,7 +457,8 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
     buckets = buckets.groupBy("n", "low", "sum").agg(F.min("key").alias("key"))  # of buckets with the same members, one
     shared = durable(members.join(buckets.select("key", "n", "low"), "key"))
     wanted = table.groupBy("set").agg(F.min("copy").alias("copy")).join(shared.select("set").distinct(), "set", "left_semi")  # counted first, as one set may be most rows'
-    sets = durable(texts.select("copy", "text").join(wanted, "copy").dropDuplicates(["copy"]).select("set", "text").mapInArrow(shingles, "set long, shingles binary"))
+    single = texts.groupBy("copy").agg(F.first("text").alias("text"))  # copies go before they travel, and the join takes the rows as they lie
+    sets = durable(single.join(wanted, "copy").select("set", "text").mapInArrow(shingles, "set long, shingles binary"))
 
     def links(tasks: DataFrame) -> DataFrame:
         """The spanning links of rows (task, set, root)."""
