@@ -163,7 +163,8 @@ def _sums(parts: DataFrame) -> dict[int, list]:
             yield pa.RecordBatch.from_pydict({"cluster": pa.array(total, pa.int32()), "payload": [json.dumps(v) for v in total.values()]})
 
     out: dict[int, list] = {}
-    grouped = parts.withColumn("g", F.spark_partition_id() % 64).repartition(64, "g").select("cluster", "payload")
+    groups = min(64, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grouped = parts.withColumn("g", F.spark_partition_id() % groups).repartition(groups, "g").select("cluster", "payload")
     for r in grouped.mapInArrow(add, "cluster int, payload string").collect():
         _into(out, r.cluster, json.loads(r.payload))
     return out
