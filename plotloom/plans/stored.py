@@ -190,3 +190,17 @@ def subtitle_index(t):
     place = scratch(rows.sparkSession, "names")
     writers.write_texts(rows, place)
     return scans.availability(rows.sparkSession, place)
+
+
+@query("SELECT doc_id * 3 AS ref_id, doc_id || '.jpg' AS file_name, (doc_id % 640)::INT width, n_chars::DOUBLE area, lang || '|' || source AS refers FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 <> 0")
+def referred_regions(t):
+    """Object files and reference files of documents: a quarter of the references is of another split, and a seventh of the regions is missing."""
+    docs = t("documents")
+    place, half = scratch(docs.sparkSession, "objects"), F.floor(F.col("doc_id") / 500).alias("f")
+    image = F.struct(F.col("doc_id").alias("id"), F.concat("doc_id", F.lit(".jpg")).alias("file_name"), (F.col("doc_id") % 640).cast("int").alias("width"), F.lit(480).alias("height"))
+    note = F.when(F.col("doc_id") % 7 != 0, F.struct((F.col("doc_id") * 2).alias("id"), F.col("doc_id").alias("image_id"), F.lit(1).alias("category_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("bbox"), F.col("n_chars").cast("double").alias("area")))
+    held = docs.groupBy(half).agg(F.to_json(F.struct(F.collect_list(image).alias("images"), F.collect_list(note).alias("annotations"))).alias("text"))
+    writers.write_texts(held.select(F.concat("f", F.lit(".json")).alias("file"), "text"), place)
+    said = F.struct((F.col("doc_id") * 3).alias("ref_id"), (F.col("doc_id") * 2).alias("ann_id"), F.when(F.col("doc_id") % 4 == 0, "val").otherwise("train").alias("split"), F.array(F.struct(F.col("lang").alias("sent")), F.struct(F.col("source").alias("sent"))).alias("sentences"))
+    spark, refers = _filed(t, "[", F.to_json(said), ", ", "]")
+    return scans.refer_regions(spark, place, refers).select("ref_id", "file_name", "width", "area", F.array_join("refers", "|").alias("refers"))

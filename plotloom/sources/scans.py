@@ -101,6 +101,32 @@ def split_path(folder: str, split: str, version: str = "v1p0") -> str:
     return f"{folder.rstrip('/')}/aokvqa_{version}_{split}.json"
 
 
+def instances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) of object files: images (image_id, file_name, width, height), annotations (ann_id, image_id, category_id, bbox, area)."""
+    images = enveloped(spark, path, "images", "id:long,file_name:string,width:int,height:int").withColumnRenamed("id", "image_id").drop("pos")
+    notes = enveloped(spark, path, "annotations", "id:long,image_id:long,category_id:long,bbox:array<double>,area:double").withColumnRenamed("id", "ann_id").drop("pos")
+    return images, notes
+
+
+def refer_regions(spark: SparkSession, objects: str, refers: str, split: str | None = "train") -> DataFrame:
+    """(ref_id, file_name, width, height, bbox, area, split, refers): what people call the regions of a split, with the region and its image.
+
+    ``refers`` are JSON lists of (ref_id, ann_id, split, sentences), as the original's pickles are not read; ``objects`` are files of ``instances``. A
+    reference to a region or an image that isn't there gives no row.
+    """
+    images, notes = instances(spark, objects)
+    said = annotations(spark, refers, "ref_id:long,ann_id:long,split:string,sentences:array<struct<sent:string>>").drop("instance_id")
+    said = said if split is None else said.where(F.col("split") == split)
+    rows = said.join(notes, "ann_id").join(images, "image_id")
+    return rows.select("ref_id", "file_name", "width", "height", "bbox", "area", "split", F.transform("sentences", lambda s: s["sent"]).alias("refers"))
+
+
+def strokes(spark: SparkSession, path: str, tag: str = "") -> DataFrame:
+    """(image_id, strokes, tag) of JSON objects of stroke lists by image, each stroke a list of numbers."""
+    text = _texts(spark, path)
+    return text.select(F.explode(F.from_json("value", "map<string,array<array<double>>>")).alias("image_id", "strokes")).select("image_id", "strokes", F.lit(tag).alias("tag"))
+
+
 def availability(spark: SparkSession, folder: str) -> DataFrame:
     """(video_id, extension) of a folder's files, without reading them: what stands before the first '.', and the piece after it."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))

@@ -29,7 +29,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read back, so that they are made once and survive lost executors."""
+    """The same rows, written to the shared folder and read back, so that they are made once and survive lost executors.
+
+    The files stay there, as plans that read them may be run again; whoever owns the folder clears it.
+    """
     place = scratch(df.sparkSession, name)
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)

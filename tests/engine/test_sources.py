@@ -65,6 +65,8 @@ def test_scans(spark, tmp_path):
     assert sorted(map(tuple, scans.availability(spark, str(tmp_path / "s")).collect())) == [("v1", "en"), ("v2", "mp4")]
     files = spark.createDataFrame([("a.jpg",)], "name string")
     assert [r.p for r in scans.existing(spark.createDataFrame([("x/a.jpg",), ("x/b.jpg",)], "p string"), files, F.element_at(F.split("p", "/"), -1)).collect()] == ["x/a.jpg"]
+    drawn = put(tmp_path / "strokes.json", {"7": [[0.1, 0.2], [0.3]], "8": []})
+    assert sorted((r.image_id, r.strokes, r.tag) for r in scans.strokes(spark, drawn, "[x]").collect()) == [("7", [[0.1, 0.2], [0.3]], "[x]"), ("8", [], "[x]")]
     shows = put(tmp_path / "subs.json", [{"vid_name": "v", "sub": [{"start": 1.0, "end": 2.0, "text": "hi"}]}])
     assert tuple(scans.show_subtitles(spark, shows).first()) == ("v", 0, 1.0, 2.0, "hi")
     for n in "cab":
