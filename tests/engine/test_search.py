@@ -56,3 +56,22 @@ def test_clustered_vectors_meet_few_blocks(spark):
     rows, met = relate.pruned_cosine(left, right, 10, held=100)
     assert met["met"] < met["pairs"] / 3, met
     same(rows, brute(docs[:400], docs, 10))
+
+
+def test_blocks_meet_in_many_partitions(spark):
+    rng = np.random.default_rng(3)
+    docs = [(i, rng.normal(size=16).tolist()) for i in range(900)]
+    docs += [(1000 + i, docs[i % 30][1]) for i in range(300)]  # copies: ties go to the smaller doc_id
+    left, right = frames(spark, docs[:90], docs)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small groups are brought to one partition
+    try:
+        got = {(r.query_id, r["rank"]): r.doc_id for r in relate.top_cosine(left, right, 12, asked=16, held=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    unit = np.array([v for _, v in docs])
+    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+    ids = np.array([d for d, _ in docs])
+    for q, line in enumerate([[(u * v).cumsum()[-1] for u in unit] for v in unit[:90]]):
+        order = sorted((-s, d) for s, d in zip(line, ids, strict=True) if d != q)[:12]
+        assert [got[q, i + 1] for i in range(12)] == [d for _, d in order]
