@@ -417,11 +417,12 @@ def _numbers(packed: bytes) -> np.ndarray:
 DEEP, LEVELS = (40, 8), 3
 
 
-def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int, rows: int, most: int = 4096) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int, rows: int, most: int = 4096, distance: int = 3) -> tuple[DataFrame, DataFrame]:
     """(doc_id, copy, set) of all rows and (set, root) of the sets that have a link: root names the connected component.
 
     ``copy`` is the text's MD5, ``set`` a hash of its shingles; sets are linked whose Jaccard similarity, counted on the whole sets (48 bits of
-    each shingle's hash), is ``similarity`` or more. Candidates share a band. Each bucket of a band, without those that repeat another's members, comes with its
+    each shingle's hash), is ``similarity`` or more. Candidates are sets whose SimHash fingerprints are linked, over ``distance`` bits or fewer at a time, and, as
+    fewer bits than a near copy may differ in, those that share a MinHash band. Each bucket, a component of fingerprints or of a band, without those that repeat another's members, comes with its
     sets to one task, which searches for links that span what all links connect, so that pairs are never rows. A bucket of more than
     ``most`` sets is dealt to blocks, each with the bucket's least set; what the blocks leave apart from the
     bucket's largest component then meets every block. Where that is more than ``most`` sets, so that it would meet the blocks again and again, the bucket is
@@ -438,7 +439,8 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
                 size = np.diff(bounds)
                 name = mix64(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(np.uint64)).view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(band_keys(hashes, bounds, bands, rows).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("copy").slice(at, n), pa.array(name), pa.array(size), keys], ["doc_id", "copy", "set", "size", "keys"])
+                prints = pa.array(fingerprints(data, offsets, words).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("copy").slice(at, n), pa.array(name), pa.array(size), prints, keys], ["doc_id", "copy", "set", "size", "print", "keys"])
         give_back()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,8 +453,10 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
 
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_md5().alias("copy"), "text")
-    table = durable(texts.mapInArrow(sign, "doc_id long, copy string, set long, size long, keys array<long>"))
-    members = table.where("size > 0").select("set", F.explode("keys").alias("key")).distinct()
+    table = durable(texts.mapInArrow(sign, "doc_id long, copy string, set long, size long, print long, keys array<long>"))
+    prints = table.where("size > 0").select("set", "print").distinct()
+    linked = prints.join(similar_groups(prints, distance), "print", "left").select("set", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("key"))
+    members = table.where("size > 0").select("set", F.explode("keys").alias("key")).unionByName(linked).distinct()
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor(F.xxhash64("set")).alias("sum")).where("n > 1")
     buckets = buckets.groupBy("n", "low", "sum").agg(F.min("key").alias("key"))  # of buckets with the same members, one
     shared = durable(members.join(buckets.select("key", "n", "low"), "key"))
@@ -517,16 +521,17 @@ def text_md5() -> Column:
     return F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Fraction(4, 5), bands: int = 20, rows: int = 4, most: int = 4096) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Fraction(4, 5), bands: int = 20, rows: int = 4, most: int = 4096, distance: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id, then the smallest MD5 of its text; null doc_ids come last.
 
     Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and a group is a connected component.
-    Every pair of candidates is checked exactly; a pair of similarity 0.8 is a candidate with probability 0.99997, a closer
+    Candidates come from SimHash, whose fingerprints link at ``distance`` or fewer bits, and beyond its reach from MinHash bands.
+    Every pair of candidates is checked exactly; by the bands alone a pair of similarity 0.8 is a candidate with probability 0.99997, a closer
     one more surely. Rows are told apart by doc_id and text, so a doc_id that repeats with
     different texts loses none of them for its number; of rows equal in both, one stays. Null and empty texts and others without words are copies
     of one another. An empty table stays empty; extra columns of any name are carried along.
     """
-    table, roots = similar_sets(docs, words, similarity, bands, rows, most)
+    table, roots = similar_sets(docs, words, similarity, bands, rows, most, distance)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")
     kept = table.groupBy("set").agg(F.min(order).alias("least")).join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("group")).agg(F.min("least").alias("least"))
     kept = kept.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.copy").alias("_kept_copy"))

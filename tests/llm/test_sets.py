@@ -253,6 +253,23 @@ def test_bands_of_loose_sets(spark, monkeypatch):
     assert len(set(root)) == 470
 
 
+def test_near_copies_link_by_simhash(spark):
+    """Near copies whose fingerprints are close are found without a common band, and close fingerprints alone link nothing."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(600)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    few = [f"z{i}" for i in range(30)]
+    rows += [(100, " ".join(few * 40)), (101, " ".join(few * 40 + [f"y{i}" for i in range(20)]))]  # the repeats fix the bits, not the set
+    prints = dict(simhash.fingerprint_table(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect())
+    close = [d for d in prints if d % 2 == 0 and (prints[d] ^ prints[d + 1]).bit_count() <= 3 and (prints[d] ^ prints[d + 1]) >= 0]
+    assert 100 in close and len(close) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df, bands=1, rows=4000).collect()}  # a band that only equal sets share
+    assert all(d in kept and (d + 1 in kept) == (d == 100) for d in close)
+
+
 def test_survivors_are_rows(spark):
     words = lambda k: [f"{k}w{i}" for i in range(100)]
     a, b, c = (" ".join(words(k)) for k in "abc")
