@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,20 +43,45 @@ def in_batches(rows: DataFrame, keys: Sequence[str], order: str, size: int = 8)
 
 
 def call_batches(rows: DataFrame, keys: Sequence[str], order: str, prompt: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Adds response and error to rows with ``batch``: a batch is one call, whose failure stands on each of its rows."""
+    """Adds response and error to rows with ``batch``: a batch is one call, whose failure stands on each of its rows.
+
+    Rows come numbered and sorted by batch, so a task takes its batches from Arrow frames one after another; one that a frame cuts waits for the next.
+    """
+    from pyspark.sql import Window
+
     schema = _with(rows.schema, T.StructField("response", T.StringType()), T.StructField("error", T.StringType()))
+    names = [*keys, "batch"]
+
+    def call(f: pd.DataFrame) -> pd.DataFrame:
+        prompts, answers, errors = f[prompt].tolist(), [], []
+        edges = [*np.flatnonzero(f["_turn"].to_numpy() == 1).tolist(), len(f)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            try:
+                found, error = list(model(prompts[low:high])), None
+                if len(found) != high - low:
+                    raise ValueError(f"{len(found)} answers to {high - low} prompts")
+            except Exception as e:  # a model may fail in any way
+                found, error = [None] * (high - low), str(e)
+            answers += found
+            errors += [error] * (high - low)
+        return f.drop(columns="_turn").assign(response=pd.Series(answers, f.index, object), error=pd.Series(errors, f.index, object))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        try:
-            answers, error = model(f[prompt].tolist()), None
-            if len(answers) != len(f):
-                raise ValueError(f"{len(answers)} answers to {len(f)} prompts")
-        except Exception as e:  # a model may fail in any way
-            answers, error = [None] * len(f), str(e)
-        return f.assign(response=answers, error=error)
-
-    return rows.groupBy(*keys, "batch").applyInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the last batch, as far as it has come
+        for f in frames:
+            begins = np.flatnonzero(f["_turn"].to_numpy() == 1)
+            if not len(begins):
+                held.append(f)
+                continue
+            done = pd.concat([*held, f.iloc[: begins[-1]]], ignore_index=True)
+            held = [f.iloc[begins[-1] :]]
+            if len(done):
+                yield call(done)
+        if held:
+            yield call(pd.concat(held, ignore_index=True))
+
+    numbered = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*names).orderBy(order)))
+    return numbered.sortWithinPartitions(*names, "_turn").mapInPandas(run, schema)
 
 
 def embedded(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
