@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,8 +72,22 @@ def consensus_score(guess: Column, answers: Column) -> Column:
     plain = T.digits_articles(T.punctuation(T.strip(F.translate(guess, "\n\t", "  "))))
     apart = F.size(F.array_distinct(F.transform(answers, lambda a: a["answer"]))) > 1
     held = F.when(apart, F.transform(answers, lambda a: F.struct(a["answer_id"].alias("answer_id"), T.punctuation(a["answer"]).alias("answer")))).otherwise(answers)
-    hits = lambda a: F.size(F.filter(held, lambda b: (b != a) & (b["answer"] == plain)))
-    return F.aggregate(F.transform(held, lambda a: F.least(F.lit(1.0), hits(a) / 3)), F.lit(0.0), lambda s, x: s + x) / F.size(held)
+
+    def mean(rows: Column, guessed: Column) -> Column:
+        fit = F.transform(F.filter(rows, lambda b: b["answer"] == guessed), lambda b: b["answer_id"])
+        return _once(fit, lambda ids: _once(F.size(F.array_distinct(ids)) == F.size(ids), lambda single: total(rows, guessed, ids, single)))
+
+    def total(rows: Column, guessed: Column, ids: Column, single: Column) -> Column:
+        own = lambda a: F.when(single, 1).otherwise(F.size(F.filter(ids, lambda i: i.eqNullSafe(a["answer_id"]))))
+        hits = lambda a: F.size(ids) - F.when(a["answer"] == guessed, own(a)).otherwise(0)
+        return F.aggregate(rows, F.lit(0.0), lambda s, a: s + F.least(F.lit(1.0), hits(a) / 3)) / F.size(rows)
+
+    return _once(plain, lambda guessed: _once(held, lambda rows: mean(rows, guessed)))
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once, where a lambda of ``f`` would work it out again for each element."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def direct_accuracy(dataset: DataFrame, predictions: DataFrame) -> DataFrame:
