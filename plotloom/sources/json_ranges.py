@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plotloom.sources.scratch import store_of, stored
 
-_BLOCK = 1 << 20
+_BLOCK, _TASK = 1 << 20, 32 << 20
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b'"[]{},')] = True
 _RANGE = "path string, at long, start long, stop long"
@@ -74,10 +74,13 @@ class _File:
             count += len(before)
         return count % 2 == 1
 
-    def blocks(self, start: int, stop: int, inside: bool, level: int) -> Iterator[tuple[int, np.ndarray, Marks]]:
-        odd = self.odd(start)
+    def blocks(self, start: int, stop: int, inside: bool, level: int, own: int | None = None) -> Iterator[tuple[int, np.ndarray, Marks]]:
+        """The blocks from ``start`` to ``stop``; with ``own`` a block ends there, and those behind it begin small and double, as few bytes of them may be wanted."""
+        odd, step = self.odd(start), min(_BLOCK, 1 << 12)
         while start < stop:
-            data = self.read(start, min(_BLOCK, stop - start))
+            size = _BLOCK if own is None else min(_BLOCK, own - start) if start < own else step
+            step = min(_BLOCK, 2 * step) if own is not None and start >= own else step
+            data = self.read(start, min(size, stop - start))
             if not len(data):
                 return
             found = marks(data, inside, level, odd)
@@ -86,13 +89,20 @@ class _File:
             start += len(data)
 
 
-def _ranges(spark: SparkSession, paths: Sequence[str], range_bytes: int) -> DataFrame:
+def _ranges(spark: SparkSession, paths: Sequence[str], range_bytes: int) -> tuple[DataFrame, int]:
+    """The files' ranges, dealt to tasks, and how many tasks."""
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "length")  # sizes only; no file is read
     last = F.greatest(F.ceil(F.col("length") / range_bytes) - 1, F.lit(0))
     rows = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
-    n = max(1, rows.count())
     dealt = rows.select("path", "at", (F.col("at") * range_bytes).alias("start"), F.least((F.col("at") + 1) * range_bytes, F.col("length")).alias("stop"))
-    return dealt.repartition(n, "path", "at")
+    tasks = _tasks(rows)
+    return dealt.repartition(tasks, "path", "at"), tasks
+
+
+def _tasks(ranges: DataFrame) -> int:
+    """A task for each range, as long as those aren't far more than the cores, then one for some ``_TASK`` bytes: small ranges are many to a task."""
+    found = ranges.agg(F.count("*").alias("n"), F.sum(F.when(F.col("at") == 0, F.col("length"))).alias("bytes")).first()
+    return max(1, min(found["n"], max(4 * ranges.sparkSession.sparkContext.defaultParallelism, -(-(found["bytes"] or 0) // _TASK))))
 
 
 def _each(f, schema: str):
@@ -166,7 +176,8 @@ def elements(spark: SparkSession, paths: str | Sequence[str], field: str | None
     read in ranges of ``range_bytes``: first for quotes and brackets, which tells how deep each range begins and whether in a string, then for the elements that
     begin in it, the last of which is read on to its end. So a file of any size is many tasks' work, and a task holds one element.
     """
-    states = _states(_ranges(spark, [paths] if isinstance(paths, str) else list(paths), range_bytes))
+    ranges, tasks = _ranges(spark, [paths] if isinstance(paths, str) else list(paths), range_bytes)
+    states = _states(ranges).repartition(tasks, "path", "at")  # a few numbers a range, which Spark would bring to few tasks
     level = 1 if field is None else 2
     if field is None:
         states = states.withColumn("low", F.lit(-1).cast("long")).withColumn("high", F.lit((1 << 63) - 1))
@@ -187,7 +198,7 @@ def elements(spark: SparkSession, paths: str | Sequence[str], field: str | None
         number, held, since = 0, None, 0  # the element that is open: its bytes so far, and where it began
         done: list[tuple[int, int, str]] = []
         size = 0
-        for start, data, m in file.blocks(row["start"], file.size, row["inside"], row["level"]):
+        for start, data, m in file.blocks(row["start"], file.size, row["inside"], row["level"], row["stop"]):
             past = start >= row["stop"]
             if past and held is None:
                 break
@@ -214,8 +225,7 @@ def elements(spark: SparkSession, paths: str | Sequence[str], field: str | None
             yield {"path": [row["path"]] * len(done), "at": [row["at"]] * len(done), "place": [d[0] for d in done], "start": [d[1] for d in done], "body": [d[2] for d in done]}
 
     schema = "path string, at long, place long, start long, body string"
-    n = max(1, states.count())
-    rows = stored(states.repartition(n, "path", "at").mapInArrow(_each(read, schema), schema), "json-elements")
+    rows = stored(states.mapInArrow(_each(read, schema), schema), "json-elements")
     counts = rows.groupBy("path", "at").agg(F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("path", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))

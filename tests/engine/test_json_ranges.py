@@ -83,3 +83,13 @@ def test_scans_of_large_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scans, "WHOLE", 1000)
     monkeypatch.setattr(scans, "RANGE", 2000)
     assert found() == whole
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Very many small ranges are not as many tasks, and elements longer than many ranges are read to their end."""
+    rows = [{"k": i, "t": "x]" * (i % 7) * (4000 if i % 50 == 0 else 1)} for i in range(600)]
+    (tmp_path / "e.json").write_text(json.dumps({"info": [1], "a": rows, "end": "]"}))
+    dealt, tasks = json_ranges._ranges(spark, [str(tmp_path / "e.json")], 64)
+    assert dealt.count() > 1000 and dealt.rdd.getNumPartitions() == tasks <= 4 * spark.sparkContext.defaultParallelism
+    found = json_ranges.elements(spark, str(tmp_path / "e.json"), "a", 64).orderBy("number").collect()
+    assert [json.loads(r.body) for r in found] == rows
