@@ -162,22 +162,17 @@ def split_words(text: Column) -> Column:
 BLEU_WEIGHTS = ((1.0,), (0.5, 0.5), (0.33, 0.33, 0.33), (0.25, 0.25, 0.25, 0.25))
 
 
-def _counted(rows: DataFrame, key: str, orders: int) -> DataFrame:
-    """(key, n, g, c): how often each n-gram of the words ``w`` occurs."""
-    tagged = lambda n: F.transform(_grams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-    every = F.flatten(F.array(*(tagged(n) for n in range(1, orders + 1))))
-    return rows.select(key, F.explode(every).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("c"))
-
-
 def sentence_bleu(pairs: DataFrame, key: str, guess: str = "guess", reference: str = "reference") -> DataFrame:
     """(key, bleu1 .. bleu4): clipped n-gram precisions in weighted geometric means, with a brevity penalty, without smoothing.
 
-    No common word gives 0; a higher order without a common n-gram counts as the smallest positive double. The n-grams are counted and
-    met as rows, so a text's length enters once, not squared.
+    No common word gives 0; a higher order without a common n-gram counts as the smallest positive double. The n-grams are counted as
+    rows, so a text's length enters once, not squared; those of guess and reference meet in one grouping, which stays where pairs that are grouped by key lie.
     """
     words = pairs.select(key, split_words(F.col(guess)).alias("g"), split_words(F.col(reference)).alias("r"))
-    own, other = (_counted(words.select(key, F.col(c).alias("w")), key, 4) for c in ("g", "r"))
-    hits = own.join(other.withColumnRenamed("c", "d"), [key, "n", "g"]).groupBy(key).agg(*(F.sum(F.when(F.col("n") == n, F.least("c", "d"))).alias(f"h{n}") for n in range(1, 5)))
+    tagged = lambda c, a, n: F.transform(_grams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(a).alias("a"), F.lit(1 - a).alias("b")))
+    every = words.select(key, F.explode(F.flatten(F.array(*(tagged(c, a, n) for c, a in (("g", 1), ("r", 0)) for n in range(1, 5))))).alias("x"))
+    met = every.groupBy(key, "x.n", "x.g").agg(F.sum("x.a").alias("c"), F.sum("x.b").alias("d")).where("c > 0 AND d > 0")
+    hits = met.groupBy(key).agg(*(F.sum(F.when(F.col("n") == n, F.least("c", "d"))).alias(f"h{n}") for n in range(1, 5)))
     rows = words.select(key, F.size("g").alias("lg"), F.size("r").alias("lr")).join(hits, key, "left")
     hit = lambda n: F.coalesce(F.col(f"h{n}"), F.lit(0))
     term = lambda n: F.log(F.when(hit(n) > 0, hit(n).cast("double") / F.greatest(F.lit(1), F.col("lg") - n + 1)).otherwise(F.lit(2.2250738585072014e-308)))
