@@ -64,10 +64,11 @@ def streamed_look_back(t):
     spark = events.sparkSession
     place, schema = scratch(spark, "replay"), "event_id long, ts timestamp, user_id long, value double"
     batch = F.floor(F.dayofmonth("ts") / 6) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    parts = spark.sparkContext.defaultParallelism  # files of a batch, which come at a time
     for b in range(7):
-        events.where(batch == b).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        events.where(batch == b).repartition(parts).write.mode("append").parquet(f"{place}/in")
     events.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(0.0).alias("value")).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    live = windows.stream(windows.timed_session(spark), f"{place}/in", schema)
+    live = windows.stream(windows.timed_session(spark), f"{place}/in", schema, parts)
     rows = windows.rows_in_order(live, "user_id", "event_id", "value", late="13 days", forget="400 days")
     rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema("key long, id long, ts timestamp, n long, median double, mean double, highest double, latest double").parquet(f"{place}/out")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,12 +46,17 @@ def look_back(events: DataFrame, key: str, value: str, keep: int = 20, forget: s
     return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, "key string, median double, mean double, max double, last double", "values array<double>", "update", "EventTimeTimeout")
 
 
+#: A waiting or held row; ``none`` is 1 where the key is null.
+_ROW = np.dtype([("none", "i1"), ("key", "<i8"), ("at", "<i8"), ("id", "<i8"), ("value", "<f8")])
+
+
 class LookBack(StatefulProcessor):
-    """Rows (at, id, value) of a key in the order of (at, id), however they arrive within the watermark, each with figures of the last ``keep`` values.
+    """Rows (none, key, at, id, value) of a bucket of keys, for each key in the order of (at, id), however they arrive within the watermark, each with figures of the last ``keep`` values.
 
-    Rows wait in a list until the watermark has passed the last that came with them, which one timer for each key and batch tells; what came late has
-    taken its place by then. Another list holds the values that the next row looks back on. A key that nothing came for in ``forget`` ms of
-    event time is forgotten, by a timer too, so the state stays that of the keys in use. Times are microseconds.
+    Rows wait in a list until the watermark has passed the last that came with them, which one timer for each bucket and batch tells; what came late has
+    taken its place by then. Another state holds the rows that the next one of a key looks back on. A key that nothing came for in ``forget`` ms of
+    event time is forgotten, by a timer too, so the state stays that of the keys in use. Times are microseconds. Each state is packed rows, a call for
+    a bucket, not for a key or a row, and all keys of a bucket are sorted and framed at once. A null or NaN value counts in n, but has no part in the figures.
     """
 
     def __init__(self, keep: int, forget: int):
@@ -58,53 +64,91 @@ class LookBack(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, id long, value double")
-        self.held = handle.getListState("held", "at long, value double")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.held = handle.getValueState("held", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows))
-        self.waiting.appendList([(int(a), int(i), float(v)) for a, i, v in zip(fresh["at"], fresh["id"], fresh["value"], strict=True)])
-        self.handle.registerTimer(-(-int(fresh["at"].max()) // 1000))
+        last = None
+        for fresh in rows:
+            if not len(fresh):
+                continue
+            if fresh[["at", "id"]].isna().any(axis=None):
+                raise ValueError("a row without a time or a number has no place in the order")
+            own = np.empty(len(fresh), _ROW)
+            for c in _ROW.names:
+                own[c] = fresh[c].to_numpy()
+            self.waiting.appendValue((own.tobytes(),))
+            last = own["at"].max() if last is None else max(last, own["at"].max())
+        if last is not None:
+            self.handle.registerTimer(-(-int(last) // 1000))
         return iter(())
 
+    def _ends(self, at: np.ndarray) -> np.ndarray:
+        """Until when, in microseconds, a key is kept whose last row was at this time."""
+        return 1000 * (-(-at // 1000) + self.forget)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = 1000 * expiredTimerInfo.getExpiryTimeInMs()
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        held = list(self.held.get()) if self.held.exists() else []
-        due = [r for r in waiting if r[0] <= now]
-        if not due:
-            if held and held[-1][0] + 1000 * self.forget <= now:
-                self.held.clear()
+        waiting = np.frombuffer(b"".join(bytes(r[0]) for r in self.waiting.get()) if self.waiting.exists() else b"", _ROW)
+        held = np.frombuffer(bytes(self.held.get()[0]) if self.held.exists() else b"", _ROW)
+        due = waiting["at"] <= now
+        rows, fresh = np.concatenate([held, waiting[due]]), np.repeat([False, True], [len(held), due.sum()])
+        if not len(rows):
             return
-        out = []
-        for at, number, value in due:
-            held = [*held, (at, value)][-self.keep :]
-            values = [v for _, v in held]
-            ordered = sorted(values)
-            out.append((key[0], number, at, len(values), ordered[(len(ordered) - 1) // 2], sum(values) / len(values), ordered[-1], value))
-        self.held.put([tuple(h) for h in held])
-        left = waiting[len(due) :]
-        if left:
-            self.waiting.put([tuple(r) for r in left])
+        order = np.lexsort((rows["id"], rows["at"], fresh, rows["key"], rows["none"]))
+        rows, fresh = rows[order], fresh[order]
+        edge = np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["none"][1:] != rows["none"][:-1]))  # a key's first row
+        first = edge | np.append(False, rows["at"][1:] > self._ends(rows["at"][:-1]))  # that, or the first after the key was forgotten
+        begin, end = np.flatnonzero(first), np.append(np.flatnonzero(first)[1:], len(rows))
+        place = np.arange(len(rows)) - np.repeat(begin, end - begin)
+        kept = np.repeat(np.append(edge[begin[1:]], True) & (self._ends(rows["at"][end - 1]) > now), end - begin)  # what comes next looks back on these
+        kept &= np.repeat(end, end - begin) - np.arange(len(rows)) <= self.keep
+        left = rows[kept]
+        if not len(left):
+            self.held.clear()
         else:
+            if due.any() or len(left) != len(held):
+                self.held.update((left.tobytes(),))
+            last = np.append((left["key"][1:] != left["key"][:-1]) | (left["none"][1:] != left["none"][:-1]), True)
+            self.handle.registerTimer(int(self._ends(left["at"][last]).min() // 1000))
+        if not due.any():
+            return
+        if due.all():
             self.waiting.clear()
-        self.handle.registerTimer(-(-held[-1][0] // 1000) + self.forget)
-        yield pd.DataFrame(out, columns=["key", "id", "at", "n", "median", "mean", "highest", "latest"])
+        else:
+            self.waiting.put([(waiting[~due].tobytes(),)])
+        frames = np.lib.stride_tricks.sliding_window_view(np.append(np.full(self.keep - 1, np.nan), rows["value"]), self.keep)
+        back = np.arange(self.keep - 1, -1, -1)
+        new = np.flatnonzero(fresh)
+        for at in range(0, len(new), 1 << 14):
+            some = new[at : at + (1 << 14)]
+            own = np.where(back <= place[some, None], frames[some], np.nan)
+            size = self.keep - np.isnan(own).sum(axis=1)
+            total = np.nansum(own, axis=1)
+            own.sort(axis=1)  # what is no number comes last
+            top = np.maximum(size - 1, 0)
+            each, line = rows[some], np.arange(len(some))
+            yield pd.DataFrame({
+                "key": pd.Series(each["key"], dtype="Int64").mask(each["none"] == 1), "id": each["id"], "at": each["at"], "n": np.minimum(place[some] + 1, self.keep), "median": own[line, top // 2],
+                "mean": total / np.where(size, size, np.nan), "highest": own[line, top], "latest": each["value"],
+            })
 
     def close(self) -> None:
         pass
 
 
-def rows_in_order(events: DataFrame, key: str, number: str, value: str, keep: int = 20, forget: str = "1 day", late: str = "10 minutes") -> DataFrame:
+def rows_in_order(events: DataFrame, key: str, number: str, value: str, keep: int = 20, forget: str = "1 day", late: str = "10 minutes", buckets: int = 512) -> DataFrame:
     """Of a stream with ``ts``: for each row, once the watermark has passed it, count, lower median, mean, highest and latest of the last ``keep`` values of its key.
 
-    (key, id, ts, n, median, mean, highest, latest), where rows of a key are in the order of time and ``number``, as in a frame of rows over a table. The
+    (key, id, ts, n, median, mean, highest, latest), where rows of a key are in the order of time and ``number``, as in a frame of rows over a table. Keys share
+    ``buckets`` states by their hash, so that what each key costs is its rows; a bucket's waiting rows fit in memory. The
     session needs a state store that knows timers; see timed_session.
     """
     rows = events.withWatermark("ts", late).select(F.col(key).cast("long").alias("key"), "ts", F.unix_micros("ts").alias("at"), F.col(number).cast("long").alias("id"), F.col(value).cast("double").alias("value"))
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.isnull("key").cast("int").alias("none"), F.coalesce("key", F.lit(0)).alias("key"), "ts", "at", "id", "value")
     schema = "key long, id long, at long, n long, median double, mean double, highest double, latest double"
     wait = int(pd.Timedelta(forget).total_seconds() * 1000)
-    out = rows.groupBy("key").transformWithStateInPandas(LookBack(keep, wait), schema, "Append", "EventTime")
+    out = rows.groupBy("bucket").transformWithStateInPandas(LookBack(keep, wait), schema, "Append", "EventTime")
     return out.select("key", "id", F.timestamp_micros("at").alias("ts"), "n", "median", "mean", "highest", "latest")
 
 
@@ -163,6 +207,6 @@ def poll(ready: Callable[[], bool], tries: int = 10, wait: float = 0.5) -> bool:
     return ready()
 
 
-def stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """A stream of parquet files, a file at a time, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def stream(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
+    """A stream of parquet files, ``files`` at a time, oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
