@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotloom.llm.common import byte_hashes, durable, give_back, lower_ascii, mix64, ragged, small_batches, text_slices, unique_words, word_bounds
+from plotloom.llm.common import byte_hashes, durable, give_back, let_go, lower_ascii, mix64, ragged, small_batches, text_slices, unique_words, word_bounds
 from plotloom.llm.components import components
 
 _BITS = 64
@@ -460,14 +460,18 @@ def similar_sets(docs: DataFrame, words: int, similarity: Fraction, bands: int,
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.bit_xor(F.xxhash64("set")).alias("sum")).where("n > 1")
     buckets = buckets.groupBy("n", "low", "sum").agg(F.min("key").alias("key"))  # of buckets with the same members, one
     shared = durable(members.join(buckets.select("key", "n", "low"), "key"))
+    let_go(docs.sparkSession)  # of the shuffle files behind what is stored now, here and below
     wanted = table.groupBy("set").agg(F.min("copy").alias("copy")).join(shared.select("set").distinct(), "set", "left_semi")  # counted first, as one set may be most rows'
     single = texts.groupBy("copy").agg(F.first("text").alias("text"))  # copies go before they travel, and the join takes the rows as they lie
     sets = durable(single.join(wanted, "copy").select("set", "text").mapInArrow(shingles, "set long, shingles binary"))
+    let_go(docs.sparkSession)
 
     def links(tasks: DataFrame) -> DataFrame:
         """The spanning links of rows (task, set, root)."""
         dealt = tasks.join(sets, "set").select("task", "set", "root", "shingles").repartition("task").sortWithinPartitions("task")
-        return durable(dealt.mapInArrow(lambda b: _linked(b, similarity), "a long, b long"))
+        found = durable(dealt.mapInArrow(lambda b: _linked(b, similarity), "a long, b long"))
+        let_go(docs.sparkSession)
+        return found
 
     def parted(own: DataFrame, level: int) -> DataFrame:
         """(key, set, root, n, low): the sets of the buckets of own (key, set, root) in buckets by further bands."""
@@ -534,7 +538,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction =
     table, roots = similar_sets(docs, words, similarity, bands, rows, most, distance)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")
     kept = table.groupBy("set").agg(F.min(order).alias("least")).join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("group")).agg(F.min("least").alias("least"))
-    kept = kept.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.copy").alias("_kept_copy"))
-    rows_ = docs.withColumn("_kept_copy", text_md5()).withColumn("_kept_id", F.col("doc_id").cast("long"))
-    joined = rows_.alias("d").join(kept.alias("k"), (F.col("d._kept_copy") == F.col("k._kept_copy")) & F.col("d._kept_id").eqNullSafe(F.col("k._kept_id")), "left_semi")
-    return joined.dropDuplicates(["_kept_copy", "_kept_id"]).drop("_kept_copy", "_kept_id")
+    keys = ["_kept_copy", "_kept_id", "_kept_null"]  # joined and told apart by the same columns, so that texts travel once
+    kept = kept.select(F.col("least.copy").alias("_kept_copy"), F.coalesce("least.doc_id", F.lit(0)).alias("_kept_id"), F.col("least.last").alias("_kept_null"))
+    number = F.col("doc_id").cast("long")
+    rows_ = docs.withColumns({"_kept_copy": text_md5(), "_kept_id": F.coalesce(number, F.lit(0)), "_kept_null": number.isNull()})
+    return rows_.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
